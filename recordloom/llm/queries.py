@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+from recordloom.llm.op1_url import OP1_SQL, op1_url_filters
+from recordloom.llm.op2_toxicity import op2_toxicity
+from recordloom.llm.op6_jaccard import op6_ngram_jaccard
+from recordloom.llm.op7_quality import op7_quality_rules
+from recordloom.llm.op8_license import op8_license_scan
 from recordloom.llm.op9_exact import OP9_SQL, op9_exact_dedup
+from recordloom.llm.op10_langid import op10_language_id
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_toxicity": op2_toxicity,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_license_scan": op8_license_scan,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 SQL = {
+    "op1_url_filters": OP1_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
