@@ -1,17 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Four small transducers read the words of a clause: insults (whole words and word stems, each
-with a weight), targets, threats, and contexts that weaken what follows (negation, reported
-speech). Their composition is one automaton over (words since a negation, reported or not,
+Four small transducers read the words of a clause: insults (each with a weight),
+targets, threats, and contexts that weaken what follows (negation, reported speech). Their composition is one automaton over (words since a negation, reported or not,
 target seen); running it once over a clause gives the clause's weight. A document's score
 combines its clauses: 1 - product of (1 - p), where p is the logistic of a clause's weight. So
 an isolated listed word is only one input of its clause.
 
-Insults are learned from labels: words and stems (the first STEMS characters) that stand in at
-least MIN_TOXIC toxic documents and whose share of toxic documents is MIN_SHARE or more; the
-weight is the log odds of that share. The fit uses a bounded sample, at most FIT_ROWS labelled
-documents in the order of a hash of their ids. Targets, threats, negations and verbs of
-reporting are short fixed lists for four languages.
+Insults are learned from labels: words that stand in at least MIN_TOXIC toxic documents and
+whose share of toxic documents is MIN_SHARE or more; the weight is the log odds of that share.
+One insult in a whole document may be there by chance, so it weighs LONE less. The fit uses a
+bounded sample, at most FIT_ROWS labelled documents in the order of a hash of their ids.
+Targets, threats, negations and verbs of reporting are short fixed lists for four languages,
+without words that are common in another of them (such as the article "die").
 
 Nulls: a null or empty text has no clause and gets the score of one without a match. A null
 doc_id or label is not learned from. Repeated rows are scored alike; other columns are
@@ -31,24 +31,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.textops import NON_ALNUM, span_hashes, utf8_slices, word_spans
+from recordloom.llm.textops import NON_ALNUM, span_hashes, utf8_slices, word_hash, word_spans
 
 FIT_ROWS = 20_000
-MIN_TOXIC = 5
-MIN_SHARE = 0.6
-STEMS = (5, 6, 7, 8)
+MIN_TOXIC = 4
+MIN_SHARE = 0.8
 MAX_INSULTS = 5_000
 NO_MATCH = 0.02
 THRESHOLD = 0.3
 
 #: Words of the grammar's other parts, in four languages.
-TARGETS = frozenset("you your yours they them he she him her tu toi vous votre il elle ils du dich dir ihr euch er sie usted tú ti él ella ellos".split())
-THREATS = frozenset("kill hurt destroy beat burn die tuer frapper mourir töten schlagen sterben matar golpear morir".split())
-NEGATIONS = frozenset("not no never isn't aren't non pas jamais nicht kein keine nie nunca jamás".split())
+TARGETS = frozenset("you your yours they them she him her toi vous votre elle dich dir euch usted ustedes tú ella ellos".split())
+THREATS = frozenset("kill hurt destroy strangle tuer frapper étrangler töten schlagen vernichten matar golpear estrangular".split())
+NEGATIONS = frozenset("not never isn't aren't pas jamais nicht kein keine nunca jamás".split())
 REPORTS = frozenset("said says claimed wrote called reported dit écrit sagte schrieb dijo escribió".split())
 
 NEGATION_REACH = 3
 NEGATED, REPORTED = 0.4, 0.7
+LONE = 3.5
 TARGETED, THREATENED, FURTHER = 0.5, 1.0, 0.5
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -59,13 +59,8 @@ def learnable(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string")) % 4 != 2) & doc_id.isNotNull()
 
 
-def word_features(word: str) -> list[str]:
-    """The word, and its stems marked with a trailing ``-``."""
-    return [word, *(word[:k] + "-" for k in STEMS if len(word) >= k)]
-
-
 def learn_insults(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> dict[str, float]:
-    """Insult words and stems with their weights: at most MAX_INSULTS rows reach the driver."""
+    """Insult words with their weights: at most MAX_INSULTS rows reach the driver."""
     labelled = labels.filter(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").select("text", "toxic")
@@ -75,75 +70,56 @@ def learn_insults(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) ->
             total: Counter = Counter()
             toxic: Counter = Counter()
             for text, label in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-                own = {f for word in set(_WORD.findall((text or "").lower())) for f in word_features(word)}
+                own = set(_WORD.findall((text or "").lower()))
                 total.update(own)
                 if label == 1:
                     toxic.update(own)
             names = list(total)
-            arrays = [pa.array(names, pa.string()), pa.array([total[f] for f in names], pa.int64()), pa.array([toxic[f] for f in names], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["feature", "n", "n_toxic"])
+            arrays = [pa.array(names, pa.string()), pa.array([total[w] for w in names], pa.int64()), pa.array([toxic[w] for w in names], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["word", "n", "n_toxic"])
 
-    sums = rows.mapInArrow(count, "feature string, n long, n_toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+    sums = rows.mapInArrow(count, "word string, n long, n_toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     sums = sums.filter((F.col("n_toxic") >= MIN_TOXIC) & (F.col("n_toxic") >= MIN_SHARE * F.col("n")))
-    found = sums.orderBy(F.desc("n_toxic"), "feature").limit(MAX_INSULTS).collect()
-    return {r["feature"]: math.log((r["n_toxic"] + 0.5) / (r["n"] - r["n_toxic"] + 0.5)) for r in found}
+    found = sums.orderBy(F.desc("n_toxic"), "word").limit(MAX_INSULTS).collect()
+    return {r["word"]: math.log((r["n_toxic"] + 0.5) / (r["n"] - r["n_toxic"] + 0.5)) for r in found}
 
 
 class Grammar:
-    """The composed automaton; ``insults`` maps words and stems to weights."""
+    """The composed automaton; ``insults`` maps words to weights."""
 
     def __init__(self, insults: dict[str, float]) -> None:
         self.insults = insults
 
-    def insult(self, word: str) -> float:
-        return max((self.insults[f] for f in word_features(word) if f in self.insults), default=0.0)
-
-    def clause_weight(self, words: list[str]) -> float | None:
-        """The weight of a clause, None if no insult or threat against a target is in it."""
-        since_negation, reported, targets = NEGATION_REACH, False, 0
-        best, rest, threats = None, 0.0, 0.0
+    def clause_weight(self, words: list[str]) -> tuple[float, int] | None:
+        """Weight and number of insults of a clause, None if it has neither an insult nor a threat against a target."""
+        since_negation, reported, targeted = NEGATION_REACH, False, False
+        insults, best, total, threat = 0, 0.0, 0.0, 0.0
         for word in words:
             if word in NEGATIONS:
                 since_negation = 0
                 continue
             reported = reported or word in REPORTS
-            targets += word in TARGETS
+            targeted = targeted or word in TARGETS
             factor = (NEGATED if since_negation < NEGATION_REACH else 1.0) * (REPORTED if reported else 1.0)
             if word in THREATS:
-                threats = max(threats, factor)
-            weight = self.insult(word) * factor
-            if weight:
-                best, rest = max(best or 0.0, weight), rest + weight
+                threat = max(threat, factor)
+            if word in self.insults:
+                weight = self.insults[word] * factor
+                insults, best, total = insults + 1, max(best, weight), total + weight
             since_negation += 1
-        if best is None:
-            return -1.0 + THREATENED * threats if threats and targets else None
-        return best + FURTHER * min(rest - best, 4.0) + TARGETED * (targets > 0) + THREATENED * threats
+        if not insults:
+            return (THREATENED * threat - 1, 0) if threat and targeted else None
+        return best + FURTHER * min(total - best, 4.0) + TARGETED * targeted + THREATENED * threat, insults
 
     def score(self, text: str) -> float:
+        found = [w for clause in _CLAUSE.split(text.lower()) if (w := self.clause_weight(_WORD.findall(clause)))]
+        lone = LONE * (sum(n for _, n in found) == 1)
         clean = 1 - NO_MATCH
-        for clause in _CLAUSE.split(text.lower()):
-            weight = self.clause_weight(_WORD.findall(clause))
-            if weight is not None:
-                clean *= 1 / (1 + math.exp(weight))
+        for weight, n in found:
+            clean *= 1 / (1 + math.exp(weight - lone * (n > 0)))
         return 1 - clean
 
 
-def _lookup(words: list[str]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Sorted hashes of whole words, and of stems by their length in bytes."""
-
-    def hashed(some: list[bytes]) -> np.ndarray:
-        data = np.frombuffer(b"\n".join(some), dtype=np.uint8)
-        ends = np.cumsum([len(w) + 1 for w in some]) - 1
-        return np.sort(span_hashes(data, np.concatenate([[0], ends[:-1] + 1]).astype(np.int64), ends.astype(np.int64)))
-
-    whole = [w.encode() for w in words if not w.endswith("-")]
-    stems: dict[int, list[bytes]] = {}
-    for w in words:
-        if w.endswith("-"):
-            stems.setdefault(len(w[:-1].encode()), []).append(w[:-1].encode())
-    return hashed(whole) if whole else np.zeros(0, dtype=np.uint64), {k: hashed(v) for k, v in stems.items()}
-
-
 def _contains(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(hashes), dtype=bool)
@@ -153,7 +129,7 @@ def _contains(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def score_texts(docs: DataFrame, insults: dict[str, float]) -> DataFrame:
     """``doc_id`` and ``score`` of every whole text: hashes find the rows with a match, the grammar reads those."""
     grammar = Grammar(insults)
-    whole, stems = _lookup([*insults, *THREATS])
+    known = np.sort(word_hash(sorted({*insults, *THREATS})))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,11 +137,7 @@ def score_texts(docs: DataFrame, insults: dict[str, float]) -> DataFrame:
             scores = np.full(len(batch), NO_MATCH)
             for row, _, data, offsets in utf8_slices(lowered):
                 starts, ends, rows = word_spans(data, offsets, NON_ALNUM)
-                hit = _contains(whole, span_hashes(data, starts, ends))
-                for k, known in stems.items():
-                    some = np.flatnonzero(ends - starts >= k)
-                    hit[some] |= _contains(known, span_hashes(data, starts[some], starts[some] + k))
-                for r in np.unique(rows[hit]):
+                for r in np.unique(rows[_contains(known, span_hashes(data, starts, ends))]):
                     scores[row + r] = grammar.score(data[offsets[r] : offsets[r + 1]].tobytes().decode())
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(scores)], ["doc_id", "score"])
 

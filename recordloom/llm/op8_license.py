@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.textops import LOWER, NON_ALNUM, ngram_hashes, span_hashes, utf8_slices, word_spans
+from recordloom.llm.textops import LOWER, NON_ALNUM, span_hashes, utf8_slices, word_hash, word_spans
 
 #: The base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -52,13 +52,6 @@ def _words(text: str) -> list[str]:
     return [lowered[s:e].tobytes().decode() for s, e in zip(starts, ends, strict=True)]
 
 
-def word_hash(words: list[str]) -> np.ndarray:
-    data = "\n".join(words).encode()
-    ends = np.cumsum([len(w.encode()) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
-    return span_hashes(np.frombuffer(data, dtype=np.uint8), starts, ends.astype(np.int64))
-
-
 def notice_tokens(notices: dict[str, str]) -> list[str]:
     return sorted({w for text in notices.values() for w in _words(text)})
 
@@ -125,7 +118,7 @@ class NoticeIndex:
 
 
 def notice_matches(docs: DataFrame, notices: dict[str, str] = NOTICES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document; labels hold, for each block, the notice it shares most tokens with."""
+    """One row per document; labels hold, for each block, the notice it contains best (of equal ones the longer)."""
     index = NoticeIndex(notices, token_frequencies(docs, notice_tokens(notices)), threshold)
     searched = [(label, word_hash(p.split())) for p, label in phrases.items()]
 
@@ -172,11 +165,10 @@ def _scan(data: np.ndarray, offsets: np.ndarray, index: NoticeIndex, phrases: li
         found = index.matches(np.unique(numbers[own]))
         if found:
             row = rows[own[0]]
-            best = max(shared for _, shared in found)
-            for k, shared in found:
-                scores[row] = max(scores[row], shared / len(index.sets[k]))
-                if shared == best:
-                    labels[row].add(index.labels[k])
+            held = [(shared / len(index.sets[k]), shared, k) for k, shared in found]
+            best = max(held)
+            scores[row] = max(scores[row], best[0])
+            labels[row].update(index.labels[k] for *fit, k in held if tuple(fit) == best[:2])
     joined = [",".join(sorted(x)) for x in base], [",".join(sorted(x)) for x in labels]
     scores = [1.0 if b else s for b, s in zip(base, scores, strict=True)]
     return [n_words.tolist(), [len(p) for p in places], [min(p, default=None) for p in places], [max(p, default=None) for p in places], *joined, scores]

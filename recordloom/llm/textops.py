@@ -110,6 +110,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
+def word_hash(words: list[str]) -> np.ndarray:
+    """The hash that each word has where it stands in a text."""
+    data = "\n".join(words).encode()
+    ends = np.cumsum([len(w.encode()) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+    return span_hashes(np.frombuffer(data, dtype=np.uint8), starts, ends.astype(np.int64))
+
+
 def ngram_hashes(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every window of n words inside one row."""
     if len(hashes) < n:
