@@ -1,5 +1,72 @@
-"""placeholder replaced below"""
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A corpus pipeline of five stages; each is written as Parquet and read again by the next."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recordloom.llm.op3_packing import pack_documents
+from recordloom.llm.op6_jaccard import near_duplicates
+from recordloom.llm.op7_quality import quality
+from recordloom.llm.op9_exact import kept_documents
+from recordloom.llm.op10_langid import UNKNOWN, identify, profiles
+from recordloom.operators.storage import materialize
+from recordloom.shipping import shipped
+
+
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``kept`` (ids only); both sides can be split by a hot key."""
+    kept = materialize(kept.select(F.col("doc_id").alias("__kept")).distinct(), "kept-ids")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+
+
+@shipped
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that fail the base rules or the likelihood ratio."""
+    return _keep(docs, quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept"))
+
+
+@shipped
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose text is in none of the languages learned."""
+    return _keep(docs, identify(docs, profiles(docs)).filter(F.col("lang_pred") != UNKNOWN))
+
+
+@shipped
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave one row of equal texts."""
+    return kept_documents(docs)
+
+
+@shipped
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave the least doc_id of each class of near duplicates; documents without words are their own class."""
+    return _keep(docs, near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))))
+
+
+@shipped
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("best-fit packing", packing),
+]
+
+#: None: SQL can't express the likelihood ratio, the language profiles or the tokens.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
