@@ -134,7 +134,7 @@ def latest_transaction(transactions: DataFrame) -> DataFrame:
 
 def recoverable_transactions(transactions: DataFrame, entries: DataFrame) -> DataFrame:
     """Runs that are not rolled back and were interrupted or have an action that is not done; newest first."""
-    open_entries = current_entries(entries).groupBy("transaction_id").agg(F.count_if("status <> 'done'").alias("open_entries"))
+    open_entries = current_entries(entries).groupBy("transaction_id").agg(F.count_if(F.expr("status <> 'done'")).alias("open_entries"))
     joined = current_transactions(transactions).join(open_entries, "transaction_id", "left")
     left = F.col("lifecycle_status").isin(*INTERRUPTED) | (F.coalesce("open_entries", F.lit(0)) > 0)
     found = joined.filter((F.col("lifecycle_status") != ROLLED_BACK) & left)
@@ -176,9 +176,9 @@ def undo_summary(undone: DataFrame) -> DataFrame:
     """Counters over an undo plan; its errors in order."""
     errors = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("transaction_id", "step", "error"))))
     return undone.agg(
-        F.count_if("action = 'copied'").alias("files_copied"),
-        F.count_if("action = 'moved'").alias("files_moved"),
-        F.count_if("action = 'quarantined_duplicate'").alias("duplicates_quarantined"),
+        F.count_if(F.expr("action = 'copied'")).alias("files_copied"),
+        F.count_if(F.expr("action = 'moved'")).alias("files_moved"),
+        F.count_if(F.expr("action = 'quarantined_duplicate'")).alias("duplicates_quarantined"),
         F.transform(errors, lambda e: e["error"]).alias("errors"),
     )
 
@@ -188,10 +188,10 @@ def recover_all(transactions: DataFrame, entries: DataFrame) -> DataFrame:
     found = recoverable_transactions(transactions, entries).select("transaction_id")
     undone = undo_plan(entries, found)
     sums = undone.groupBy("transaction_id").agg(
-        F.count_if("action = 'copied'").alias("files_copied"),
-        F.count_if("action = 'moved'").alias("files_moved"),
-        F.count_if("action = 'quarantined_duplicate'").alias("duplicates_quarantined"),
-        F.count_if("error is not null").alias("n_errors"),
+        F.count_if(F.expr("action = 'copied'")).alias("files_copied"),
+        F.count_if(F.expr("action = 'moved'")).alias("files_moved"),
+        F.count_if(F.expr("action = 'quarantined_duplicate'")).alias("duplicates_quarantined"),
+        F.count_if(F.expr("error is not null")).alias("n_errors"),
     )
     zeros = {c: 0 for c in ("files_copied", "files_moved", "duplicates_quarantined", "n_errors")}
     return found.join(sums, "transaction_id", "left").fillna(zeros)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.columns import destination_folder, file_name, format_size, numbered_name, parent, relative_path
 from recordloom.operators.dedupe import member_order
+from recordloom.operators.storage import materialize
 
 DEDUPE_MODES = ("off", "quarantine", "delete")
 ORGANIZE_MODES = {"copy": "copied", "move": "moved"}
@@ -62,7 +63,7 @@ def _free_names(rows: DataFrame, folder: str, name: str, order: list[Column], ex
     family = F.regexp_replace(F.col(name), r"( \(\d+\))+(?=(\.[^.]*)?$)", "")
     rows = rows.withColumn("family", family)
     same = Window.partitionBy(folder, name).orderBy(*order)
-    rows = rows.withColumn("number", F.row_number().over(same) - 1)
+    rows = materialize(rows.withColumn("number", F.row_number().over(same) - 1), "names")
     families = rows.groupBy(folder, "family").agg(F.count_distinct(name).alias("names"))
     mixed = families.filter("names > 1").select(folder, "family")
     if existing is not None:
@@ -105,8 +106,6 @@ def _numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
     """``seq`` from 1 over all rows in order: a range sort, a count for each partition, and the sum of those before."""
     spark = rows.sparkSession
     ordered = rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
-    from recordloom.operators.storage import materialize
-
     ordered = materialize(ordered, "ordered")
     sizes = ordered.groupBy("__part").agg(F.count("*").alias("n"), F.min("__row").alias("first")).orderBy("__part").collect()
     begins, total = [], 0

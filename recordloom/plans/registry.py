@@ -259,7 +259,7 @@ def _scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         for mode in plan.DEDUPE_MODES:
             result = preview(inventory(spark, sf_dir), RunOptions(ROOT, TARGET, scope, dedupe_mode=mode, filters=ScanFilter(exclude_hidden=False)))
             counts = []
-            for actions in (result.dedupe_actions, result.organize_actions):
+            for actions in (result.removed, result.to_organize):
                 counts.append(F.lit(0).cast("long") if actions is None else actions.agg(F.count("*")).scalar())
             rows.append(spark.range(1).select(F.lit(scope).alias("scope"), F.lit(mode).alias("mode"), counts[0].alias("deduped"), counts[1].alias("organized")))
     return plan.union_all(rows)

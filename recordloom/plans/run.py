@@ -29,13 +29,22 @@ class RunOptions:
 
 @dataclass(frozen=True)
 class RunResult:
-    """Lazy tables; what a scope leaves out is None."""
+    """Lazy tables; what a scope leaves out is None. The plans number their rows, which runs a job, so they are made on demand."""
 
+    options: RunOptions
     scanned: DataFrame
     summary: DataFrame
     members: DataFrame | None
-    dedupe_actions: DataFrame | None
-    organize_actions: DataFrame | None
+    removed: DataFrame | None
+    to_organize: DataFrame | None
+
+    def dedupe_actions(self) -> DataFrame | None:
+        o = self.options
+        return None if self.members is None else dedupe_plan(self.members, o.dedupe_mode, o.source_root, f"{o.target_root}/quarantine", o.protected)
+
+    def organize_actions(self) -> DataFrame | None:
+        o = self.options
+        return None if self.to_organize is None else organize_plan(self.to_organize.drop("content"), o.organize_mode, o.target_root, o.zone)
 
 
 def preview(inventory: DataFrame, options: RunOptions) -> RunResult:
@@ -44,16 +53,14 @@ def preview(inventory: DataFrame, options: RunOptions) -> RunResult:
         raise ValueError(f"{options.scope!r} is none of {', '.join(SCOPES)}")
     grouping, deduping = SCOPES[options.scope]
     scanned = scan(inventory, options.filters)
-    members = duplicate_members(scanned) if deduping else None
-    actions = dedupe_plan(members, options.dedupe_mode, options.source_root, f"{options.target_root}/quarantine", options.protected) if deduping else None
-    organized = None
-    if grouping:
-        left = survivors(scanned, removals(members, options.protected)) if deduping and options.dedupe_mode != "off" else scanned
-        organized = organize_plan(left.drop("content"), options.organize_mode, options.target_root, options.zone)
     summary = scan_summary(scanned)
+    members = removed = None
     if deduping:
+        members = duplicate_members(scanned)
         summary = summary.withColumn("k", F.lit(1)).join(dedupe_summary(members).withColumn("k", F.lit(1)), "k").drop("k")  # one row each
-    return RunResult(scanned, summary, members, actions, organized)
+        removed = removals(members, options.protected).filter(F.lit(options.dedupe_mode != "off"))
+    left = survivors(scanned, removed) if deduping and options.dedupe_mode != "off" else scanned
+    return RunResult(options, scanned, summary, members, removed, left if grouping else None)
 
 
 def apply(inventory: DataFrame, options: RunOptions, folder: str, transaction_id: str) -> DataFrame:
@@ -65,7 +72,7 @@ def apply(inventory: DataFrame, options: RunOptions, folder: str, transaction_id
     """
     spark = inventory.sparkSession
     result = preview(inventory, options)
-    plans = [p for p in (result.dedupe_actions, result.organize_actions) if p is not None]
+    plans = [p for p in (result.dedupe_actions(), result.organize_actions()) if p is not None]
     steps = []
     first = 0
     for plan in plans:
