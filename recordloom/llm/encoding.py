@@ -16,10 +16,13 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Parts kept before the memory of a worker is given back.
-KEPT_PARTS = 400_000
+#: Parts in a generation; a worker keeps two, and parts used again stay.
+KEPT_PARTS = 300_000
 _PARTS_A_CALL = 2048
 
+#: Marks that are neither letters, digits nor white space, and never part of a word's own pre-token.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 #: White space other than single blanks and line breaks between words.
 _UNUSUAL = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
 
@@ -32,7 +35,9 @@ class PartEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.blanks = blanks
+        self.mark_key = "\t" if blanks else ""
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _parts(self, text: str) -> list[str] | None:
         """Keys of a text's parts: a word, a word after a line break, or (marked by a carriage return) the first word."""
@@ -48,32 +53,57 @@ class PartEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, parts: list[str]) -> None:
-        if len(self.known) > KEPT_PARTS:
-            self.known.clear()
+        """Encode new parts, many in one call of the library, and cut its ids at the parts' ends."""
         if self.blanks:
             for part in parts:
-                if part[0] == "\r":
+                if part[0] in "\r\t":
                     self.known[part] = self._whole(part[1:])
-            parts = [p for p in parts if p[0] != "\r"]
+            parts = [p for p in parts if p[0] not in "\r\t"]
         for at in range(0, len(parts), _PARTS_A_CALL):
             some = parts[at : at + _PARTS_A_CALL]
             spelled = [p if self.blanks and p[0] == "\n" else " " + p for p in some]
             starts = np.cumsum([0, *map(len, spelled)])
             found = self.tokenizer.encode("".join(spelled), add_special_tokens=False)
             ids = np.array(found.ids, dtype="<u4").tobytes()
-            last = np.array([end for _, end in found.offsets], dtype=np.int64) - 1
+            last = np.fromiter((end for _, end in found.offsets), dtype=np.int64) - 1
             bounds = (4 * np.searchsorted(last, starts)).tolist()
             self.known.update((p, ids[bounds[i] : bounds[i + 1]]) for i, p in enumerate(some))
 
+    def _split(self, part: str) -> tuple[str, str] | None:
+        """A word of letters and the marks after it, which the pre-tokenizer takes apart; None for other parts."""
+        word = part.rstrip(_MARKS)
+        if not word or not (word.isalpha() or (self.blanks and word[0] == "\n" and word[1:].isalpha())):
+            return None
+        if not self.blanks and word.isascii():
+            word = word.lower()  # as the vocabulary's normalizer does
+        marks = part[len(word) :]
+        return (word, self.mark_key + marks if marks else "") if word != part else None
+
+    def _recall(self, new: set[str]) -> list[str]:
+        """What of ``new`` neither generation knows; what the older one knows becomes young again."""
+        known, older, missing = self.known, self.older, []
+        for part in new:
+            if part not in known:
+                ids = older.pop(part, None)
+                if ids is None:
+                    missing.append(part)
+                else:
+                    known[part] = ids
+        return missing
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; a null is empty."""
         keys = [self._parts(t or "") for t in texts]
-        new = set(chain.from_iterable(k for k in keys if k))
         if len(self.known) > KEPT_PARTS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
+        missing = self._recall(set(chain.from_iterable(k for k in keys if k)))
+        if missing:
+            pairs = {p: pair for p in missing if (pair := self._split(p))}
+            simple = {p for p in missing if p not in pairs}
+            self._learn([*simple, *(p for p in self._recall({p for pair in pairs.values() for p in pair if p}) if p not in simple)])
+            known = self.known
+            known.update((p, known[word] + known[marks] if marks else known[word]) for p, (word, marks) in pairs.items())
         known = self.known
-        missing = [p for p in new if p not in known]
-        self._learn(missing) if missing else None
         return [self._whole(t or "") if k is None else b"".join(map(known.__getitem__, k)) for t, k in zip(texts, keys, strict=True)]
 
 

@@ -172,7 +172,7 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
                 out[-1][2] = crc32_join(out[-1][2], r.ids_crc32, 4 * r.n_tokens)
                 out[-1][1] += r.n_tokens
             else:
-                out.append([r.at, r.n_tokens, r.ids_crc32, None if pd.isna(r.doc_id) else int(r.doc_id)])
+                out.append([r.at, r.n_tokens, r.ids_crc32, None if r.doc_id is None else int(r.doc_id)])
             goes_on = not r.whole
         columns = list(zip(*out, strict=True))
         return pd.DataFrame({"part": group["part"].iloc[0], "doc_id": pd.array(columns[3], dtype="Int64"), "at": columns[0], "n_tokens": columns[1], "ids_crc32": columns[2]})
@@ -180,7 +180,8 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     edge = ~F.col("whole") | follows
     columns = ["part", "doc_id", "at", "n_tokens", "ids_crc32"]
     inner = parts.filter(~edge).select(*columns)
-    chained = parts.filter(edge).groupBy("part").applyInPandas(join, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    edges = parts.filter(edge).withColumn("doc_id", F.col("doc_id").cast("string"))  # a null would make numbers floats
+    chained = edges.groupBy("part").applyInPandas(join, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     found = inner.unionAll(chained).join(starts, "part")
     return found.select("doc_id", (F.col("file_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -3,16 +3,16 @@
 The vocabulary's pieces and scores are used as a unigram model: the ids of a text are the
 segmentation with the largest sum of scores (the method's scan is over such sums; the merges of
 a BPE model are not a best path, so ids differ from the BPE mode of the same file). Ties go to
-longer pieces (the sum of squared lengths) and then to a fixed hash of the pieces, so that the
-best segmentation is the same however a text is cut.
+longer pieces (the sum of squared lengths) and then to a fixed hash of the pieces; what still
+ties (the same pieces in another order) may come out differently where a chunk is cut.
 
 No piece of the vocabulary has a blank mark after another character, so every segmentation has
 a boundary before each run of marks. The parts between these forced boundaries are solved once
 each and kept. A giant document is cut into chunks at any character. The state at a cut is how
 far the piece that straddles it reaches beyond, and a chunk is a max-plus transfer matrix from
 its entry states to its exit states. The matrices of a document are combined associatively
-(pairwise, in about log2(chunks) rounds, forward and backward), which gives each cut its state
-on the best path, and each chunk is then traced back on its own.
+(neighbours pairwise, in about log2(chunks) rounds), which gives each cut its state on the best
+path, and each chunk is then traced back on its own.
 
 Decoding joins the pieces and byte pieces of the ids and drops the mark that encoding added.
 
@@ -231,10 +231,16 @@ def scan(matrices: np.ndarray) -> np.ndarray:
 
 
 def cut_states(matrices: np.ndarray) -> list[int]:
-    """The state at each of the n + 1 cuts of a document's n chunks on the best path."""
-    before = scan(matrices)[:, 0, :]  # sums up to the cut after each chunk
+    """The state at each of the n + 1 cuts of a document's n chunks on a best path.
+
+    Products of all suffixes give the best sum from every state to the end, and from the state at
+    one cut the best one at the next follows, so the states fit together even where sums tie.
+    """
     after = scan(matrices.transpose(0, 2, 1)[::-1])[::-1, 0, :]  # sums from the cut before each chunk to the end
-    return [0, *(int(np.argmax(before[c] + after[c + 1])) for c in range(len(matrices) - 1)), 0]
+    cuts = [0]
+    for c in range(len(matrices) - 1):
+        cuts.append(int(np.argmax(matrices[c][cuts[-1]] + after[c + 1])))
+    return [*cuts, 0]
 
 
 CODED = "doc_id long, n_pieces long, ids_crc32 long, n_chunks int, round_trip boolean"
