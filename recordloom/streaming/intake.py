@@ -34,11 +34,12 @@ def intake_batch(batch: DataFrame, batch_id: int, store: str, out: str, compute:
     spark = batch.sparkSession
     known = read_fingerprints(spark, store)
     rows = with_fingerprints(batch, known, compute).select("full_path", "size_bytes", "mtime_us", "last_write_utc", "sha256", "reused")
-    earlier = known.select("sha256", F.col("full_path").alias("known_path"))
     first = rows.groupBy("sha256").agg(F.min_by("full_path", F.struct(*member_order())).alias("first_path"))
-    seen = earlier.join(rows.select("sha256", "full_path"), "sha256").filter("known_path <> full_path").select("sha256").distinct().withColumn("seen", F.lit(True))
-    marked = rows.join(first, "sha256").join(seen, "sha256", "left")
-    duplicate = F.coalesce("seen", F.lit(False)) | (F.col("full_path") != F.col("first_path"))
+    earlier = known.groupBy("sha256").agg(F.count_distinct("full_path").alias("known"))
+    own = known.select("sha256", "full_path").distinct().withColumn("own", F.lit(1))
+    marked = rows.join(first, "sha256").join(earlier, "sha256", "left").join(own, ["sha256", "full_path"], "left")
+    others = F.coalesce("known", F.lit(0)) - F.coalesce("own", F.lit(0))  # earlier records with this content at other paths
+    duplicate = (others > 0) | (F.col("full_path") != F.col("first_path"))
     marked = marked.select("full_path", "size_bytes", "last_write_utc", "sha256", duplicate.alias("is_duplicate"), "reused", F.lit(batch_id).cast("long").alias("batch"))
     path = f"{out}/batch={batch_id}"
     marked.drop("batch").write.mode("overwrite").parquet(path)
