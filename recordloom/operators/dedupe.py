@@ -1,16 +1,20 @@
 """Exact duplicates, cheapest key first: size, partial signature, SHA-256, bytes.
 
-Keys and paths are shuffled, never content. Each step leaves the rows that share a key with
-another row; the next, dearer key is computed for those alone. A group of any size is counted
-from partial sums and joins back on its key.
+Content is read once, where it lies, and never shuffled: one pass computes both digests, and the
+keys and paths alone are grouped. A group of any size is counted from partial sums; its members
+join back on tables that Spark can split by a hot key, and are ranked by a range sort, so no
+group has to fit one task. Only the optional verification shuffles content, of rows that share
+a digest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.fingerprints import quick_signature, sha256
+from recordloom.operators.ordering import numbered
+from recordloom.operators.storage import materialize
 
 
 def member_order() -> list:
@@ -21,7 +25,7 @@ def member_order() -> list:
 def _sharing(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys another row has too."""
     shared = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    return rows.join(shared, keys, "left_semi")
+    return rows.join(materialize(shared, "shared-keys"), keys, "left_semi")
 
 
 def size_collisions(inventory: DataFrame) -> DataFrame:
@@ -29,46 +33,44 @@ def size_collisions(inventory: DataFrame) -> DataFrame:
     return inventory.groupBy("size_bytes").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def size_candidates(inventory: DataFrame) -> DataFrame:
-    return inventory.join(size_collisions(inventory).select("size_bytes"), "size_bytes", "left_semi")
-
-
-def quick_candidates(inventory: DataFrame) -> DataFrame:
-    """Size candidates that share a partial signature too."""
-    return _sharing(size_candidates(inventory).withColumn("quick_signature", quick_signature(F.col("content"))), ["size_bytes", "quick_signature"])
+def digests(inventory: DataFrame) -> DataFrame:
+    """The inventory with ``quick_signature`` and ``sha256_hash`` in place of content, kept as a table."""
+    hashed = inventory.withColumn("quick_signature", quick_signature(F.col("content"))).withColumn("sha256_hash", sha256(F.col("content")))
+    return materialize(hashed.drop("content"), "digests")
 
 
 def hashed_candidates(inventory: DataFrame) -> DataFrame:
-    """Rows with a duplicate, with their digest and without content."""
-    hashed = quick_candidates(inventory).withColumn("sha256_hash", sha256(F.col("content"))).drop("content")
-    return _sharing(hashed, ["size_bytes", "quick_signature", "sha256_hash"])
+    """Rows that share size, partial signature and digest with another row."""
+    return _sharing(digests(inventory), ["size_bytes", "quick_signature", "sha256_hash"])
 
 
 def quick_collisions(inventory: DataFrame) -> DataFrame:
     """(size_bytes, n) for each partial signature that several records of a size share; the signature stays internal."""
-    rows = size_candidates(inventory).select("size_bytes", quick_signature(F.col("content")).alias("quick"))
+    rows = inventory.select("size_bytes", quick_signature(F.col("content")).alias("quick"))
     return rows.groupBy("size_bytes", "quick").agg(F.count("*").alias("n")).filter("n > 1").drop("quick")
 
 
 def sha_collisions(inventory: DataFrame) -> DataFrame:
-    rows = quick_candidates(inventory).select("size_bytes", sha256(F.col("content")).alias("sha256_hash"))
-    return rows.groupBy("size_bytes", "sha256_hash").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = inventory.select("size_bytes", quick_signature(F.col("content")).alias("quick"), sha256(F.col("content")).alias("sha256_hash"))
+    return rows.groupBy("size_bytes", "quick", "sha256_hash").agg(F.count("*").alias("n")).filter("n > 1").drop("quick")
 
 
 def byte_verified(inventory: DataFrame) -> DataFrame:
     """Rows with a byte-identical copy: full_path, size_bytes, sha256_hash, class_size. Content is a key only for rows that share a digest."""
-    rows = quick_candidates(inventory).withColumn("sha256_hash", sha256(F.col("content")))
-    rows = _sharing(rows, ["size_bytes", "quick_signature", "sha256_hash"])
+    shared = hashed_candidates(inventory).select("full_path", "sha256_hash")
+    rows = inventory.select("full_path", "size_bytes", "content").join(materialize(shared, "same-digest"), "full_path")
     classes = rows.groupBy("sha256_hash", "content").agg(F.count("*").alias("class_size")).filter("class_size > 1")
     return rows.join(classes, ["sha256_hash", "content"]).select("full_path", "size_bytes", "sha256_hash", "class_size")
 
 
 def duplicate_members(inventory: DataFrame) -> DataFrame:
     """One row per member of a group: sha256_hash, size_bytes, full_path, last_write_utc, group_size, group_rank."""
-    rows = hashed_candidates(inventory)
-    group = Window.partitionBy("sha256_hash", "size_bytes")
-    ranked = rows.withColumn("group_size", F.count("*").over(group)).withColumn("group_rank", F.row_number().over(group.orderBy(*member_order())))
-    return ranked.select("sha256_hash", "size_bytes", "full_path", "last_write_utc", "group_size", "group_rank")
+    rows = hashed_candidates(inventory).select("sha256_hash", "size_bytes", "full_path", "last_write_utc")
+    placed = numbered(rows, [F.col("sha256_hash"), F.col("size_bytes"), *member_order()], "__at")
+    groups = placed.groupBy("sha256_hash", "size_bytes").agg(F.count("*").alias("group_size"), F.min("__at").alias("__first"))
+    ranked = placed.join(materialize(groups, "groups"), ["sha256_hash", "size_bytes"])
+    rank = (F.col("__at") - F.col("__first") + 1).cast("int")
+    return ranked.select("sha256_hash", "size_bytes", "full_path", "last_write_utc", "group_size", rank.alias("group_rank"))
 
 
 def duplicate_groups(inventory: DataFrame) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.columns import destination_folder, file_name, format_size, numbered_name, parent, relative_path
 from recordloom.operators.dedupe import member_order
+from recordloom.operators.ordering import numbered
 from recordloom.operators.storage import materialize
 
 DEDUPE_MODES = ("off", "quarantine", "delete")
@@ -34,7 +39,7 @@ def keepers(members: DataFrame, protected: DataFrame | None = None) -> DataFrame
         marks = protected.select("full_path").distinct().withColumn("is_protected", F.lit(True))
         flagged = members.join(marks, "full_path", "left").withColumn("is_protected", F.coalesce("is_protected", F.lit(False)))
     counted = flagged.groupBy("sha256_hash", "size_bytes").agg(F.max("is_protected").alias("any_protected"))
-    flagged = flagged.join(counted, ["sha256_hash", "size_bytes"])
+    flagged = flagged.join(materialize(counted, "protected-groups"), ["sha256_hash", "size_bytes"])
     return flagged.withColumn("keep", F.when(F.col("any_protected"), F.col("is_protected")).otherwise(F.col("group_rank") == 1)).drop("any_protected")
 
 
@@ -53,68 +58,89 @@ def still_there(planned: DataFrame, current: DataFrame, path: str = "source_path
     return planned.join(there, path, "left_semi"), planned.join(there, path, "left_anti")
 
 
+_FAMILY = r"( \(\d+\))+(?=(\.[^.]*)?$)"
+
+
+class _Names:
+    """The names of one family in one folder, given out one after another; its size does not grow with repeated names."""
+
+    _NUMBERED = re.compile(r"(?s)^(.+) \(([1-9][0-9]*)\)(\.[^.]+)?$")
+
+    def __init__(self) -> None:
+        self.own: set[str] = set()  # names taken as they are
+        self.last: dict[str, int] = defaultdict(int)  # the last number given for a name
+        self.reserved: dict[str, set[int]] = defaultdict(set)  # numbers of a name that others are called by
+
+    def _parts(self, name: str) -> tuple[str, int] | None:
+        found = self._NUMBERED.match(name)
+        return (found[1] + (found[3] or ""), int(found[2])) if found else None
+
+    def claim(self, name: str) -> bool:
+        """Take a name as it is, unless it is taken."""
+        parts = self._parts(name)
+        if name in self.own or (parts and parts[1] <= self.last[parts[0]]):
+            return False
+        self.own.add(name)
+        if parts:
+            self.reserved[parts[0]].add(parts[1])
+        return True
+
+    def give(self, name: str) -> int:
+        """The number for a record that wants ``name``, 0 for the name itself."""
+        if self.claim(name):
+            return 0
+        number = self.last[name] + 1
+        while number in self.reserved[name]:
+            number += 1
+        self.last[name] = number
+        return number
+
+
+def _in_turn(folder: str, name: str):
+    """A function over batches sorted by folder, family and position, whose position 0 is a name that exists already."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, names = None, _Names()
+        for batch in batches:
+            numbers = []
+            for own, family, position, want in zip(batch[folder], batch["family"], batch["position"], batch[name], strict=True):
+                if (own, family) != key:
+                    key, names = (own, family), _Names()
+                if position == 0:
+                    names.claim(want)
+                numbers.append(names.give(want) if position else 0)
+            yield batch[batch["position"] > 0].assign(number=[n for n, p in zip(numbers, batch["position"], strict=True) if p])[["full_path", "number"]]
+
+    return run
+
+
 def _free_names(rows: DataFrame, folder: str, name: str, order: list[Column], existing: DataFrame | None) -> DataFrame:
     """Add ``destination_path``: names free of collisions inside each folder, as if placed one after another in ``order``.
 
-    The first of equal names keeps it where it is free, the others take the next numbers. A number that
-    another record is itself called by, or that the target already has, sends that folder and family of
-    names (the stem without numbers) through a fold in order; such families are few and small.
+    The first of equal names keeps it where it is free, the others take the next numbers. Where a
+    number may meet a name that another record already has, or that the target has, the folder's
+    family of names (the stem without numbers) is numbered in turn by one pass over its sorted rows,
+    which keeps a few counters and no list of what it has seen.
     """
-    family = F.regexp_replace(F.col(name), r"( \(\d+\))+(?=(\.[^.]*)?$)", "")
-    rows = rows.withColumn("family", family)
-    same = Window.partitionBy(folder, name).orderBy(*order)
-    rows = materialize(rows.withColumn("number", F.row_number().over(same) - 1), "names")
-    families = rows.groupBy(folder, "family").agg(F.count_distinct(name).alias("names"))
-    mixed = families.filter("names > 1").select(folder, "family")
+    rows = rows.withColumn("family", F.regexp_replace(F.col(name), _FAMILY, ""))
+    ranked = numbered(rows, [F.col(folder), F.col(name), *order], "__at")
+    firsts = materialize(ranked.groupBy(folder, name, "family").agg(F.min("__at").alias("__first")), "first-names")
+    mixed = firsts.groupBy(folder, "family").agg(F.count("*").alias("names")).filter("names > 1").select(folder, "family")
     if existing is not None:
-        there = existing.select(parent(F.col("full_path")).alias(folder), F.regexp_replace(file_name(F.col("full_path")), r"( \(\d+\))+(?=(\.[^.]*)?$)", "").alias("family"))
-        mixed = mixed.unionByName(there).distinct()
-    plain = rows.join(mixed, [folder, "family"], "left_anti")
-    plain = plain.withColumn("destination_path", F.concat_ws("/", folder, numbered_name(F.col(name), F.col("number")))).drop("family", "number")
-    clashing = rows.join(mixed, [folder, "family"], "left_semi").drop("number")
-    position = Window.partitionBy(folder, "family").orderBy(*order)
-    clashing = clashing.withColumn("position", F.row_number().over(position))
-    if existing is None:
-        taken = clashing.select(folder, "family").distinct().withColumn("taken", F.array().cast("array<string>"))
-    else:
-        names = existing.select(parent(F.col("full_path")).alias(folder), file_name(F.col("full_path")).alias("taken_name"))
-        names = names.withColumn("family", F.regexp_replace("taken_name", r"( \(\d+\))+(?=(\.[^.]*)?$)", ""))
-        taken = names.groupBy(folder, "family").agg(F.collect_set("taken_name").alias("taken"))
-        every = clashing.select(folder, "family").distinct()
-        taken = every.join(taken, [folder, "family"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<string>")))
-    wanted = clashing.groupBy(folder, "family").agg(F.array_sort(F.collect_list(F.struct("position", F.col(name).alias("wanted")))).alias("wanted"))
-    wanted = wanted.join(taken, [folder, "family"])
-
-    def next_free(used: Column, want: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(0), F.size(used)), lambda n: numbered_name(want, n))
-        return F.element_at(F.filter(tries, lambda t: ~F.array_contains(used, t)), 1)
-
-    start = F.struct(F.col("taken").alias("used"), F.array().cast("array<struct<position:int,given:string>>").alias("given"))
-
-    def step(held: Column, row: Column) -> Column:
-        free = next_free(held["used"], row["wanted"])
-        return F.struct(F.array_append(held["used"], free).alias("used"), F.array_append(held["given"], F.struct(row["position"].alias("position"), free.alias("given"))).alias("given"))
-
-    given = wanted.select(folder, "family", F.explode(F.aggregate("wanted", start, step, lambda held: held["given"])).alias("g"))
-    given = given.select(folder, "family", F.col("g.position").alias("position"), F.col("g.given").alias("given"))
-    placed = clashing.join(given, [folder, "family", "position"])
-    placed = placed.withColumn("destination_path", F.concat_ws("/", folder, "given")).drop("family", "position", "given")
-    return plain.unionByName(placed)
-
-
-def _numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """``seq`` from 1 over all rows in order: a range sort, a count for each partition, and the sum of those before."""
-    spark = rows.sparkSession
-    ordered = rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
-    ordered = materialize(ordered, "ordered")
-    sizes = ordered.groupBy("__part").agg(F.count("*").alias("n"), F.min("__row").alias("first")).orderBy("__part").collect()
-    begins, total = [], 0
-    for r in sizes:
-        begins.append((r["__part"], r["first"], total))
-        total += r["n"]
-    begun = spark.createDataFrame(begins, "__part int, __first long, __before long")
-    out = ordered.join(F.broadcast(begun), "__part")  # one row a partition
-    return out.withColumn("seq", F.col("__row") - F.col("__first") + F.col("__before") + 1).drop("__part", "__row", "__first", "__before")
+        there = existing.select(parent(F.col("full_path")).alias(folder), file_name(F.col("full_path")).alias(name)).withColumn("family", F.regexp_replace(F.col(name), _FAMILY, ""))
+        mixed = mixed.unionByName(there.select(folder, "family")).distinct()
+    mixed = materialize(mixed, "mixed-names")
+    ranked = ranked.join(firsts.drop("family"), [folder, name]).withColumn("number", F.col("__at") - F.col("__first")).drop("__at", "__first")
+    plain = ranked.join(mixed, [folder, "family"], "left_anti")
+    clashing = numbered(ranked.join(mixed, [folder, "family"], "left_semi").drop("number"), [F.col(folder), F.col("family"), *order], "position")
+    queue = clashing.select(folder, "family", "position", name, "full_path")
+    if existing is not None:
+        queue = queue.unionByName(there.select(folder, "family", F.lit(0).cast("long").alias("position"), name, F.lit(None).cast("string").alias("full_path")))
+    queue = queue.repartition(folder, "family").sortWithinPartitions(folder, "family", "position")
+    given = queue.mapInPandas(_in_turn(folder, name), "full_path string, number long")
+    placed = clashing.drop("position").join(materialize(given, "given-names"), "full_path")
+    every = plain.unionByName(placed)
+    return every.withColumn("destination_path", F.concat_ws("/", folder, numbered_name(F.col(name), F.col("number")))).drop("family", "number")
 
 
 def dedupe_plan(members: DataFrame, mode: str, source_root: str, quarantine_root: str = "/quarantine", protected: DataFrame | None = None) -> DataFrame:
@@ -132,7 +158,7 @@ def dedupe_plan(members: DataFrame, mode: str, source_root: str, quarantine_root
         rows = removed.withColumn("__folder", parent(moved)).withColumn("__name", file_name(moved))
         planned = _free_names(rows, "__folder", "__name", order, None)
     action = "deleted_duplicate" if mode == "delete" else "quarantined_duplicate"
-    return _numbered(planned, order).select("seq", F.lit(action).alias("action"), F.col("full_path").alias("source_path"), "destination_path", F.lit(mode != "delete").alias("reversible"))
+    return numbered(planned, order).select("seq", F.lit(action).alias("action"), F.col("full_path").alias("source_path"), "destination_path", F.lit(mode != "delete").alias("reversible"))
 
 
 def organize_plan(inventory: DataFrame, mode: str, target: str, zone: str = "UTC", existing: DataFrame | None = None) -> DataFrame:
@@ -140,7 +166,7 @@ def organize_plan(inventory: DataFrame, mode: str, target: str, zone: str = "UTC
     action = ORGANIZE_MODES[_one_of(mode, ORGANIZE_MODES)]
     order = [F.col("category"), *member_order()]
     rows = inventory.select("full_path", "category", "last_write_utc", destination_folder(target, F.col("category"), F.col("last_write_utc"), zone).alias("__folder"), file_name(F.col("full_path")).alias("__name"))
-    planned = _numbered(_free_names(rows, "__folder", "__name", order, existing), order)
+    planned = numbered(_free_names(rows, "__folder", "__name", order, existing), order)
     return planned.select("seq", F.lit(action).alias("action"), F.col("full_path").alias("source_path"), "destination_path", F.lit(True).alias("reversible"))
 
 

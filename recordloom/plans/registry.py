@@ -17,6 +17,7 @@ from recordloom.functions.filters import SIMILARITY_EXTENSIONS, ScanFilter
 from recordloom.functions.fingerprints import hex16, sha256, sign_bits, simhash
 from recordloom.functions.fingerprints import bands as band_array
 from recordloom.operators import dedupe, journal, plan, report, reuse, similar
+from recordloom.operators.ordering import numbered
 from recordloom.operators.storage import materialize, new_path
 from recordloom.plans.run import RunOptions, preview
 from recordloom.sources import inventory as source
@@ -150,7 +151,7 @@ query("similarity_eligible", _INV + f"select full_path from inv where extension
 )
 query("scan_summary", _INV + "select count(*) as total_files_scanned, cast(coalesce(sum(size_bytes), 0) as bigint) as total_bytes_scanned from inv")(lambda s, d: source.scan_summary(inventory(s, d)))
 query("scan_order", _INV + "select full_path, category, row_number() over (order by category, last_write_utc, lower(full_path), full_path) as seq from inv")(
-    lambda s, d: plan._numbered(inventory(s, d).drop("content"), [F.col("category"), *dedupe.member_order()]).select("full_path", "category", "seq")
+    lambda s, d: numbered(inventory(s, d).drop("content"), [F.col("category"), *dedupe.member_order()]).select("full_path", "category", "seq")
 )
 
 # ---- exact duplicates -----------------------------------------------------------
