@@ -131,6 +131,9 @@ def _free_names(rows: DataFrame, folder: str, name: str, order: list[Column], ex
         mixed = mixed.unionByName(there.select(folder, "family")).distinct()
     mixed = materialize(mixed, "mixed-names")
     ranked = ranked.join(firsts.drop("family"), [folder, name]).withColumn("number", F.col("__at") - F.col("__first")).drop("__at", "__first")
+    place = F.concat_ws("/", folder, numbered_name(F.col(name), F.col("number")))
+    if mixed.isEmpty():
+        return ranked.withColumn("destination_path", place).drop("family", "number")
     plain = ranked.join(mixed, [folder, "family"], "left_anti")
     clashing = numbered(ranked.join(mixed, [folder, "family"], "left_semi").drop("number"), [F.col(folder), F.col("family"), *order], "position")
     queue = clashing.select(folder, "family", "position", name, "full_path")
@@ -140,7 +143,7 @@ def _free_names(rows: DataFrame, folder: str, name: str, order: list[Column], ex
     given = queue.mapInPandas(_in_turn(folder, name), "full_path string, number long")
     placed = clashing.drop("position").join(materialize(given, "given-names"), "full_path")
     every = plain.unionByName(placed)
-    return every.withColumn("destination_path", F.concat_ws("/", folder, numbered_name(F.col(name), F.col("number")))).drop("family", "number")
+    return every.withColumn("destination_path", place).drop("family", "number")
 
 
 def dedupe_plan(members: DataFrame, mode: str, source_root: str, quarantine_root: str = "/quarantine", protected: DataFrame | None = None) -> DataFrame:

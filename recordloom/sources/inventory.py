@@ -10,8 +10,8 @@ from recordloom.functions.filters import ScanFilter
 
 COLUMNS = ["full_path", "extension", "size_bytes", "last_write_utc", "category"]
 SCHEMA = "full_path string, extension string, size_bytes long, last_write_utc timestamp, category string"
-#: Directories that a scan never enters, compared without case.
-RESERVED_DIRECTORIES = (".archiflow", ".archiflow_quarantine", "duplicates_quarantine")
+#: Directories that hold a run's own state; a scan never enters them, whatever their case.
+RESERVED_DIRECTORIES = (".recordloom", ".recordloom_quarantine", "duplicates_quarantine")
 
 
 def inventory_from_table(df: DataFrame, path: Column, content: Column, mtime: Column, *extra: Column) -> DataFrame:

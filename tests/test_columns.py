@@ -102,7 +102,7 @@ def test_bounds_are_inclusive(spark):
 
 
 def test_hidden_and_reserved(spark):
-    rows = [record(p) for p in ("/d/.hidden", "/.dir/seen", "/d/.ArchiFlow/x", "/duplicates_quarantine/y", "/d/z")]
+    rows = [record(p) for p in ("/d/.hidden", "/.dir/seen", "/d/.RecordLoom/x", "/duplicates_quarantine/y", "/d/z")]
     assert scanned(spark, rows, ScanFilter()) == ["/.dir/seen", "/d/z"]
     assert scanned(spark, rows, ScanFilter(exclude_hidden=False)) == ["/.dir/seen", "/d/.hidden", "/d/z"]
 

@@ -246,7 +246,7 @@ def test_reports(spark, tmp_path):
 
 
 def test_file_listing(spark, tmp_path):
-    for name in ("a/b/c/deep.txt", "a/.hidden", "_under", "zero.bin", ".archiflow/no", "a/Duplicates_Quarantine/no"):
+    for name in ("a/b/c/deep.txt", "a/.hidden", "_under", "zero.bin", ".recordloom/no", "a/Duplicates_Quarantine/no"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("" if name == "zero.bin" else name)
     os.symlink(tmp_path / "_under", tmp_path / "link")
