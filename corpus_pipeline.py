@@ -8,43 +8,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.llm import op7_quality, op9_exact, op10_langid
 from recordloom.llm.op3_packing import pack_documents
 from recordloom.llm.op6_jaccard import near_duplicates
-from recordloom.llm.op7_quality import quality
-from recordloom.llm.op9_exact import kept_documents
-from recordloom.llm.op10_langid import UNKNOWN, identify, profiles
 from recordloom.operators.storage import materialize
 from recordloom.shipping import shipped
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept`` (ids only); both sides can be split by a hot key."""
-    kept = materialize(kept.select(F.col("doc_id").alias("__kept")).distinct(), "kept-ids")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-
-
 @shipped
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base rules or the likelihood ratio."""
-    return _keep(docs, quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept"))
+    return op7_quality.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 @shipped
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose text is in none of the languages learned."""
-    return _keep(docs, identify(docs, profiles(docs)).filter(F.col("lang_pred") != UNKNOWN))
+    return op10_langid.kept_documents(docs, op10_langid.profiles(docs))
 
 
 @shipped
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave one row of equal texts."""
-    return kept_documents(docs)
+    return op9_exact.kept_documents(docs)
 
 
 @shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave the least doc_id of each class of near duplicates; documents without words are their own class."""
-    return _keep(docs, near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = materialize(kept.select(F.col("doc_id").alias("__kept")).distinct(), "kept-ids")
+    # as many ids as documents: never broadcast
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 
 @shipped

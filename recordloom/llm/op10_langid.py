@@ -106,35 +106,59 @@ def distances(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, places:
     return out / np.maximum(np.minimum(sizes, PROFILE), 1)[:, None]
 
 
-def identify(docs: DataFrame, found: dict[str, np.ndarray]) -> DataFrame:
-    """``doc_id``, ``lang_pred`` and ``score`` for each row of ``docs``; reads the text only."""
-    langs = np.array([*sorted(found), UNKNOWN], dtype=object)
+def _judge(texts: pa.Array, langs: list[str], known: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest language (len(langs): unknown) and score of each text."""
+    lowered = pc.fill_null(pc.utf8_lower(texts), "")
+    best, score = np.full(len(texts), len(langs), dtype=np.int64), np.zeros(len(texts))
+    for row, end, data, offsets in utf8_slices(lowered):
+        if not langs:
+            break
+        apart = distances(data, offsets, known, places)
+        best[row:end] = apart.argmin(axis=1)
+        two = np.sort(np.column_stack([apart, np.full(len(apart), float(PROFILE))]), axis=1)[:, :2]
+        score[row:end] = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)
+    lettered = pc.match_substring_regex(lowered, r"\p{L}").to_numpy(zero_copy_only=False)
+    best[~lettered] = len(langs)
+    score[best == len(langs)] = 0
+    return best, np.clip(score, 0, 1)
+
+
+def _table(found: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, all their n-grams sorted, and the rank of each n-gram in each language (-1: none)."""
+    langs = sorted(found)
     known = np.unique(np.concatenate([*found.values(), np.zeros(1, dtype=np.int64)]))
-    places = np.full((len(known), len(found)), -1, dtype=np.int64)
-    for k, lang in enumerate(sorted(found)):
+    places = np.full((len(known), len(langs)), -1, dtype=np.int64)
+    for k, lang in enumerate(langs):
         places[np.searchsorted(known, found[lang]), k] = np.arange(len(found[lang]))
+    return langs, known, places
+
+
+def identify(docs: DataFrame, found: dict[str, np.ndarray]) -> DataFrame:
+    """``doc_id``, ``lang_pred`` and ``score`` for each row of ``docs``; reads the text only."""
+    langs, known, places = _table(found)
+    names = np.array([*langs, UNKNOWN], dtype=object)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lowered = pc.fill_null(pc.utf8_lower(batch["text"]), "")
-            best = np.full(len(batch), len(found), dtype=np.int64)
-            score = np.zeros(len(batch))
-            for row, end, data, offsets in utf8_slices(lowered):
-                if not found:
-                    break
-                apart = distances(data, offsets, known, places)
-                best[row:end] = apart.argmin(axis=1)
-                two = np.sort(np.column_stack([apart, np.full(len(apart), float(PROFILE))]), axis=1)[:, :2]
-                score[row:end] = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)
-            lettered = pc.match_substring_regex(lowered, r"\p{L}").to_numpy(zero_copy_only=False)
-            best[~lettered] = len(found)
-            score[best == len(found)] = 0
-            arrays = [batch["doc_id"].cast(pa.int64()), pa.array(langs[best], pa.string()), pa.array(np.clip(score, 0, 1))]
+            best, score = _judge(batch["text"], langs, known, places)
+            arrays = [batch["doc_id"].cast(pa.int64()), pa.array(names[best], pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, lang_pred string, score double")
 
 
+def kept_documents(docs: DataFrame, found: dict[str, np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` whose text is in a known language, with all their columns, without a shuffle."""
+    langs, known, places = _table(found)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, _ = _judge(batch["text"], langs, known, places)
+            yield batch.filter(pa.array(best < len(langs)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))

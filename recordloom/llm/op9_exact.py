@@ -107,13 +107,26 @@ def exact_groups(docs: DataFrame, **options) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without exact copies, one row for each distinct text, all columns kept."""
-    decided = exact_groups(docs, **options).filter("kept").select("doc_id", "text_sha256").distinct()
-    key = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    rows = docs.withColumn("__sha", key)
-    decided = materialize(decided.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha")), "kept")
-    rows = rows.join(decided, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    """``docs`` without exact copies, one row for each distinct text, all columns kept.
+
+    The ids to keep grow with the corpus and are never broadcast. Only rows that repeat both id
+    and text, if there are any, are shuffled once more to leave one of them.
+    """
+    names = block_identities(docs, **options)
+    groups = materialize(names.groupBy("levels", "name").agg(F.max("doc_id").alias("keep_id")), "groups")
+    kept = names.join(groups, ["levels", "name"]).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = materialize(kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"), (F.col("copies") > 1).alias("__more")), "kept")
+    rows = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+
+    def among(ids: DataFrame) -> DataFrame:
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha"))
+        return rows.join(ids.hint("merge"), same, "left_semi")
+
+    repeated = kept.filter("__more")
+    if repeated.isEmpty():
+        return among(kept).drop("__sha")
+    once = among(repeated).dropDuplicates(["doc_id", "__sha"])
+    return among(kept.filter("not __more")).unionAll(once).drop("__sha")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
