@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from itertools import chain
 
@@ -17,14 +16,24 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Parts in a generation; a worker keeps two, and parts used again stay.
-KEPT_PARTS = 300_000
+KEPT_PARTS = 150_000
 _PARTS_A_CALL = 2048
 
 #: Marks that are neither letters, digits nor white space, and never part of a word's own pre-token.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
+def _spelling() -> dict[int, int]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, the others in order from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+_SPELLED = _spelling()
+_BLANK = chr(_SPELLED[32])
+
 #: White space other than single blanks and line breaks between words.
-_UNUSUAL = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
+_UNUSUAL = ["  ", "\n\n", " \n", "\n ", *(chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n")]
 
 
 class PartEncoder:
@@ -35,6 +44,7 @@ class PartEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.blanks = blanks
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.mark_key = "\t" if blanks else ""
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -45,22 +55,36 @@ class PartEncoder:
             return []
         if not self.blanks:
             return [p for p in text.replace("\n", " ").split(" ") if p]
-        if _UNUSUAL.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or any(u in text for u in _UNUSUAL):
             return None
         return ("\r" + text.replace("\n", " \n")).split(" ")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _word_ids(self, word: str) -> bytes:
+        """Ids of one pre-token by the vocabulary's model alone."""
+        if word.isascii():
+            spelled = word.replace(" ", _BLANK)
+        else:
+            spelled = word.encode().decode("latin-1").translate(_SPELLED)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenizer.model.tokenize(spelled)])
+
     def _learn(self, parts: list[str]) -> None:
-        """Encode new parts, many in one call of the library, and cut its ids at the parts' ends."""
-        if self.blanks:
-            for part in parts:
-                if part[0] in "\r\t":
-                    self.known[part] = self._whole(part[1:])
-            parts = [p for p in parts if p[0] not in "\r\t"]
-        for at in range(0, len(parts), _PARTS_A_CALL):
-            some = parts[at : at + _PARTS_A_CALL]
+        """Encode new parts: words of letters are one pre-token each, others go through the whole tokenizer, many in one call."""
+        rest = []
+        for part in parts:
+            if self.blanks and part.isalpha():
+                self.known[part] = self._word_ids(" " + part)
+            elif not self.blanks and part.isascii() and part.isalpha():
+                self.known[part] = self._word_ids(part.lower())
+            elif self.blanks and part[0] in "\r\t":
+                self.known[part] = self._whole(part[1:])
+            else:
+                rest.append(part)
+        for at in range(0, len(rest), _PARTS_A_CALL):
+            some = rest[at : at + _PARTS_A_CALL]
             spelled = [p if self.blanks and p[0] == "\n" else " " + p for p in some]
             starts = np.cumsum([0, *map(len, spelled)])
             found = self.tokenizer.encode("".join(spelled), add_special_tokens=False)
@@ -113,7 +137,7 @@ def encoder(path: str, blanks: bool) -> PartEncoder:
     return PartEncoder(path, blanks)
 
 
-def text_groups(texts: list[str | None], characters: int = 1 << 20):
+def text_groups(texts: list[str | None], characters: int = 1 << 19):
     """Yield (first, end) of runs of texts with about so many characters."""
     first, held = 0, 0
     for i, text in enumerate(texts):

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text taken from an Arrow batch at once (a longer text is taken alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def byte_set(*parts: str | range) -> np.ndarray:
@@ -86,10 +86,10 @@ _powers: dict[int, np.ndarray] = {}
 def _power_table(base: int, n: int) -> np.ndarray:
     table = _powers.get(base)
     if table is None or len(table) < n:
-        table = np.full(max(n, SLICE_BYTES // 4), base, dtype=np.uint64)
+        table = np.full(max(n, SLICE_BYTES), base, dtype=np.uint64)
         table[0] = 1
         np.multiply.accumulate(table, out=table)
-        if n <= 4 * SLICE_BYTES:
+        if n <= 8 * SLICE_BYTES:
             _powers[base] = table
     return table
 
@@ -100,7 +100,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     i = 0
     while i < len(starts):
         at = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, at + SLICE_BYTES // 4, side="right")))
+        j = max(i + 1, int(np.searchsorted(ends, at + SLICE_BYTES, side="right")))
         n = int(ends[j - 1] - at)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((data[at : at + n].astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n)[:n], out=sums[1:])
