@@ -149,7 +149,8 @@ def read_blocks(manifest: DataFrame, folder: str, with_ids: bool = False) -> Dat
 
     before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = manifest.withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0)))
-    spread = blocks.repartition(F.col("file"), F.col("block"))
+    n = max(1, manifest.count() // 2)  # a block or two a task, which Spark would put together by their few bytes
+    spread = blocks.repartition(n, "file", "block")
     return spread.mapInArrow(read, READ + (", ids binary" if with_ids else ""))
 
 

@@ -24,8 +24,9 @@ import numpy as np
 LANE = 256
 MAX_LANES = 1024
 BLOCK_IDS = LANE * MAX_LANES
-#: Steps between renewals of the model, once the first few steps are past.
-GENERATION = 8
+#: Steps after which the model is renewed; on from the last one every GENERATION steps.
+EARLY = (1, 2, 4, 8, 16, 24)
+GENERATION = 32
 MAGIC = 0x31534449  # "IDS1"
 #: Fixed layout: magic, ids, lanes, alphabet, payload bytes, checksum of ids, checksum of payload.
 HEADER = struct.Struct("<7I")
@@ -98,7 +99,7 @@ class _Model:
 
 
 def _generations(steps: int) -> list[tuple[int, int]]:
-    edges = [0, 1, 2, 4, *range(GENERATION, steps, GENERATION)]
+    edges = [0, *EARLY, *range(GENERATION, steps, GENERATION)]
     edges = [e for e in edges if e < steps] + [steps]
     return list(zip(edges[:-1], edges[1:], strict=True))
 
