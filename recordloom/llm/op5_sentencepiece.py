@@ -8,7 +8,7 @@ ties (the same pieces in another order) may come out differently where a chunk i
 
 No piece of the vocabulary has a blank mark after another character, so every segmentation has
 a boundary before each run of marks. The parts between these forced boundaries are solved once
-each and kept. A giant document is cut into chunks at any character. The state at a cut is how
+each and kept (as are a word and the marks after it, where no piece joins a letter and a mark). A giant document is cut into chunks at any character. The state at a cut is how
 far the piece that straddles it reaches beyond, and a chunk is a max-plus transfer matrix from
 its entry states to its exit states. The matrices of a document are combined associatively
 (neighbours pairwise, in about log2(chunks) rounds), which gives each cut its state on the best
@@ -24,6 +24,7 @@ any other; repeated rows are encoded alike; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +40,8 @@ from recordloom.operators.storage import materialize
 
 MARK = "▁"
 CHUNK = 1 << 16
-KEPT_PARTS = 400_000
+#: Parts in a generation; a worker keeps two, and parts used again stay.
+KEPT_PARTS = 300_000
 #: Below every sum of scores, and far enough from the limits of 64 bits to be added to itself.
 NEVER = -(1 << 60)
 #: Bits below a score for breaking ties: enough for a part of 1,024 characters.
@@ -74,9 +76,13 @@ class Pieces:
                 self.spelled[i] = bytes([value])
         self.unknown = self._exact(LEAST_SCORE - 10, "")
         self.longest = max(map(len, self.ids))
+        self.begun = {p[:k] for p in self.ids for k in range(1, len(p))}  # what a longer piece may start with
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a blank mark after another character")
+        joined = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        self.marks = "".join(c for c in string.punctuation if c not in joined)  # never after a letter inside a piece
         self.known: dict[str, tuple[bytes, int]] = {}
+        self.older: dict[str, tuple[bytes, int]] = {}
 
     @staticmethod
     def _exact(score: float, piece: str) -> int:
@@ -87,18 +93,21 @@ class Pieces:
         n = len(text)
         best = entry + [NEVER] * (n + 1 - len(entry))
         start = [-1] * (n + 1)
-        weights, longest = self.weights, self.longest
+        weights, begun, longest = self.weights, self.begun, self.longest
         for i in range(end):
             here = best[i]
             if here <= NEVER:
                 continue
             single = False
             for j in range(i + 1, min(i + longest, n) + 1):
-                w = weights.get(text[i:j])
+                some = text[i:j]
+                w = weights.get(some)
                 if w is not None:
                     single = single or j == i + 1
                     if here + w > best[j]:
                         best[j], start[j] = here + w, i
+                if some not in begun:
+                    break
             if not single and here + self.unknown > best[i + 1]:
                 best[i + 1], start[i + 1] = here + self.unknown, i
         return best, start
@@ -118,16 +127,24 @@ class Pieces:
     def part(self, part: str) -> tuple[bytes, int]:
         """Ids and sum of a part between forced boundaries."""
         found = self.known.get(part)
+        if found is None and (found := self.older.pop(part, None)):
+            self.known[part] = found
         if found is None:
-            best, start = self._forward(part, [0], len(part))
-            ids, _ = self._trace(part, start, len(part))
-            found = self.known[part] = np.array(ids, dtype="<u4").tobytes(), best[len(part)]
+            word = part.rstrip(self.marks)
+            if len(word) < len(part) and word and word[-1].isalpha():  # a boundary before the marks too
+                (a, x), (b, y) = self.part(word), self.part(part[len(word) :])
+                found = a + b, x + y
+            else:
+                best, start = self._forward(part, [0], len(part))
+                ids, _ = self._trace(part, start, len(part))
+                found = np.array(ids, dtype="<u4").tobytes(), best[len(part)]
+            self.known[part] = found
         return found
 
     def encode(self, text: str) -> bytes:
         """Ids of a marked text that starts and ends at forced boundaries."""
         if len(self.known) > KEPT_PARTS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         parts = split_parts(text)
         known = self.known
         for p in parts:
