@@ -1,11 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license notices.
 
 Tokens of the notices are ordered by their frequency in the whole corpus, rarest first. A block
-(a line) can reach the containment threshold |block & notice| / |notice| >= t only if it holds
-one of the first |notice| - ceil(t |notice|) + 1 tokens of that order (prefix filter), enough
-notice tokens at all (length filter), and enough of them from its first shared token on
-(positional filter). What passes is verified on the full token sets, so the join finds every
-pair above the threshold and no other. The notices are a bounded list and travel with the tasks.
+is a window of REACH times a notice's words within a line. It can reach the containment
+threshold |block & notice| / |notice| >= t only if it holds one of the first
+|notice| - ceil(t |notice|) + 1 tokens of that order (prefix filter) and enough notice words
+around that token (length and positional filter). What passes is verified on the full token
+sets, so the join finds every pair above the threshold and no other. Each pair gives a label,
+unless most of its words belong to a pair that fits better (gpl inside lgpl). The notices are a
+bounded list and travel with the tasks.
 
 The base phrases are searched beside it: places where their words stand consecutively.
 
@@ -15,8 +17,11 @@ row is scanned on its own, so repeated rows, null ids and other columns change n
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,8 @@ NOTICES = {
     "public-domain": "This work is dedicated to the public domain",
 }
 THRESHOLD = 0.8
+#: Fixed value: a notice's shared tokens stand in a window of so many times its words.
+REACH = 3
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -76,6 +83,17 @@ def token_frequencies(docs: DataFrame, tokens: list[str]) -> dict[str, int]:
     return {t: 0 for t in tokens} | {tokens[r["token"]]: r["n"] for r in rows}
 
 
+class Match(NamedTuple):
+    """One place of a notice: its number, the share and number of its tokens held, the words that hold them,
+    and whether these stand in the notice's order or as close as in it."""
+
+    notice: int
+    share: float
+    shared: int
+    words: list[int]
+    firm: bool
+
+
 class NoticeIndex:
     """Notices as sets of token numbers, numbered by frequency, with their prefixes."""
 
@@ -86,39 +104,108 @@ class NoticeIndex:
         self.order = np.argsort(hashes)
         self.known = hashes[self.order]
         self.labels = list(notices)
-        self.sets = [sorted({number[w] for w in _words(text)}) for text in notices.values()]
-        self.least = [math.ceil(threshold * len(s) - 1e-9) for s in self.sets]
-        self.by_prefix: dict[int, list[int]] = {}
-        for k, own in enumerate(self.sets):
-            for token in own[: len(own) - self.least[k] + 1]:
-                self.by_prefix.setdefault(token, []).append(k)
-        self.is_prefix = np.zeros(len(tokens), dtype=bool)
-        self.is_prefix[list(self.by_prefix)] = True
+        texts = [[number[w] for w in _words(text)] for text in notices.values()]
+        self.rank = [{token: r for r, token in enumerate(dict.fromkeys(text))} for text in texts]
+        self.reach = [REACH * len(text) for text in texts]
+        self.least = [math.ceil(threshold * len(own) - 1e-9) for own in self.rank]
+        self.held = np.zeros((len(texts), len(tokens)), dtype=bool)
+        self.prefix = np.zeros((len(texts), len(tokens)), dtype=bool)
+        for k, own in enumerate(self.rank):
+            self.held[k, list(own)] = True
+            self.prefix[k, sorted(own)[: len(own) - self.least[k] + 1]] = True
+        self.is_prefix = self.prefix.any(axis=0)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The token number of each word, -1 for a word of no notice."""
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, self.order[at], -1)
 
-    def matches(self, block: np.ndarray) -> list[tuple[int, int]]:
-        """(notice, shared tokens) for each notice that the block contains to the threshold; block: distinct numbers, sorted."""
-        out, tried = [], set()
-        for position, token in enumerate(block):
-            for k in self.by_prefix.get(int(token), ()):
-                if k in tried:
-                    continue
-                tried.add(k)
-                own, least = self.sets[k], self.least[k]
-                if len(block) < least or min(len(block) - position, len(own) - own.index(token)) < least:
-                    continue  # too short, or too little left after the first shared token
-                shared = len(np.intersect1d(block, own, assume_unique=True))
-                if shared >= least:
-                    out.append((k, shared))
+    def matches(self, at: np.ndarray, tokens: np.ndarray, rows: np.ndarray, lines: np.ndarray) -> dict[int, list[Match]]:
+        """The places of all notices by row; at: the words that are notice tokens, with their tokens, rows and lines."""
+        out: dict[int, list[Match]] = {}
+        wanted = self.is_prefix[tokens]
+        for k in np.flatnonzero(self.prefix[:, np.unique(tokens[wanted])].any(axis=1)):
+            own = np.flatnonzero(self.held[k, tokens])
+            words, owners = at[own], rows[own]
+            hits = np.flatnonzero(self.prefix[k, tokens[own]])
+            first = np.maximum(np.searchsorted(words, words[hits] - self.reach[k] + 1), np.searchsorted(owners, owners[hits]))
+            end = np.minimum(np.searchsorted(words, words[hits] + self.reach[k]), np.searchsorted(owners, owners[hits], side="right"))
+            near = end - first >= self.least[k]  # too few notice words around the prefix token
+            first, end = first[near], end[near]
+            new = np.flatnonzero(first >= np.concatenate([[0], end[:-1]]))  # runs that no other run overlaps
+            for f, e in zip(first[new].tolist(), end[np.append(new[1:], len(end)) - 1].tolist() if len(new) else [], strict=True):
+                found = self.places(int(k), words[f:e].tolist(), tokens[own[f:e]].tolist(), lines[own[f:e]].tolist())
+                if found:
+                    out.setdefault(int(owners[f]), []).extend(found)
         return out
 
+    def places(self, k: int, words: list[int], tokens: list[int], lines: list[int]) -> list[Match]:
+        """Where a run of a notice's words holds it to the threshold within its reach."""
+        rank, least, reach = self.rank[k], self.least[k], self.reach[k]
+        found, stop = [], 0
+        for i, word in enumerate(words):
+            stop = max(stop, i)
+            while stop < len(words) and words[stop] < word + reach and lines[stop] == lines[i]:
+                stop += 1
+            held = len(set(tokens[i:stop]))
+            if held < least:
+                continue
+            any_order: dict[int, int] = {}
+            for t, w in zip(tokens[i:stop], words[i:stop], strict=True):
+                any_order[t] = w  # the last of each token up to where all are there
+                if len(any_order) == held:
+                    break
+            chains = _chains([rank[t] for t in tokens[i:stop]], words[i:stop])
+            firm = True
+            if len(any_order) > len(chains[0]):
+                chains = [sorted(any_order.values())]
+                firm = REACH * (chains[0][-1] - chains[0][0] + 1) <= reach
+            found.extend(Match(k, len(c) / len(rank), len(c), c, firm) for c in chains if len(c) >= least)
+        return found
+
+
+def _chains(ranks: list[int], words: list[int]) -> list[list[int]]:
+    """The words of longest runs of rising ranks: the one that ends first and the one whose words stand last."""
+    best: dict[int, tuple[int, int, list[int]]] = {}
+    first: tuple[int, int, list[int]] = (0, 0, [])
+    for rank, word in zip(ranks, words, strict=True):
+        length, start, before = max((b for r, b in best.items() if r < rank), key=lambda b: b[:2], default=(0, word, []))
+        if (length + 1, start) >= best.get(rank, (0, 0))[:2]:
+            best[rank] = (length + 1, start, [*before, word])
+            if length + 1 > first[0]:
+                first = best[rank]
+    return [first[2], max(best.values(), key=lambda b: b[:2])[2]]
+
+
+def closest(matches: list[Match]) -> list[Match]:
+    """Matches of one notice without those that hold another of at least as many tokens."""
+    out: list[Match] = []
+    for m in sorted(matches, key=lambda m: (m.words[-1], -m.words[0], -m.shared)):
+        inner = itertools.takewhile(lambda c, m=m: c.words[-1] >= m.words[0], reversed(out))
+        if not any(c.words[0] >= m.words[0] and c.shared >= m.shared for c in inner):
+            out.append(m)
+    return out
+
+
+def not_nested(matches: list[Match]) -> set[int]:
+    """The notices that have a match at most half of whose words are words of a notice that fits better there (not gpl inside lgpl)."""
+    owners: dict[int, list[Match]] = {}  # of each word
+    for k in {m.notice for m in matches}:
+        for m in closest([m for m in matches if m.notice == k and m.firm]):
+            for w in m.words:
+                owners.setdefault(w, []).append(m)
+    out = set()
+    for m in matches:
+        if m.notice not in out:
+            fit = (m.share, m.shared)
+            taken = Counter(k for w in m.words for k in {o.notice for o in owners.get(w, ()) if (o.share, o.shared) > fit})
+            if 2 * max(taken.values(), default=0) <= len(m.words):
+                out.add(m.notice)
+    return out
+
 
 def notice_matches(docs: DataFrame, notices: dict[str, str] = NOTICES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document; labels hold, for each block, the notice it contains best (of equal ones the longer)."""
+    """One row per document; labels hold every notice that it contains to the threshold and that no better one nests."""
     index = NoticeIndex(notices, token_frequencies(docs, notice_tokens(notices)), threshold)
     searched = [(label, word_hash(p.split())) for p, label in phrases.items()]
 
@@ -158,17 +245,9 @@ def _scan(data: np.ndarray, offsets: np.ndarray, index: NoticeIndex, phrases: li
     of_notice = np.flatnonzero(numbers >= 0)
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, starts[of_notice]) + rows[of_notice]  # new at a line break and at a new row
-    edges = np.flatnonzero(np.diff(line, prepend=-1, append=-1))
-    wanted = np.add.reduceat(index.is_prefix[numbers[of_notice]], edges[:-1]) if len(of_notice) else []
-    for e in np.flatnonzero(wanted):
-        own = of_notice[edges[e] : edges[e + 1]]
-        found = index.matches(np.unique(numbers[own]))
-        if found:
-            row = rows[own[0]]
-            held = [(shared / len(index.sets[k]), shared, k) for k, shared in found]
-            best = max(held)
-            scores[row] = max(scores[row], best[0])
-            labels[row].update(index.labels[k] for *fit, k in held if tuple(fit) == best[:2])
+    for row, found in index.matches(of_notice, numbers[of_notice], rows[of_notice], line).items():
+        scores[row] = max(m.share for m in found)
+        labels[row].update(index.labels[k] for k in not_nested(found))
     joined = [",".join(sorted(x)) for x in base], [",".join(sorted(x)) for x in labels]
     scores = [1.0 if b else s for b, s in zip(base, scores, strict=True)]
     return [n_words.tolist(), [len(p) for p in places], [min(p, default=None) for p in places], [max(p, default=None) for p in places], *joined, scores]

@@ -188,6 +188,26 @@ def test_license_scan(spark, odd, empty):
     assert op8.notice_matches(empty).count() == 0
 
 
+def license_labels(spark, cases):
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    return {cases[r.doc_id]: (r.labels, round(r.score, 9)) for r in op8.notice_matches(docs).collect()}
+
+
+def test_every_notice_of_a_line_is_labelled(spark):
+    gpl, lgpl, apache = (op8.NOTICES[k] for k in ("gpl-3.0", "lgpl-3.0", "apache-2.0"))
+    cases = {
+        f"Released under the MIT License or {apache}": "apache-2.0,mit",
+        f"{apache} or the MIT License": "apache-2.0,mit",
+        f"{gpl} or GNU Lesser General Public License, version 3": "gpl,gpl-3.0,lgpl-3.0",
+        f"{lgpl} or GNU General Public License, version 3": "gpl,gpl-3.0,lgpl-3.0",
+        lgpl: "gpl,lgpl-3.0",
+        gpl: "gpl,gpl-3.0",
+        "Licensed under CC BY-NC 4.0 by the author": "cc-by,cc-by-nc-4.0",
+        " ".join(op8.NOTICES.values()): ",".join(sorted({"cc-by", "gpl", *op8.NOTICES})),
+    }
+    assert license_labels(spark, list(cases)) == {text: (labels, 1.0) for text, labels in cases.items()}
+
+
 def test_language_id(spark, odd, empty):
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = QUERIES["op10_language_id"](spark, "/root/testdata/sf0.01").collect()
