@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license notices.
 
 Tokens of the notices are ordered by their frequency in the whole corpus, rarest first. A block
-is a window of REACH times a notice's words within a line. It can reach the containment
+is a window of REACH times a notice's words, in which tokens count in any order within a line
+and in the notice's order over line breaks (a wrapped notice). It can reach the containment
 threshold |block & notice| / |notice| >= t only if it holds one of the first
 |notice| - ceil(t |notice|) + 1 tokens of that order (prefix filter) and enough notice words
 around that token (length and positional filter). What passes is verified on the full token
@@ -140,27 +141,28 @@ class NoticeIndex:
         return out
 
     def places(self, k: int, words: list[int], tokens: list[int], lines: list[int]) -> list[Match]:
-        """Where a run of a notice's words holds it to the threshold within its reach."""
+        """Where a run of a notice's words holds it to the threshold within its reach: in any order in a line, in its own over lines."""
         rank, least, reach = self.rank[k], self.least[k], self.reach[k]
-        found, stop = [], 0
+        found, stop, end = [], 0, 0
         for i, word in enumerate(words):
             stop = max(stop, i)
-            while stop < len(words) and words[stop] < word + reach and lines[stop] == lines[i]:
+            while end < len(words) and words[end] < word + reach:
+                end += 1
+            while stop < end and lines[stop] == lines[i]:
                 stop += 1
-            held = len(set(tokens[i:stop]))
-            if held < least:
+            if len(set(tokens[i:end])) < least:
                 continue
+            held = len(set(tokens[i:stop]))
             any_order: dict[int, int] = {}
             for t, w in zip(tokens[i:stop], words[i:stop], strict=True):
                 any_order[t] = w  # the last of each token up to where all are there
                 if len(any_order) == held:
                     break
-            chains = _chains([rank[t] for t in tokens[i:stop]], words[i:stop])
-            firm = True
-            if len(any_order) > len(chains[0]):
-                chains = [sorted(any_order.values())]
-                firm = REACH * (chains[0][-1] - chains[0][0] + 1) <= reach
-            found.extend(Match(k, len(c) / len(rank), len(c), c, firm) for c in chains if len(c) >= least)
+            chains = _chains([rank[t] for t in tokens[i:end]], words[i:end])
+            found.extend(Match(k, len(c) / len(rank), len(c), c, True) for c in chains if len(c) >= least)
+            if held > len(chains[0]) and held >= least:
+                own = sorted(any_order.values())
+                found.append(Match(k, held / len(rank), held, own, REACH * (own[-1] - own[0] + 1) <= reach))
         return found
 
 

@@ -208,6 +208,15 @@ def test_every_notice_of_a_line_is_labelled(spark):
     assert license_labels(spark, list(cases)) == {text: (labels, 1.0) for text, labels in cases.items()}
 
 
+def test_notices_run_over_line_breaks_and_stand_close(spark):
+    prose = " ".join(["a river and a bridge"] * 300)
+    cases = {n.replace(" ", "\n", 1).replace(" with", "\n   with").replace(" of", "\n# of"): k for k, n in op8.NOTICES.items() if k in ("bsd", "mpl-2.0", "mit")}
+    cases["This work is licensed under the\n * GNU Lesser General Public\n * License, version 3"] = "gpl,lgpl-3.0"
+    cases["Released under the MIT\nLicense or licensed under\r\nthe Apache License,\n\nVersion 2.0"] = "apache-2.0,mit"
+    got = license_labels(spark, [*cases, f"Released under {prose} the MIT {prose} License", f"MIT {prose} license {prose}\nreleased under"])
+    assert got == {t: (labels, 1.0) for t, labels in cases.items()} | {t: ("", 0.0) for t in got if prose in t}
+
+
 def test_language_id(spark, odd, empty):
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = QUERIES["op10_language_id"](spark, "/root/testdata/sf0.01").collect()
