@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.textops import NON_ALNUM, span_hashes, utf8_slices, word_hash, word_spans
+from recordloom.llm.textops import NON_ALNUM, byte_set, span_hashes, utf8_slices, word_hash, word_spans
 
 FIT_ROWS = 20_000
 MIN_TOXIC = 4
@@ -53,6 +53,9 @@ TARGETED, THREATENED, FURTHER = 0.5, 1.0, 0.5
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
+_PIECE = re.compile("[a-z0-9]+")
+#: Separators of pieces: all bytes but ASCII letters and digits.
+_NO_PIECE = NON_ALNUM | byte_set(range(0x80, 0x100))
 
 
 def learnable(doc_id: Column) -> Column:
@@ -127,18 +130,28 @@ def _contains(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def score_texts(docs: DataFrame, insults: dict[str, float]) -> DataFrame:
-    """``doc_id`` and ``score`` of every whole text: hashes find the rows with a match, the grammar reads those."""
+    """``doc_id`` and ``score`` of every whole text: hashes find the rows that may have a match, the grammar reads those.
+
+    Whatever ends a word for the grammar also ends its runs of ASCII letters and digits, so a row with the word has its
+    longest run as a piece. Where a word has no such run, the grammar reads every row with a byte beyond ASCII.
+    """
     grammar = Grammar(insults)
-    known = np.sort(word_hash(sorted({*insults, *THREATS})))
+    pieces = {max(_PIECE.findall(word), key=len, default="") for word in {*insults, *THREATS}}
+    known = np.sort(word_hash(sorted(pieces - {""})))
+    beyond_ascii = "" in pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lowered = pc.fill_null(pc.utf8_lower(batch["text"]), "")
+            # Python lower-cases this letter to two characters, Arrow to one
+            lowered = pc.utf8_lower(pc.replace_substring(batch["text"], "\u0130", "i\u0307"))
             scores = np.full(len(batch), NO_MATCH)
             for row, _, data, offsets in utf8_slices(lowered):
-                starts, ends, rows = word_spans(data, offsets, NON_ALNUM)
-                for r in np.unique(rows[_contains(known, span_hashes(data, starts, ends))]):
-                    scores[row + r] = grammar.score(data[offsets[r] : offsets[r + 1]].tobytes().decode())
+                starts, ends, rows = word_spans(data, offsets, _NO_PIECE)
+                wanted = rows[_contains(known, span_hashes(data, starts, ends))]
+                if beyond_ascii:
+                    wanted = np.append(wanted, np.searchsorted(offsets, np.flatnonzero(data >= 0x80), side="right") - 1)
+                for r in np.unique(wanted):
+                    scores[row + r] = grammar.score(batch["text"][int(row + r)].as_py())
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(scores)], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")

@@ -118,6 +118,18 @@ def test_toxicity_edge_cases(spark, odd, empty):
     assert op2.score_texts(empty, {}).count() == 0
 
 
+def test_toxicity_scores_equal_those_of_the_grammar(spark):
+    insults = {"idiota": 5.0, "idiot": 5.0, "l'idiot": 5.0, "bête": 5.0, "дурак": 5.0, "diot": 5.0, "öäü": 5.0}
+    cases = ["¡Idiota!", "“idiot”", "«idiot»", "an\u2014idiot\u2026", "un\u00a0idiot", "L'idiot, l\u2019idiot", "BÊTE", "ДУРАК!", "İdiot", "ÖÄÜ", "You_kill_them",
+             "\u201cStrangle\u201d you", "idiots", "\u212aill you", "étrangler\u00a0toi", "x" * 300_000 + "\u00b7idiot"]
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for some in (insults, {w: v for w, v in insults.items() if w.isascii()}):
+        grammar = op2.Grammar(some)
+        got = {cases[r.doc_id]: r.score for r in op2.score_texts(docs, some).collect()}
+        assert got == pytest.approx({t: grammar.score(t) for t in cases})
+        assert got["¡Idiota!"] > op2.NO_MATCH < got["«idiot»"]
+
+
 def brute_base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
