@@ -9,7 +9,9 @@ an isolated listed word is only one input of its clause.
 Insults are learned from labels: words that stand in at least MIN_TOXIC toxic documents and
 whose share of toxic documents is MIN_SHARE or more; the weight is the log odds of that share.
 One insult in a whole document may be there by chance, so it weighs LONE less. The fit uses a
-bounded sample, at most FIT_ROWS labelled documents in the order of a hash of their ids.
+bounded sample, at most FIT_ROWS labelled documents in the order of a hash of their ids. The
+weight of a threat against a target is learned alike, from the documents with such a clause; a
+negated or reported one without an insult is no threat.
 Targets, threats, negations and verbs of reporting are short fixed lists for four languages,
 without words that are common in another of them (such as the article "die").
 
@@ -50,6 +52,8 @@ NEGATION_REACH = 3
 NEGATED, REPORTED = 0.4, 0.7
 LONE = 3.5
 TARGETED, THREATENED, FURTHER = 0.5, 1.0, 0.5
+#: Counts the documents with a threat beside the words; no word is spelled so.
+_THREAT = "\n"
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
@@ -62,18 +66,26 @@ def learnable(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string")) % 4 != 2) & doc_id.isNotNull()
 
 
-def learn_insults(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> dict[str, float]:
-    """Insult words with their weights: at most MAX_INSULTS rows reach the driver."""
+def _log_odds(n: int, n_toxic: int) -> float:
+    return math.log((n_toxic + 0.5) / (n - n_toxic + 0.5))
+
+
+def learn(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple[dict[str, float], float]:
+    """Insult words with their weights, and the weight of a threat (0 without labels): at most MAX_INSULTS + 1 rows reach the driver."""
     labelled = labels.filter(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").select("text", "toxic")
 
+    plain = Grammar({})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: Counter = Counter()
             toxic: Counter = Counter()
             for text, label in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
                 own = set(_WORD.findall((text or "").lower()))
+                if not THREATS.isdisjoint(own) and plain.has_threat(text):
+                    own.add(_THREAT)
                 total.update(own)
                 if label == 1:
                     toxic.update(own)
@@ -82,19 +94,27 @@ def learn_insults(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) ->
             yield pa.RecordBatch.from_arrays(arrays, ["word", "n", "n_toxic"])
 
     sums = rows.mapInArrow(count, "word string, n long, n_toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
-    sums = sums.filter((F.col("n_toxic") >= MIN_TOXIC) & (F.col("n_toxic") >= MIN_SHARE * F.col("n")))
-    found = sums.orderBy(F.desc("n_toxic"), "word").limit(MAX_INSULTS).collect()
-    return {r["word"]: math.log((r["n_toxic"] + 0.5) / (r["n"] - r["n_toxic"] + 0.5)) for r in found}
+    is_threat = F.col("word") == _THREAT
+    sums = sums.filter(is_threat | ((F.col("n_toxic") >= MIN_TOXIC) & (F.col("n_toxic") >= MIN_SHARE * F.col("n"))))
+    found = sums.orderBy(F.desc(is_threat), F.desc("n_toxic"), "word").limit(MAX_INSULTS + 1).collect()
+    weights = {r["word"]: _log_odds(r["n"], r["n_toxic"]) for r in found}
+    threat = weights.pop(_THREAT, 0.0)
+    return dict(list(weights.items())[:MAX_INSULTS]), threat
+
+
+def learn_insults(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> dict[str, float]:
+    return learn(docs, labels, limit)[0]
 
 
 class Grammar:
-    """The composed automaton; ``insults`` maps words to weights."""
+    """The composed automaton; ``insults`` maps words to weights, ``threat`` is the weight of a threat against a target."""
 
-    def __init__(self, insults: dict[str, float]) -> None:
+    def __init__(self, insults: dict[str, float], threat: float = 0.0) -> None:
         self.insults = insults
+        self.threat = threat
 
     def clause_weight(self, words: list[str]) -> tuple[float, int] | None:
-        """Weight and number of insults of a clause, None if it has neither an insult nor a threat against a target."""
+        """Weight and number of insults of a clause, None if it has neither an insult nor a plain threat against a target."""
         since_negation, reported, targeted = NEGATION_REACH, False, False
         insults, best, total, threat = 0, 0.0, 0.0, 0.0
         for word in words:
@@ -111,9 +131,12 @@ class Grammar:
                 insults, best, total = insults + 1, max(best, weight), total + weight
             since_negation += 1
         if not insults:
-            return (THREATENED * threat - 1, 0) if threat and targeted else None
+            return (self.threat, 0) if threat == 1 and targeted else None
         return best + FURTHER * min(total - best, 4.0) + TARGETED * targeted + THREATENED * threat, insults
 
+    def has_threat(self, text: str) -> bool:
+        return any((w := self.clause_weight(_WORD.findall(clause))) and not w[1] for clause in _CLAUSE.split(text.lower()))
+
     def score(self, text: str) -> float:
         found = [w for clause in _CLAUSE.split(text.lower()) if (w := self.clause_weight(_WORD.findall(clause)))]
         lone = LONE * (sum(n for _, n in found) == 1)
@@ -129,13 +152,13 @@ def _contains(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
-def score_texts(docs: DataFrame, insults: dict[str, float]) -> DataFrame:
+def score_texts(docs: DataFrame, insults: dict[str, float], threat: float = 0.0) -> DataFrame:
     """``doc_id`` and ``score`` of every whole text: hashes find the rows that may have a match, the grammar reads those.
 
     Whatever ends a word for the grammar also ends its runs of ASCII letters and digits, so a row with the word has its
     longest run as a piece. Where a word has no such run, the grammar reads every row with a byte beyond ASCII.
     """
-    grammar = Grammar(insults)
+    grammar = Grammar(insults, threat)
     pieces = {max(_PIECE.findall(word), key=len, default="") for word in {*insults, *THREATS}}
     known = np.sort(word_hash(sorted(pieces - {""})))
     beyond_ascii = "" in pieces
@@ -159,7 +182,7 @@ def score_texts(docs: DataFrame, insults: dict[str, float]) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    insults = learn_insults(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    insults, threat = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     predicted = F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int")
-    return score_texts(docs, insults).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+    return score_texts(docs, insults, threat).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))

@@ -130,6 +130,18 @@ def test_toxicity_scores_equal_those_of_the_grammar(spark):
         assert got["¡Idiota!"] > op2.NO_MATCH < got["«idiot»"]
 
 
+def test_negated_and_reported_threats_are_not_toxic(spark, tmp_path):
+    cases = {"She said it did not hurt him": 0, "I will never hurt you": 0, "They said they destroy them": 0, "I will hurt you": 1, "Ich werde dich schlagen": 1,
+             "I will never hurt you. They said she would kill him. " * 20: 0}
+    texts = [*cases, *(f"The storm may hurt them, day {i}" for i in range(80))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(len(cases), len(texts))]
+    for seen, plain in ((labels[:0], 1), ([(i, q, i % 2) for i, q, _ in labels], 1), (labels, 0)):
+        spark.createDataFrame(seen, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        got = {texts[r.doc_id]: r.predicted for r in QUERIES["op2_toxicity"](spark, str(tmp_path)).collect()}
+        assert {t: got[t] for t in cases} == {t: p * plain for t, p in cases.items()}
+
+
 def brute_base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
