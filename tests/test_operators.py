@@ -131,6 +131,17 @@ def test_large_buckets_are_split(spark):
     assert len(split) == 30 and not any((r.ha ^ r.hb) >> 16 & 1 for r in split)
 
 
+def test_large_buckets_lose_no_pair(spark):
+    rows = [(f"/{i}", 7 | (i % 2) << 16 | (i + 1) << 32 | (i + 1) << 48) for i in range(12)]
+    frame = spark.createDataFrame(rows, "full_path string, h long")
+    for block in (100, 5, 1):
+        assert similar.candidate_fingerprints(frame, block=block).count() == 66
+    copies = spark.range(2049).selectExpr("concat('/', id) as full_path", "cast(1234567 as long) as h")
+    near = spark.createDataFrame([("/near", 1234567 ^ 1 << 16 ^ 1 << 48)], "full_path string, h long")
+    clusters = similar.similar_clusters(copies.union(near), 3)
+    assert clusters.count() == 2050 and clusters.select("cluster").distinct().count() == 1
+
+
 def png(path, pixels):
     """A grayscale picture."""
     height, width = len(pixels), len(pixels[0])
