@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @shipped
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose text is in none of the languages learned."""
+    """Drop documents without letters; one in a language never learned gets the nearest and stays."""
     return op10_langid.kept_documents(docs, op10_langid.profiles(docs))
 
 

@@ -148,7 +148,10 @@ def identify(docs: DataFrame, found: dict[str, np.ndarray]) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, found: dict[str, np.ndarray]) -> DataFrame:
-    """The rows of ``docs`` whose text is in a known language, with all their columns, without a shuffle."""
+    """The rows of ``docs`` whose text has a letter, with all their columns, without a shuffle.
+
+    The nearest profile always wins, so a text in a language or script never learned stays too; no row stays without profiles.
+    """
     langs, known, places = _table(found)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
