@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.encoding import crc32, encoder, text_groups
+from recordloom.llm.encoding import crc32, encoder
 from recordloom.operators.storage import materialize
 
 CAPACITY = 2048
@@ -45,12 +45,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, True).encode
+        encoded = encoder(path, True).encoded
         for batch in batches:
-            doc_ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            for first, last in text_groups(texts):
+            doc_ids = batch["doc_id"].to_pylist()
+            for first, last, some in encoded(batch["text"]):
                 rows: list[tuple] = []
-                for doc_id, ids in zip(doc_ids[first:last], encode(texts[first:last]), strict=True):
+                for doc_id, ids in zip(doc_ids[first:last], some, strict=True):
                     ids += end
                     at, n = 0, len(ids) // 4
                     size = n if n <= capacity else n % capacity or capacity
