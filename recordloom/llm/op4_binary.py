@@ -1,6 +1,7 @@
 """Token-ID files: an adaptive context-mixing range coder in independent, checksummed blocks.
 
-Documents are dealt by ranges of doc_id and sorted, so file after file and document after
+Documents are dealt by ranges of doc_id (and a hash of the text, so that no task gets all rows
+of one id) and sorted, so file after file and document after
 document are in ascending doc_id order. Each task encodes its texts and writes one file of
 blocks (see ``rangecoder``) through pyarrow's file systems: first under a name of its own
 attempt, then renamed, so a repeated task leaves the same file. Before each block's code words
@@ -11,8 +12,9 @@ the manifest, checks both checksums of each, and joins the parts of documents th
 by their lengths and CRCs alone.
 
 Nulls: a null text is empty and has the end id only. Rows with a null doc_id come first, as
-Spark sorts them. Rows that repeat a doc_id are separate documents, next to each other in no
-set order. Other columns are ignored. An empty table writes no file and reads back no row.
+Spark sorts them. Rows that repeat a doc_id are separate documents, next to each other in the
+order of their hashes. A very long text is encoded by one task and fills as many blocks as it
+needs. Other columns are ignored. An empty table writes no file and reads back no row.
 """
 
 from __future__ import annotations
@@ -28,14 +30,18 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from recordloom.llm.encoding import crc32, crc32_join, encoder, text_groups
+from recordloom.llm.encoding import crc32, crc32_join, encoder
 from recordloom.llm.rangecoder import BLOCK_IDS, decode_block, encode_block
 from recordloom.operators.storage import materialize, new_path
 
 END_ID = 1
+#: Ids read by a task, and the most tasks that read.
+TASK_IDS, MAX_TASKS = 1 << 25, 50_000
+#: Files whose lengths are summed in one group.
+_FILES = 1024
 #: Fixed layout before each block: documents, bytes of their compressed list.
 _LIST = "<2I"
 _NULL_ID = -(1 << 63)
@@ -98,24 +104,30 @@ def write_ids(docs: DataFrame, path: str, folder: str, blanks: bool = False, end
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer = encoder(path, blanks).encode, None
+        encoded, writer = encoder(path, blanks).encoded, None
         for batch in batches:
-            doc_ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            if texts and writer is None:
+            doc_ids = batch["doc_id"].to_pylist()
+            if doc_ids and writer is None:
                 writer = _Writer(f"{folder}/files", TaskContext.get().partitionId())
-            for first, last in text_groups(texts):
-                for doc_id, ids in zip(doc_ids[first:last], encode(texts[first:last]), strict=True):
+            for first, last, some in encoded(batch["text"]):
+                for doc_id, ids in zip(doc_ids[first:last], some, strict=True):
                     writer.add(doc_id, ids + end)
         if writer is not None:
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             columns = zip(*writer.close(), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "block", "file", "begin", "bytes", "ids"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    key = ["doc_id", F.xxhash64("text")]  # the hash deals out the rows of one id
+    ordered = docs.select("doc_id", "text").repartitionByRange(*key).sortWithinPartitions(*key)
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
+def _earlier(window: WindowSpec) -> Column:
+    """Ids of all earlier rows."""
+    return F.coalesce(F.sum("ids").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def read_blocks(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
     """Parts of documents as the blocks hold them; ``at`` counts the ids before each in its file."""
 
@@ -147,18 +159,21 @@ def read_blocks(manifest: DataFrame, folder: str, with_ids: bool = False) -> Dat
                     arrays, names = [*arrays, pa.array([bytes(v) for v in own], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = manifest.withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0)))
-    n = max(1, manifest.count() // 2)  # a block or two a task, which Spark would put together by their few bytes
-    spread = blocks.repartition(n, "file", "block")
+    blocks = manifest.withColumn("before", _earlier(Window.partitionBy("part").orderBy("block")))
+    held = manifest.agg(F.coalesce(F.sum("ids"), F.lit(0)), F.count("*")).first()
+    # Spark would put the blocks together by the few bytes of their manifest rows
+    tasks = max(held[0] // TASK_IDS, min(held[1], 4 * manifest.sparkSession.sparkContext.defaultParallelism), 1)
+    spread = blocks.repartition(min(tasks, MAX_TASKS), "file", "block")
     return spread.mapInArrow(read, READ + (", ids binary" if with_ids else ""))
 
 
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    total = manifest.groupBy("part").agg(F.sum("ids").alias("ids"))  # one row a file
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = total.select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("file_start"))
+    total = manifest.groupBy("part").agg(F.sum("ids").alias("ids")).withColumn("group", F.floor(F.col("part") / _FILES))  # one row a file
+    sums = total.groupBy("group").agg(F.sum("ids").alias("ids"))  # one row for each _FILES files
+    sums = sums.select("group", _earlier(Window.orderBy("group")).alias("group_start"))
+    within = total.select("part", "group", _earlier(Window.partitionBy("group").orderBy("part")).alias("at"))
+    starts = within.join(sums, "group").select("part", (F.col("group_start") + F.col("at")).alias("file_start"))
     parts = materialize(read_blocks(manifest, folder), "id-parts")
     # A document that spans blocks is the last of its first one, alone in further ones, and the first of its last.
     follows = (F.col("block") > 0) & (F.col("item") == 0)
