@@ -78,12 +78,22 @@ def season(month: Column) -> Column:
     return named.otherwise(F.raise_error(F.concat(F.lit("Invalid month: "), month.cast("string"))).cast("string"))
 
 
+def _hundredths(size: Column, bits: int) -> Column:
+    """``size / 2**bits`` with two decimals, exact ties to even."""
+    rest = size.bitwiseAND(F.lit((1 << bits) - 1)) * 100  # below 2**57
+    cents, over, half = F.shiftright(rest, bits), rest.bitwiseAND(F.lit((1 << bits) - 1)), F.lit(1 << (bits - 1))
+    cents = cents + F.when((over > half) | ((over == half) & (cents % 2 == 1)), 1).otherwise(0)
+    whole = F.shiftright(size, bits) + F.when(cents == 100, 1).otherwise(0)
+    return F.format_string("%d.%02d", whole, cents % 100)
+
+
 def format_size(size: Column) -> Column:
     """Bytes in steps of 1024 from B to PB; two decimals above B."""
     units = ["KB", "MB", "GB", "TB", "PB"]
+    size = size.cast("long")
     text = F.when(size < 1024, F.format_string("%d B", size))
     for k, unit in enumerate(units, start=1):
-        scaled = F.format_string(f"%.2f {unit}", size / F.lit(float(1024**k)))
+        scaled = F.concat(_hundredths(size, 10 * k), F.lit(f" {unit}"))
         text = text.otherwise(scaled) if unit == units[-1] else text.when(size < 1024 ** (k + 1), scaled)
     return text
 
@@ -129,10 +139,19 @@ def fingerprint_key() -> tuple[Column, Column, Column]:
     return F.col("full_path"), F.col("size_bytes"), F.unix_micros("last_write_utc").alias("mtime_us")
 
 
+def _shown(value: Column) -> Column:
+    """A value as Python shows it: texts in quotes, with backslashes and line breaks escaped; a null is None."""
+    text = F.regexp_replace(F.regexp_replace(value.cast("string"), r"\\", r"\\\\"), "\n", r"\\n")
+    single = F.concat(F.lit("'"), F.regexp_replace(text, "'", r"\\'"), F.lit("'"))
+    quoted = F.when(text.contains("'") & ~text.contains('"'), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(single)
+    kind = F.typeof(value)
+    return F.when(value.isNull(), F.lit("None")).when(kind == "string", quoted).when(kind == "boolean", F.initcap(value.cast("string"))).otherwise(value.cast("string"))
+
+
 def error_message(operation: Column | str, path: Column | None = None, context: Mapping[str, Column] | None = None, error: Column | None = None) -> Column:
-    """``operation (path='...', key=value): error`` with the keys in order; absent parts are left out."""
+    """``operation (path='...', key=value): error`` with the keys in order and text values in quotes; absent parts are left out."""
     operation = F.lit(operation) if isinstance(operation, str) else operation
     details = [] if path is None else [F.concat(F.lit("path='"), path, F.lit("'"))]
-    details += [F.concat(F.lit(f"{key}="), value.cast("string")) for key, value in sorted((context or {}).items())]
+    details += [F.concat(F.lit(f"{key}="), _shown(value)) for key, value in sorted((context or {}).items())]
     text = F.concat(operation, F.lit(" ("), F.concat_ws(", ", *details), F.lit(")")) if details else operation
     return text if error is None else F.when(error.isNull(), text).otherwise(F.concat(text, F.lit(": "), error))

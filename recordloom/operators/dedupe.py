@@ -1,10 +1,11 @@
 """Exact duplicates, cheapest key first: size, partial signature, SHA-256, bytes.
 
-Content is read once, where it lies, and never shuffled: one pass computes both digests, and the
-keys and paths alone are grouped. A group of any size is counted from partial sums; its members
-join back on tables that Spark can split by a hot key, and are ranked by a range sort, so no
-group has to fit one task. Only the optional verification shuffles content, of rows that share
-a digest.
+Records of a table: one pass over content computes both digests of the rows whose size another
+row has, where they lie; content is not shuffled, and only keys and paths are grouped. Files: the
+listing decides on sizes, then slices of the rows left are read, then whole files of what is left
+after that. A group of any size is counted from partial sums; its members join back on tables that
+Spark can split by a hot key, and are ranked by a range sort, so no group has to fit one task.
+Only the optional verification of bytes shuffles content, of rows that share a digest.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.fingerprints import quick_signature, sha256
-from recordloom.operators.ordering import numbered
+from recordloom.operators.ordering import ranked
 from recordloom.operators.storage import materialize
+from recordloom.sources.files import file_digests, file_signatures
+
+#: Sizes that several records have, up to which their list is broadcast (8 bytes each); beyond it every record is hashed.
+BROADCAST_SIZES = 500_000
 
 
 def member_order() -> list:
@@ -34,7 +39,10 @@ def size_collisions(inventory: DataFrame) -> DataFrame:
 
 
 def digests(inventory: DataFrame) -> DataFrame:
-    """The inventory with ``quick_signature`` and ``sha256_hash`` in place of content, kept as a table."""
+    """The rows whose size another row has, with ``quick_signature`` and ``sha256_hash`` in place of content, kept as a table."""
+    sizes = materialize(size_collisions(inventory).select("size_bytes"), "sizes")
+    if sizes.count() <= BROADCAST_SIZES:
+        inventory = inventory.join(F.broadcast(sizes), "size_bytes", "left_semi")
     hashed = inventory.withColumn("quick_signature", quick_signature(F.col("content"))).withColumn("sha256_hash", sha256(F.col("content")))
     return materialize(hashed.drop("content"), "digests")
 
@@ -44,6 +52,15 @@ def hashed_candidates(inventory: DataFrame) -> DataFrame:
     return _sharing(digests(inventory), ["size_bytes", "quick_signature", "sha256_hash"])
 
 
+def hashed_file_candidates(listed: DataFrame, root: str) -> DataFrame:
+    """The same for a listing of files without content: each step reads only what the one before left."""
+    same_size = materialize(_sharing(listed.filter("error is null"), ["size_bytes"]), "same-size")
+    signed = materialize(file_signatures(same_size, root), "signatures").filter("read_error is null").drop("read_error")
+    same_slices = materialize(_sharing(signed, ["size_bytes", "quick_signature"]), "same-slices")
+    hashed = materialize(file_digests(same_slices, root), "digests").filter("read_error is null").drop("read_error")
+    return _sharing(hashed, ["size_bytes", "quick_signature", "sha256_hash"])
+
+
 def quick_collisions(inventory: DataFrame) -> DataFrame:
     """(size_bytes, n) for each partial signature that several records of a size share; the signature stays internal."""
     rows = inventory.select("size_bytes", quick_signature(F.col("content")).alias("quick"))
@@ -56,25 +73,46 @@ def sha_collisions(inventory: DataFrame) -> DataFrame:
 
 
 def byte_verified(inventory: DataFrame) -> DataFrame:
-    """Rows with a byte-identical copy: full_path, size_bytes, sha256_hash, class_size. Content is a key only for rows that share a digest."""
-    shared = hashed_candidates(inventory).select("full_path", "sha256_hash")
-    rows = inventory.select("full_path", "size_bytes", "content").join(materialize(shared, "same-digest"), "full_path")
-    classes = rows.groupBy("sha256_hash", "content").agg(F.count("*").alias("class_size")).filter("class_size > 1")
-    return rows.join(classes, ["sha256_hash", "content"]).select("full_path", "size_bytes", "sha256_hash", "class_size")
+    """Rows with a byte-identical copy: full_path, size_bytes, sha256_hash, class_size.
+
+    Every row that shares a digest is compared with one row of that digest. Content is a grouping key only for rows that
+    differ from it, which equal digests all but rule out.
+    """
+    shared = materialize(hashed_candidates(inventory).select("full_path", "sha256_hash"), "same-digest")
+    rows = inventory.select("full_path", "size_bytes", "content").join(shared, "full_path")
+    least = shared.groupBy("sha256_hash").agg(F.min("full_path").alias("full_path"))
+    model = inventory.select("full_path", F.col("content").alias("model")).join(materialize(least, "models"), "full_path").drop("full_path")
+    compared = rows.join(materialize(model, "model-content"), "sha256_hash").withColumn("own", F.when(F.col("content") != F.col("model"), F.col("content")))
+    compared = materialize(compared.select("full_path", "size_bytes", "sha256_hash", "own"), "compared")
+    same = compared.filter("own is null").drop("own")
+    sizes = materialize(same.groupBy("sha256_hash").agg(F.count("*").alias("class_size")).filter("class_size > 1"), "classes")
+    out = ["full_path", "size_bytes", "sha256_hash", "class_size"]
+    found = same.join(sizes, "sha256_hash").select(*out)
+    other = compared.filter("own is not null")
+    if other.isEmpty():
+        return found
+    more = other.groupBy("sha256_hash", "own").agg(F.count("*").alias("class_size")).filter("class_size > 1")
+    return found.unionByName(other.join(materialize(more, "more-classes"), ["sha256_hash", "own"]).select(*out))
+
+
+def _members(candidates: DataFrame) -> DataFrame:
+    rows = candidates.select("sha256_hash", "size_bytes", "full_path", "last_write_utc")
+    placed = ranked(rows, ["sha256_hash", "size_bytes"], member_order(), "group_rank", "group_size")
+    return placed.select("sha256_hash", "size_bytes", "full_path", "last_write_utc", "group_size", F.col("group_rank").cast("int").alias("group_rank"))
 
 
 def duplicate_members(inventory: DataFrame) -> DataFrame:
     """One row per member of a group: sha256_hash, size_bytes, full_path, last_write_utc, group_size, group_rank."""
-    rows = hashed_candidates(inventory).select("sha256_hash", "size_bytes", "full_path", "last_write_utc")
-    placed = numbered(rows, [F.col("sha256_hash"), F.col("size_bytes"), *member_order()], "__at")
-    groups = placed.groupBy("sha256_hash", "size_bytes").agg(F.count("*").alias("group_size"), F.min("__at").alias("__first"))
-    ranked = placed.join(materialize(groups, "groups"), ["sha256_hash", "size_bytes"])
-    rank = (F.col("__at") - F.col("__first") + 1).cast("int")
-    return ranked.select("sha256_hash", "size_bytes", "full_path", "last_write_utc", "group_size", rank.alias("group_rank"))
+    return _members(hashed_candidates(inventory))
+
+
+def duplicate_file_members(listed: DataFrame, root: str) -> DataFrame:
+    """``duplicate_members`` of a listing that ``inventory_from_files`` made of ``root``; files that cannot be read are left out."""
+    return _members(hashed_file_candidates(listed, root))
 
 
 def duplicate_groups(inventory: DataFrame) -> DataFrame:
-    """One row per group with its members in order, largest group first. The flat form suits groups of any size; this one is for reports."""
+    """One row per group with its members in order, largest group first: for groups that fit a row. The flat form suits any size."""
     member = F.struct("last_write_utc", F.lower("full_path").alias("lower_path"), "full_path", "extension", "category")
     groups = hashed_candidates(inventory).groupBy("sha256_hash", "size_bytes").agg(F.array_sort(F.collect_list(member)).alias("files"))
     return group_order(groups.withColumn("n", F.size("files").cast("long")))

@@ -9,11 +9,12 @@ stays recoverable.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.functions.columns import file_name
+from recordloom.operators.ordering import ranked
 
 ENTRIES = (
     "transaction_id string, seq long, event_no long, action string, source_path string, destination_path string, "
@@ -27,20 +28,21 @@ TRANSACTIONS = (
 #: States of a run that leave it recoverable whatever its entries say.
 INTERRUPTED = ("running", "cancelled", "failed")
 ROLLED_BACK = "rolled_back"
+COUNTERS = ("files_copied", "files_moved", "duplicates_quarantined", "n_errors")
 
 _JSON_ENTRY = "struct<action:string,source_path:string,destination_path:string,timestamp_utc:string,status:string,error_message:string,reversible:boolean>"
 
 
-def read_json_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(transactions, journal_entries) of journals kept as one JSON document each; absent keys get their defaults, unreadable ones are left out."""
+def read_json_journal(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(transactions, journal_entries) of journals kept as JSON documents, one a file or (without ``multi_line``) one a line; absent keys get their defaults, unreadable ones are left out."""
     schema = T._parse_datatype_string(
-        "id string, created_at_utc string, source_root string, target_root string, lifecycle_status string, checkpoint_stage string, "
+        "transaction_id string, created_at_utc string, source_root string, target_root string, lifecycle_status string, checkpoint_stage string, "
         "checkpoint_processed_files long, checkpoint_total_files long, checkpoint_message string, updated_at_utc string, "
         f"interruption_reason string, entries array<{_JSON_ENTRY}>"
     )
-    docs = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path).filter("id is not null")
+    docs = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path).filter("transaction_id is not null")
     header = docs.select(
-        F.col("id").alias("transaction_id"),
+        "transaction_id",
         F.to_timestamp("created_at_utc").alias("created_at_utc"),
         "source_root",
         "target_root",
@@ -52,7 +54,7 @@ def read_json_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
         F.to_timestamp("updated_at_utc").alias("updated_at_utc"),
         "interruption_reason",
     )
-    entries = docs.select(F.col("id").alias("transaction_id"), F.posexplode("entries").alias("seq", "e")).select(
+    entries = docs.select("transaction_id", F.posexplode("entries").alias("seq", "e")).select(
         "transaction_id",
         (F.col("seq") + 1).cast("long").alias("seq"),
         F.lit(0).cast("long").alias("event_no"),
@@ -158,11 +160,9 @@ def undo_plan(entries: DataFrame, transactions: DataFrame | None = None, locatio
         there = locations.select(F.col("full_path").alias("destination_path"), F.lit(True).alias("there"))
         done = done.join(there, "destination_path", "left").filter("there or action = 'deleted_duplicate'")
     undo = F.coalesce(*(F.when(F.col("action") == a, F.lit(u)) for a, u in INVERSE.items()))
-    backward = Window.partitionBy("transaction_id").orderBy(F.desc("seq"))
     lost = F.concat(F.lit("Deleted record cannot be restored ("), F.col("source_path"), F.lit(")."))
-    return done.select(
+    inverse = done.select(
         "transaction_id",
-        F.row_number().over(backward).cast("long").alias("step"),
         "seq",
         undo.alias("undo_action"),
         "action",
@@ -170,35 +170,51 @@ def undo_plan(entries: DataFrame, transactions: DataFrame | None = None, locatio
         "destination_path",
         F.when(undo == "cannot_restore", lost).alias("error"),
     )
+    return ranked(inverse, ["transaction_id"], [F.desc("seq")], "step")
+
+
+def _restored() -> list[Column]:
+    kinds = {"files_copied": "copied", "files_moved": "moved", "duplicates_quarantined": "quarantined_duplicate"}
+    return [*(F.count_if(F.col("action") == a).alias(c) for c, a in kinds.items()), F.count_if(F.col("error").isNotNull()).alias("n_errors")]
 
 
 def undo_summary(undone: DataFrame) -> DataFrame:
-    """Counters over an undo plan; its errors in order."""
-    errors = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("transaction_id", "step", "error"))))
-    return undone.agg(
-        F.count_if(F.expr("action = 'copied'")).alias("files_copied"),
-        F.count_if(F.expr("action = 'moved'")).alias("files_moved"),
-        F.count_if(F.expr("action = 'quarantined_duplicate'")).alias("duplicates_quarantined"),
-        F.transform(errors, lambda e: e["error"]).alias("errors"),
-    )
+    """Counters over an undo plan; the errors themselves are its rows with ``error``."""
+    return undone.agg(*_restored())
 
 
 def recover_all(transactions: DataFrame, entries: DataFrame) -> DataFrame:
     """Per recoverable run, what undoing it restores, all in one job; ``recovery_summary`` adds them up."""
     found = recoverable_transactions(transactions, entries).select("transaction_id")
-    undone = undo_plan(entries, found)
-    sums = undone.groupBy("transaction_id").agg(
-        F.count_if(F.expr("action = 'copied'")).alias("files_copied"),
-        F.count_if(F.expr("action = 'moved'")).alias("files_moved"),
-        F.count_if(F.expr("action = 'quarantined_duplicate'")).alias("duplicates_quarantined"),
-        F.count_if(F.expr("error is not null")).alias("n_errors"),
-    )
-    zeros = {c: 0 for c in ("files_copied", "files_moved", "duplicates_quarantined", "n_errors")}
-    return found.join(sums, "transaction_id", "left").fillna(zeros)
+    done = current_entries(entries).filter("status = 'done'").join(found, "transaction_id", "left_semi")
+    sums = done.withColumn("error", F.when(F.col("action") == "deleted_duplicate", F.lit("cannot restore"))).groupBy("transaction_id").agg(*_restored())
+    return found.join(sums, "transaction_id", "left").fillna({c: 0 for c in COUNTERS})
 
 
 def recovery_summary(recovered: DataFrame) -> DataFrame:
-    return recovered.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files_copied", "files_moved", "duplicates_quarantined", "n_errors")))
+    return recovered.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS))
+
+
+def rolled_back(transactions: DataFrame, entries: DataFrame, errors: DataFrame, now: Column) -> DataFrame:
+    """The state of each of ``transactions`` after it is undone; ``errors`` has a row (transaction_id) for each thing that could not be."""
+    known = current_transactions(transactions).select("transaction_id", "created_at_utc", "source_root", "target_root")
+    sizes = current_entries(entries).groupBy("transaction_id").agg(F.count("*").alias("n"))
+    wrong = errors.groupBy("transaction_id").agg(F.count("*").alias("n_errors"))
+    rows = known.join(sizes, "transaction_id", "left").join(wrong, "transaction_id", "left").fillna({"n": 0, "n_errors": 0})
+    text = F.when(F.col("n_errors") > 0, F.concat(F.lit("Undone; "), F.col("n_errors").cast("string"), F.lit(" could not be."))).otherwise(F.lit("Undone."))
+    return rows.select(
+        "transaction_id",
+        "created_at_utc",
+        "source_root",
+        "target_root",
+        F.lit(ROLLED_BACK).alias("lifecycle_status"),
+        F.lit("undo_completed").alias("checkpoint_stage"),
+        F.col("n").alias("checkpoint_processed"),
+        F.col("n").alias("checkpoint_total"),
+        text.alias("checkpoint_message"),
+        now.cast("timestamp").alias("updated_at_utc"),
+        F.lit(None).cast("string").alias("interruption_reason"),
+    )
 
 
 def verify_rollback(entries: DataFrame, locations: DataFrame) -> DataFrame:
@@ -210,13 +226,13 @@ def verify_rollback(entries: DataFrame, locations: DataFrame) -> DataFrame:
     moved = F.col("action").isin("moved", "quarantined_duplicate")
 
     def issue(text: str, path: str) -> Column:
-        return F.concat(F.lit(f"Rollback verification failed: {text} ("), F.col(path), F.lit(")."))
+        return F.concat(F.lit(f"After undo {text}: "), F.col(path))
 
     issues = F.array_compact(
         F.array(
-            F.when((F.col("action") == "copied") & F.col("destination_there"), issue("copied destination still exists", "destination_path")),
-            F.when(moved & F.col("source_there").isNull(), issue("source missing after rollback", "source_path")),
-            F.when(moved & F.col("destination_there"), issue("destination still exists after rollback", "destination_path")),
+            F.when((F.col("action") == "copied") & F.col("destination_there"), issue("a copy is left", "destination_path")),
+            F.when(moved & F.col("source_there").isNull(), issue("a record is missing", "source_path")),
+            F.when(moved & F.col("destination_there"), issue("a moved record is left", "destination_path")),
         )
     )
     return done.select("transaction_id", "seq", F.explode(issues).alias("issue"))
@@ -229,6 +245,13 @@ def live_set(inventory: DataFrame, entries: DataFrame, transactions: DataFrame)
     return inventory.join(gone.select(F.col("source_path").alias("full_path")), "full_path", "left_anti")
 
 
+def locations(inventory: DataFrame, entries: DataFrame, transactions: DataFrame) -> DataFrame:
+    """(full_path) of all that is there now: the live records, and what runs still in force have put somewhere."""
+    back = current_transactions(transactions).filter(F.col("lifecycle_status") == ROLLED_BACK).select("transaction_id")
+    put = current_entries(entries).filter("status = 'done' and destination_path is not null").join(back, "transaction_id", "left_anti")
+    return live_set(inventory, entries, transactions).select("full_path").union(put.select("destination_path")).distinct()
+
+
 def placed_rows(plan: DataFrame, inventory: DataFrame, transaction_id: str) -> DataFrame:
     """Records of a plan with the folder, year and month of their destination, ready to be written by partition."""
     rows = plan.join(inventory, plan["source_path"] == inventory["full_path"]).drop("full_path")

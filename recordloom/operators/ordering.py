@@ -21,3 +21,14 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "seq") -> DataFra
     begun = spark.createDataFrame(begins, "__part int, __first long, __before long")
     out = ordered.join(F.broadcast(begun), "__part")  # one row a partition
     return out.withColumn(name, F.col("__row") - F.col("__first") + F.col("__before") + 1).drop("__part", "__row", "__first", "__before")
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str, size: str | None = None) -> DataFrame:
+    """Add ``name``: 1, 2, ... in order within equal ``keys``, and their number as ``size``.
+
+    A range sort deals out a hot key's rows, and one row a key is joined back on tables that Spark can split.
+    """
+    placed = numbered(rows, [*map(F.col, keys), *order], "__at")
+    groups = placed.groupBy(*keys).agg(F.min("__at").alias("__first"), F.count("*").alias(size or "__size"))
+    out = placed.join(materialize(groups, "groups"), keys).withColumn(name, F.col("__at") - F.col("__first") + 1)
+    return out.drop("__at", "__first", "__size")

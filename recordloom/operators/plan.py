@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.columns import destination_folder, file_name, format_size, numbered_name, parent, relative_path
@@ -19,6 +19,8 @@ from recordloom.operators.storage import materialize
 DEDUPE_MODES = ("off", "quarantine", "delete")
 ORGANIZE_MODES = {"copy": "copied", "move": "moved"}
 SCOPES = {"group_and_dedupe": (True, True), "group_only": (True, False), "dedupe_only": (False, True)}
+#: Rows of the sorted plan in which equal names are ranked by one task.
+RUN = 1 << 20
 PLAN = "seq long, action string, source_path string, destination_path string, reversible boolean"
 
 
@@ -115,34 +117,44 @@ def _in_turn(folder: str, name: str):
 
 
 def _free_names(rows: DataFrame, folder: str, name: str, order: list[Column], existing: DataFrame | None) -> DataFrame:
-    """Add ``destination_path``: names free of collisions inside each folder, as if placed one after another in ``order``.
-
-    The first of equal names keeps it where it is free, the others take the next numbers. Where a
-    number may meet a name that another record already has, or that the target has, the folder's
-    family of names (the stem without numbers) is numbered in turn by one pass over its sorted rows,
-    which keeps a few counters and no list of what it has seen.
+    """Add ``seq`` and ``destination_path``: names free of collisions inside each folder, as if placed one after another in ``order``.
+
+    The first of equal names keeps it where it is free, the others take the next numbers. Ranks come
+    from the one range sort that numbers the rows: equal names are counted by runs of RUN rows of it,
+    and only rows of one run are ranked in one task. Where a number may meet a name that another
+    record wants, or that the target has under a number, the folder's family of names (the stem
+    without numbers) is numbered in turn by one pass over its sorted rows, which keeps a few counters
+    and no list of what it has seen.
     """
-    rows = rows.withColumn("family", F.regexp_replace(F.col(name), _FAMILY, ""))
-    ranked = numbered(rows, [F.col(folder), F.col(name), *order], "__at")
-    firsts = materialize(ranked.groupBy(folder, name, "family").agg(F.min("__at").alias("__first")), "first-names")
-    mixed = firsts.groupBy(folder, "family").agg(F.count("*").alias("names")).filter("names > 1").select(folder, "family")
+    family = F.regexp_replace(F.col(name), _FAMILY, "")
+    placed = numbered(rows, order).withColumn("__run", F.floor(F.col("seq") / RUN))
+    runs = placed.groupBy(folder, name, "__run").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(folder, name).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = materialize(runs.select(folder, name, "__run", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")), "name-runs")
+    within = F.row_number().over(Window.partitionBy(folder, name, "__run").orderBy("seq")) - 1
+    ranked = placed.withColumn("number", within).join(runs, [folder, name, "__run"]).withColumn("number", F.col("number") + F.col("__before"))
+    ranked = ranked.withColumn("family", family).drop("__run", "__before")
+    wanted = runs.select(folder, name, family.alias("family")).distinct()
+    mixed = wanted.groupBy(folder, "family").agg(F.count("*").alias("names")).filter("names > 1").select(folder, "family")
     if existing is not None:
-        there = existing.select(parent(F.col("full_path")).alias(folder), file_name(F.col("full_path")).alias(name)).withColumn("family", F.regexp_replace(F.col(name), _FAMILY, ""))
-        mixed = mixed.unionByName(there.select(folder, "family")).distinct()
+        there = existing.select(parent(F.col("full_path")).alias(folder), file_name(F.col("full_path")).alias(name)).withColumn("family", family).distinct()
+        # a family of which the target has but the one plain name starts at number 1
+        numbers = there.filter(F.col(name) != F.col("family")).select(folder, "family")
+        mixed = mixed.unionByName(numbers).distinct()
+        taken = there.filter(F.col(name) == F.col("family")).select(folder, name, F.lit(1).alias("__taken"))
+        ranked = ranked.join(materialize(taken, "taken-names"), [folder, name], "left").withColumn("number", F.col("number") + F.coalesce("__taken", F.lit(0))).drop("__taken")
     mixed = materialize(mixed, "mixed-names")
-    ranked = ranked.join(firsts.drop("family"), [folder, name]).withColumn("number", F.col("__at") - F.col("__first")).drop("__at", "__first")
     place = F.concat_ws("/", folder, numbered_name(F.col(name), F.col("number")))
     if mixed.isEmpty():
         return ranked.withColumn("destination_path", place).drop("family", "number")
     plain = ranked.join(mixed, [folder, "family"], "left_anti")
-    clashing = numbered(ranked.join(mixed, [folder, "family"], "left_semi").drop("number"), [F.col(folder), F.col("family"), *order], "position")
-    queue = clashing.select(folder, "family", "position", name, "full_path")
+    clashing = ranked.join(mixed, [folder, "family"], "left_semi").drop("number")
+    queue = clashing.select(folder, "family", F.col("seq").alias("position"), name, "full_path")
     if existing is not None:
         queue = queue.unionByName(there.select(folder, "family", F.lit(0).cast("long").alias("position"), name, F.lit(None).cast("string").alias("full_path")))
     queue = queue.repartition(folder, "family").sortWithinPartitions(folder, "family", "position")
     given = queue.mapInPandas(_in_turn(folder, name), "full_path string, number long")
-    placed = clashing.drop("position").join(materialize(given, "given-names"), "full_path")
-    every = plain.unionByName(placed)
+    every = plain.unionByName(clashing.join(materialize(given, "given-names"), "full_path"))
     return every.withColumn("destination_path", place).drop("family", "number")
 
 
@@ -160,8 +172,9 @@ def dedupe_plan(members: DataFrame, mode: str, source_root: str, quarantine_root
         moved = F.concat_ws("/", F.lit(quarantine_root), relative_path(F.col("full_path"), source_root))
         rows = removed.withColumn("__folder", parent(moved)).withColumn("__name", file_name(moved))
         planned = _free_names(rows, "__folder", "__name", order, None)
+    planned = numbered(planned, order) if mode == "delete" else planned
     action = "deleted_duplicate" if mode == "delete" else "quarantined_duplicate"
-    return numbered(planned, order).select("seq", F.lit(action).alias("action"), F.col("full_path").alias("source_path"), "destination_path", F.lit(mode != "delete").alias("reversible"))
+    return planned.select("seq", F.lit(action).alias("action"), F.col("full_path").alias("source_path"), "destination_path", F.lit(mode != "delete").alias("reversible"))
 
 
 def organize_plan(inventory: DataFrame, mode: str, target: str, zone: str = "UTC", existing: DataFrame | None = None) -> DataFrame:
@@ -169,7 +182,7 @@ def organize_plan(inventory: DataFrame, mode: str, target: str, zone: str = "UTC
     action = ORGANIZE_MODES[_one_of(mode, ORGANIZE_MODES)]
     order = [F.col("category"), *member_order()]
     rows = inventory.select("full_path", "category", "last_write_utc", destination_folder(target, F.col("category"), F.col("last_write_utc"), zone).alias("__folder"), file_name(F.col("full_path")).alias("__name"))
-    planned = numbered(_free_names(rows, "__folder", "__name", order, existing), order)
+    planned = _free_names(rows, "__folder", "__name", order, existing)
     return planned.select("seq", F.lit(action).alias("action"), F.col("full_path").alias("source_path"), "destination_path", F.lit(True).alias("reversible"))
 
 

@@ -1,4 +1,4 @@
-"""Reports of a run: metrics, members, a nested document and a text digest."""
+"""Reports of a run: metrics, members, a JSON head with datasets of rows, and a text digest."""
 
 from __future__ import annotations
 
@@ -51,13 +51,10 @@ def report_members(members: DataFrame) -> DataFrame:
     return ordered.select("sha256_hash", "size_bytes", "full_path")
 
 
-def report_document(summary: DataFrame, groups: DataFrame, similar: DataFrame) -> DataFrame:
-    """One nested row for a JSON sink. Reports only: the groups of a run meet in one row."""
-    nested = groups.agg(F.collect_list(F.struct("sha256_hash", "size_bytes", "files")).alias("duplicate_groups")).withColumn("__k", F.lit(1))
-    close = similar.agg(F.collect_list(F.struct("anchor_path", "similar_paths", "max_distance")).alias("similar_groups")).withColumn("__k", F.lit(1))
+def report_document(summary: DataFrame) -> DataFrame:
+    """The head of the JSON report: one row with the run, its counters and nothing that grows. Groups follow as rows of their own datasets."""
     counters = [c for c in summary.columns if c not in ("generated_at_utc", "transaction_id", "source_path", "target_path")]
-    head = summary.select("generated_at_utc", "transaction_id", "source_path", "target_path", F.struct(*counters).alias("summary"), F.lit(1).alias("__k"))
-    return head.join(nested, "__k").join(close, "__k").drop("__k")
+    return summary.select("generated_at_utc", "transaction_id", "source_path", "target_path", F.struct(*counters).alias("summary"))
 
 
 def report_digest(summary: DataFrame, members: DataFrame, similar: DataFrame | None = None, k: int = 10) -> DataFrame:
@@ -76,7 +73,7 @@ def report_digest(summary: DataFrame, members: DataFrame, similar: DataFrame | N
         line("Total Size", format_size(F.col("total_bytes_scanned"))),
         line("Duplicate Groups", F.col("duplicate_group_count").cast("string")),
         line("Duplicate Files", F.col("duplicate_files_found").cast("string")),
-        line("Similar Groups", F.col("similar_group_count").cast("string")),
+        line("Similar Image Groups", F.col("similar_group_count").cast("string")),
         line("Skipped Files", F.col("skipped_count").cast("string")),
         line("Reclaimable", format_size(F.col("duplicate_bytes_reclaimable"))),
         line("Copied", F.col("files_copied").cast("string")),
@@ -97,14 +94,28 @@ def report_digest(summary: DataFrame, members: DataFrame, similar: DataFrame | N
     out = head.unionByName(rows.select((F.col("line_no") + len(lines)).alias("line_no"), "line"))
     if similar is None:
         return out
-    some = similar.limit(k).agg(F.collect_list(F.concat(F.lit("- "), F.col("anchor_path"), F.lit(" (+"), F.size("similar_paths").cast("string"), F.lit(" similar)"))).alias("lines"))
-    some = some.filter(F.size("lines") > 0).select(F.posexplode(F.concat(F.array(F.lit(""), F.lit("Similar Groups:")), F.col("lines"))).alias("line_no", "line"))
+    anchors = similar.select("anchor_path", (F.col("group_size") - 1).alias("others")).distinct().orderBy(F.desc("others"), "anchor_path").limit(k)
+    named = F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.col("others")).alias("a"), "anchor_path"))),
+        lambda g: F.concat(F.lit("- "), g["anchor_path"], F.lit(" (+"), (-g["a"]).cast("string"), F.lit(" similar)")),
+    )
+    some = anchors.agg(named.alias("lines"))
+    some = some.filter(F.size("lines") > 0).select(F.posexplode(F.concat(F.array(F.lit(""), F.lit("Similar Image Groups:")), F.col("lines"))).alias("line_no", "line"))
     return out.unionByName(some.select((F.col("line_no") + len(lines) + k).alias("line_no"), "line"))
 
 
-def write_report(folder: str, summary: DataFrame, members: DataFrame, groups: DataFrame, similar: DataFrame) -> None:
-    """The document as JSON, the tabular parts as CSV and the digest as text, each a dataset of its own."""
-    report_document(summary, groups, similar).coalesce(1).write.mode("overwrite").json(f"{folder}/document")
+def write_report(folder: str, summary: DataFrame, members: DataFrame, similar: DataFrame, skipped: DataFrame | None = None, errors: DataFrame | None = None) -> None:
+    """JSON (head, duplicate members, similar members), CSV (metrics, members and, where given, skipped paths and error messages) and a text digest, each a dataset of its own.
+
+    ``similar`` has anchor_path, full_path and group_size, one row a member; ``skipped`` has full_path, ``errors`` has message.
+    """
+    report_document(summary).coalesce(1).write.mode("overwrite").json(f"{folder}/document")
+    members.write.mode("overwrite").json(f"{folder}/duplicate_groups")
+    similar.write.mode("overwrite").json(f"{folder}/similar_groups")
     report_metrics(summary).orderBy("position").select("metric", "value").coalesce(1).write.mode("overwrite").csv(f"{folder}/metrics", header=True)
     report_members(members).write.mode("overwrite").csv(f"{folder}/members", header=True)
+    if skipped is not None:
+        skipped.select("full_path").write.mode("overwrite").csv(f"{folder}/skipped", header=True)
+    if errors is not None:
+        errors.select("message").write.mode("overwrite").csv(f"{folder}/errors", header=True, escape='"')
     report_digest(summary, members, similar).coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(f"{folder}/digest")

@@ -1,8 +1,9 @@
 """Fingerprint reuse: computed values kept by (path, size, time) and joined back on the next run.
 
 The store is a Parquet snapshot: full_path, size_bytes, mtime_us, sha256, quick_signature,
-last_used. A snapshot is written whole into a new folder, then a pointer file names it, so a
-reader sees the old or the new one.
+last_used. A snapshot is written whole into a folder of its version, then a row names the version
+as complete, so a reader sees the old or the new one. A stream adds what each batch changes and
+makes a snapshot now and then.
 """
 
 from __future__ import annotations
@@ -14,27 +15,54 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "full_path string, size_bytes long, mtime_us long, sha256 string, quick_signature string, last_used timestamp"
+_COLUMNS = [f.split()[0] for f in SCHEMA.split(", ")]
 KEY = ["full_path", "size_bytes", "mtime_us"]
 #: Fixed value: fingerprints kept by default.
 RETAINED = 200_000
 
 
-def read_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    """The current snapshot; empty if there is none or it cannot be read, rows without a path or value dropped."""
+def _version(spark: SparkSession, folder: str, before: int | None) -> int | None:
     try:
-        pointer = spark.read.text(f"{folder}/current").first()
-        rows = spark.read.schema(SCHEMA).parquet(f"{folder}/{pointer[0]}") if pointer else None
+        done = spark.read.schema("version long").parquet(f"{folder}/complete")
     except AnalysisException:
-        rows = None
-    if rows is None:
-        return spark.createDataFrame([], SCHEMA)
+        return None
+    return (done if before is None else done.filter(F.col("version") < before)).agg(F.max("version")).first()[0]
+
+
+def read_fingerprints(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The last complete snapshot (of a version below ``before``); empty if there is none or it cannot be read, rows without a path or value dropped."""
+    version = _version(spark, folder, before)
+    try:
+        rows = spark.createDataFrame([], SCHEMA) if version is None else spark.read.schema(SCHEMA).parquet(f"{folder}/snapshot-{version}")
+    except AnalysisException:
+        rows = spark.createDataFrame([], SCHEMA)
     return rows.filter("full_path is not null and (sha256 is not null or quick_signature is not null)")
 
 
-def write_fingerprints(rows: DataFrame, folder: str, name: str) -> None:
-    """Write a snapshot under ``name`` and point to it."""
-    rows.select(*(f.split()[0] for f in SCHEMA.split(", "))).write.parquet(f"{folder}/{name}")
-    rows.sparkSession.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/current")
+def write_fingerprints(rows: DataFrame, folder: str, version: int) -> None:
+    """Write a snapshot whole, then a row that says so; an unfinished one is never read, and is replaced when written again."""
+    spark = rows.sparkSession
+    rows.select(*_COLUMNS).write.mode("overwrite").parquet(f"{folder}/snapshot-{version}")
+    spark.range(1).select(F.lit(version).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{folder}/complete")
+
+
+def write_changes(rows: DataFrame, folder: str, batch: int) -> None:
+    """What one batch used or computed; writing a batch again replaces it."""
+    rows.select(*_COLUMNS).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
+
+
+def read_changes(spark: SparkSession, folder: str, batch: int) -> DataFrame:
+    """The newest version of each path as the batches before ``batch`` left it: the last snapshot and the changes since."""
+    base = _version(spark, folder, batch)
+    known = read_fingerprints(spark, folder, batch)
+    try:
+        changes = spark.read.schema(f"{SCHEMA}, batch long").parquet(f"{folder}/changes")
+    except AnalysisException:
+        return known
+    since = changes.filter((F.col("batch") < batch) & (F.col("batch") > (-1 if base is None else base)))
+    newest = F.max_by(F.struct("size_bytes", "mtime_us", "sha256", "quick_signature", "last_used"), F.struct("batch", "mtime_us", "size_bytes"))
+    every_one = known.withColumn("batch", F.lit(-1).cast("long")).unionByName(since)
+    return every_one.groupBy("full_path").agg(newest.alias("v")).select("full_path", "v.*").select(*_COLUMNS)
 
 
 def _keyed(inventory: DataFrame) -> DataFrame:

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this application.
 
-    It is the session's ``spark.checkpoint.dir``. Only where none is set, as in local tests,
-    a temporary folder becomes the checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``. Only where none is set and the master is local,
+    as in tests, a temporary folder becomes the checkpoint folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         held = spark.sparkContext.getCheckpointDir()
         if held is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='recordloom-')}")
             held = spark.sparkContext.getCheckpointDir()
         base = held

@@ -118,7 +118,7 @@ query("sub_path", _INV + f"select full_path, starts_with(full_path, '{ROOT}/') a
 )
 query("fingerprint_key", _INV + "select full_path, size_bytes, epoch_us(last_write_utc) as mtime_us from inv")(lambda s, d: inventory(s, d).select(*C.fingerprint_key()))
 query("content_digest", _INV + "select full_path, sha256(content) as sha256 from inv")(lambda s, d: inventory(s, d).select("full_path", sha256(F.col("content")).alias("sha256")))
-query("error_text", _INV + "select full_path, concat('Could not read (path=''', full_path, ''', mode=scan, size=', size_bytes, '): ', case when doc_id % 2 = 0 then 'denied' else 'gone' end) as message from inv")(
+query("error_text", _INV + "select full_path, concat('Could not read (path=''', full_path, ''', mode=''scan'', size=', size_bytes, '): ', case when doc_id % 2 = 0 then 'denied' else 'gone' end) as message from inv")(
     lambda s, d: inventory(s, d).select("full_path", C.error_message("Could not read", F.col("full_path"), {"size": F.col("size_bytes"), "mode": F.lit("scan")}, F.expr("case when doc_id % 2 = 0 then 'denied' else 'gone' end")).alias("message"))
 )
 
@@ -168,8 +168,8 @@ query("byte_verified", _INV + "select full_path, size_bytes, sha256(content) as
     lambda s, d: dedupe.byte_verified(inventory(s, d))
 )
 query("duplicate_members", _MEM + "select sha256_hash, size_bytes, full_path, last_write_utc, group_size, group_rank from members")(members)
-query("duplicate_groups", _MEM + "select sha256_hash, size_bytes, count(*) as n, string_agg(full_path, '|' order by group_rank) as paths from members group by 1, 2")(
-    lambda s, d: dedupe.duplicate_groups(inventory(s, d)).select("sha256_hash", "size_bytes", "n", F.array_join(F.transform("files", lambda f: f["full_path"]), "|").alias("paths"))
+query("duplicate_groups", _MEM + "select sha256_hash, size_bytes, count(*) as n, max(case when group_rank = 1 then full_path end) as first_path from members group by 1, 2")(
+    lambda s, d: dedupe.group_order(dedupe.group_summary(members(s, d)))
 )
 query("dedupe_summary", _MEM + "select count(*) as duplicate_group_count, cast(coalesce(sum(n - 1), 0) as bigint) as duplicate_files_found, cast(coalesce(sum(size_bytes * (n - 1)), 0) as bigint) as duplicate_bytes_reclaimable from (select size_bytes, count(*) as n from members group by sha256_hash, size_bytes)")(
     lambda s, d: dedupe.dedupe_summary(members(s, d))
@@ -366,16 +366,16 @@ _JOURNAL = _with(
 query("journal_status", _JOURNAL + "select transaction_id, seq, action, source_path, status from ent")(lambda s, d: journal.current_entries(journal_tables(s, d)[1]).select("transaction_id", "seq", "action", "source_path", "status"))
 query("undo_plan", _JOURNAL + "select transaction_id, step, seq, undo_action, action, source_path, destination_path, error from undo")(lambda s, d: journal.undo_plan(journal_tables(s, d)[1]))
 query("undo_summary", _JOURNAL + "select count(*) filter (where action = 'copied') as files_copied, count(*) filter (where action = 'moved') as files_moved, count(*) filter (where action = 'quarantined_duplicate') as duplicates_quarantined, count(error) as n_errors from undo where transaction_id = 'tx1'")(
-    lambda s, d: journal.undo_summary(journal.undo_plan(journal_tables(s, d)[1].filter("transaction_id = 'tx1'"))).select("files_copied", "files_moved", "duplicates_quarantined", F.size("errors").cast("long").alias("n_errors"))
+    lambda s, d: journal.undo_summary(journal.undo_plan(journal_tables(s, d)[1].filter("transaction_id = 'tx1'")))
 )
 query(
     "verify_rollback",
     _JOURNAL
     + """, loc as (select full_path from base where doc_id % 3 <> 0 union select '/target' || full_path from base where doc_id % 5 = 0),
 chk as (select e.*, s.full_path is not null as st, t.full_path is not null as dt from ent e left join loc s on s.full_path = source_path left join loc t on t.full_path = destination_path where status = 'done')
-select transaction_id, seq, concat('Rollback verification failed: copied destination still exists (', destination_path, ').') as issue from chk where action = 'copied' and dt
-union all select transaction_id, seq, concat('Rollback verification failed: source missing after rollback (', source_path, ').') from chk where action in ('moved', 'quarantined_duplicate') and not st
-union all select transaction_id, seq, concat('Rollback verification failed: destination still exists after rollback (', destination_path, ').') from chk where action in ('moved', 'quarantined_duplicate') and dt""",
+select transaction_id, seq, concat('After undo a copy is left: ', destination_path) as issue from chk where action = 'copied' and dt
+union all select transaction_id, seq, concat('After undo a record is missing: ', source_path) from chk where action in ('moved', 'quarantined_duplicate') and not st
+union all select transaction_id, seq, concat('After undo a moved record is left: ', destination_path) from chk where action in ('moved', 'quarantined_duplicate') and dt""",
 )(
     lambda s, d: journal.verify_rollback(
         journal_tables(s, d)[1],
@@ -407,14 +407,14 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _METRICS = _MEM + """, g as (select size_bytes, count(*) as n from members group by sha256_hash, size_bytes),
 v as (select (select count(*) from inv) as files, cast((select coalesce(sum(size_bytes), 0) from inv) as bigint) as bytes, count(*) as groups, cast(coalesce(sum(n - 1), 0) as bigint) as dup, cast(coalesce(sum(size_bytes * (n - 1)), 0) as bigint) as reclaim from g)"""
-_VALUES = [("GeneratedAtUtc", "'2024-06-01 00:00:00 UTC'"), ("TransactionId", "'tx0'"), ("SourcePath", "'/lake'"), ("TargetPath", f"'{TARGET}'"), ("TotalFiles", "files"), ("TotalBytes", "bytes"), ("DuplicateGroups", "groups"), ("DuplicateFiles", "dup"), ("SimilarImageGroups", "0"), ("SkippedFiles", "0"), ("ReclaimableBytes", "reclaim"), ("FilesCopied", "0"), ("FilesMoved", "0"), ("DuplicatesQuarantined", "dup"), ("DuplicatesDeleted", "0"), ("Errors", "0")]
-query("report_metrics", _METRICS + " union all ".join(f"select {i} as position, '{m}' as metric, cast({v} as varchar) as value from v" for i, (m, v) in enumerate(_VALUES, start=1)))(lambda s, d: report.report_metrics(_summary(s, d)))
+_VALUES = dict(zip(report.METRICS, ["'2024-06-01 00:00:00 UTC'", "'tx0'", "'/lake'", f"'{TARGET}'", "files", "bytes", "groups", "dup", "0", "0", "reclaim", "0", "0", "dup", "0", "0"], strict=True))
+query("report_metrics", _METRICS + " union all ".join(f"select {i} as position, '{m}' as metric, cast({v} as varchar) as value from v" for i, (m, v) in enumerate(_VALUES.items(), start=1)))(lambda s, d: report.report_metrics(_summary(s, d)))
 query("report_members", _MEM + "select sha256_hash, size_bytes, full_path from members")(lambda s, d: report.report_members(members(s, d)))
 query(
     "report_digest",
     _METRICS
     + f""", top as (select sha256_hash, size_bytes, count(*) as n from members group by 1, 2 order by n desc, size_bytes desc, sha256_hash limit 10)
-select line_no, line from (values (0, 'Run Report'), (1, 'Generated: 2024-06-01 00:00:00 UTC'), (2, 'Transaction ID: tx0'), (3, 'Source: /lake'), (4, 'Target: {TARGET}'), (9, 'Similar Groups: 0'), (10, 'Skipped Files: 0'), (12, 'Copied: 0'), (13, 'Moved: 0'), (15, 'Deleted: 0'), (16, 'Errors: 0'), (17, ''), (18, 'Top Duplicate Groups:')) t(line_no, line)
+select line_no, line from (values (0, 'Run Report'), (1, 'Generated: 2024-06-01 00:00:00 UTC'), (2, 'Transaction ID: tx0'), (3, 'Source: /lake'), (4, 'Target: {TARGET}'), (9, 'Similar Image Groups: 0'), (10, 'Skipped Files: 0'), (12, 'Copied: 0'), (13, 'Moved: 0'), (15, 'Deleted: 0'), (16, 'Errors: 0'), (17, ''), (18, 'Top Duplicate Groups:')) t(line_no, line)
 union all select 5, 'Total Files: ' || files from v union all select 6, 'Total Size: ' || {_size_text('bytes')} from v union all select 7, 'Duplicate Groups: ' || groups from v
 union all select 8, 'Duplicate Files: ' || dup from v union all select 11, 'Reclaimable: ' || {_size_text('reclaim')} from v union all select 14, 'Quarantined: ' || dup from v
 union all select 18 + row_number() over (order by n desc, size_bytes desc, sha256_hash), concat('- ', substr(sha256_hash, 1, 12), '... (', n, ' files, ', {_size_text('size_bytes')}, ')') from top""",
@@ -422,14 +422,22 @@ union all select 18 + row_number() over (order by n desc, size_bytes desc, sha25
 
 
 def _document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's datasets, written and read back: counts of each section's rows."""
     folder = new_path(spark, "report")
-    nested = report.report_document(_summary(spark, sf_dir), dedupe.duplicate_groups(inventory(spark, sf_dir)), spark.createDataFrame([], "anchor_path string, similar_paths array<string>, max_distance int"))
-    nested.coalesce(1).write.json(folder)
-    back = spark.read.json(folder)
-    return back.select("transaction_id", F.col("summary.total_files_scanned").alias("files"), F.size("duplicate_groups").cast("long").alias("groups"), F.aggregate("duplicate_groups", F.lit(0).cast("long"), lambda n, g: n + F.size(g["files"])).alias("members"))
-
-
-query("report_document", _MEM + "select 'tx0' as transaction_id, (select count(*) from inv) as files, count(distinct sha256_hash || size_bytes) as groups, count(*) as members from members")(_document)
+    none = spark.createDataFrame([], "anchor_path string, full_path string, group_size long")
+    rows = inventory(spark, sf_dir)
+    skipped = rows.filter("doc_id % 17 = 0").select("full_path")
+    errors = rows.filter("doc_id % 19 = 0").select(C.error_message("Could not read", F.col("full_path")).alias("message"))
+    report.write_report(folder, _summary(spark, sf_dir), members(spark, sf_dir), none, skipped, errors)
+    head = spark.read.json(f"{folder}/document").select("transaction_id", F.col("summary.total_files_scanned").alias("files"), F.col("summary.duplicate_group_count").alias("groups"))
+    counts = {"members": spark.read.json(f"{folder}/duplicate_groups"), "csv_members": spark.read.csv(f"{folder}/members", header=True), "csv_skipped": spark.read.csv(f"{folder}/skipped", header=True)}
+    counts["csv_errors"] = spark.read.csv(f"{folder}/errors", header=True, escape='"')
+    for name, section in counts.items():
+        head = head.withColumn("k", F.lit(1)).join(section.agg(F.count("*").alias(name), F.lit(1).alias("k")), "k").drop("k")  # one row each
+    return head
+
+
+query("report_document", _MEM + "select 'tx0' as transaction_id, (select count(*) from inv) as files, count(distinct sha256_hash || size_bytes) as groups, count(*) as members, count(*) as csv_members, (select count(*) from inv where doc_id % 17 = 0) as csv_skipped, (select count(*) from inv where doc_id % 19 = 0) as csv_errors from members")(_document)
 
 # ---- streaming, generator ------------------------------------------------------------------
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.functions.columns import error_message
 from recordloom.functions.filters import ScanFilter
 from recordloom.operators import journal
 from recordloom.operators.dedupe import dedupe_summary, duplicate_members
-from recordloom.operators.plan import SCOPES, action_summary, dedupe_plan, organize_plan, removals, survivors
+from recordloom.operators.plan import SCOPES, action_summary, dedupe_plan, organize_plan, removals, still_there, survivors
 from recordloom.operators.storage import materialize
 from recordloom.sources.inventory import scan, scan_summary
 
@@ -63,79 +67,144 @@ def preview(inventory: DataFrame, options: RunOptions) -> RunResult:
     return RunResult(options, scanned, summary, members, removed, left if grouping else None)
 
 
-def apply(inventory: DataFrame, options: RunOptions, folder: str, transaction_id: str) -> DataFrame:
-    """Do what ``preview`` plans, and return the counters of what was done.
+#: States of a run and its stages.
+RUNNING, COMPLETED, CANCELLED, FAILED = "running", "completed", "cancelled", "failed"
+STAGES = ("dedupe", "organize")
+SKIPPED = "transaction_id string, full_path string"
+ERRORS = "transaction_id string, full_path string, message string"
 
-    Below ``folder``: the journal, ``organized`` and ``quarantine`` (records by transaction), all
-    Parquet. Intent is journaled before data is written; a failure marks the run as failed and is
-    raised again.
+
+class Cancelled(Exception):
+    """A run was asked to stop between two stages."""
+
+
+def read_issues(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The rows ``skipped`` or ``errors`` of all runs; empty if there are none."""
+    schema = {"skipped": SKIPPED, "errors": ERRORS}[name]
+    try:
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def apply(inventory: DataFrame, options: RunOptions, folder: str, transaction_id: str, current: DataFrame | None = None, stop: Callable[[], bool] | None = None) -> DataFrame:
+    """Do what ``preview`` plans, and return one row of counters of what was done.
+
+    Below ``folder``: the journal, ``organized`` and ``quarantine`` (records by transaction), and
+    the run's ``skipped`` and ``errors`` rows, all Parquet. ``current`` (full_path, and where it has
+    one, error) is what exists when the run acts: a planned record that is not there is skipped, and
+    one with an error ends as failed; the others go on. Intent is journaled before data is written.
+    ``stop`` is asked before each stage. A run that is stopped or breaks is marked so, and raises.
     """
     spark = inventory.sparkSession
     result = preview(inventory, options)
-    plans = [p for p in (result.dedupe_actions(), result.organize_actions()) if p is not None]
-    steps = []
-    first = 0
-    for plan in plans:
-        plan = materialize(plan.withColumn("seq", F.col("seq") + first), "plan")
-        first += plan.count()
-        steps.append(plan)
-    created = F.current_timestamp()
-
-    def state(status: str, stage: str, processed: int, message: str, reason: str | None = None) -> None:
-        row = journal.header(spark, transaction_id, options.source_root, options.target_root, status, stage, processed, first, message, created, F.current_timestamp(), reason)
+    made = {"dedupe": result.dedupe_actions(), "organize": result.organize_actions()}
+    steps, total = {}, 0
+    for stage in STAGES:
+        if made[stage] is not None:
+            steps[stage] = materialize(made[stage].withColumn("seq", F.col("seq") + total), "plan")
+            total += steps[stage].count()
+    created = F.lit(datetime.now(timezone.utc))
+    processed = 0
+
+    def state(status: str, stage: str, message: str, reason: str | None = None) -> None:
+        row = journal.header(spark, transaction_id, options.source_root, options.target_root, status, stage, processed, total, message, created, F.current_timestamp(), reason)
         journal.append(row, folder, "transactions")
 
-    state("running", "created", 0, "Run started.")
+    state(RUNNING, "created", "Run planned.")
     try:
-        for plan in steps:
-            journal.append(journal.journal_events(plan, transaction_id, "pending", 0, F.current_timestamp()), folder, "journal_entries")
-            kept = plan.filter("destination_path is not null")
-            content = journal.placed_rows(kept, result.scanned, transaction_id)
-            organized = content.filter("action in ('copied', 'moved')")
-            organized.write.mode("append").partitionBy("transaction_id", "folder", "year", "month").parquet(f"{folder}/organized")
-            quarantined = content.filter("action = 'quarantined_duplicate'").drop("folder", "year", "month")
-            quarantined.write.mode("append").partitionBy("transaction_id").parquet(f"{folder}/quarantine")
-            journal.append(journal.journal_events(plan, transaction_id, "done", 1, F.current_timestamp()), folder, "journal_entries")
-        state("completed", "completed", first, "Run completed.")
+        for stage, plan in steps.items():
+            if stop is not None and stop():
+                raise Cancelled(f"stopped before {stage}")
+            state(RUNNING, stage, f"Stage {stage} begins.")
+            _act(plan, result.scanned, folder, transaction_id, stage, current)
+            processed += plan.count()
+        state(COMPLETED, COMPLETED, "Run completed.")
+    except Cancelled as why:
+        state(CANCELLED, CANCELLED, "Run cancelled.", str(why))
+        raise
     except Exception as failed:
-        state("failed", "failed", 0, "Run failed.", str(failed)[:500])
+        state(FAILED, FAILED, "Run failed.", str(failed))
         raise
-    empty = spark.createDataFrame([], "action string")
-    return action_summary(steps[0].select("action").unionByName(steps[1].select("action")) if len(steps) > 1 else steps[0].select("action") if steps else empty)
-
-
-def undo(spark, folder: str, transaction_id: str) -> DataFrame:
-    """Mark a run as rolled back and return the summary of what that reverts; the live set is the journal's fold."""
-    entries = journal.read_table(spark, folder, "journal_entries").filter(F.col("transaction_id") == transaction_id)
-    known = journal.current_transactions(journal.read_table(spark, folder, "transactions")).filter(F.col("transaction_id") == transaction_id)
+    return run_counters(spark, folder, transaction_id)
+
+
+def _act(plan: DataFrame, scanned: DataFrame, folder: str, transaction_id: str, stage: str, current: DataFrame | None) -> None:
+    """Write one stage's actions: pending events, then the data, then done and failed events."""
+    spark, tx = plan.sparkSession, F.lit(transaction_id).alias("transaction_id")
+    acted = plan.withColumn("read_error", F.lit(None).cast("string"))
+    if current is not None:
+        seen = current.select(F.col("full_path").alias("source_path"), (F.col("error") if "error" in current.columns else F.lit(None).cast("string")).alias("read_error"))
+        acted = materialize(plan.join(seen, "source_path"), "acted")
+        _, gone = still_there(plan, current)
+        gone.select(tx, F.col("source_path").alias("full_path")).write.mode("append").parquet(f"{folder}/skipped")
+    journal.append(journal.journal_events(acted, transaction_id, "pending", 0, F.current_timestamp()), folder, "journal_entries")
+    good = acted.filter("read_error is null").drop("read_error")
+    content = journal.placed_rows(good.filter("destination_path is not null"), scanned, transaction_id)
+    if stage == "organize":
+        content.write.mode("append").partitionBy("transaction_id", "folder", "year", "month").parquet(f"{folder}/organized")
+    else:
+        content.drop("folder", "year", "month").write.mode("append").partitionBy("transaction_id").parquet(f"{folder}/quarantine")
+    status = F.when(F.col("read_error").isNull(), "done").otherwise("failed")
+    journal.append(journal.journal_events(acted, transaction_id, status, 1, F.current_timestamp(), F.col("read_error")), folder, "journal_entries")
+    if current is not None:
+        message = error_message(f"Could not {stage}", F.col("source_path"), None, F.col("read_error"))
+        wrong = acted.filter("read_error is not null").select(tx, F.col("source_path").alias("full_path"), message.alias("message"))
+        wrong.write.mode("append").parquet(f"{folder}/errors")
+
+
+def run_counters(spark: SparkSession, folder: str, transaction_id: str) -> DataFrame:
+    """What a run has done by action, and how many records it skipped or failed on."""
+
+    def own(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col("transaction_id") == transaction_id)
+
+    done = journal.current_entries(own(journal.read_table(spark, folder, "journal_entries"))).filter("status = 'done'")
+    out = action_summary(done).withColumn("k", F.lit(1))
+    for name, count in (("skipped", "skipped_count"), ("errors", "error_count")):
+        out = out.join(own(read_issues(spark, folder, name)).agg(F.count("*").alias(count), F.lit(1).alias("k")), "k")  # one row each
+    return out.drop("k")
+
+
+def _undo(spark: SparkSession, folder: str, chosen: DataFrame, inventory: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Mark the ``chosen`` runs as rolled back; the undo plan and (transaction_id, message) of all that could not be undone."""
+    chosen = materialize(chosen.select("transaction_id").distinct(), "chosen")
+    entries, states = journal.read_table(spark, folder, "journal_entries"), journal.read_table(spark, folder, "transactions")
+    own, heads = (rows.join(chosen, "transaction_id", "left_semi") for rows in (entries, states))
+    undone = materialize(journal.undo_plan(own), "undone")
+    errors = undone.filter("error is not null").select("transaction_id", F.col("error").alias("message"))
+    if inventory is not None:
+        after = journal.rolled_back(heads, own, errors, F.current_timestamp())
+        there = journal.locations(inventory, entries, states.unionByName(after))
+        errors = errors.unionByName(journal.verify_rollback(own, there).select("transaction_id", F.col("issue").alias("message")))
+    errors = materialize(errors, "undo-errors")
+    journal.append(materialize(journal.rolled_back(heads, own, errors, F.current_timestamp()), "rolled-back"), folder, "transactions")
+    return undone, errors
+
+
+def undo(spark: SparkSession, folder: str, transaction_id: str, inventory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Mark a run as rolled back: its counters in one row, and the errors as rows; the live set is the journal's fold.
+
+    With the ``inventory``, what should be there again and what should be gone is checked too.
+    """
+    known = journal.read_table(spark, folder, "transactions").filter(F.col("transaction_id") == transaction_id)
     if known.isEmpty():
         raise ValueError(f"no run {transaction_id}")
-    summary = materialize(journal.undo_summary(journal.undo_plan(entries)), "undone")
-    n = journal.current_entries(entries).count()
-    errors = summary.select(F.size("errors")).first()[0]
-    message = f"Rollback completed with {errors} warning/error(s)." if errors else "Rollback completed."
-    row = materialize(
-        known.select(
-            "transaction_id",
-            "created_at_utc",
-            "source_root",
-            "target_root",
-            F.lit(journal.ROLLED_BACK).alias("lifecycle_status"),
-            F.lit("undo_completed").alias("checkpoint_stage"),
-            F.lit(n).cast("long").alias("checkpoint_processed"),
-            F.lit(n).cast("long").alias("checkpoint_total"),
-            F.lit(message).alias("checkpoint_message"),
-            F.current_timestamp().alias("updated_at_utc"),
-            F.lit(None).cast("string").alias("interruption_reason"),
-        ),
-        "rolled-back",
-    )
-    journal.append(row, folder, "transactions")
-    return summary
-
-
-def undo_last(spark, folder: str) -> DataFrame:
+    undone, errors = _undo(spark, folder, known, inventory)
+    counted = journal.undo_summary(undone).drop("n_errors").withColumn("k", F.lit(1))
+    return counted.join(errors.agg(F.count("*").alias("n_errors"), F.lit(1).alias("k")), "k").drop("k"), errors
+
+
+def undo_last(spark: SparkSession, folder: str, inventory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     latest = journal.latest_transaction(journal.read_table(spark, folder, "transactions")).first()
     if latest is None:
         raise ValueError(f"no run to undo in {folder}")
-    return undo(spark, folder, latest["transaction_id"])
+    return undo(spark, folder, latest["transaction_id"], inventory)
+
+
+def recover(spark: SparkSession, folder: str, inventory: DataFrame | None = None) -> DataFrame:
+    """Undo every recoverable run in one job and mark each as rolled back; returns what each restores."""
+    states, entries = journal.read_table(spark, folder, "transactions"), journal.read_table(spark, folder, "journal_entries")
+    found = materialize(journal.recover_all(states, entries), "recovered")
+    _undo(spark, folder, found, inventory)
+    return found

@@ -9,15 +9,18 @@ entered, and what cannot be read becomes a row with an ``error``.
 
 from __future__ import annotations
 
+import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from recordloom.functions.columns import classify, extension
+from recordloom.functions.fingerprints import MIB, MIDDLE
 from recordloom.sources.inventory import COLUMNS, RESERVED_DIRECTORIES
 
 SCHEMA = "full_path string, size_bytes long, last_write_utc timestamp, error string"
@@ -102,28 +105,77 @@ def inventory_from_files(spark: SparkSession, root: str, **options: str) -> Data
     return rows.select(*COLUMNS, "error")
 
 
-def with_content(spark: SparkSession, inventory: DataFrame, chunk: int = 1 << 20) -> DataFrame:
-    """Add SHA-256 and size of each listed file, read in the tasks in chunks; a failure fills ``error``."""
-    import hashlib
+def _each(listed: DataFrame, root: str, name: str, value: Callable[[pyarrow.fs.FileSystem, str, int], str]) -> DataFrame:
+    """Add ``name``, made of each file by a task that reads it, and ``read_error`` where that fails."""
 
-    import pandas as pd
-
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pyarrow.fs.FileSystem.from_uri(root)
         for batch in batches:
-            hashes, errors = [], []
-            for path in batch["full_path"]:
+            made: list[str | None] = []
+            errors: list[str | None] = []
+            for path, size in zip(batch["full_path"].to_pylist(), batch["size_bytes"].to_pylist(), strict=True):
                 try:
-                    fs, own = pyarrow.fs.FileSystem.from_uri(path)
-                    held = hashlib.sha256()
-                    with fs.open_input_stream(own) as stream:
-                        while data := stream.read(chunk):
-                            held.update(data)
-                    hashes.append(held.hexdigest())
+                    made.append(value(fs, path, size))
                     errors.append(None)
                 except OSError as failed:
-                    hashes.append(None)
+                    made.append(None)
                     errors.append(f"Read failed (path='{path}'): {failed}")
-            yield batch.assign(sha256=hashes, read_error=errors)
+            arrays = [*batch.columns, pa.array(made, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, name, "read_error"])
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed.schema.fields)
+    return listed.mapInArrow(run, f"{kept}, {name} string, read_error string")
+
+
+def file_signatures(listed: DataFrame, root: str) -> DataFrame:
+    """Add ``quick_signature`` to files listed below ``root``: a hash of the size and of the slices that ``quick_signature`` of content takes; only these are read."""
+
+    def sign(fs: pyarrow.fs.FileSystem, path: str, size: int) -> str:
+        if size == 0:
+            return "empty"
+        slices = [(0, min(size, MIB))]
+        if size > 2 * MIB:
+            slices.append((size // 2 - MIDDLE // 2, MIDDLE))
+        if size > MIB:
+            slices.append((size - MIB, MIB))
+        held = hashlib.sha256(str(size).encode())
+        with fs.open_input_file(path) as file:
+            for begin, n in slices:
+                held.update(file.read_at(n, begin))
+        return held.hexdigest()[:32]
+
+    return _each(listed, root, "quick_signature", sign)
+
+
+def file_digests(listed: DataFrame, root: str, chunk: int = MIB) -> DataFrame:
+    """Add ``sha256_hash`` of each whole file, read in chunks."""
+
+    def digest(fs: pyarrow.fs.FileSystem, path: str, size: int) -> str:
+        held = hashlib.sha256()
+        with fs.open_input_stream(path) as stream:
+            while data := stream.read(chunk):
+                held.update(data)
+        return held.hexdigest()
+
+    return _each(listed, root, "sha256_hash", digest)
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Write ``content`` of each row to ``folder`` + full_path, and return (full_path, write_error) of what was written; repeated writes leave the same files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            errors: list[str | None] = []
+            for path, content in zip(batch["full_path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                own = base + path
+                try:
+                    fs.create_dir(own.rsplit("/", 1)[0])
+                    with fs.open_output_stream(own) as out:
+                        out.write((content or "").encode())
+                    errors.append(None)
+                except OSError as failed:
+                    errors.append(f"Write failed (path='{path}'): {failed}")
+            yield pa.RecordBatch.from_arrays([batch["full_path"], pa.array(errors, pa.string())], ["full_path", "write_error"])
 
-    schema = "full_path string, size_bytes long, sha256 string, read_error string"
-    return inventory.select("full_path", "size_bytes").mapInPandas(digest, schema)
+    return rows.select("full_path", "content").mapInArrow(run, "full_path string, write_error string")

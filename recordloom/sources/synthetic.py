@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Sizes in bytes that records have.
 SIZES = (1024, 2048, 4096, 8192, 16384, 32768, 65536, 262144, 1048576)
-FOLDERS = ("docs", "images", "videos", "audio", "misc/deep/a", "misc/deep/b")
+SHELVES = 12
 
 
 def synthetic_inventory(spark: SparkSession, n: int, dup: float = 0.2, same_size: float = 0.1, seed: int = 42, root: str = "/synthetic") -> DataFrame:
@@ -23,18 +23,18 @@ def synthetic_inventory(spark: SparkSession, n: int, dup: float = 0.2, same_size
     variants = min(int(n * same_size), n - paired)
     unique = n - paired - variants
     i = F.col("id")
-    kind = F.when(i < unique, "u").when(i < unique + paired, "d").otherwise("s")
-    token = F.when(kind == "d", F.floor((i - unique) / 2)).otherwise(i)
-    rows = spark.range(n).select("id", kind.alias("kind"), F.concat_ws(":", kind, token, F.lit(str(seed))).alias("token"))
-    size = F.element_at(F.array(*map(F.lit, SIZES)), (F.pmod(F.xxhash64("token"), F.lit(len(SIZES))) + 1).cast("int"))
-    folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(FOLDERS))) + 1).cast("int"))
+    shared = F.when((i >= unique) & (i < unique + paired), F.floor((i - unique) / 2))
+    # what a record's content is made from; the two of a pair have the same
+    rows = spark.range(n).select("id", F.sha2(F.concat_ws("/", F.lit(seed), F.coalesce(F.concat(F.lit("pair "), shared), F.concat(F.lit("own "), i))), 256).alias("grain"))
+    size = F.element_at(F.array(*map(F.lit, SIZES)), (F.pmod(F.xxhash64("grain"), F.lit(len(SIZES))) + 1).cast("int"))
     rows = rows.withColumn("size_bytes", size.cast("long"))
-    name = F.format_string("%s_%06d.bin", F.col("kind"), F.col("id"))
+    shelf = F.format_string("shelf%02d/box%d", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(SHELVES)), F.pmod(F.col("id"), F.lit(7)))
+    name = F.format_string("record-%d.bin", F.col("id"))
     return rows.select(
-        F.concat_ws("/", F.lit(root), folder, name).alias("full_path"),
+        F.concat_ws("/", F.lit(root), shelf, name).alias("full_path"),
         F.lit(".bin").alias("extension"),
         "size_bytes",
         F.timestamp_seconds(1704067200 + F.pmod(F.xxhash64("id"), F.lit(86400 * 365))).alias("last_write_utc"),
         F.lit("other").alias("category"),
-        F.expr("repeat(sha2(token, 256), cast(ceil(size_bytes / 64) as int))").alias("content"),
+        F.expr("repeat(grain, cast(ceil(size_bytes / 64) as int))").alias("content"),
     )

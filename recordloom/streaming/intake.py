@@ -12,9 +12,12 @@ from recordloom.functions.columns import destination_folder
 from recordloom.functions.filters import ScanFilter
 from recordloom.functions.fingerprints import sha256
 from recordloom.operators.dedupe import member_order
-from recordloom.operators.reuse import fingerprint_upsert, read_fingerprints, with_fingerprints, write_fingerprints
+from recordloom.operators.reuse import latest_versions, read_changes, with_fingerprints, write_changes, write_fingerprints
+from recordloom.operators.storage import materialize
 from recordloom.sources.inventory import scan
 
+#: Batches after which the store is written out whole.
+SNAPSHOT_EVERY = 64
 SEEN = "full_path string, size_bytes long, last_write_utc timestamp, sha256 string, is_duplicate boolean, reused boolean, batch long"
 
 
@@ -25,27 +28,30 @@ def filter_stream(inventory: DataFrame, options: ScanFilter, target: str) -> Dat
 
 
 def intake_batch(batch: DataFrame, batch_id: int, store: str, out: str, compute: Callable[[Column], Column] = sha256) -> None:
-    """Mark each record of a batch as new or as a copy of an earlier one, then renew the store.
+    """Mark each record of a batch as new or as a copy of an earlier one, then add the batch to the store.
 
     Digests are computed only where the store has no value for the record's version. The first
     of equal records inside a batch (oldest, then by path) is new if no earlier batch had it.
-    Writing a batch again replaces its folder, so a repeated batch changes nothing.
+    A batch is judged against the batches before it alone, and both of its folders are replaced when
+    it is written again, so a batch that is repeated, after a crash at any point or later, gives
+    the same rows.
     """
     spark = batch.sparkSession
-    known = read_fingerprints(spark, store)
+    known = materialize(read_changes(spark, store, batch_id), "known")
     rows = with_fingerprints(batch, known, compute).select("full_path", "size_bytes", "mtime_us", "last_write_utc", "sha256", "reused")
-    first = rows.groupBy("sha256").agg(F.min_by("full_path", F.struct(*member_order())).alias("first_path"))
-    earlier = known.groupBy("sha256").agg(F.count_distinct("full_path").alias("known"))
-    own = known.select("sha256", "full_path").distinct().withColumn("own", F.lit(1))
+    rows = materialize(rows, "batch")
+    first = materialize(rows.groupBy("sha256").agg(F.min_by("full_path", F.struct(*member_order())).alias("first_path")), "firsts")
+    earlier = materialize(known.groupBy("sha256").agg(F.count("*").alias("known")), "earlier")  # a path is known once
+    own = known.select("sha256", "full_path", F.lit(1).alias("own"))
     marked = rows.join(first, "sha256").join(earlier, "sha256", "left").join(own, ["sha256", "full_path"], "left")
     others = F.coalesce("known", F.lit(0)) - F.coalesce("own", F.lit(0))  # earlier records with this content at other paths
     duplicate = (others > 0) | (F.col("full_path") != F.col("first_path"))
-    marked = marked.select("full_path", "size_bytes", "last_write_utc", "sha256", duplicate.alias("is_duplicate"), "reused", F.lit(batch_id).cast("long").alias("batch"))
-    path = f"{out}/batch={batch_id}"
-    marked.drop("batch").write.mode("overwrite").parquet(path)
-    done = spark.read.schema(SEEN).parquet(path).withColumn("mtime_us", F.unix_micros("last_write_utc"))
-    name = f"snapshot-{batch_id:08d}"
-    write_fingerprints(fingerprint_upsert(known, done, F.current_timestamp(), 0), store, name)
+    marked = marked.select("full_path", "size_bytes", "last_write_utc", "sha256", duplicate.alias("is_duplicate"), "reused")
+    marked.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    used = rows.select("full_path", "size_bytes", "mtime_us", "sha256", F.lit(None).cast("string").alias("quick_signature"), F.current_timestamp().alias("last_used"))
+    write_changes(latest_versions(used), store, batch_id)
+    if batch_id % SNAPSHOT_EVERY == SNAPSHOT_EVERY - 1:
+        write_fingerprints(read_changes(spark, store, batch_id + 1), store, batch_id)
 
 
 def incremental_intake(stream: DataFrame, store: str, out: str, checkpoint: str) -> StreamingQuery:

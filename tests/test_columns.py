@@ -69,7 +69,22 @@ def test_destination_takes_the_declared_zone(spark):
 
 def test_error_message(spark):
     message = C.error_message("Failed", F.col("p"), {"b": F.lit(2), "a": F.lit("x")}, F.col("e"))
-    assert values(spark, message, [("/p", "boom"), ("/p", None)], "p string, e string") == ["Failed (path='/p', a=x, b=2): boom", "Failed (path='/p', a=x, b=2)"]
+    assert values(spark, message, [("/p", "boom"), ("/p", None)], "p string, e string") == ["Failed (path='/p', a='x', b=2): boom", "Failed (path='/p', a='x', b=2)"]
+    texts = ["plain", "it's", 'both \' and "', "back\\slash", "two\nlines", None]
+    shown = values(spark, C.error_message("Op", None, {"v": F.col("t")}), [(t,) for t in texts], "t string")
+    assert shown == [f"Op (v={t!r})" for t in texts]
+    assert values(spark, C.error_message("Op", None, {"v": F.col("b")}), [(True,)], "b boolean") == ["Op (v=True)"]
+
+
+def test_size_ties_round_to_even(spark):
+    sizes = [*range(1024, 4096), *range(1 << 20, (1 << 20) + 3000), 1152, 1157627904, (1 << 50) + (1 << 47), (1 << 63) - 1]
+
+    def text(n):
+        for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), start=1):
+            if n < 1024 ** (k + 1) or unit == "PB":
+                return f"{n / 1024**k:.2f} {unit}"
+
+    assert values(spark, C.format_size(F.col("n")), [(n,) for n in sizes], "n long") == [text(n) for n in sizes]
     assert values(spark, C.error_message("Failed"), [("x",)], "p string") == ["Failed"]
 
 

@@ -13,8 +13,8 @@ from recordloom.functions.fingerprints import hamming_distance, image_fingerprin
 from recordloom.operators import dedupe, journal, plan, report, reuse, similar
 from recordloom.operators.components import connected_components
 from recordloom.operators.storage import new_path
-from recordloom.plans.run import RunOptions, apply, preview, undo_last
-from recordloom.sources.files import inventory_from_files, with_content
+from recordloom.plans.run import Cancelled, RunOptions, apply, preview, read_issues, recover, undo, undo_last
+from recordloom.sources.files import file_digests, file_signatures, inventory_from_files
 from recordloom.sources.inventory import inventory_from_table, rejected_rows, scan_summary
 from recordloom.sources.synthetic import synthetic_inventory
 from recordloom.streaming.intake import incremental_intake, read_intake
@@ -169,13 +169,13 @@ def test_fingerprints_are_reused(spark):
     assert reuse.read_fingerprints(spark, folder).count() == 0
     rows = table(spark, [("/a", "x", 1), ("/b", "y", 1)])
     first = reuse.with_fingerprints(rows, reuse.read_fingerprints(spark, folder), sha256)
-    reuse.write_fingerprints(reuse.fingerprint_upsert(reuse.read_fingerprints(spark, folder), first, F.current_timestamp()), folder, "s1")
+    reuse.write_fingerprints(reuse.fingerprint_upsert(reuse.read_fingerprints(spark, folder), first, F.current_timestamp()), folder, 1)
     changed = table(spark, [("/a", "longer", 2), ("/b", "y", 1)])
     store = reuse.read_fingerprints(spark, folder)
     assert reuse.fingerprint_stats(changed, store).first() == (1, 1, 1, 0, 2)
     second = reuse.with_fingerprints(changed, store, sha256)
     assert {r.full_path: r.reused for r in second.collect()} == {"/a": False, "/b": True}
-    reuse.write_fingerprints(reuse.fingerprint_upsert(store, second, F.current_timestamp()), folder, "s2")
+    reuse.write_fingerprints(reuse.fingerprint_upsert(store, second, F.current_timestamp()), folder, 2)
     store = reuse.read_fingerprints(spark, folder)
     assert store.count() == 2 and store.filter("full_path = '/a'").first().size_bytes == 6
     assert reuse.fingerprint_hits(changed, store, refresh=True).count() == 0
@@ -197,7 +197,8 @@ def test_undo_of_each_action(spark):
     undone = journal.undo_plan(entries)
     assert [r.seq for r in undone.orderBy("step").collect()] == [4, 2, 1, 0]
     summary = journal.undo_summary(undone).first()
-    assert tuple(summary)[:3] == (1, 1, 1) and summary.errors == ["Deleted record cannot be restored (/s/4)."]
+    assert tuple(summary) == (1, 1, 1, 1)
+    assert [r.error for r in undone.filter("error is not null").collect()] == ["Deleted record cannot be restored (/s/4)."]
     there = spark.createDataFrame([("/t/x",)], "full_path string")
     assert journal.undo_plan(entries, locations=there.filter("false")).count() == 1
 
@@ -217,7 +218,7 @@ def test_rollback_issues(spark):
 
 
 def test_json_journals(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"id": "a", "source_root": "/s", "target_root": "/t", "entries": [{"action": "moved", "source_path": "/s/1", "destination_path": "/t/1"}]}')
+    (tmp_path / "a.json").write_text('{"transaction_id": "a", "source_root": "/s", "target_root": "/t", "entries": [{"action": "moved", "source_path": "/s/1", "destination_path": "/t/1"}]}')
     (tmp_path / "broken.json").write_text("{nonsense")
     states, entries = journal.read_json_journal(spark, str(tmp_path))
     assert [(r.transaction_id, r.lifecycle_status, r.checkpoint_stage) for r in states.collect()] == [("a", "completed", "legacy")]
@@ -228,14 +229,15 @@ def test_preview_apply_undo(spark):
     folder = new_path(spark, "run")
     rows = table(spark, [("/s/a.txt", "dup"), ("/s/b.txt", "dup"), ("/s/c.jpg", "solo")])
     options = RunOptions("/s", "/t")
-    assert apply(rows, options, folder, "tx1").first() == (2, 0, 1, 0)
+    assert apply(rows, options, folder, "tx1").first() == (2, 0, 1, 0, 0, 0)
     organized = spark.read.parquet(f"{folder}/organized")
     assert {(r.folder, r.year, r.month, r.name) for r in organized.select("folder", F.col("year").cast("string").alias("year"), F.lpad(F.col("month").cast("string"), 2, "0").alias("month"), "name").collect()} == {("Documents", "2023", "11", "a.txt"), ("Images", "2023", "11", "c.jpg")}
     assert spark.read.parquet(f"{folder}/quarantine").first().content == "dup"
     entries, states = journal.read_table(spark, folder, "journal_entries"), journal.read_table(spark, folder, "transactions")
     assert journal.recoverable_transactions(states, entries).count() == 0
     assert journal.live_set(rows, entries, states).count() == 2
-    assert tuple(undo_last(spark, folder).first())[:3] == (2, 0, 1)
+    counters, errors = undo_last(spark, folder, rows)
+    assert tuple(counters.first()) == (2, 0, 1, 0) and errors.count() == 0
     states = journal.read_table(spark, folder, "transactions")
     assert journal.live_set(rows, journal.read_table(spark, folder, "journal_entries"), states).count() == 3
     assert journal.current_transactions(states).first().lifecycle_status == "rolled_back"
@@ -249,11 +251,17 @@ def test_reports(spark, tmp_path):
     summary = report.run_summary([scan_summary(rows), dedupe.dedupe_summary(members), plan.action_summary(plan.dedupe_plan(members, "delete", "/s"))], "now", "/s", "/t")
     metrics = {r.metric: r.value for r in report.report_metrics(summary).collect()}
     assert len(metrics) == 16 and metrics["DuplicateFiles"] == "1" and metrics["DuplicatesDeleted"] == "1"
-    near = spark.createDataFrame([("/s/a", ["/s/b"], 8)], "anchor_path string, similar_paths array<string>, max_distance int")
-    report.write_report(str(tmp_path / "r"), summary, members, dedupe.duplicate_groups(rows), near)
+    near = spark.createDataFrame([("/s/a", "/s/a", 2), ("/s/a", "/s/b", 2)], "anchor_path string, full_path string, group_size long")
+    gone = spark.createDataFrame([("/s/gone, with a comma",)], "full_path string")
+    wrong = spark.createDataFrame([('said "no"',)], "message string")
+    report.write_report(str(tmp_path / "r"), summary, members, near, gone, wrong)
+    assert spark.read.csv(str(tmp_path / "r/skipped"), header=True).first()[0] == "/s/gone, with a comma"
+    assert spark.read.csv(str(tmp_path / "r/errors"), header=True, escape='"').first()[0] == 'said "no"'
     lines = [r.value for r in spark.read.text(str(tmp_path / "r/digest")).collect()]
     assert lines[0] == "Run Report" and lines[-1] == "- /s/a (+1 similar)" and any("(2 files, 3 B)" in x for x in lines)
-    assert spark.read.json(str(tmp_path / "r/document")).select(F.size("duplicate_groups")).first()[0] == 1
+    assert spark.read.json(str(tmp_path / "r/document")).first().summary.duplicate_group_count == 1
+    assert spark.read.json(str(tmp_path / "r/duplicate_groups")).count() == 2
+    assert "Similar Image Groups: 0" in lines and "Similar Image Groups:" in lines
 
 
 def test_file_listing(spark, tmp_path):
@@ -268,8 +276,13 @@ def test_file_listing(spark, tmp_path):
     assert set(found) == {"a/b/c/deep.txt", "a/.hidden", "_under", "zero.bin"}
     assert found["_under"].last_write_utc.microsecond == 123456 and found["zero.bin"].size_bytes == 0
     assert {r.reject_reason for r in rejected_rows(rows, ScanFilter()).collect()} == {"hidden"}
-    digests = with_content(spark, rows.select(F.concat(F.lit("file://"), "full_path").alias("full_path"), "size_bytes"))
-    assert digests.filter("sha256 is not null and read_error is null").count() == 4
+    root = f"file://{tmp_path}"
+    assert file_digests(rows, root).filter("sha256_hash is not null and read_error is null").count() == 4
+    (tmp_path / "_under").unlink()
+    for read in (file_digests, file_signatures):
+        assert [r.full_path for r in read(rows, root).filter("read_error is not null").collect()] == []  # listed anew: it is gone
+    gone = spark.createDataFrame([(f"{tmp_path}/_under", 6)], "full_path string, size_bytes long")
+    assert file_digests(gone, root).first().read_error and file_signatures(gone, root).first().read_error
     failed = inventory_from_files(spark, f"file://{tmp_path}/missing").collect()
     assert len(failed) == 1 and failed[0].error
 
@@ -296,3 +309,82 @@ def test_intake_over_batches(spark):
     feed([("/d", "y", 0), ("/e", "new", 0), ("/c", "y", 0)])
     rows = {(r.batch, r.full_path): (r.is_duplicate, r.reused) for r in read_intake(spark, f"{folder}/out").collect()}
     assert rows == {(0, "/a"): (True, False), (0, "/b"): (False, False), (0, "/c"): (False, False), (1, "/d"): (True, False), (1, "/e"): (False, False), (1, "/c"): (False, True)}
+
+
+def test_duplicate_files(spark, tmp_path):
+    mib = 1 << 20
+    body = bytes(range(256)) * (3 * mib // 256)
+    late, middle = bytearray(body), bytearray(body)
+    late[-1] ^= 1
+    middle[mib + 5] ^= 1  # in no slice that the signature reads
+    files = {"a.bin": body, "b.bin": body, "late.bin": bytes(late), "middle.bin": bytes(middle), "zero1": b"", "zero2": b"", "small1": b"same", "small2": b"same", "small3": b"sane", "own": b"unlike all"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    root = f"file://{tmp_path}"
+    listed = inventory_from_files(spark, root)
+    signed = {r.full_path.rsplit("/", 1)[1]: r.quick_signature for r in file_signatures(listed, root).collect()}
+    assert signed["a.bin"] == signed["b.bin"] == signed["middle.bin"] != signed["late.bin"]
+    groups = {}
+    for r in dedupe.duplicate_file_members(listed, root).collect():
+        groups.setdefault(r.sha256_hash, set()).add(r.full_path.rsplit("/", 1)[1])
+    assert sorted(map(sorted, groups.values())) == [["a.bin", "b.bin"], ["small1", "small2"], ["zero1", "zero2"]]
+    assert dedupe.duplicate_file_members(listed.filter("false"), root).count() == 0
+
+
+def test_a_run_skips_what_is_gone_and_fails_on_what_cannot_be_read(spark):
+    folder = new_path(spark, "partial")
+    rows = table(spark, [("/s/a.txt", "dup", 0), ("/s/b.txt", "dup", 1), ("/s/c.txt", "c"), ("/s/d.txt", "d"), ("/s/e.txt", "e")])
+    current = spark.createDataFrame([("/s/a.txt", None), ("/s/c.txt", "denied"), ("/s/d.txt", None), ("/s/e.txt", None)], "full_path string, error string")
+    assert apply(rows, RunOptions("/s", "/t", organize_mode="move"), folder, "t", current).first() == (0, 3, 0, 0, 1, 1)
+    assert [r.full_path for r in read_issues(spark, folder, "skipped").collect()] == ["/s/b.txt"]
+    assert [r.message for r in read_issues(spark, folder, "errors").collect()] == ["Could not organize (path='/s/c.txt'): denied"]
+    states, entries = journal.read_table(spark, folder, "transactions"), journal.read_table(spark, folder, "journal_entries")
+    assert {r.source_path: r.status for r in journal.current_entries(entries).collect()} == {"/s/a.txt": "done", "/s/c.txt": "failed", "/s/d.txt": "done", "/s/e.txt": "done"}
+    assert journal.recoverable_transactions(states, entries).count() == 1
+    counters, errors = undo(spark, folder, "t", rows.filter("full_path <> '/s/d.txt'"))
+    assert tuple(counters.first()) == (0, 3, 0, 1) and [r.message for r in errors.collect()] == ["After undo a record is missing: /s/d.txt"]
+
+
+def test_a_stopped_run_is_recovered(spark):
+    folder = new_path(spark, "stopped")
+    rows = table(spark, [("/s/a", "dup"), ("/s/b", "dup"), ("/s/c", "c")])
+    asked = iter([False, True])
+    with pytest.raises(Cancelled):
+        apply(rows, RunOptions("/s", "/t"), folder, "t", stop=lambda: next(asked))
+    states = journal.read_table(spark, folder, "transactions")
+    assert [(r.checkpoint_stage, r.checkpoint_processed) for r in states.orderBy("updated_at_utc").collect()] == [("created", 0), ("dedupe", 0), ("cancelled", 1)]
+    assert [(r.transaction_id, r.duplicates_quarantined) for r in recover(spark, folder, rows).collect()] == [("t", 1)]
+    states = journal.read_table(spark, folder, "transactions")
+    assert journal.current_transactions(states).first().lifecycle_status == "rolled_back"
+    assert journal.recoverable_transactions(states, journal.read_table(spark, folder, "journal_entries")).count() == 0
+
+
+def test_a_repeated_batch_changes_nothing(spark, monkeypatch):
+    from recordloom.streaming import intake
+
+    monkeypatch.setattr(intake, "SNAPSHOT_EVERY", 2)
+    folder = new_path(spark, "repeated")
+    batches = [[("/a", "x", 1), ("/b", "y", 0)], [("/c", "x", 0), ("/d", "z", 0)], [("/a", "x", 1), ("/e", "z", 5)]]
+
+    def feed(i):
+        intake.intake_batch(table(spark, batches[i]), i, f"{folder}/store", f"{folder}/out")
+
+    def seen():
+        return sorted(tuple(r) for r in read_intake(spark, f"{folder}/out").select("batch", "full_path", "is_duplicate", "reused").collect())
+
+    for i in range(3):
+        feed(i)
+    once = seen()
+    assert once == [(0, "/a", False, False), (0, "/b", False, False), (1, "/c", True, False), (1, "/d", False, False), (2, "/a", True, True), (2, "/e", True, False)]
+    for i in (2, 0, 1, 2):
+        feed(i)
+        assert seen() == once
+
+
+def test_wide_vectors_are_refused(spark):
+    from recordloom.functions.fingerprints import sign_bits
+
+    frame = spark.createDataFrame([([1.0, -1.0, 2.0],)], "v array<float>")
+    assert frame.select(sign_bits(F.col("v"))).first()[0] == 5
+    with pytest.raises(Exception, match="more than 64"):
+        spark.createDataFrame([([1.0] * 65,)], "v array<float>").select(sign_bits(F.col("v"))).collect()

@@ -7,8 +7,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from recordloom.plans.registry import QUERIES, SQL
+from recordloom.plans import registry, run_queries
 
+QUERIES, SQL = registry.QUERIES | run_queries.QUERIES, registry.SQL | run_queries.SQL
 SF = "/root/testdata/sf0.001"
 
 
