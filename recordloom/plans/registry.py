@@ -280,7 +280,8 @@ _TOK = "tok as (select doc_id, ('0x' || substr(md5(w), 1, 16))::UBIGINT as h fro
 _SIM = """bit as (select doc_id, i, sum(case when (h >> i) & 1 = 1 then 1 else -1 end) as v from tok, range(64) t(i) group by 1, 2),
 fp as materialized (select doc_id, bit_or(case when v > 0 then (1::UBIGINT << i::UBIGINT) else 0::UBIGINT end) as h from bit group by 1),
 node as (select b.full_path, b.last_write_utc, fp.h from fp join base b using (doc_id)),
-band as (select full_path, h, k, (h >> (16 * k)::UBIGINT) & 65535 as v from node, range(4) t(k)),
+rep as materialized (select h, min(full_path) as full_path from node group by 1),
+band as (select full_path, h, k, (h >> (16 * k)::UBIGINT) & 65535 as v from rep, range(4) t(k)),
 cand as (select distinct a.full_path as a, b.full_path as b, bit_count(xor(a.h, b.h)) as distance from band a join band b on a.k = b.k and a.v = b.v and a.full_path < b.full_path)"""
 _NEAR = _with(_BASE, _TOK, _SIM)
 
@@ -297,8 +298,9 @@ query("embedding_bands", "with b as (select vec_id, bit_or(case when embedding[i
 )
 query("similar_candidates", _NEAR + "select a, b, cast(distance as int) as distance from cand")(lambda s, d: similar.similar_candidates(text_fingerprints(s, d)))
 query("similar_pairs", _NEAR + "select a, b, cast(distance as int) as distance from cand where distance <= 8")(lambda s, d: similar.similar_pairs(text_fingerprints(s, d)))
+query("similar_membership", _NEAR + "select n.full_path, r.full_path as representative from node n join rep r using (h)")(lambda s, d: similar.similar_membership(text_fingerprints(s, d)))
 _CLUSTER = _with(_BASE, _TOK, _SIM, "pair as materialized (select a, b from cand where distance <= 8 union all select b, a from cand where distance <= 8)", "reach(x, y) as (select a, a from pair union select r.x, p.b from reach r join pair p on r.y = p.a)").replace("with base", "with recursive base")
-_ANCHOR = _CLUSTER + ", label as (select x as full_path, min(y) as cluster from reach group by 1), mem as (select l.*, n.last_write_utc from label l join node n using (full_path))"
+_ANCHOR = _CLUSTER + ", label as (select x, min(y) as cluster from reach group by 1), placed as (select n.full_path, n.last_write_utc, coalesce(l.cluster, r.full_path) as cluster from node n join rep r using (h) left join label l on l.x = r.full_path), mem as (select * from (select *, count(*) over (partition by cluster) as n from placed) where n > 1)"
 query("similar_clusters", _ANCHOR + "select full_path, count(*) over (partition by cluster) as members from mem")(
     lambda s, d: (lambda rows: rows.join(rows.groupBy("cluster").agg(F.count("*").alias("members")), "cluster").select("full_path", "members"))(similar.similar_clusters(text_fingerprints(s, d)))
 )

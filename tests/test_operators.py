@@ -117,7 +117,8 @@ def test_similar_records(spark):
     (group,) = similar.similar_groups(frame, times, 3).collect()
     assert group.anchor_path == "/d" and group.similar_paths == ["/c", "/b", "/a"]
     pairs = {(r.a, r.b): r.distance for r in similar.similar_pairs(frame, 3).collect()}
-    assert pairs == {("/a", "/b"): 3, ("/a", "/d"): 0, ("/b", "/c"): 3, ("/b", "/d"): 3}
+    assert pairs == {("/a", "/b"): 3, ("/b", "/c"): 3}
+    assert {r.full_path: r.representative for r in similar.similar_membership(frame).collect()} == {p: "/a" if p == "/d" else p for p in prints}
     with pytest.raises(ValueError):
         similar.similar_clusters(frame, 3, max_pairs=1)
 
