@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Four small transducers read the words of a clause: insults (each with a weight),
-targets, threats, and contexts that weaken what follows (negation, reported speech). Their composition is one automaton over (words since a negation, reported or not,
-target seen); running it once over a clause gives the clause's weight. A document's score
-combines its clauses: 1 - product of (1 - p), where p is the logistic of a clause's weight. So
-an isolated listed word is only one input of its clause.
+Five transducers read a clause's words as symbols (which of the grammar's lists a word is in), each
+passing on what it reads with marks of its own: negation marks what follows it closely, reported
+speech marks all that follows, target and threat keep what they have met, and insult writes out how
+much an insult counts where it stands. They are composed into one machine, whose states are
+the reachable combinations of theirs and whose tables are built once. Running it over a clause
+gives its final state and the insults with their levels, and from these the clause's weight. A
+document's score combines its clauses: 1 - product of (1 - p), where p is the logistic of a
+clause's weight. So an isolated listed word is only one input of its clause.
 
 Insults are learned from labels: words that stand in at least MIN_TOXIC toxic documents and
 whose share of toxic documents is MIN_SHARE or more; the weight is the log odds of that share.
@@ -12,12 +15,14 @@ One insult in a whole document may be there by chance, so it weighs LONE less. T
 bounded sample, at most FIT_ROWS labelled documents in the order of a hash of their ids. The
 weight of a threat against a target is learned alike, from the documents with such a clause; a
 negated or reported one without an insult is no threat.
-Targets, threats, negations and verbs of reporting are short fixed lists for four languages,
+The words learned are as many as the sample holds, which FIT_ROWS bounds. Targets, threats, negations and verbs of reporting are short fixed lists for four languages,
 without words that are common in another of them (such as the article "die").
 
 Nulls: a null or empty text has no clause and gets the score of one without a match. A null
 doc_id or label is not learned from. Repeated rows are scored alike; other columns are
-ignored. Without labels nothing is an insult.
+ignored. A very long text is scored whole, clause by clause. Where two labels of one id differ, the
+higher counts; of equally weighty insults none is preferred, as only their weights count. Without
+labels, or with an empty table, nothing is an insult.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +44,6 @@ from recordloom.llm.textops import NON_ALNUM, byte_set, span_hashes, utf8_slices
 FIT_ROWS = 20_000
 MIN_TOXIC = 4
 MIN_SHARE = 0.8
-MAX_INSULTS = 5_000
 NO_MATCH = 0.02
 THRESHOLD = 0.3
 
@@ -71,7 +76,7 @@ def _log_odds(n: int, n_toxic: int) -> float:
 
 
 def learn(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple[dict[str, float], float]:
-    """Insult words with their weights, and the weight of a threat (0 without labels): at most MAX_INSULTS + 1 rows reach the driver."""
+    """Insult words with their weights, and the weight of a threat (0 without labels): words of at most ``limit`` documents reach the driver."""
     labelled = labels.filter(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").select("text", "toxic")
@@ -96,43 +101,107 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple[di
     sums = rows.mapInArrow(count, "word string, n long, n_toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     is_threat = F.col("word") == _THREAT
     sums = sums.filter(is_threat | ((F.col("n_toxic") >= MIN_TOXIC) & (F.col("n_toxic") >= MIN_SHARE * F.col("n"))))
-    found = sums.orderBy(F.desc(is_threat), F.desc("n_toxic"), "word").limit(MAX_INSULTS + 1).collect()
-    weights = {r["word"]: _log_odds(r["n"], r["n_toxic"]) for r in found}
+    weights = {r["word"]: _log_odds(r["n"], r["n_toxic"]) for r in sums.collect()}
     threat = weights.pop(_THREAT, 0.0)
-    return dict(list(weights.items())[:MAX_INSULTS]), threat
+    return weights, threat
 
 
 def learn_insults(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> dict[str, float]:
     return learn(docs, labels, limit)[0]
 
 
+# Symbols: the lists that a word is in, and the marks that transducers add.
+_NEGATION, _REPORT, _TARGET, _THREATENS, _INSULT, _NEGATED, _REPORTED = (1 << k for k in range(7))
+#: What an insult or threat counts under each combination of marks.
+FACTORS = {0: 1.0, _REPORTED: REPORTED, _NEGATED: NEGATED, _NEGATED | _REPORTED: NEGATED * REPORTED}
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A start state, and the arcs as a function: (state, symbol read) to (next state, symbol written)."""
+
+    start: Hashable
+    arc: Callable[[Hashable, int], tuple[Hashable, int]]
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: ``other`` reads what this one writes."""
+
+        def arc(state: tuple[Hashable, Hashable], symbol: int) -> tuple[Hashable, int]:
+            first, passed = self.arc(state[0], symbol)
+            second, written = other.arc(state[1], passed)
+            return (first, second), written
+
+        return Transducer((self.start, other.start), arc)
+
+    def tables(self, symbols: range) -> tuple[list[Hashable], list[list[int]], list[list[int]]]:
+        """Reachable states, and for each state and symbol the number of the next one and the symbol written."""
+        states, number, following, written = [self.start], {self.start: 0}, [], []
+        for state in states:  # grows
+            arcs = [self.arc(state, symbol) for symbol in symbols]
+            for target, _ in arcs:
+                if target not in number:
+                    number[target] = len(states)
+                    states.append(target)
+            following.append([number[target] for target, _ in arcs])
+            written.append([out for _, out in arcs])
+        return states, following, written
+
+
+def _negate(since: int, symbol: int) -> tuple[int, int]:
+    """State: words since a negation. The negation itself is not passed on."""
+    if symbol & _NEGATION:
+        return 0, 0
+    return min(since + 1, NEGATION_REACH), symbol | (_NEGATED if since < NEGATION_REACH else 0)
+
+
+def _report(reported: bool, symbol: int) -> tuple[bool, int]:
+    reported = reported or bool(symbol & _REPORT)
+    return reported, symbol | (_REPORTED if reported else 0)
+
+
+def _target(met: bool, symbol: int) -> tuple[bool, int]:
+    return met or bool(symbol & _TARGET), symbol
+
+
+def _threaten(most: float, symbol: int) -> tuple[float, int]:
+    """State: the most that a threat has counted."""
+    return max(most, FACTORS[symbol & (_NEGATED | _REPORTED)]) if symbol & _THREATENS else most, symbol
+
+
+def _insult(state: None, symbol: int) -> tuple[None, int]:
+    """Writes an insult with its marks, and nothing else."""
+    return None, symbol & (_INSULT | _NEGATED | _REPORTED) if symbol & _INSULT else 0
+
+
+#: Words since a negation, reported speech, target, threat, insult, in the order in which they read.
+GRAMMAR = Transducer(NEGATION_REACH, _negate).then(Transducer(False, _report)).then(Transducer(False, _target)).then(Transducer(0.0, _threaten)).then(Transducer(None, _insult))
+_LISTS = ((NEGATIONS, _NEGATION), (REPORTS, _REPORT), (TARGETS, _TARGET), (THREATS, _THREATENS))
+
+
 class Grammar:
-    """The composed automaton; ``insults`` maps words to weights, ``threat`` is the weight of a threat against a target."""
+    """The composed machine over words; ``insults`` maps words to weights, ``threat`` is the weight of a threat against a target."""
 
     def __init__(self, insults: dict[str, float], threat: float = 0.0) -> None:
-        self.insults = insults
-        self.threat = threat
+        self.insults, self.threat = insults, threat
+        self.symbol = {w: sum(mark for own, mark in (*_LISTS, (insults, _INSULT)) if w in own) for w in {*insults, *TARGETS, *THREATS, *NEGATIONS, *REPORTS}}
+        states, self.following, self.written = GRAMMAR.tables(range(2 * _INSULT))
+        self.targeted = [state[0][0][1] for state in states]
+        self.threatened = [state[0][1] for state in states]
 
     def clause_weight(self, words: list[str]) -> tuple[float, int] | None:
         """Weight and number of insults of a clause, None if it has neither an insult nor a plain threat against a target."""
-        since_negation, reported, targeted = NEGATION_REACH, False, False
-        insults, best, total, threat = 0, 0.0, 0.0, 0.0
+        state, weights = 0, []
         for word in words:
-            if word in NEGATIONS:
-                since_negation = 0
-                continue
-            reported = reported or word in REPORTS
-            targeted = targeted or word in TARGETS
-            factor = (NEGATED if since_negation < NEGATION_REACH else 1.0) * (REPORTED if reported else 1.0)
-            if word in THREATS:
-                threat = max(threat, factor)
-            if word in self.insults:
-                weight = self.insults[word] * factor
-                insults, best, total = insults + 1, max(best, weight), total + weight
-            since_negation += 1
-        if not insults:
+            symbol = self.symbol.get(word, 0)
+            out = self.written[state][symbol]
+            state = self.following[state][symbol]
+            if out:
+                weights.append(self.insults[word] * FACTORS[out & ~_INSULT])
+        targeted, threat = self.targeted[state], self.threatened[state]
+        if not weights:
             return (self.threat, 0) if threat == 1 and targeted else None
-        return best + FURTHER * min(total - best, 4.0) + TARGETED * targeted + THREATENED * threat, insults
+        best = max(weights)
+        return best + FURTHER * min(sum(weights) - best, 4.0) + TARGETED * targeted + THREATENED * threat, len(weights)
 
     def has_threat(self, text: str) -> bool:
         return any((w := self.clause_weight(_WORD.findall(clause))) and not w[1] for clause in _CLAUSE.split(text.lower()))
