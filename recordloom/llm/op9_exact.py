@@ -10,8 +10,10 @@ the step that finds distinct blocks shuffles text, pre-aggregated in each task,
 on the 8-byte hash. Nothing relies on hashes being free of collisions.
 
 Nulls: a null text is empty; a null doc_id is an id like any other (it never beats another id).
-An empty text is one empty block. Repeated rows (same doc_id, same text) all come back, with
-the same decision; ``kept_documents`` leaves one of them. Other columns are ignored.
+An empty text is one empty block, a very long one as many blocks as it has, each a row. Repeated
+rows (same doc_id, same text) all come back, with the same decision; ``kept_documents`` leaves one
+of them. Of ties (equal texts with the largest id) all rows of that id stay in the decisions. Other
+columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,21 @@ BLOCK_BYTES = 4096
 BUCKETS = 1 << 16
 
 
+def _sha256(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def _ranked(keys: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``name``: a distinct positive integer for each row of the distinct ``keys``, by sorting inside buckets."""
     keys = keys.withColumn("bucket", F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)))
@@ -96,14 +113,20 @@ def exact_groups(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     The largest doc_id of equal texts stays. A group of any size is counted from partial sums,
-    and its decision joins back on a table that Spark can split by a hot key.
+    and its decision joins back on a table that Spark can split by a hot key. So does the decision
+    on rows that repeat both id and text, if there are any.
     """
     names = block_identities(docs, **options)
     groups = names.groupBy("levels", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
     out = names.join(materialize(groups, "groups"), ["levels", "name"])
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    decided = materialize(out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "copies"), "decided")
+    once, repeated = decided.filter("copies = 1").drop("copies"), decided.filter("copies > 1").drop("copies")
+    if repeated.isEmpty():
+        return once
+    rows = docs.select(F.col("doc_id").alias("own_id"), _sha256(F.col("text")).alias("own_sha256"))
+    again = rows.join(repeated, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_sha256") == F.col("text_sha256")))
+    return once.unionByName(again.drop("own_id", "own_sha256"))
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
@@ -115,18 +138,19 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     names = block_identities(docs, **options)
     groups = materialize(names.groupBy("levels", "name").agg(F.max("doc_id").alias("keep_id")), "groups")
     kept = names.join(groups, ["levels", "name"]).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    kept = materialize(kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"), (F.col("copies") > 1).alias("__more")), "kept")
-    rows = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    own_id, own_sha, kept_sha, more = fresh_names(docs, "id", "sha", "kept_sha", "more")
+    kept = materialize(kept.select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(kept_sha), (F.col("copies") > 1).alias(more)), "kept")
+    rows = docs.withColumn(own_sha, _sha256(F.col("text")))
 
     def among(ids: DataFrame) -> DataFrame:
-        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha"))
+        same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(own_sha) == F.col(kept_sha))
         return rows.join(ids.hint("merge"), same, "left_semi")
 
-    repeated = kept.filter("__more")
+    repeated = kept.filter(more)
     if repeated.isEmpty():
-        return among(kept).drop("__sha")
-    once = among(repeated).dropDuplicates(["doc_id", "__sha"])
-    return among(kept.filter("not __more")).unionAll(once).drop("__sha")
+        return among(kept).drop(own_sha)
+    once = among(repeated).dropDuplicates(["doc_id", own_sha])
+    return among(kept.filter(f"not {more}")).unionAll(once).drop(own_sha)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
