@@ -10,8 +10,9 @@ Language profiles are fitted on a bounded sample: about SAMPLE documents of each
 by a hash of their ids out of all that may be learned from.
 
 Nulls: documents with a null lang, doc_id or text are not learned from. A text that is null or
-has no letter is ``und`` with score 0, and so is every text if nothing was learned. Repeated
-rows are judged alike; other columns are ignored.
+has no letter is ``und`` with score 0, and so is every text if nothing was learned. Equally frequent
+n-grams are ranked by their bytes. A very long text is profiled whole. Repeated rows are judged
+alike; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.textops import utf8_slices
+from recordloom.operators.storage import materialize
 
 PROFILE = 300
 SAMPLE = 2000
 UNKNOWN = "und"
+#: Share of learned documents that fixes how far a text of a known language may be, and how much farther others may.
+NEAR_SHARE, MARGIN = 0.999, 1.15
+#: A mean distance up to this is never too far: related languages and few words are nearer.
+NEVER_FAR = 200.0
 #: Bytes of words: ASCII letters and everything beyond ASCII; a blank stands for the others.
 _LETTERS = np.full(256, 32, dtype=np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
@@ -57,14 +63,17 @@ def learnable(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string")) % 3 != 1) & doc_id.isNotNull()
 
 
+def _sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """lang and text of about ``sample`` documents of each language; the languages' sizes are joined, whatever their number."""
+    docs = docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    shares = docs.groupBy("lang").agg((1_000_003 * F.least(F.lit(1.0), sample / F.count("*"))).alias("share"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
+    return docs.join(materialize(shares, "shares"), "lang").filter(place < F.col("share")).select("lang", "text")
+
+
 def profiles(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """Language to its n-grams, most frequent first: PROFILE rows for each language reach the driver."""
-    docs = docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return {}
-    share = F.element_at(F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, sample / n))]), F.col("lang"))
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select("lang", "text")
+    some = _sampled(docs, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,17 +156,45 @@ def identify(docs: DataFrame, found: dict[str, np.ndarray]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, lang_pred string, score double")
 
 
-def kept_documents(docs: DataFrame, found: dict[str, np.ndarray]) -> DataFrame:
-    """The rows of ``docs`` whose text has a letter, with all their columns, without a shuffle.
+def _apart(texts: pa.Array, langs: list[str], known: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Distance of each text to its nearest language, a mean over its n-grams."""
+    lowered = pc.fill_null(pc.utf8_lower(texts), "")
+    out = np.full(len(texts), float(PROFILE))
+    for row, end, data, offsets in utf8_slices(lowered):
+        if langs:
+            out[row:end] = distances(data, offsets, known, places).min(axis=1)
+    return out
+
+
+def farthest(docs: DataFrame, found: dict[str, np.ndarray], sample: int = SAMPLE) -> float:
+    """The distance beyond which a text is in none of the languages: NEAR_SHARE of a bounded sample of learned documents are nearer, by 1 / MARGIN; NEVER_FAR at least."""
+    langs, known, places = _table(found)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_apart(batch["text"], langs, known, places))], ["apart"])
+
+    apart = _sampled(docs, sample).select("text").mapInArrow(measure, "apart double")
+    limit = apart.agg(F.percentile("apart", F.lit(NEAR_SHARE))).first()[0]
+    return float(PROFILE) if limit is None else min(max(MARGIN * limit, NEVER_FAR), float(PROFILE))
+
+
+def kept_documents(docs: DataFrame, found: dict[str, np.ndarray], limit: float = float(PROFILE), languages: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` in a learned language (one of ``languages``, if given), with all their columns, without a shuffle.
 
-    The nearest profile always wins, so a text in a language or script never learned stays too; no row stays without profiles.
+    A text without a letter goes, and so does one farther than ``limit`` from every profile: one in a
+    language or script never learned, or no language at all. No row stays without profiles.
     """
     langs, known, places = _table(found)
+    wanted = np.array([languages is None or lang in languages for lang in langs] + [False])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best, _ = _judge(batch["text"], langs, known, places)
-            yield batch.filter(pa.array(best < len(langs)))
+            kept = wanted[best]
+            if limit < PROFILE:
+                kept &= _apart(batch["text"], langs, known, places) <= limit
+            yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(keep, docs.schema)
 

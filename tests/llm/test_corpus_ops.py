@@ -317,7 +317,7 @@ def test_pipeline(spark, docs):
         if name == "quality rules":
             want = {r.doc_id for r in quality(frame, spark.read.parquet(f"{SF}/labels.parquet")).filter("kept").collect()}
         elif name == "language ID":
-            want = {d for d, t in before if any(c.isalpha() for c in t or "")}
+            want = {d for d, t in before if any(c.isalpha() for c in t or "")}  # all are in learned languages
         elif name == "exact dedup":
             want = {d for d, k, _, _, _ in brute_exact(before) if d == k}
         else:
@@ -326,3 +326,24 @@ def test_pipeline(spark, docs):
         frame = after
     rows = corpus_pipeline.run(spark, SF).collect()
     check_packing(rows, [(r.doc_id, r.text) for r in frame.collect()], op3.CAPACITY)
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark):
+    """Nulls, repeats, ties, a very long text, and columns named as the operators name theirs."""
+    prose = " ".join(f"word{i % 97} and the river {i}" for i in range(60))
+    texts = [None, "", "  ", prose, prose, prose.replace("river 7 ", "lake 7 "), "漢字 " * 40, "x" * 200_000, prose * 40]
+    rows = [(i if i != 4 else 3, t, "en", "s", i, i, "a", "b", True, 1, "c") for i, t in enumerate(texts)] + [(None, prose, None, None, 9, 9, "a", "b", True, 1, "c")]
+    names = "doc_id long, text string, lang string, source string, n_chars int, id int, sha string, kept_sha string, more boolean, kept_id int, `__sha` string"
+    odd = spark.createDataFrame(rows, names)
+    for name, stage in corpus_pipeline.STAGES:
+        for frame in (odd, odd.filter("false")):
+            out = stage(spark, frame, SF)
+            got = out.collect()
+            if name == "best-fit packing":
+                assert len({(r.sequence_id, r.offset) for r in got}) == len(got) >= frame.count()
+            else:
+                assert out.columns == odd.columns and set(map(tuple, got)) <= set(rows)
+    kept = [r.doc_id for r in corpus_pipeline.exact_dedup(spark, odd, SF).collect()]
+    assert sorted(kept) == [1, 2, 3, 5, 6, 7, 8]
+    near = [r.doc_id for r in corpus_pipeline.near_dedup(spark, odd, SF).collect()]
+    assert sorted(near, key=str) == sorted([0, 1, 2, 3, 3, 6, 7, None], key=str)

@@ -260,3 +260,105 @@ def test_rank_order_distance():
     first = {g: c for r, g, c in zip(rows, grams, counts, strict=True) if r == 0}
     code = lambda s: sum(ord(c) << 8 * i for i, c in enumerate(s))
     assert first == {code(s): 2 for s in ("a", "b", "ab", " a", "b ", " ab", "ab ")}
+
+
+def test_language_distance_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = op10.profiles(docs)
+    sample = [t for t in texts(spark).values()][:40] + ["Ab, ab!", "ñandú ÑANDÚ", "x", "word " * 50_000, "漢字", "1 2 3"]
+
+    def profile(text):
+        held = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode())
+        held = b"  " + held + b"  "
+        counts = Counter(b for b in held if b != 32)
+        counts.update(a | b << 8 for a, b in zip(held, held[1:]) if a != 32 or b != 32)
+        counts.update(a | b << 8 | c << 16 for a, b, c in zip(held, held[1:], held[2:]) if b != 32)
+        return [g for g, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))][: op10.PROFILE]
+
+    langs, known, places = op10._table(found)
+    (_, _, data, offsets), = utf8_slices(pa.array([t.lower() for t in sample]), limit=1 << 30)
+    got = op10.distances(data, offsets, known, places)
+    for row, text in enumerate(sample):
+        own = profile(text)
+        for k, lang in enumerate(langs):
+            rank = {g: r for r, g in enumerate(found[lang].tolist())}
+            want = sum(abs(rank[g] - r) if g in rank else op10.PROFILE for r, g in enumerate(own)) / max(len(own), 1)
+            assert got[row, k] == pytest.approx(want), (text[:40], lang)
+
+
+def test_language_stage_drops_what_was_never_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = op10.profiles(docs)
+    limit = op10.farthest(docs, found)
+    odd = ["漢字 仮名 文字 " * 30, "привет как дела мир " * 20, "xq zzkw pfft " * 40, "12 34", "", None]
+    more = spark.createDataFrame([(-1 - i, t, "en", "x", 1) for i, t in enumerate(odd)], docs.schema)
+    kept = {r.doc_id for r in op10.kept_documents(docs.unionAll(more), found, limit).collect()}
+    assert min(kept) >= 0 and len(kept) > 0.99 * docs.filter("lang is not null").count()
+    some = op10.kept_documents(docs, found, limit, ["fr"])
+    assert some.count() and some.filter("lang <> 'fr'").count() < 0.02 * some.count()
+    assert op10.kept_documents(docs, {}, 300.0).count() == 0 and op10.farthest(docs.filter("false"), {}) == op10.PROFILE
+
+
+def plain_clause(words, insults, threat):
+    """The grammar's rules written out as conditions."""
+    since, reported, targeted, own, most = op2.NEGATION_REACH, False, False, [], 0.0
+    for word in words:
+        if word in op2.NEGATIONS:
+            since = 0
+            continue
+        reported, targeted = reported or word in op2.REPORTS, targeted or word in op2.TARGETS
+        factor = (op2.NEGATED if since < op2.NEGATION_REACH else 1.0) * (op2.REPORTED if reported else 1.0)
+        most = max(most, factor) if word in op2.THREATS else most
+        own += [insults[word] * factor] if word in insults else []
+        since += 1
+    if not own:
+        return (threat, 0) if most == 1 and targeted else None
+    return max(own) + op2.FURTHER * min(sum(own) - max(own), 4.0) + op2.TARGETED * targeted + op2.THREATENED * most, len(own)
+
+
+def test_composed_transducers_follow_the_rules():
+    rng = np.random.default_rng(5)
+    insults = {"idiot": 5.0, "clown": 2.5, "said": 1.0, "kill": 3.0}
+    words = ["idiot", "clown", "kill", "hurt", "not", "never", "said", "claimed", "you", "him", "a", "river"]
+    grammar = op2.Grammar(insults, 1.25)
+    for n in [0, 1, *rng.integers(1, 12, 3000)]:
+        clause = [words[i] for i in rng.integers(0, len(words), n)]
+        assert grammar.clause_weight(clause) == pytest.approx(plain_clause(clause, insults, 1.25)), clause
+
+
+def test_quality_verdicts_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1}
+
+    def buckets(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        if not words:
+            return []
+        hashes = op7.span_hashes(*(lambda d, e: (d, np.concatenate([[0], e[:-1] + 1]), e))(np.frombuffer("\n".join(words).encode(), dtype=np.uint8), np.cumsum([len(w.encode()) + 1 for w in words]) - 1))
+        pairs = [op7.ngram_hashes(hashes[i : i + 2], np.zeros(2, dtype=np.int64), 2)[0][0] for i in range(len(words) - 1)]
+        return [int(h) >> 48 for h in [*hashes, *pairs]]
+
+    own = {r.doc_id: buckets(r.text) for r in docs.collect()}
+    raw, good = Counter(), Counter()
+    for doc_id, some in own.items():
+        raw.update(some)
+        good.update(some if doc_id in trusted else [])
+    n_raw, n_good, half = sum(raw.values()), sum(good.values()), 0.5 * op7.BUCKETS
+    ratio = {b: np.log((good[b] + 0.5) / (n_good + half)) - np.log((raw[b] + 0.5) / (n_raw + half)) for b in raw}
+    score = {d: sum(ratio[b] for b in some) / max(len(some), 1) for d, some in own.items()}
+    fair = {d: score[d] + op7.SLACK / max(len(own[d]), 1) ** 0.5 for d in own}
+    rows = {r.doc_id: r for r in QUERIES["op7_quality_rules"](spark, SF).collect()}
+    least = np.percentile([fair[d] for d in own if d in trusted and not rows[d].base_failed], 100 * op7.TRUSTED_LOSS)
+    for doc_id, r in rows.items():
+        assert r.score == pytest.approx(score[doc_id])
+        if abs(fair[doc_id] - least) > 1e-9:
+            assert r.kept == (not r.base_failed and fair[doc_id] > least)
+
+
+def test_url_edge_cases(spark):
+    rows = [(1, "http://a.net/es/"), (1, "http://a.net/es/"), (None, "http://a.net/es/"), (None, None), (2, "http://x.com/" + "a" * 300_000), (3, "://"), (4, "")]
+    pages = spark.createDataFrame([(i, u, "clash", "r", None, 1) for i, u in rows], "page_id long, url string, host string, rule string, verdict string, token int")
+    got = op1.judge_urls(pages, op1.SITE_RULES + op1.PATTERN_RULES).select("page_id", "host", "rule", "verdict").collect()
+    want = [(1, "a.net", "net/es/", "block")] * 2 + [(None, "a.net", "net/es/", "block"), (None, "", None, "allow"), (2, "x.com", "com/", "allow"), (3, "", None, "allow"), (4, "", None, "allow")]
+    assert Counter(map(tuple, got)) == Counter(want)
