@@ -17,34 +17,61 @@ from recordloom.shipping import shipped
 
 @shipped
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail the base rules or the likelihood ratio."""
+    """Drop documents that fail the base rules or the likelihood ratio.
+
+    A null or empty text fails the base rules. A very long one is counted whole; repeated rows and
+    ties are judged alike, a null id is never trusted, other columns stay as they are, and an empty
+    table stays empty.
+    """
     return op7_quality.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 @shipped
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters; one in a language never learned gets the nearest and stays."""
-    return op10_langid.kept_documents(docs, op10_langid.profiles(docs))
+    """Drop documents in no learned language: without letters, or too far from every profile.
+
+    A null or empty text has no letter and goes. Null languages and ids are not learned from. A very
+    long text is profiled whole; repeated rows and ties are judged alike, other columns stay as they
+    are, and an empty table stays empty.
+    """
+    found = op10_langid.profiles(docs)
+    return op10_langid.kept_documents(docs, found, op10_langid.farthest(docs, found))
 
 
 @shipped
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave one row of equal texts."""
+    """Leave one row of equal texts, that of the largest doc_id.
+
+    Null and empty texts are equal. Of rows that repeat both id and text one stays; a null id never
+    beats another. A very long text is compared whole; columns may have any name and stay as they
+    are, and an empty table stays empty.
+    """
     return op9_exact.kept_documents(docs)
 
 
 @shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave the least doc_id of each class of near duplicates; documents without words are their own class."""
+    """Leave the least doc_id of each class of near duplicates.
+
+    Null and empty texts and those without words, and rows with a null id, are their own class and
+    stay; so do all rows of the id that stays. A very long text is compared by all its shingles.
+    Columns may have any name and stay as they are, and an empty table stays empty.
+    """
+    (kept_id,) = op9_exact.fresh_names(docs, "kept_id")
     kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = materialize(kept.select(F.col("doc_id").alias("__kept")).distinct(), "kept-ids")
+    kept = materialize(kept.select(F.col("doc_id").alias(kept_id)).distinct(), "kept-ids")
     # as many ids as documents: never broadcast
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
 
 
 @shipped
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences."""
+    """Places of all pieces in sequences.
+
+    A null or empty text is one piece, the end id. Repeated rows and equal lengths have places of
+    their own, a very long text many; a null id is an id like any other, other columns are left
+    out, and an empty table gives no rows.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
