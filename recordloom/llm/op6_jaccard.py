@@ -6,11 +6,13 @@ so a group of copies of any size is one set with a count. Band and row counts fo
 target recall at the threshold: with r rows and b bands a pair of similarity s meets with
 probability 1 - (1 - s^r)^b. Only band hashes are shuffled to find who meets.
 
-Members that meet in a band are first tied into candidate components by star edges (one row a
-member and band). Each component is cut into blocks of about BLOCK members, and a task gets two
-blocks with their full shingle sets: it verifies every pair that shares a band on the full sets
-and returns each member's number of links and a spanning forest, never the pairs. So no bucket
-is capped or sampled, and what is written stays linear in the members of a bucket.
+A bucket is the members with one hash in one band. Buckets with the same members are one, the one
+of the lowest band. Each is verified on its own on the full shingle sets, so a chance meeting costs
+no more than its bucket, and a set is copied at most once a band. A pair that meets in several bands
+counts in the lowest, which the members' band hashes tell. A bucket of more than BLOCK members is cut
+into blocks, a task gets two of them, and blocks grow with the bucket up to MAX_BLOCK: nothing is
+capped or sampled, pairs of different texts are compared all, and what a task returns is each
+member's number of links and a spanning forest, never the pairs.
 
 The result has one row per document: its class (the least doc_id of the connected documents)
 and its number of links (other documents with similarity at or above the threshold, equal
@@ -40,7 +42,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
-BLOCK = 512
+#: Members of a block of a large bucket, and the most; a bucket has BLOCKS blocks or so in between.
+BLOCK, MAX_BLOCK, BLOCKS = 128, 1024, 8
 #: Elements of the 0/1 matrix of members by shingles that a task holds at once.
 _CELLS = 1 << 24
 
@@ -130,19 +133,17 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 
 
 def verify_blocks(table: pa.Table, threshold: float) -> pa.Table:
-    """Links and spanning forest of the pairs that share a band, within one block or across two."""
+    """Links and spanning forest of the pairs of a bucket that share no lower band, within one block or across two."""
     columns = {n: table[n].combine_chunks() for n in table.schema.names}
-    nodes, copies, block, sizes = (columns[n].to_numpy(zero_copy_only=False) for n in ("rep", "copies", "block", "n_grams"))
-    keys = np.stack([nodes, columns["low"].to_numpy(), columns["high"].to_numpy()], axis=1)
-    _, once = np.unique(keys, axis=0, return_index=True)  # repeated rows of one document
-    nodes, copies, block, sizes = nodes[once], copies[once], block[once], sizes[once]
-    bands = np.stack([np.asarray(v) for v in columns["bands"].take(pa.array(once)).to_numpy(zero_copy_only=False)])
-    sets = [np.frombuffer(v, dtype=np.uint64) for v in columns["grams"].take(pa.array(once)).to_pylist()]
+    nodes, copies, block, sizes, low, high = (columns[n].to_numpy(zero_copy_only=False) for n in ("rep", "copies", "block", "n_grams", "low", "high"))
+    order = np.lexsort((high, low, nodes))
+    nodes, copies, block, sizes, low, high = (v[order] for v in (nodes, copies, block, sizes, low, high))
+    bands = columns["bands"].flatten().to_numpy().reshape(len(nodes), -1)[order]
+    sets = [np.frombuffer(v, dtype=np.uint64) for v in columns["grams"].take(pa.array(order)).to_pylist()]
     two = table["first"][0].as_py() != table["second"][0].as_py()
-    meet = np.zeros((len(nodes), len(nodes)), dtype=bool)
-    for k in range(bands.shape[1]):
-        meet |= bands[:, k][:, None] == bands[:, k][None, :]
-    meet &= np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
+    meet = np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
+    for k in range(table["band"][0].as_py()):  # such a pair is counted in the bucket of that band
+        meet &= bands[:, k][:, None] != bands[:, k][None, :]
     if two:
         meet &= block[:, None] != block[None, :]
     left, right = np.nonzero(np.triu(meet, 1))
@@ -158,7 +159,7 @@ def verify_blocks(table: pa.Table, threshold: float) -> pa.Table:
         least = least[least]
         if (least == before).all():
             break
-    return pa.table({"node": nodes, "links": links.astype(np.int64), "other": nodes[least]})
+    return pa.table({"node": nodes, "low": low, "high": high, "links": links.astype(np.int64), "other": nodes[least]})
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -168,26 +169,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     judged = signed.filter("n_grams > 0 and doc_id is not null")
     sets = judged.groupBy("low", "high", "n_grams").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     sets = materialize(sets, "sets")
-    met = sets.select("rep", F.posexplode("bands").alias("band", "hash"))
-    buckets = met.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = met.join(materialize(buckets, "buckets"), ["band", "hash"]).select("rep", "least").distinct()
-    tied = materialize(connected_components(stars, "rep", "least"), "candidates")
-    sized = tied.groupBy("component").agg(F.count("*").alias("members"))
-    cuts = F.ceil(F.col("members") / F.lit(block)).cast("int")
-    members = tied.join(materialize(sized, "sizes"), "component").select(F.col("node").alias("rep"), "component", cuts.alias("cuts"))
-    members = members.join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep", "low"), F.col("cuts")).cast("int"))
+    met = sets.select("rep", "low", "high", "n_grams", "copies", "bands", F.posexplode("bands").alias("band", "hash"))
+    named = F.xxhash64("rep", "low", "high")
+    buckets = met.groupBy("band", "hash").agg(F.count("*").alias("n"), F.bit_xor(named).alias("x"), F.bit_xor(F.xxhash64(named)).alias("y")).filter("n > 1")
+    once = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "hash")).alias("b")).select("n", "b.band", "b.hash")
+    size = F.least(F.greatest(F.lit(block), F.ceil(F.col("n") / BLOCKS)), F.lit(max(block, MAX_BLOCK)))
+    members = met.join(materialize(once, "buckets"), ["band", "hash"]).withColumn("cuts", F.ceil(F.col("n") / size).cast("int")).drop("n")
+    members = materialize(members.withColumn("block", F.pmod(named, F.col("cuts")).cast("int")), "members")
     wanted = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    wanted = wanted.join(materialize(members, "members"), F.col("doc_id") == F.col("rep")).drop("doc_id")
-    with_sets = _with_sets(wanted)
-    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    dealt = with_sets.withColumn("to", other)
+    wanted = wanted.join(materialize(members.select("rep", "low", "high").distinct(), "wanted"), F.col("doc_id") == F.col("rep")).drop("doc_id")
+    grams = _with_sets(wanted).dropDuplicates(["rep", "low", "high"])  # of repeated rows, one
+    dealt = members.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     dealt = dealt.withColumn("first", F.least("block", "to")).withColumn("second", F.greatest("block", "to")).drop("to", "cuts")
-    found = dealt.groupBy("component", "first", "second").applyInArrow(lambda t: verify_blocks(t, threshold), "node long, links long, other long")
+    dealt = dealt.join(materialize(grams, "grams"), ["rep", "low", "high"])
+    found = dealt.groupBy("band", "hash", "first", "second").applyInArrow(lambda t: verify_blocks(t, threshold), "node long, low long, high long, links long, other long")
     found = materialize(found, "verified")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = connected_components(found.select("node", "other"), "node", "other")
-    decided = sets.select("low", "high", "n_grams", "rep", "copies")
-    decided = decided.join(links.withColumnRenamed("node", "rep"), "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    links = found.groupBy(F.col("node").alias("rep"), "low", "high").agg(F.sum("links").alias("links"))
+    classes = connected_components(found.select("node", "other"), "node", "other").withColumnRenamed("node", "rep")
+    decided = sets.select("low", "high", "n_grams", "rep", "copies").join(links, ["rep", "low", "high"], "left").join(classes, "rep", "left")
     decided = decided.select("low", "high", "n_grams", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     whole = signed.drop("bands")
     joined = whole.filter("n_grams > 0 and doc_id is not null").join(materialize(decided, "decided"), ["low", "high", "n_grams"])

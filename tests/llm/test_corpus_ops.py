@@ -249,7 +249,7 @@ def near_case():
     return rows + [(400 + i, " ".join(f"u{i}_{k}" for k in range(30))) for i in range(20)]
 
 
-@pytest.mark.parametrize("block", [512, 16])
+@pytest.mark.parametrize("block", [128, 7, 1])
 def test_near_duplicates(spark, block):
     rows = near_case()
     got = op6.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
