@@ -3,22 +3,25 @@
 The vocabulary's pieces and scores are used as a unigram model: the ids of a text are the
 segmentation with the largest sum of scores (the method's scan is over such sums; the merges of
 a BPE model are not a best path, so ids differ from the BPE mode of the same file). Ties go to
-longer pieces (the sum of squared lengths) and then to a fixed hash of the pieces; what still
-ties (the same pieces in another order) may come out differently where a chunk is cut.
+longer pieces (the sum of squared lengths), then to a fixed hash of the pieces, and what still ties
+(the same pieces in another order) to the longest last piece, read from the end: a rule on sums from
+the start of the text, which every chunk knows exactly, so that ids do not depend on chunks.
 
 No piece of the vocabulary has a blank mark after another character, so every segmentation has
 a boundary before each run of marks. The parts between these forced boundaries are solved once
 each and kept (as are a word and the marks after it, where no piece joins a letter and a mark). A giant document is cut into chunks at any character. The state at a cut is how
 far the piece that straddles it reaches beyond, and a chunk is a max-plus transfer matrix from
 its entry states to its exit states. The matrices of a document are combined associatively
-(neighbours pairwise, in about log2(chunks) rounds), which gives each cut its state on the best
-path, and each chunk is then traced back on its own.
+(neighbours pairwise, in about log2(chunks) rounds), which gives the best sum of every state at
+every cut. With these, each chunk tells on its own which entry state each of its exit states comes
+from; following that from the end gives each cut its state, and each chunk is then traced back on
+its own.
 
 Decoding joins the pieces and byte pieces of the ids and drops the mark that encoding added.
 
 Nulls: a null text is empty; an empty text has no ids. Blank marks in a text itself become
 blanks when decoded, as in the library, and count as a round trip. A null doc_id is an id like
-any other; repeated rows are encoded alike; other columns are ignored.
+any other; repeated rows are encoded alike; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -91,8 +94,8 @@ class Pieces:
     def _forward(self, text: str, entry: list[int], end: int) -> tuple[list[int], list[int]]:
         """Best sums and last piece starts for every position; entry[i] is the sum of entering at i; pieces start before ``end``."""
         n = len(text)
-        best = entry + [NEVER] * (n + 1 - len(entry))
-        start = [-1] * (n + 1)
+        best = entry + [NEVER] * (n + 1 - len(entry))  # an entry may lie beyond a short last chunk
+        start = [-1] * len(best)
         weights, begun, longest = self.weights, self.begun, self.longest
         for i in range(end):
             here = best[i]
@@ -182,15 +185,23 @@ class Pieces:
                     out[i, j] = head[first] + middle + tail[size - last + j]
         return out
 
-    def trace_chunk(self, text: str, size: int, entry: int, leave: int) -> bytes:
-        """Ids of a chunk's pieces on the path from an entry state to an exit state."""
-        if entry >= size:
-            return b""
+    def entries(self, text: str, size: int, before: list[int]) -> list[int]:
+        """The entry state that each exit state comes from, given the best sums of the entry states."""
+        k = self.longest
+        first, _ = self._cuts(text, size)
+        if first >= 0:  # all paths meet there
+            _, start = self._forward(text[:first], before, first)
+            return [self._trace(text[:first], start, first)[1]] * k
+        _, start = self._forward(text, before, size)
+        return [self._trace(text, start, size + j)[1] if size + j < len(start) else 0 for j in range(k)]
+
+    def trace_chunk(self, text: str, size: int, before: list[int], leave: int) -> bytes:
+        """Ids of a chunk's pieces on the best path to an exit state, given the best sums of the entry states."""
         first, last = self._cuts(text, size)
         if first < 0:
-            _, start = self._forward(text, [NEVER] * entry + [0], size)
+            _, start = self._forward(text, before, size)
             return np.array(self._trace(text, start, size + leave)[0], dtype="<u4").tobytes()
-        _, start = self._forward(text[:first], [NEVER] * entry + [0], first)
+        _, start = self._forward(text[:first], before, first)
         head = np.array(self._trace(text[:first], start, first)[0], dtype="<u4").tobytes()
         _, start = self._forward(text[last:], [0], size - last)
         tail = np.array(self._trace(text[last:], start, size - last + leave)[0], dtype="<u4").tobytes()
@@ -247,22 +258,28 @@ def scan(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut_states(matrices: np.ndarray) -> list[int]:
-    """The state at each of the n + 1 cuts of a document's n chunks on a best path.
+def cut_sums(matrices: np.ndarray) -> np.ndarray:
+    """Best sums from the start of a document to every state at the cut before each of its chunks, each row up to a constant."""
+    first = np.full(matrices.shape[1], NEVER, dtype=np.int64)
+    first[0] = 0
+    return np.concatenate([first[None], scan(matrices)[:-1, 0, :]])
+
 
-    Products of all suffixes give the best sum from every state to the end, and from the state at
-    one cut the best one at the next follows, so the states fit together even where sums tie.
-    """
-    after = scan(matrices.transpose(0, 2, 1)[::-1])[::-1, 0, :]  # sums from the cut before each chunk to the end
+def cut_states(entries: np.ndarray) -> list[int]:
+    """The state at each of the n + 1 cuts of a document's n chunks, from the entry state of each exit state of each chunk."""
     cuts = [0]
-    for c in range(len(matrices) - 1):
-        cuts.append(int(np.argmax(matrices[c][cuts[-1]] + after[c + 1])))
-    return [*cuts, 0]
+    for own in entries[::-1]:
+        cuts.append(int(own[cuts[-1]]))
+    return cuts[::-1]
 
 
 CODED = "doc_id long, n_pieces long, ids_crc32 long, n_chunks int, round_trip boolean"
 
 
+def _numbers(held: bytes) -> list[int]:
+    return np.frombuffer(held, dtype=np.int64).tolist()
+
+
 def _decoded(text: str) -> bytes:
     return text.replace(MARK, " ").encode()
 
@@ -311,7 +328,8 @@ def _chunks(docs: DataFrame, chunk: int, reach: int) -> DataFrame:
 
 def encode_giants(docs: DataFrame, path: str, chunk: int = CHUNK, with_ids: bool = False) -> DataFrame:
     """Documents of several chunks; what meets in one group is a matrix of 2 KB for each chunk of one document."""
-    reach = vocabulary(path).longest - 1
+    k = vocabulary(path).longest
+    reach = k - 1
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     chunks = materialize(_chunks(numbered, chunk, reach), "text-chunks").repartition("row", "chunk")
 
@@ -321,21 +339,38 @@ def encode_giants(docs: DataFrame, path: str, chunk: int = CHUNK, with_ids: bool
             made = [pieces.matrix(t, n).tobytes() for t, n in zip(batch["text"].to_pylist(), batch["size"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["row"], batch["chunk"], pa.array(made, pa.binary())], ["row", "chunk", "matrix"])
 
+    def stacked(values: pd.Series, *shape: int) -> np.ndarray:
+        return np.stack([np.frombuffer(v, dtype=np.int64).reshape(shape) for v in values])
+
+    def sums(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk")
+        found = cut_sums(stacked(group["matrix"], k, k))
+        return pd.DataFrame({"row": group["row"].to_numpy(), "chunk": group["chunk"].to_numpy(), "before": [v.tobytes() for v in found]})
+
     def states(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
-        k = reach + 1
-        cuts = cut_states(np.stack([np.frombuffer(m, dtype=np.int64).reshape(k, k) for m in group["matrix"]]))
+        cuts = cut_states(stacked(group["entries"], k))
         return pd.DataFrame({"row": group["row"].to_numpy(), "chunk": group["chunk"].to_numpy(), "enter": cuts[:-1], "leave": cuts[1:]})
 
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = vocabulary(path)
+        for batch in batches:
+            columns = [batch[n].to_pylist() for n in ("text", "size", "before")]
+            made = [np.array(pieces.entries(t, n, _numbers(b)), dtype=np.int64).tobytes() for t, n, b in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["chunk"], pa.array(made, pa.binary())], ["row", "chunk", "entries"])
+
     matrices = chunks.select("row", "chunk", "size", "text").mapInArrow(transfer, "row long, chunk int, matrix binary")
-    paths = matrices.groupBy("row").applyInPandas(states, "row long, chunk int, enter int, leave int")
+    before = matrices.groupBy("row").applyInPandas(sums, "row long, chunk int, before binary")
+    chunks = materialize(chunks.join(before, ["row", "chunk"]), "chunk-sums").repartition("row", "chunk")
+    chosen = chunks.select("row", "chunk", "size", "text", "before").mapInArrow(choose, "row long, chunk int, entries binary")
+    paths = chosen.groupBy("row").applyInPandas(states, "row long, chunk int, enter int, leave int")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(path)
         for batch in batches:
-            columns = [batch[n].to_pylist() for n in ("text", "size", "enter", "leave")]
-            ids = [pieces.trace_chunk(*row) for row in zip(*columns, strict=True)]
-            trip = [pieces.decode(i) == _decoded(t[a : n + b] if a < n else "") for i, t, n, a, b in zip(ids, *columns, strict=True)]
+            columns = [batch[n].to_pylist() for n in ("text", "size", "before", "enter", "leave")]
+            ids = [pieces.trace_chunk(t, n, _numbers(v), b) for t, n, v, _, b in zip(*columns, strict=True)]
+            trip = [pieces.decode(i) == _decoded(t[a : n + b] if a < n + b else "") for i, t, n, _, a, b in zip(ids, *columns, strict=True)]
             arrays = [batch["row"], batch["doc_id"], batch["chunk"], pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([crc32(i) for i in ids], pa.int64()), pa.array(trip, pa.bool_())]
             names = ["row", "doc_id", "chunk", "n_pieces", "ids_crc32", "round_trip"]
             if with_ids:
@@ -343,7 +378,7 @@ def encode_giants(docs: DataFrame, path: str, chunk: int = CHUNK, with_ids: bool
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "row long, doc_id long, chunk int, n_pieces long, ids_crc32 long, round_trip boolean" + (", ids binary" if with_ids else "")
-    traced = chunks.join(paths, ["row", "chunk"]).select("row", "doc_id", "chunk", "size", "text", "enter", "leave").mapInArrow(trace, schema)
+    traced = chunks.join(paths, ["row", "chunk"]).select("row", "doc_id", "chunk", "size", "text", "before", "enter", "leave").mapInArrow(trace, schema)
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
