@@ -44,7 +44,7 @@ from recordloom.operators.storage import materialize
 MARK = "▁"
 CHUNK = 1 << 16
 #: Parts in a generation; a worker keeps two, and parts used again stay.
-KEPT_PARTS = 300_000
+KEPT_PARTS = 500_000
 #: Below every sum of scores, and far enough from the limits of 64 bits to be added to itself.
 NEVER = -(1 << 60)
 #: Bits below a score for breaking ties: enough for a part of 1,024 characters.
@@ -79,7 +79,9 @@ class Pieces:
                 self.spelled[i] = bytes([value])
         self.unknown = self._exact(LEAST_SCORE - 10, "")
         self.longest = max(map(len, self.ids))
-        self.begun = {p[:k] for p in self.ids for k in range(1, len(p))}  # what a longer piece may start with
+        begun = {p[:k] for p in self.ids for k in range(1, len(p))}
+        #: Of each piece and start of a piece: its weight (NEVER if it is no piece), and whether a longer piece starts so.
+        self.starts = {p: (self.weights.get(p, NEVER), p in begun) for p in begun | self.ids.keys()}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a blank mark after another character")
         joined = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
@@ -96,23 +98,23 @@ class Pieces:
         n = len(text)
         best = entry + [NEVER] * (n + 1 - len(entry))  # an entry may lie beyond a short last chunk
         start = [-1] * len(best)
-        weights, begun, longest = self.weights, self.begun, self.longest
+        starts, unknown = self.starts, self.unknown
         for i in range(end):
             here = best[i]
             if here <= NEVER:
                 continue
-            single = False
-            for j in range(i + 1, min(i + longest, n) + 1):
-                some = text[i:j]
-                w = weights.get(some)
-                if w is not None:
-                    single = single or j == i + 1
-                    if here + w > best[j]:
-                        best[j], start[j] = here + w, i
-                if some not in begun:
+            j = i + 1
+            held = starts.get(text[i])
+            if (held is None or held[0] == NEVER) and here + unknown > best[j]:
+                best[j], start[j] = here + unknown, i
+            while held is not None:
+                w, longer = held
+                if here + w > best[j] and w != NEVER:
+                    best[j], start[j] = here + w, i
+                if not longer or j == n:
                     break
-            if not single and here + self.unknown > best[i + 1]:
-                best[i + 1], start[i + 1] = here + self.unknown, i
+                j += 1
+                held = starts.get(text[i:j])
         return best, start
 
     def _trace(self, text: str, start: list[int], at: int) -> tuple[list[int], int]:
