@@ -1,19 +1,23 @@
-"""License scans: an exact set-similarity join of text blocks with license notices.
+"""License scans: an exact set-similarity join of text blocks with license notices and whole license texts.
 
-Tokens of the notices are ordered by their frequency in the whole corpus, rarest first. A block
-is a window of REACH times a notice's words, in which tokens count in any order within a line
-and in the notice's order over line breaks (a wrapped notice). It can reach the containment
+Tokens of the notices are ordered by their frequency in the whole corpus, rarest first. The block
+of a notice of one sentence is a window of REACH times its words, in which tokens count in any order
+within a line and in the notice's order over line breaks (a wrapped notice). That of a text of
+more than SENTENCE words is a passage of TEXT_REACH times its words, over lines and paragraphs,
+in any order. A block can reach the containment
 threshold |block & notice| / |notice| >= t only if it holds one of the first
 |notice| - ceil(t |notice|) + 1 tokens of that order (prefix filter) and enough notice words
 around that token (length and positional filter). What passes is verified on the full token
 sets, so the join finds every pair above the threshold and no other. Each pair gives a label,
 unless most of its words belong to a pair that fits better (gpl inside lgpl). The notices are a
-bounded list and travel with the tasks.
+bounded list and travel with the tasks. Of passages that overlap, the one with most tokens counts,
+of equal ones the shortest, then the first.
 
 The base phrases are searched beside it: places where their words stand consecutively.
 
 Nulls: a null text is empty; an empty text has no words, labels or places, and score 0. Every
-row is scanned on its own, so repeated rows, null ids and other columns change nothing.
+row is scanned on its own and whole, however long, so repeated rows, null ids and other columns
+change nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.llm.license_texts import TEXTS
 from recordloom.llm.textops import LOWER, NON_ALNUM, span_hashes, utf8_slices, word_hash, word_spans
 
 #: The base phrases and their labels.
@@ -50,6 +55,8 @@ NOTICES = {
 THRESHOLD = 0.8
 #: Fixed value: a notice's shared tokens stand in a window of so many times its words.
 REACH = 3
+#: Words of the longest notice that is searched as a sentence, and the reach of longer ones.
+SENTENCE, TEXT_REACH = 24, 1.25
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -104,10 +111,11 @@ class NoticeIndex:
         hashes = word_hash(tokens)
         self.order = np.argsort(hashes)
         self.known = hashes[self.order]
-        self.labels = list(notices)
+        self.labels = [name.split("/")[0] for name in notices]
         texts = [[number[w] for w in _words(text)] for text in notices.values()]
         self.rank = [{token: r for r, token in enumerate(dict.fromkeys(text))} for text in texts]
-        self.reach = [REACH * len(text) for text in texts]
+        self.long = [len(text) > SENTENCE for text in texts]
+        self.reach = [math.ceil((TEXT_REACH if long else REACH) * len(text)) for text, long in zip(texts, self.long, strict=True)]
         self.least = [math.ceil(threshold * len(own) - 1e-9) for own in self.rank]
         self.held = np.zeros((len(texts), len(tokens)), dtype=bool)
         self.prefix = np.zeros((len(texts), len(tokens)), dtype=bool)
@@ -135,11 +143,40 @@ class NoticeIndex:
             first, end = first[near], end[near]
             new = np.flatnonzero(first >= np.concatenate([[0], end[:-1]]))  # runs that no other run overlaps
             for f, e in zip(first[new].tolist(), end[np.append(new[1:], len(end)) - 1].tolist() if len(new) else [], strict=True):
-                found = self.places(int(k), words[f:e].tolist(), tokens[own[f:e]].tolist(), lines[own[f:e]].tolist())
+                if self.long[k]:
+                    found = self.passages(int(k), words[f:e].tolist(), tokens[own[f:e]].tolist())
+                else:
+                    found = self.places(int(k), words[f:e].tolist(), tokens[own[f:e]].tolist(), lines[own[f:e]].tolist())
                 if found:
                     out.setdefault(int(owners[f]), []).extend(found)
         return out
 
+    def passages(self, k: int, words: list[int], tokens: list[int]) -> list[Match]:
+        """Where a run of a text's words holds it to the threshold within its reach, in any order: one window slides over it."""
+        least, reach = self.least[k], self.reach[k]
+        out: list[Match] = []
+        held: Counter = Counter()
+        start, best = 0, None  # best: (tokens, -length, first, end) of the passages met since the last one that is done
+        for end, (word, token) in enumerate(zip(words, tokens, strict=True), start=1):
+            held[token] += 1
+            while words[start] <= word - reach or held[tokens[start]] > 1:
+                held[tokens[start]] -= 1
+                if not held[tokens[start]]:
+                    del held[tokens[start]]
+                start += 1
+            if len(held) < least:
+                continue
+            fit = (len(held), words[start] - word, start, end)
+            if best is not None and start >= best[3]:
+                out.append(self._passage(k, words, best))
+                best = None
+            if best is None or fit[:2] > best[:2]:
+                best = fit
+        return [*out, self._passage(k, words, best)] if best else out
+
+    def _passage(self, k: int, words: list[int], best: tuple[int, int, int, int]) -> Match:
+        return Match(k, best[0] / len(self.rank[k]), best[0], words[best[2] : best[3]], True)
+
     def places(self, k: int, words: list[int], tokens: list[int], lines: list[int]) -> list[Match]:
         """Where a run of a notice's words holds it to the threshold within its reach: in any order in a line, in its own over lines."""
         rank, least, reach = self.rank[k], self.least[k], self.reach[k]
@@ -206,7 +243,7 @@ def not_nested(matches: list[Match]) -> set[int]:
     return out
 
 
-def notice_matches(docs: DataFrame, notices: dict[str, str] = NOTICES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def notice_matches(docs: DataFrame, notices: dict[str, str] = NOTICES | TEXTS, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document; labels hold every notice that it contains to the threshold and that no better one nests."""
     index = NoticeIndex(notices, token_frequencies(docs, notice_tokens(notices)), threshold)
     searched = [(label, word_hash(p.split())) for p, label in phrases.items()]

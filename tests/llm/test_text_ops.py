@@ -362,3 +362,40 @@ def test_url_edge_cases(spark):
     got = op1.judge_urls(pages, op1.SITE_RULES + op1.PATTERN_RULES).select("page_id", "host", "rule", "verdict").collect()
     want = [(1, "a.net", "net/es/", "block")] * 2 + [(None, "a.net", "net/es/", "block"), (None, "", None, "allow"), (2, "x.com", "com/", "allow"), (3, "", None, "allow"), (4, "", None, "allow")]
     assert Counter(map(tuple, got)) == Counter(want)
+
+
+def brute_texts(text):
+    """Labels of the license texts that some window of the text holds to the threshold, nested ones included."""
+    find = re.compile(r"[a-z0-9]+").findall
+    words, out = find(text.lower()), set()
+    for name, whole in op8.TEXTS.items():
+        own = find(whole.lower())
+        if len(own) > op8.SENTENCE:
+            reach, tokens = int(np.ceil(op8.TEXT_REACH * len(own))), set(own)
+            if any(len(tokens & set(words[i : i + reach])) >= 0.8 * len(tokens) - 1e-9 for i in range(max(1, len(words) - reach + 1))):
+                out.add(name.split("/")[0])
+    return out
+
+
+def test_whole_license_texts(spark):
+    rng = np.random.default_rng(1)
+    prose = " ".join(["the copy of a river and the use of this bridge"] * 60)
+    cases, texts_of = [], list(op8.TEXTS.items())
+    for name, text in texts_of:
+        words = text.split()
+        cases += [f"{prose}\n{text}\n{prose}", "\n\n * ".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))]
+        cases.append(" ".join(w for w in words if rng.random() > 0.1))
+        cases.append(" ".join(words[: len(words) // 2]) + prose * 9 + " ".join(words[len(words) // 2 :]))  # torn apart
+    cases.append(prose.join(t for _, t in texts_of))
+    got = license_labels(spark, cases)
+    whole = {name.split("/")[0] for name in op8.TEXTS}
+    for case in cases:
+        found = {x for x in got[case][0].split(",") if x in whole}
+        brute = brute_texts(case)
+        sentences = {"apache-2.0", "bsd", "mpl-2.0", "gpl-3.0", "lgpl-3.0"}  # notices of one sentence have these labels too
+        assert found - sentences <= brute, case[:80]
+        assert brute - found <= {"gpl-3.0", "lgpl-3.0"} and (not brute or found), case[:80]  # one nests in the other
+    for k, (name, _) in enumerate(texts_of):
+        label = name.split("/")[0]
+        assert all(label in got[cases[4 * k + i]][0].split(",") for i in (0, 1)), name
+    assert set(got[cases[-1]][0].split(",")) >= whole
