@@ -177,7 +177,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     members = met.join(materialize(once, "buckets"), ["band", "hash"]).withColumn("cuts", F.ceil(F.col("n") / size).cast("int")).drop("n")
     members = materialize(members.withColumn("block", F.pmod(named, F.col("cuts")).cast("int")), "members")
     wanted = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    wanted = wanted.join(materialize(members.select("rep", "low", "high").distinct(), "wanted"), F.col("doc_id") == F.col("rep")).drop("doc_id")
+    keys = materialize(members.select("rep", "low", "high").distinct(), "wanted")  # grows with the corpus: never broadcast
+    wanted = wanted.join(keys.hint("merge"), F.col("doc_id") == F.col("rep")).drop("doc_id")
     grams = _with_sets(wanted).dropDuplicates(["rep", "low", "high"])  # of repeated rows, one
     dealt = members.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     dealt = dealt.withColumn("first", F.least("block", "to")).withColumn("second", F.greatest("block", "to")).drop("to", "cuts")
