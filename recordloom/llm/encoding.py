@@ -21,13 +21,13 @@ from tokenizers import Tokenizer
 from recordloom.llm.textops import LOWER, byte_set, span_hashes, utf8_slices
 
 #: Parts a worker keeps; beyond them, the half that was used last stays.
-KEPT_PARTS = 600_000
+KEPT_PARTS = 400_000
 #: Bytes of the longest part that is kept.
 LONGEST = 64
 #: Bytes of text encoded at once (a longer text is taken alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _PARTS_A_CALL = 2048
-_SLOT_BITS = 22
+_SLOT_BITS = 21
 
 _BREAKS = byte_set(" \n")
 _ASCII_BLANKS = byte_set(range(0x09, 0x0E), range(0x1C, 0x21))

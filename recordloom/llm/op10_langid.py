@@ -115,21 +115,22 @@ def distances(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, places:
     return out / np.maximum(np.minimum(sizes, PROFILE), 1)[:, None]
 
 
-def _judge(texts: pa.Array, langs: list[str], known: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the nearest language (len(langs): unknown) and score of each text."""
+def _judge(texts: pa.Array, langs: list[str], known: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the nearest language (len(langs): unknown), score, and distance of each text to it, a mean over its n-grams."""
     lowered = pc.fill_null(pc.utf8_lower(texts), "")
-    best, score = np.full(len(texts), len(langs), dtype=np.int64), np.zeros(len(texts))
+    best, score, least = np.full(len(texts), len(langs), dtype=np.int64), np.zeros(len(texts)), np.full(len(texts), float(PROFILE))
     for row, end, data, offsets in utf8_slices(lowered):
         if not langs:
             break
         apart = distances(data, offsets, known, places)
         best[row:end] = apart.argmin(axis=1)
         two = np.sort(np.column_stack([apart, np.full(len(apart), float(PROFILE))]), axis=1)[:, :2]
+        least[row:end] = two[:, 0]
         score[row:end] = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)
     lettered = pc.match_substring_regex(lowered, r"\p{L}").to_numpy(zero_copy_only=False)
     best[~lettered] = len(langs)
     score[best == len(langs)] = 0
-    return best, np.clip(score, 0, 1)
+    return best, np.clip(score, 0, 1), least
 
 
 def _table(found: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -149,30 +150,20 @@ def identify(docs: DataFrame, found: dict[str, np.ndarray]) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, score = _judge(batch["text"], langs, known, places)
+            best, score, _ = _judge(batch["text"], langs, known, places)
             arrays = [batch["doc_id"].cast(pa.int64()), pa.array(names[best], pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, lang_pred string, score double")
 
 
-def _apart(texts: pa.Array, langs: list[str], known: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Distance of each text to its nearest language, a mean over its n-grams."""
-    lowered = pc.fill_null(pc.utf8_lower(texts), "")
-    out = np.full(len(texts), float(PROFILE))
-    for row, end, data, offsets in utf8_slices(lowered):
-        if langs:
-            out[row:end] = distances(data, offsets, known, places).min(axis=1)
-    return out
-
-
 def farthest(docs: DataFrame, found: dict[str, np.ndarray], sample: int = SAMPLE) -> float:
     """The distance beyond which a text is in none of the languages: NEAR_SHARE of a bounded sample of learned documents are nearer, by 1 / MARGIN; NEVER_FAR at least."""
     langs, known, places = _table(found)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_apart(batch["text"], langs, known, places))], ["apart"])
+            yield pa.RecordBatch.from_arrays([pa.array(_judge(batch["text"], langs, known, places)[2])], ["apart"])
 
     apart = _sampled(docs, sample).select("text").mapInArrow(measure, "apart double")
     limit = apart.agg(F.percentile("apart", F.lit(NEAR_SHARE))).first()[0]
@@ -190,11 +181,8 @@ def kept_documents(docs: DataFrame, found: dict[str, np.ndarray], limit: float =
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, _ = _judge(batch["text"], langs, known, places)
-            kept = wanted[best]
-            if limit < PROFILE:
-                kept &= _apart(batch["text"], langs, known, places) <= limit
-            yield batch.filter(pa.array(kept))
+            best, _, apart = _judge(batch["text"], langs, known, places)
+            yield batch.filter(pa.array(wanted[best] & (apart <= limit)))
 
     return docs.mapInArrow(keep, docs.schema)
 
