@@ -27,7 +27,7 @@ LONGEST = 64
 #: Bytes of text encoded at once (a longer text is taken alone).
 SLICE_BYTES = 1 << 19
 _PARTS_A_CALL = 2048
-_SLOT_BITS = 21
+_SLOT_BITS = 22
 
 _BREAKS = byte_set(" \n")
 _ASCII_BLANKS = byte_set(range(0x09, 0x0E), range(0x1C, 0x21))
@@ -83,11 +83,11 @@ def _gathered(starts: np.ndarray, counts: np.ndarray, held: np.ndarray) -> np.nd
 class PartEncoder:
     """``blanks``: whether the vocabulary spells the blank before a word (byte-level) or drops white space and case."""
 
-    def __init__(self, path: str, blanks: bool) -> None:
+    def __init__(self, path: str, blanks: bool, kept: int = KEPT_PARTS, slice_bytes: int = SLICE_BYTES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.blanks = blanks
+        self.blanks, self.kept, self.slice_bytes = blanks, kept, slice_bytes
         self._forget()
 
     def _forget(self) -> None:
@@ -199,7 +199,7 @@ class PartEncoder:
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, dtype=np.uint32), np.zeros(n + 1, dtype=np.int64)
-        if self.n > KEPT_PARTS:
+        if self.n > self.kept:
             self._thin()
         self.time += 1
         data = data if self.blanks else LOWER[data]
@@ -230,16 +230,16 @@ class PartEncoder:
 
     def encoded(self, texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
         """Yield (first row, end row, ids of each text) of slices of a column."""
-        for row, end, data, offsets in utf8_slices(texts, SLICE_BYTES):
+        for row, end, data, offsets in utf8_slices(texts, self.slice_bytes):
             ids, bounds = self.encode_slice(data, offsets)
             held, edges = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
             yield row, end, [held[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, blanks: bool) -> PartEncoder:
+def encoder(path: str, blanks: bool, kept: int = KEPT_PARTS, slice_bytes: int = SLICE_BYTES) -> PartEncoder:
     """One encoder for each Python worker, which keeps its parts from task to task."""
-    return PartEncoder(path, blanks)
+    return PartEncoder(path, blanks, kept, slice_bytes)
 
 
 def text_groups(texts: list[str | None], characters: int = 1 << 19):

@@ -38,6 +38,8 @@ from recordloom.llm.rangecoder import BLOCK_IDS, decode_block, encode_block
 from recordloom.operators.storage import materialize, new_path
 
 END_ID = 1
+#: Parts that a worker keeps, and bytes of text encoded at once.
+KEPT_PARTS, SLICE_BYTES = 600_000, 1 << 20
 #: Ids read by a task, and the most tasks that read.
 TASK_IDS, MAX_TASKS = 1 << 25, 50_000
 #: Files whose lengths are summed in one group.
@@ -104,7 +106,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, blanks: bool = False, end
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded, writer = encoder(path, blanks).encoded, None
+        encoded, writer = encoder(path, blanks, KEPT_PARTS, SLICE_BYTES).encoded, None
         for batch in batches:
             doc_ids = batch["doc_id"].to_pylist()
             if doc_ids and writer is None:
