@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.encoding import crc32, encoder
+from recordloom.llm.encoding import KEPT_PARTS, crc32, encoder
 from recordloom.operators.storage import materialize
 
 CAPACITY = 2048
@@ -40,12 +40,15 @@ ROUNDS = 400
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row per piece of every document; ``with_ids`` adds the ids themselves (little-endian, 32 bits)."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, kept: int = KEPT_PARTS) -> DataFrame:
+    """One row per piece of every document; ``with_ids`` adds the ids themselves (little-endian, 32 bits).
+
+    A Python worker keeps the ids of ``kept`` parts of texts: fewer take less memory and more time, the rows are the same.
+    """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = encoder(path, True).encoded
+        encoded = encoder(path, True, kept).encoded
         for batch in batches:
             doc_ids = batch["doc_id"].to_pylist()
             for first, last, some in encoded(batch["text"]):
@@ -197,9 +200,9 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(seat, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False, kept: int = KEPT_PARTS) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset [, ids]."""
-    cut = materialize(pieces(docs, path, capacity, with_ids=with_ids), "pieces")
+    cut = materialize(pieces(docs, path, capacity, with_ids=with_ids, kept=kept), "pieces")
     placed = place(cut, capacity)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
 

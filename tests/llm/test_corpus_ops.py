@@ -83,6 +83,8 @@ def test_packing(spark, docs, odd):
     assert used <= 1.03 * least + 1
     check_packing(op3.pack_documents(odd, path, 64).collect(), [(r.doc_id, r.text) for r in odd.collect()], 64)
     assert op3.pack_documents(odd.filter("false"), path).count() == 0
+    few, many = ({tuple(r) for r in op3.pieces(docs, path, kept=n).collect()} for n in (500, op3.KEPT_PARTS))
+    assert few == many
     placed = op3.pack_documents(docs, path, 256, with_ids=True)
     lengths = {r.sequence_id: len(r.ids) // 4 for r in op3.packed_sequences(placed).collect()}
     assert max(lengths.values()) <= 256 and sum(lengths.values()) == placed.agg(F.sum("length")).first()[0]
