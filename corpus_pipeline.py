@@ -15,6 +15,10 @@ from recordloom.operators.storage import materialize
 from recordloom.shipping import shipped
 
 
+#: Parts of texts whose ids a Python worker keeps in the last stage; its workers also hold what earlier stages left.
+KEPT_PARTS = 150_000
+
+
 @shipped
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base rules or the likelihood ratio.
@@ -72,7 +76,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their own, a very long text many; a null id is an id like any other, other columns are left
     out, and an empty table gives no rows.
     """
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), kept=KEPT_PARTS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
