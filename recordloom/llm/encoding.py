@@ -39,7 +39,7 @@ _FAR_BLANK_BEGINS = byte_set(range(0xC2, 0xC3), range(0xE1, 0xE4))
 _FAR_BLANKS = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
 
 
-#: Letters before this one are composed, and lower-cased one by one.
+#: Letters before this one are composed, and but for one lower-cased to one letter.
 _PLAIN_END = "\u0180"
 
 
@@ -60,6 +60,14 @@ def _spelled(text: str) -> str:
     return text.encode().decode("latin-1").translate(_OF_BYTES)
 
 
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, but for those before a character beyond ASCII: a mark may compose with the small letter only."""
+    low = LOWER[data]
+    before = np.flatnonzero((data[:-1] != low[:-1]) & (data[1:] >= 0x80))
+    low[before] = data[before]
+    return low
+
+
 def _after_blank(data: np.ndarray) -> np.ndarray:
     """Whether the character before each byte is white space."""
     after = np.zeros(len(data) + 1, dtype=bool)
@@ -81,12 +89,18 @@ def _gathered(starts: np.ndarray, counts: np.ndarray, held: np.ndarray) -> np.nd
 
 
 class PartEncoder:
-    """``blanks``: whether the vocabulary spells the blank before a word (byte-level) or drops white space and case."""
+    """``blanks``: whether the vocabulary spells the blank before a word (byte-level) or drops white space and case.
 
-    def __init__(self, path: str, blanks: bool, kept: int = KEPT_PARTS, slice_bytes: int = SLICE_BYTES) -> None:
+    Added tokens (``<|endoftext|>``) that a text holds become their ids, as the library does by default; ``spelled`` takes
+    them as other text.
+    """
+
+    def __init__(self, path: str, blanks: bool, kept: int = KEPT_PARTS, slice_bytes: int = SLICE_BYTES, spelled: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spelled
+        # a text that may hold an added token goes to the library whole, as what stands around it is then encoded apart
+        self.added = [] if spelled else [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.blanks, self.kept, self.slice_bytes = blanks, kept, slice_bytes
         self._forget()
 
@@ -116,6 +130,16 @@ class PartEncoder:
             starts, ends = starts[words], ends[words]
         return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
+    def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows that hold the letters of an added token, in any case."""
+        held, at = LOWER[data].tobytes(), []
+        for token in self.added:
+            found = held.find(token)
+            while found >= 0:
+                at.append(found)
+                found = held.find(token, found + 1)
+        return np.unique(np.searchsorted(offsets, np.array(at, dtype=np.int64), side="right") - 1)
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
@@ -127,8 +151,9 @@ class PartEncoder:
         for k, part in enumerate(parts):
             if self.blanks and (part.isalpha() or (part[0] == " " and part[1:].isalpha())):
                 out[k] = [t.id for t in tokenize(part.replace(" ", blank) if part.isascii() else _spelled(part))]
-            elif not self.blanks and part.isalpha() and max(part) < _PLAIN_END:
-                out[k] = [t.id for t in tokenize(part if part.isascii() else _spelled(part.lower()))]
+            elif not self.blanks and part.isalpha() and max(part) < _PLAIN_END and "\u0130" not in part:  # it becomes a letter and a mark
+                low = part.lower()
+                out[k] = [t.id for t in tokenize(low if low.isascii() else _spelled(low))]
             elif self.blanks and (part[0] not in " \n" or part[-1].isspace()):
                 out[k] = self._whole(part)
             else:
@@ -202,9 +227,16 @@ class PartEncoder:
         if self.n > self.kept:
             self._thin()
         self.time += 1
-        data = data if self.blanks else LOWER[data]
+        given, data = data, data if self.blanks else _lowered(data)
         starts, ends, rows = self.parts(data, offsets)
-        long = np.flatnonzero(ends - starts > LONGEST)
+        marked = self._with_added(given, offsets)
+        if len(marked):
+            others = ~np.isin(rows, marked)
+            starts, ends, rows = (np.concatenate([v[others], w]) for v, w in ((starts, offsets[marked]), (ends, offsets[marked + 1]), (rows, marked)))
+            order = np.argsort(rows, kind="stable")
+            starts, ends, rows = starts[order], ends[order], rows[order]
+        whole = np.isin(rows, marked)
+        long = np.flatnonzero((ends - starts > LONGEST) | whole)
         hashes = span_hashes(data, starts, ends)
         if len(long):
             short = np.ones(len(starts), dtype=bool)
@@ -216,7 +248,8 @@ class PartEncoder:
         self.used[numbers] = self.time
         begins, counts, held = self.starts[numbers], self.counts[numbers], self.ids
         if len(long):
-            own = [self._whole(data[a:b].tobytes().decode()) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+            taken = [given if w else data for w in whole[long].tolist()]
+            own = [self._whole(d[a:b].tobytes().decode()) for d, a, b in zip(taken, starts[long].tolist(), ends[long].tolist(), strict=True)]
             sizes = np.array(list(map(len, own)), dtype=np.int64)
             begins[long], counts[long] = self.n_ids + np.cumsum(sizes) - sizes, sizes
             held = np.concatenate([held[: self.n_ids], *own])
@@ -237,9 +270,9 @@ class PartEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, blanks: bool, kept: int = KEPT_PARTS, slice_bytes: int = SLICE_BYTES) -> PartEncoder:
+def encoder(path: str, blanks: bool, kept: int = KEPT_PARTS, slice_bytes: int = SLICE_BYTES, spelled: bool = False) -> PartEncoder:
     """One encoder for each Python worker, which keeps its parts from task to task."""
-    return PartEncoder(path, blanks, kept, slice_bytes)
+    return PartEncoder(path, blanks, kept, slice_bytes, spelled)
 
 
 def text_groups(texts: list[str | None], characters: int = 1 << 19):

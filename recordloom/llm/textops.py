@@ -79,35 +79,43 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    table = _powers.get(base)
-    if table is None or len(table) < n:
-        table = np.full(max(n, SLICE_BYTES), base, dtype=np.uint64)
-        table[0] = 1
-        np.multiply.accumulate(table, out=table)
-        if n <= 8 * SLICE_BYTES:
-            _powers[base] = table
-    return table
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every span, the same wherever the span stands."""
+    """A 64-bit hash of every span, the same wherever the span stands.
+
+    A span is read as words of 8 bytes. Each is mixed with its number and the span's length by a
+    bijection that is not linear, so no arrangement of equal letters cancels out in their sum.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
         at = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, at + SLICE_BYTES, side="right")))
-        n = int(ends[j - 1] - at)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data[at : at + n].astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n)[:n], out=sums[1:])
-        s, e = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = (sums[e] - sums[s]) * _power_table(_INVERSE, n)[s]
+        out[i:j] = _hashed(np.append(data[at : ends[j - 1]], np.zeros(8, dtype=np.uint8)), starts[i:j] - at, ends[i:j] - starts[i:j])
         i = j
-    return mix(out)
+    return out
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    eights = np.ndarray(max(len(data) - 7, 0), dtype="<u8", buffer=data.tobytes(), strides=(1,))  # the 8 bytes from each place on
+    words = np.maximum((sizes + 7) >> 3, 1)
+    lengths = sizes.astype(np.uint64) * np.uint64(_BASE)
+    if int(words.max(initial=1)) == 1:
+        return mix(mix(_low(eights.take(starts), sizes) ^ lengths))
+    firsts = np.cumsum(words) - words
+    number = np.arange(int(words.sum())) - np.repeat(firsts, words)
+    held = _low(eights.take(np.repeat(starts, words) + 8 * number), np.minimum(np.repeat(sizes, words) - 8 * number, 8))
+    mixed = mix(held ^ np.repeat(lengths, words) ^ mix(number.astype(np.uint64)))
+    return mix(np.add.reduceat(mixed, firsts))
+
+
+def _low(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The low n bytes of each word, n from 0 to 8."""
+    return words & _MASKS[n]
+
+
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def word_hash(words: list[str]) -> np.ndarray:

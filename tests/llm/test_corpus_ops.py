@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,10 +17,12 @@ from recordloom.llm import op3_packing as op3
 from recordloom.llm import op4_binary as op4
 from recordloom.llm import op5_sentencepiece as op5
 from recordloom.llm import op6_jaccard as op6
+from recordloom.llm import op7_quality as op7
 from recordloom.llm import op9_exact as op9
 from recordloom.llm import op10_langid as op10
 from recordloom.llm import rangecoder
 from recordloom.llm.encoding import PartEncoder, crc32_join
+from recordloom.llm.textops import word_hash
 from recordloom.operators.storage import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -39,7 +42,6 @@ def docs(spark):
 
 def library_ids(name, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
@@ -49,6 +51,51 @@ def test_parts_give_the_library_ids(docs, name, blanks):
     assert PartEncoder(public_tokenizers.path(name), blanks).encode(texts) == library_ids(name, texts)
 
 
+@pytest.mark.parametrize(("name", "blanks"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_random_texts_of_all_kinds_of_characters(name, blanks):
+    rng = np.random.default_rng(11)
+    kinds = defaultdict(list)
+    for code in [*range(0x2FF0), *range(0x3000, 0x3100), *range(0xAC00, 0xAC40), *range(0x1F600, 0x1F620)]:
+        if not 0xD800 <= code < 0xE000:
+            kinds[unicodedata.category(chr(code))[0]].append(chr(code))
+    own = ["İ", "İstanbul", " <|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "\u212a", "e\u0301", "'s", "'T", "don't", " ", "  ", "\n", "\u0085", "\u00a0", "ß", "ŉ", "a", "Z", "9"]
+    texts = []
+    for _ in range(4000):
+        picked = [own[rng.integers(len(own))] if rng.random() < 0.4 else (k := kinds["LMNZPSC"[rng.integers(7)]])[rng.integers(len(k))] for _ in range(rng.integers(1, 12))]
+        texts.append("".join(picked))
+    texts += ["a <|endoftext|> b", "İ", "<|startoftext|>x", "x<|endoftext|>"]
+    want = library_ids(name, texts)
+    got = PartEncoder(public_tokenizers.path(name), blanks).encode(texts)
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: "b", 98: "a"})
+    return word, word.translate({97: "b", 98: "a"})
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """Two words of 1,024 letters that hash alike under every polynomial modulo 2**64."""
+    one, two = thue_morse(1024)
+    low, high = word_hash([one, two])
+    assert low != high
+    frame = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id, r.n_links) for r in op6.near_duplicates(frame).collect()} == {(1, 1, 0), (2, 2, 0)}
+    data = np.frombuffer(f"{one}\n{two}".encode(), dtype=np.uint8)
+    counts, _, _ = op7.base_counts(data, np.array([0, len(data)]))
+    assert [int(c[0]) for c in counts] == [2, 2048, 0, 0, 0]
+
+
+def test_hashes_do_not_depend_on_the_place():
+    words = ["", "a", "abcdefgh", "abcdefghi", "x" * 100, "abcdefg\0", "abcdefg"]
+    whole = word_hash(words)
+    assert len(set(whole.tolist())) == len(words)
+    for w, h in zip(words, whole, strict=True):
+        assert word_hash(["zz", w, "y"])[1] == h
+
+
 def test_crc_of_joined_parts():
     for a, b in ((b"", b""), (b"x", b""), (b"", b"abc"), (b"hello" * 99, b"world" * 1000)):
         assert crc32_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
