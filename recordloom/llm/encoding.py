@@ -54,6 +54,13 @@ _OF_BYTES = _spelling()
 _OF_PLAIN = {c: "".join(_OF_BYTES[b] for b in chr(c).encode()) for c in range(ord(_PLAIN_END))}
 
 
+def byte_entries(tokenizer: Tokenizer) -> list[bytes]:
+    """The bytes of every id of a byte-level vocabulary; those of added tokens are their letters."""
+    of = {c: b for b, c in _OF_BYTES.items()}
+    added = tokenizer.get_added_tokens_decoder()
+    return [tokenizer.id_to_token(i).encode() if i in added else bytes(of[c] for c in tokenizer.id_to_token(i)) for i in range(tokenizer.get_vocab_size())]
+
+
 def _spelled(text: str) -> str:
     if max(text) < _PLAIN_END:
         return text.translate(_OF_PLAIN)
@@ -82,7 +89,7 @@ def _after_blank(data: np.ndarray) -> np.ndarray:
     return after[:-1]
 
 
-def _gathered(starts: np.ndarray, counts: np.ndarray, held: np.ndarray) -> np.ndarray:
+def gathered(starts: np.ndarray, counts: np.ndarray, held: np.ndarray) -> np.ndarray:
     """The joined runs held[start : start + count]."""
     ends = np.cumsum(counts)
     return held[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)]
@@ -143,7 +150,7 @@ class PartEncoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _found(self, parts: list[str]) -> list[np.ndarray | list[int]]:
+    def found(self, parts: list[str]) -> list[np.ndarray | list[int]]:
         """The ids of new parts: a word of letters is one pre-token for the model, others go through the whole tokenizer, many in one call."""
         out: list[np.ndarray | list[int]] = [[] for _ in parts]
         tokenize, blank = self.tokenizer.model.tokenize, _OF_BYTES[32]
@@ -170,7 +177,7 @@ class PartEncoder:
         return out
 
     def _learn(self, hashes: np.ndarray, parts: list[str]) -> None:
-        found = self._found(parts)
+        found = self.found(parts)
         counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         n, n_ids = self.n + len(found), self.n_ids + int(counts.sum())
         for name in ("hashes", "starts", "counts", "used"):
@@ -190,7 +197,7 @@ class PartEncoder:
         used = self.used[1 : self.n]
         kept = 1 + np.flatnonzero(used > np.partition(used, len(used) // 2)[len(used) // 2])
         hashes, counts, time = self.hashes[kept], self.counts[kept], used[kept - 1]
-        ids = _gathered(self.starts[kept], counts, self.ids)
+        ids = gathered(self.starts[kept], counts, self.ids)
         self._forget()
         n = len(kept) + 1
         self.hashes, self.counts, self.used = (np.concatenate([[0], a]).astype(a.dtype) for a in (hashes, counts, time))
@@ -254,7 +261,7 @@ class PartEncoder:
             begins[long], counts[long] = self.n_ids + np.cumsum(sizes) - sizes, sizes
             held = np.concatenate([held[: self.n_ids], *own])
         sums = np.concatenate([[0], np.cumsum(counts)])
-        return _gathered(begins, counts, held), sums[np.searchsorted(rows, np.arange(n + 1))]
+        return gathered(begins, counts, held), sums[np.searchsorted(rows, np.arange(n + 1))]
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; a null is empty."""
