@@ -22,9 +22,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -39,9 +37,11 @@ from recordloom.llm.textops import span_hashes, utf8_slices
 from recordloom.operators.storage import materialize
 
 #: Parts a worker keeps; beyond them it begins anew.
-KEPT_PARTS = 300_000
+KEPT_PARTS = 200_000
 SLICE_BYTES = 1 << 19
 _PARTS_A_CALL = 2048
+#: Links of a slice that are listed one by one.
+_LISTED = 64
 #: Bits of a B id in a pair: pair = A id << PAIR_BITS | B id.
 PAIR_BITS = 20
 
@@ -65,50 +65,50 @@ class PieceParts:
                 self.spelled.append(piece.replace("▁", " ").encode())
                 if not (self.model.is_control(i) or self.model.is_unknown(i)):  # no text is encoded as these
                     pieces.append(piece)
-        self.sizes = [len(s) for s in self.spelled]
         self.line = self.spelled.index(b"\n")
         crossing = any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
         if crossing or any(a.isascii() and a.isalpha() and b.isascii() and not b.isalnum() for p in pieces for a, b in zip(p, p[1:], strict=False)):
             raise ValueError("a piece reaches over a place where texts are cut")
 
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        """The ids of each part: many in one call, between line breaks, over which no piece reaches."""
-        out: list[list[int]] = []
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, joined, and how many each has: many in one call, between line breaks, over which no piece reaches."""
+        ids, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for at in range(0, len(parts), _PARTS_A_CALL):
             some = parts[at : at + _PARTS_A_CALL]
-            ids = self.model.encode("\n" + "\n".join(some) + "\n", num_threads=1)
-            breaks = np.flatnonzero(np.array(ids) == self.line)
-            last = np.cumsum([1 + p.count("\n") for p in some])
-            ends = breaks[last].tolist()
-            begins = [int(breaks[0]) + 1, *(e + 1 for e in ends[:-1])]
-            out += [ids[b:e] for b, e in zip(begins, ends, strict=True)]
-        return out
-
-
-def align(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The groups of two id lists over the same bytes, by their common cumulative ends."""
-    a_ends = {end: i for i, end in enumerate(accumulate(a_sizes[i] for i in a), 1)}
-    b_ends = {end: i for i, end in enumerate(accumulate(b_sizes[i] for i in b), 1)}
-    groups, x, y = [], 0, 0
-    for end in sorted(a_ends.keys() & b_ends.keys()):
-        i, j = a_ends[end], b_ends[end]
-        groups.append((a[x:i], b[y:j]))
-        x, y = i, j
-    return groups
-
-
-def links(groups: list[tuple[list[int], list[int]]]) -> Counter:
-    """How often each pair is linked, expanded slice by slice; a slice's repeated ids are multiplied, not listed."""
-    found: Counter = Counter()
-    for a, b in groups:
-        if len(a) == 1 and len(b) == 1:
-            found[a[0] << PAIR_BITS | b[0]] += 1
-            continue
-        times = Counter(b).items()
-        for i, n in Counter(a).items():
-            for j, m in times:
-                found[i << PAIR_BITS | j] += n * m
-    return found
+            found = np.array(self.model.encode("\n" + "\n".join(some) + "\n", num_threads=1), dtype=np.int64)
+            breaks = np.flatnonzero(found == self.line)
+            between = breaks[np.cumsum([0, *(1 + p.count("\n") for p in some)])]
+            inside = np.ones(len(found), dtype=bool)
+            inside[: between[0]] = False  # the mark that the library puts before every text
+            inside[between] = False
+            ids.append(found[inside])
+            counts.append(np.diff(between) - 1)
+        return np.concatenate(ids), np.concatenate(counts)
+
+
+def align(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where tokens of two tokenizations of the same bytes, given by their sizes, end together: the end, and how many tokens of each there are by then."""
+    a_index = dict(zip(np.cumsum(a_sizes).tolist(), range(1, len(a_sizes) + 1), strict=True))
+    b_index = dict(zip(np.cumsum(b_sizes).tolist(), range(1, len(b_sizes) + 1), strict=True))
+    common = sorted(a_index.keys() & b_index.keys())
+    return np.array(common, dtype=np.int64), *(np.fromiter(map(index.__getitem__, common), dtype=np.int64, count=len(common)) for index in (a_index, b_index))
+
+
+def links(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links of slices that end at these indices: group, pair, times. A large slice's repeated ids are multiplied, not listed."""
+    a_begins, b_begins = (np.concatenate([[0], e[:-1]]) if len(e) else e for e in (a_ends, b_ends))
+    n_a, n_b = a_ends - a_begins, b_ends - b_begins
+    small = np.flatnonzero(n_a * n_b <= _LISTED)
+    owner = np.repeat(small, (n_a * n_b)[small])
+    within = np.arange(len(owner)) - np.repeat(np.cumsum((n_a * n_b)[small]) - (n_a * n_b)[small], (n_a * n_b)[small])
+    pairs = a[a_begins[owner] + within // n_b[owner]] << PAIR_BITS | b[b_begins[owner] + within % n_b[owner]]
+    groups, found, times = [owner], [pairs], [np.ones(len(pairs), dtype=np.int64)]
+    for k in np.flatnonzero(n_a * n_b > _LISTED).tolist():
+        (x, n), (y, m) = (np.unique(v, return_counts=True) for v in (a[a_begins[k] : a_ends[k]], b[b_begins[k] : b_ends[k]]))
+        found.append((x[:, None] << PAIR_BITS | y).ravel())
+        times.append((n[:, None] * m).ravel())
+        groups.append(np.full(len(found[-1]), k))
+    return np.concatenate(groups), np.concatenate(found), np.concatenate(times)
 
 
 class Aligner:
@@ -117,9 +117,9 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str, kept: int = KEPT_PARTS) -> None:
         self.a, self.b = PartEncoder(a_path, True, spelled=True), PieceParts(b_path)
         self.a_spelled = byte_entries(self.a.tokenizer)
-        self.a_sizes = [len(s) for s in self.a_spelled]
-        if len(self.b.sizes) > 1 << PAIR_BITS or len(self.a_sizes) > 1 << 63 - PAIR_BITS - 12:
-            raise ValueError("a vocabulary is too large for packed pairs")
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in v], dtype=np.int64) for v in (self.a_spelled, self.b.spelled))
+        if len(self.b_sizes) > 1 << PAIR_BITS:
+            raise ValueError("the second vocabulary is too large for packed pairs")
         self.kept = kept
         self._forget()
 
@@ -131,25 +131,52 @@ class Aligner:
         self.texts = np.empty(1 << 14, dtype=object)
         self.pairs, self.times = (np.zeros(1 << 16, dtype=np.int64) for _ in range(2))
 
-    def _aligned(self, part: bytes, a: list[int], b: list[int]) -> tuple[tuple[int, int, int, int], bytes, Counter]:
-        if b"".join([self.b.spelled[i] for i in b]) != part or b"".join([self.a_spelled[i] for i in a]) != part:
-            return (-1, -1, -1, -1), b"", Counter()
-        groups = align(a, b, self.a_sizes, self.b.sizes)
-        text = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]).encode()
-        return (len(a), len(b), len(groups), sum(len(x) * len(y) for x, y in groups)), text, links(groups)
-
     def _learn(self, parts: list[bytes]) -> None:
+        """Align new parts, all at once: their joined bytes are one text, of which every part's end is a common end."""
         texts = [p.decode() for p in parts]
-        for part, a, b in zip(parts, self.a.found(texts), self.b.encode(texts), strict=True):
-            head, text, found = self._aligned(part, list(map(int, a)), b)
-            k, end = self.n, self.n_pairs + len(found)
-            if k == len(self.starts):
-                self.heads, self.starts, self.counts, self.texts = (np.concatenate([v, np.empty_like(v)]) for v in (self.heads, self.starts, self.counts, self.texts))
-            while end > len(self.pairs):
-                self.pairs, self.times = np.resize(self.pairs, 2 * len(self.pairs)), np.resize(self.times, 2 * len(self.times))
-            self.heads[k], self.texts[k], self.starts[k], self.counts[k] = head, text, self.n_pairs, len(found)
-            self.pairs[self.n_pairs : end], self.times[self.n_pairs : end] = list(found), list(found.values())
-            self.n, self.n_pairs = k + 1, end
+        own = self.a.found(texts)
+        a, a_counts = np.concatenate([np.zeros(0, dtype=np.int64), *own]).astype(np.int64), np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+        b, b_counts = self.b.encode(texts)
+        good = np.ones(len(parts), dtype=bool)
+        for ids, counts, spelled in ((a, a_counts, self.a_spelled), (b, b_counts, self.b.spelled)):
+            said = [spelled[i] for i in ids.tolist()]
+            if b"".join(said) != b"".join(parts):
+                edges = np.concatenate([[0], np.cumsum(counts)]).tolist()
+                good &= np.array([b"".join(said[x:y]) == p for x, y, p in zip(edges[:-1], edges[1:], parts, strict=True)])
+        if not good.all():
+            a, b = a[np.repeat(good, a_counts)], b[np.repeat(good, b_counts)]
+        sizes = np.array([len(p) for p in parts], dtype=np.int64) * good
+        ends, a_ends, b_ends = align(self.a_sizes[a], self.b_sizes[b])
+        owner = np.searchsorted(np.cumsum(sizes), ends)  # a bad part has no byte, so no end falls on it
+        group, pairs, times = links(a, b, a_ends, b_ends)
+        order = np.argsort(owner[group], kind="stable")
+        group, pairs, times = group[order], pairs[order], times[order]
+        n, k = len(parts), self.n
+        n_links = np.bincount(owner[group], weights=times, minlength=n).astype(np.int64)
+        heads = np.stack([a_counts, b_counts, np.bincount(owner, minlength=n), n_links], axis=1)
+        heads[~good] = -1
+        self._reserve(n, len(pairs))
+        self.heads[k : k + n] = heads
+        self.counts[k : k + n] = np.bincount(owner[group], minlength=n)
+        self.starts[k : k + n] = self.n_pairs + np.cumsum(self.counts[k : k + n]) - self.counts[k : k + n]
+        self.pairs[self.n_pairs : self.n_pairs + len(pairs)], self.times[self.n_pairs : self.n_pairs + len(pairs)] = pairs, times
+        self.texts[k : k + n] = self._spelled_groups(a, b, a_ends, b_ends, np.cumsum(np.bincount(owner, minlength=n)))
+        self.n, self.n_pairs = k + n, self.n_pairs + len(pairs)
+
+    def _spelled_groups(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, part_ends: np.ndarray) -> list[bytes]:
+        x, y, said = 0, 0, []
+        a_said, b_said = [str(i) for i in a.tolist()], [str(i) for i in b.tolist()]
+        for i, j in zip(a_ends.tolist(), b_ends.tolist(), strict=True):
+            said.append(f"{a_said[x]}|{b_said[y]}" if i == x + 1 and j == y + 1 else f"{','.join(a_said[x:i])}|{','.join(b_said[y:j])}")
+            x, y = i, j
+        edges = [0, *part_ends.tolist()]
+        return [";".join(said[e:f]).encode() for e, f in zip(edges[:-1], edges[1:], strict=True)]
+
+    def _reserve(self, parts: int, pairs: int) -> None:
+        while self.n + parts > len(self.starts):
+            self.heads, self.starts, self.counts, self.texts = (np.concatenate([v, np.empty_like(v)]) for v in (self.heads, self.starts, self.counts, self.texts))
+        while self.n_pairs + pairs > len(self.pairs):
+            self.pairs, self.times = (np.concatenate([v, np.empty_like(v)]) for v in (self.pairs, self.times))
 
     def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
         """The number of each part, and how many numbers are kept; those from there on are of long parts."""
