@@ -316,5 +316,17 @@ def crc32_join(first: int, second: int, second_bytes: int) -> int:
     return _times(shift, first) ^ second
 
 
+def crc32_shifts(sizes: int) -> np.ndarray:
+    """[n, k, v]: what byte k of a CRC-32, of value v, becomes when n further bytes (below ``sizes``) follow."""
+    table = np.zeros((sizes, 4, 256), dtype=np.int64)
+    shift = 1 << 31
+    for n in range(sizes):
+        for k in range(4):
+            for bit in range(8):
+                table[n, k, 1 << bit : 2 << bit] = table[n, k, : 1 << bit] ^ _times(shift, 1 << 8 * k + bit)
+        shift = _times(shift, 1 << 23)
+    return table
+
+
 def crc32(ids: bytes | memoryview) -> int:
     return zlib.crc32(ids)

@@ -1,6 +1,8 @@
 """Operators 11 to 13 against plain Python, and their edge cases."""
 
 import hashlib
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -8,6 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from recordloom.llm import op12_spelling as op12
 from recordloom.llm import op13_align as op13
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +125,79 @@ def test_few_kept_parts_give_the_same_alignments(docs):
     for _ in range(2):
         for x, y in zip(one.slice(data, offsets), few.slice(data, offsets), strict=True):
             assert list(map(str, x)) == list(map(str, y))
+
+
+# ---- 12: spelling variants ---------------------------------------------------------------
+
+
+def plain_words(rows):
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            if doc_id is not None and (h := zlib.crc32(f"{doc_id}:{run}".encode())) % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+
+
+def edits(word, letters):
+    for i in range(len(word) + 1):
+        for c in letters:
+            yield word[:i] + c + word[i:]
+            if i < len(word):
+                yield word[:i] + c + word[i + 1 :]
+        if i < len(word):
+            yield word[:i] + word[i + 1 :]
+
+
+def plain_variants(words):
+    letters = sorted(set("".join(words)))
+    near = {w: {e for e in edits(w, letters) if e in words and e != w} for w in words}
+    forms = {}
+    for w, others in near.items():
+        if others:
+            best = min(others, key=lambda o: (-words[o], o))
+            if words[best] >= 5 * words[w]:
+                forms[w] = best
+    out = Counter()
+    for w, n in words.items():
+        root = w
+        while root in forms:
+            root = forms[root]
+        out[w, forms.get(w), root, n, len(near[w]), words.get(forms.get(w))] += 1
+    return out
+
+
+def test_spelling_query(spark, docs):
+    words = plain_words([(r.doc_id, r.text) for r in docs.collect()])
+    got = op12.op12_spelling_variants(spark, SF)
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    assert Counter(tuple(r) for r in got.collect()) == plain_variants(words)
+    assert len(words) > 500
+
+
+@pytest.mark.parametrize("block", [7, op12.BLOCK])
+def test_variants_of_crowded_groups(spark, block):
+    """Words over few letters, so that groups are large and pairs share both halves; blocks change nothing."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for doc_id in range(60):
+        picked = ["".join(rng.choice(list("abé"), rng.integers(5, 9))) for _ in range(400)]
+        rows.append((doc_id, " ".join(w.upper() if rng.random() < 0.2 else w for w in picked)))
+    rows += [(60, "common1 " * 3), (61, ("prefix " * 6 + "prefixe " * 40 + "préfixe " * 300)), (62, "aaaaaaaaaa " * 25 + "aaaaaaaaa " * 5 + "aaaaaaaaaaa " * 125)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_variants(plain_words(rows))
+    assert Counter(tuple(r) for r in op12.spelling_variants(frame, block).collect()) == want
+    assert any(root not in (w, form) for w, form, root, *_ in want)  # a chain of forms
+
+
+def test_spelling_of_odd_rows(spark, odd):
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    rows += [(None, "Nullable " * 9), (7, "Ünïcödé " * 1200), (8, "x" * 200 + " "), (8, ("y" * 70 + " ") * 5), (9, "straße groß× größer " * 7)]
+    rows += [(k, "deletion " * 2 + "z" * 80) for k in range(1000)]
+    frame = spark.createDataFrame([(*r, "w", 1, "r") for r in rows], "doc_id long, text string, word string, n int, root string")
+    want = plain_words(rows)
+    assert {r.word: r.n for r in op12.word_counts(frame).collect()} == want
+    assert Counter(tuple(r) for r in op12.spelling_variants(frame).collect()) == plain_variants(want)
+    assert op12.spelling_variants(frame.filter("false")).count() == 0
