@@ -260,8 +260,7 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 def scored(found: DataFrame, counts: DataFrame, limit: int = FREQUENT) -> DataFrame:
     """Add n_best and count_sum to ``found``: from broadcast counts for frequent pairs, by a join for the others."""
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often, rare = split(counts, total, limit)
+    often, rare = split(counts, limit)
     table = often.orderBy("pair").toPandas()  # at most ``limit`` rows
     keys, values, bests = table["pair"].to_numpy(np.int64), table["n"].to_numpy(np.int64), table["best"].to_numpy(bool)
 

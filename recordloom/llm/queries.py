@@ -12,6 +12,7 @@ from recordloom.llm.op7_quality import op7_quality_rules
 from recordloom.llm.op8_license import op8_license_scan
 from recordloom.llm.op9_exact import OP9_SQL, op9_exact_dedup
 from recordloom.llm.op10_langid import op10_language_id
+from recordloom.llm.op11_lm import op11_lm_scoring
 from recordloom.llm.op12_spelling import op12_spelling_variants
 from recordloom.llm.op13_align import op13_cross_tokenizer
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_cross_tokenizer": op13_cross_tokenizer,
 }
