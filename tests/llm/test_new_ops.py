@@ -1,6 +1,7 @@
 """Operators 11 to 13 against plain Python, and their edge cases."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,8 +9,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from recordloom.llm import bitmodel
+from recordloom.llm import op11_lm as op11
 from recordloom.llm import op12_spelling as op12
 from recordloom.llm import op13_align as op13
 
@@ -201,3 +205,113 @@ def test_spelling_of_odd_rows(spark, odd):
     assert {r.word: r.n for r in op12.word_counts(frame).collect()} == want
     assert Counter(tuple(r) for r in op12.spelling_variants(frame).collect()) == plain_variants(want)
     assert op12.spelling_variants(frame.filter("false")).count() == 0
+
+
+# ---- 11: language-model scores -----------------------------------------------------------
+
+BLANK = "[ \\t-\\r]"
+
+
+def plain_units(text):
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    found = re.findall(f"^{BLANK}+|[^ \\t-\\r]+{BLANK}*", text)
+    return found if text and not re.search(f"{BLANK}$", text) else [*found, ""]
+
+
+def plain_base(rows):
+    train = Counter()
+    held = [d is None or zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows]
+    tokens = [[*re.findall("[^ \\t-\\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for _, t in rows]
+    for own, out in zip(tokens, held, strict=True):
+        if not out:
+            train.update(own)
+    total = sum(train.values())
+    norm = total + 0.5 * (len(train) + 1)
+    return [(d, out, len(own), sum(train[t] > 0 for t in own), total, sum(math.log10((train[t] + 0.5) / norm) for t in own)) for (d, _), out, own in zip(rows, held, tokens, strict=True)]
+
+
+def plain_scores(spark, frame, group):
+    """log10 of each text's probability, unit after unit, from the units' own probabilities."""
+    classes = op11.classes_of(frame, group) if group is not None else []
+    found = op11.unit_counts(frame, group, classes).cache()
+    names = ["n", *(f"n{e}" for e in range(len(classes)))]
+    rows = found.collect()
+    totals = [(sum(r[c] for r in rows), sum(r[c] > 0 for r in rows)) for c in names]
+    codes = spark.sparkContext.broadcast(op11.bit_tables(found))
+    logs = {r.unit: r.logs for r in op11.unit_logs(found, codes, *op11.mixing_weights(found, codes), totals).collect()}
+    scores = []
+    for row in frame.select("text").collect():
+        belief = np.zeros((len(names), len(op11.MEMORIES)))
+        past = Counter()
+        for t, unit in enumerate(plain_units(row.text)):
+            mine = np.exp(np.array(logs[unit]))[:, None]
+            share = np.array(op11.MEMORIES)
+            if past[unit]:
+                belief += np.log((1 - share) * mine + share * past[unit] / (t + op11.MEMORY))
+            else:
+                belief += np.array(logs[unit])[:, None] + np.log1p(-share)
+            past[unit] += 1
+        scores.append((belief.max() + np.log(np.exp(belief - belief.max()).mean())) / np.log(10))
+    return scores
+
+
+@pytest.mark.parametrize("limit", [0, 40, op11.BROADCAST])
+def test_scores_are_those_of_a_sequential_reader(spark, docs, odd, limit):
+    """Base columns against plain Python; scores against unit after unit, whatever share of the units is broadcast."""
+    few = docs.limit(60).select("doc_id", "text", "lang")
+    frame = few.unionByName(odd.select("doc_id", "text", F.lit("x").alias("lang"))).unionByName(few.limit(2)).cache()
+    rows = [(r.doc_id, r.text) for r in frame.collect()]
+    got = op11.score_documents(frame, F.col("lang"), limit).collect()
+    want = [(*values, score) for values, score in zip(plain_base(rows), plain_scores(spark, frame, F.col("lang")), strict=True)]
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got]
+    for a, b in zip(*(sorted(v, key=lambda r: (str(r[0]), r[2], -r[6])) for v in (got, want)), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-6)
+    assert op11.score_documents(frame.filter("false"), F.col("lang"), limit).count() == 0
+
+
+def test_scores_without_training_documents(spark):
+    frame = spark.createDataFrame([(None, "a b", None, 3), (None, None, None, 4)], "doc_id long, text string, lang string, n int")
+    got = op11.score_documents(frame, F.col("lang")).collect()
+    assert {(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got} == {(True, 3, 0, 0, 0.0), (True, 1, 0, 0, 0.0)}
+    assert all(r.score < 0 for r in got)
+
+
+def test_language_model_query(spark, docs):
+    """Documents that were not learned from take fewer bits than under the base, whose unknown words are not even spelled out."""
+    got = op11.op11_lm_scoring(spark, "/root/testdata/sf0.1").cache()
+    assert got.columns[:7] == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    held = got.filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.avg((F.col("score") > F.col("base_score")).cast("int")), F.sum("n_bytes")).first()
+    assert held[0] > 0.95 * held[1] and held[2] > 0.75
+    assert -held[0] * math.log2(10) / held[3] < 2.15  # bits a byte
+
+
+def test_shuffled_letters_cost_more(spark, docs):
+    rng = np.random.default_rng(1)
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    mixed = [(5_000_000 + d, " ".join("".join(rng.permutation(list(w))) for w in t.split(" ")), None) for d, t, _ in rows if zlib.crc32(str(d).encode()) % 5 == 1]
+    mixed = [(next(k for k in range(10**9 + 1000 * i, 10**9 + 1000 * i + 1000) if zlib.crc32(str(k).encode()) % 5 == 1), t, g) for i, (_, t, g) in enumerate(mixed)]
+    frame = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    bits = {r.doc_id: r.bits_per_byte for r in op11.score_documents(frame, F.col("lang")).filter("held_out").collect()}
+    usual = [b for d, b in bits.items() if d < 10**9]
+    assert np.mean([b for d, b in bits.items() if d >= 10**9]) > np.mean(usual) + 0.5
+
+
+def test_the_bit_model_is_a_probability():
+    """Over all units of two bytes, probabilities add up to one, but for what goes on after a blank."""
+    rng = np.random.default_rng(2)
+    words = ["the ", "then ", "than\n", "there  ", "other", "a "] * 20
+    data = np.frombuffer("".join(words).encode(), dtype=np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    table = np.zeros(2 * bitmodel.SLOTS, dtype=np.int64)
+    events = bitmodel.Events(data, offsets)
+    bitmodel.count(events, rng.integers(1, 50, len(words)), table)
+    mixer = bitmodel.Mixer(bitmodel.coded(table[0::2], table[1::2]))
+    weights, _, refining = mixer.learn([(events, np.ones(len(words), dtype=np.int64))])
+    mixer.settle(weights, refining)
+    first, second = np.divmod(np.arange(1 << 16), 256)
+    every = np.stack([first, second], axis=1).astype(np.uint8).ravel()
+    p = np.exp2(-mixer.cost(bitmodel.Events(every, np.arange(0, len(every) + 1, 2)), 1 << 16))
+    ended = np.isin(first, list(b" \t\n\v\f\r"))
+    assert 0.9 < p.sum() <= 1 + 1e-5
+    goes_on = p[np.isin(second, list(b" \t\n\v\f\r")) & ~ended].sum()
+    assert p[~ended & ~np.isin(second, list(b" \t\n\v\f\r"))].sum() + goes_on <= 1
