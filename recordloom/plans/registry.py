@@ -298,6 +298,44 @@ query("embedding_bands", "with b as (select vec_id, bit_or(case when embedding[i
 )
 query("similar_candidates", _NEAR + "select a, b, cast(distance as int) as distance from cand")(lambda s, d: similar.similar_candidates(text_fingerprints(s, d)))
 query("similar_pairs", _NEAR + "select a, b, cast(distance as int) as distance from cand where distance <= 8")(lambda s, d: similar.similar_pairs(text_fingerprints(s, d)))
+_ALL_PAIRS = _NEAR + "select a.full_path as a, b.full_path as b, cast(bit_count(xor(a.h, b.h)) as int) as distance from rep a join rep b on a.full_path < b.full_path and bit_count(xor(a.h, b.h)) <= 8"
+query("similar_pairs_exact", _ALL_PAIRS)(lambda s, d: similar.similar_pairs(text_fingerprints(s, d), exact=True))
+
+
+def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of all pairs at each distance the banded form finds."""
+    prints = text_fingerprints(spark, sf_dir)
+    found = similar.similar_pairs(prints).select("a", "b", F.lit(1).alias("banded"))
+    both = similar.similar_pairs(prints, exact=True).join(found, ["a", "b"], "left")
+    return both.groupBy("distance").agg(F.count("*").alias("pairs"), F.count("banded").alias("found"))
+
+
+query("similar_recall", _NEAR + "select cast(bit_count(xor(a.h, b.h)) as int) as distance, count(*) as pairs, count(c.a) as found from rep a join rep b on a.full_path < b.full_path and bit_count(xor(a.h, b.h)) <= 8 left join cand c on c.a = a.full_path and c.b = b.full_path group by 1")(_recall)
+
+
+def _pair_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a limit on compared pairs refuses the clustering."""
+    prints, rows = text_fingerprints(spark, sf_dir), []
+    for limit in (0, 5, 1_000_000_000_000):
+        try:
+            similar.similar_clusters(prints, max_pairs=limit)
+            rows.append((limit, False))
+        except ValueError:
+            rows.append((limit, True))
+    return spark.createDataFrame(rows, "max_pairs long, refused boolean")
+
+
+query("similar_pair_limit", _NEAR + "select max_pairs, (select count(*) from cand) > max_pairs as refused from (values (0::bigint), (5), (1000000000000)) t(max_pairs)")(_pair_limits)
+query(
+    "similar_split_buckets",
+    _NEAR
+    + """, sized as (select k, v, count(*) as records from (select n.h, k, (n.h >> (16 * k)::UBIGINT) & 65535 as v from node n, range(4) t(k)) group by 1, 2),
+cut as (select b.full_path, b.h, b.k, b.v, case when s.records > 4 then cast((b.h >> ((16 * (b.k + 1)) % 64)::UBIGINT) & 255 as bigint) else -1 end as part from band b join sized s using (k, v))
+select distinct least(a.full_path, b.full_path) as a, greatest(a.full_path, b.full_path) as b, cast(bit_count(xor(a.h, b.h)) as int) as distance from cut a join cut b on a.k = b.k and a.v = b.v and a.part = b.part and a.full_path < b.full_path""",
+)(lambda s, d: similar.similar_candidates(text_fingerprints(s, d), limit=4))
+query("similar_too_few", "select '' as full_path, cast(0 as bigint) as cluster from documents where false")(
+    lambda s, d: similar.similar_clusters(text_fingerprints(s, d).join(inventory(s, d).agg(F.min("full_path").alias("full_path")), "full_path", "left_semi")).select("full_path", "cluster")
+)
 query("similar_membership", _NEAR + "select n.full_path, r.full_path as representative from node n join rep r using (h)")(lambda s, d: similar.similar_membership(text_fingerprints(s, d)))
 _CLUSTER = _with(_BASE, _TOK, _SIM, "pair as materialized (select a, b from cand where distance <= 8 union all select b, a from cand where distance <= 8)", "reach(x, y) as (select a, a from pair union select r.x, p.b from reach r join pair p on r.y = p.a)").replace("with base", "with recursive base")
 _ANCHOR = _CLUSTER + ", label as (select x, min(y) as cluster from reach group by 1), placed as (select n.full_path, n.last_write_utc, coalesce(l.cluster, r.full_path) as cluster from node n join rep r using (h) left join label l on l.x = r.full_path), mem as (select * from (select *, count(*) over (partition by cluster) as n from placed) where n > 1)"

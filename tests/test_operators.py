@@ -1,6 +1,7 @@
 """Duplicates, plans, similarity, reuse, journal, reports, sources and streams on small tables."""
 
 import os
+import random
 import struct
 import zlib
 from datetime import datetime, timezone
@@ -132,6 +133,29 @@ def test_large_buckets_are_split(spark):
     assert len(split) == 30 and not any((r.ha ^ r.hb) >> 16 & 1 for r in split)
 
 
+@pytest.mark.parametrize(("distance", "equal"), [(0, 1), (1, 1), (3, 2), (8, 1), (8, 2), (8, 3), (8, 4), (8, None), (20, 1)])
+def test_exact_pairs_are_all_pairs(spark, distance, equal):
+    """Every pair within the distance, once, whatever the number of equal blocks; hot buckets and the sign bit included."""
+    rng = random.Random(distance)
+    prints = [rng.getrandbits(64) for _ in range(150)]
+    for _ in range(250):
+        near = rng.choice(prints)
+        for bit in rng.sample(range(64), rng.randint(0, 12)):
+            near ^= 1 << bit
+        prints.append(near)
+    prints += [(1 << 64) - 1, (1 << 63), 0, 1, 0]
+    signed = sorted({v - (1 << 64) if v >= 1 << 63 else v for v in prints})
+    want = sorted((a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if bin((a ^ b) & (1 << 64) - 1).count("1") <= distance)
+    frame = spark.createDataFrame([(str(i), v - (1 << 64) if v >= 1 << 63 else v) for i, v in enumerate(prints)], "full_path string, h long")
+    for block in (16, similar.BLOCK):
+        assert sorted(map(tuple, similar.exact_fingerprints(frame, distance, equal, block).collect())) == want
+
+
+def test_more_fingerprints_take_more_equal_blocks():
+    chosen = [similar.block_count(n, 8) for n in (10, 10**4, 10**6, 10**8, 10**10)]
+    assert chosen == sorted(chosen) and chosen[0] == 1 and chosen[-1] == similar.MAX_EQUAL
+
+
 def test_large_buckets_lose_no_pair(spark):
     rows = [(f"/{i}", 7 | (i % 2) << 16 | (i + 1) << 32 | (i + 1) << 48) for i in range(12)]
     frame = spark.createDataFrame(rows, "full_path string, h long")
