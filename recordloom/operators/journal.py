@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.functions.columns import file_name
+from recordloom.operators import commit
 from recordloom.operators.ordering import ranked
 
 ENTRIES = (
@@ -70,12 +71,13 @@ def read_json_journal(spark: SparkSession, path: str, multi_line: bool = True) -
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The journal table ``name`` below a folder, empty if nothing was written yet."""
+    """The journal table ``name`` below a folder: what was appended and what stages have committed; empty if nothing was written yet."""
     schema = {"journal_entries": ENTRIES, "transactions": TRANSACTIONS}[name]
+    committed = commit.read_published(spark, folder, name, schema)
     try:
-        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+        return spark.read.schema(schema).parquet(f"{folder}/{name}").unionByName(committed)
     except AnalysisException:
-        return spark.createDataFrame([], schema)
+        return committed
 
 
 def append(rows: DataFrame, folder: str, name: str) -> None:

@@ -1,4 +1,9 @@
-"""A whole run: preview builds lazy tables, apply writes them under a journal, undo reverts them."""
+"""A whole run: preview builds lazy tables, apply writes them under a journal, undo reverts them.
+
+What a stage writes (records, journal entries, skipped records, errors) becomes visible at once, by one commit
+(``operators/commit``): a run that breaks leaves its intent and nothing half done, and a run that is
+repeated under its id does what is left and nothing twice.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +11,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.columns import error_message
 from recordloom.functions.filters import ScanFilter
-from recordloom.operators import journal
+from recordloom.operators import commit, journal
 from recordloom.operators.dedupe import dedupe_summary, duplicate_members
 from recordloom.operators.plan import SCOPES, action_summary, dedupe_plan, organize_plan, removals, still_there, survivors
 from recordloom.operators.storage import materialize
@@ -72,19 +76,27 @@ RUNNING, COMPLETED, CANCELLED, FAILED = "running", "completed", "cancelled", "fa
 STAGES = ("dedupe", "organize")
 SKIPPED = "transaction_id string, full_path string"
 ERRORS = "transaction_id string, full_path string, message string"
+QUARANTINED = "seq long, action string, source_path string, destination_path string, reversible boolean, extension string, size_bytes long, last_write_utc timestamp, category string, content string, name string, transaction_id string"
+ORGANIZED = f"{QUARANTINED}, folder string, year string, month string"
 
 
 class Cancelled(Exception):
     """A run was asked to stop between two stages."""
 
 
+#: The datasets of a stage.
+DATASETS = {"organize": "organized", "dedupe": "quarantine"}
+PARTITIONS = {"organize": ("folder", "year", "month"), "dedupe": ()}
+
+
 def read_issues(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The rows ``skipped`` or ``errors`` of all runs; empty if there are none."""
-    schema = {"skipped": SKIPPED, "errors": ERRORS}[name]
-    try:
-        return spark.read.schema(schema).parquet(f"{folder}/{name}")
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return commit.read_published(spark, folder, name, {"skipped": SKIPPED, "errors": ERRORS}[name])
+
+
+def read_records(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The records ``organized`` or ``quarantine`` of all runs with all their columns; a run's records are there when its stage is done."""
+    return commit.read_published(spark, folder, name, ORGANIZED if name == "organized" else QUARANTINED, given=False)
 
 
 def apply(inventory: DataFrame, options: RunOptions, folder: str, transaction_id: str, current: DataFrame | None = None, stop: Callable[[], bool] | None = None) -> DataFrame:
@@ -95,8 +107,16 @@ def apply(inventory: DataFrame, options: RunOptions, folder: str, transaction_id
     one, error) is what exists when the run acts: a planned record that is not there is skipped, and
     one with an error ends as failed; the others go on. Intent is journaled before data is written.
     ``stop`` is asked before each stage. A run that is stopped or breaks is marked so, and raises.
+
+    A ``transaction_id`` that has completed changes nothing and returns its counters. One that was
+    interrupted is taken up where its last stage ended. One that was undone is refused.
     """
     spark = inventory.sparkSession
+    known = journal.current_transactions(journal.read_table(spark, folder, "transactions")).filter(F.col("transaction_id") == transaction_id).first()
+    if known is not None and known["lifecycle_status"] == journal.ROLLED_BACK:
+        raise ValueError(f"run {transaction_id} was undone; a new run needs a new id")
+    if known is not None and known["lifecycle_status"] == COMPLETED:
+        return run_counters(spark, folder, transaction_id)
     result = preview(inventory, options)
     made = {"dedupe": result.dedupe_actions(), "organize": result.organize_actions()}
     steps, total = {}, 0
@@ -104,7 +124,7 @@ def apply(inventory: DataFrame, options: RunOptions, folder: str, transaction_id
         if made[stage] is not None:
             steps[stage] = materialize(made[stage].withColumn("seq", F.col("seq") + total), "plan")
             total += steps[stage].count()
-    created = F.lit(datetime.now(timezone.utc))
+    created = F.lit(datetime.now(timezone.utc) if known is None else known["created_at_utc"])
     processed = 0
 
     def state(status: str, stage: str, message: str, reason: str | None = None) -> None:
@@ -117,7 +137,8 @@ def apply(inventory: DataFrame, options: RunOptions, folder: str, transaction_id
             if stop is not None and stop():
                 raise Cancelled(f"stopped before {stage}")
             state(RUNNING, stage, f"Stage {stage} begins.")
-            _act(plan, result.scanned, folder, transaction_id, stage, current)
+            if not commit.is_published(folder, transaction_id, stage):
+                _act(plan, result.scanned, folder, transaction_id, stage, current)
             processed += plan.count()
         state(COMPLETED, COMPLETED, "Run completed.")
     except Cancelled as why:
@@ -130,27 +151,32 @@ def apply(inventory: DataFrame, options: RunOptions, folder: str, transaction_id
 
 
 def _act(plan: DataFrame, scanned: DataFrame, folder: str, transaction_id: str, stage: str, current: DataFrame | None) -> None:
-    """Write one stage's actions: pending events, then the data, then done and failed events."""
-    spark, tx = plan.sparkSession, F.lit(transaction_id).alias("transaction_id")
-    acted = plan.withColumn("read_error", F.lit(None).cast("string"))
+    """One stage: the intent, committed on its own, then its records with how each action ended, and what was skipped or went wrong, in one commit."""
+    acted, gone = plan.withColumn("read_error", F.lit(None).cast("string")), None
     if current is not None:
         seen = current.select(F.col("full_path").alias("source_path"), (F.col("error") if "error" in current.columns else F.lit(None).cast("string")).alias("read_error"))
         acted = materialize(plan.join(seen, "source_path"), "acted")
         _, gone = still_there(plan, current)
-        gone.select(tx, F.col("source_path").alias("full_path")).write.mode("append").parquet(f"{folder}/skipped")
-    journal.append(journal.journal_events(acted, transaction_id, "pending", 0, F.current_timestamp()), folder, "journal_entries")
+
+    def prepared(rows: DataFrame, part: str, name: str, keys: tuple[str, ...] = ()) -> str:
+        commit.prepare(rows.drop("transaction_id"), folder, transaction_id, part, name, keys)
+        return name
+
+    intent = f"{stage}-intent"
+    pending = journal.journal_events(acted, transaction_id, "pending", 0, F.current_timestamp())
+    commit.publish(folder, transaction_id, intent, [prepared(pending, intent, "journal_entries")], replace=True)
     good = acted.filter("read_error is null").drop("read_error")
     content = journal.placed_rows(good.filter("destination_path is not null"), scanned, transaction_id)
-    if stage == "organize":
-        content.write.mode("append").partitionBy("transaction_id", "folder", "year", "month").parquet(f"{folder}/organized")
-    else:
-        content.drop("folder", "year", "month").write.mode("append").partitionBy("transaction_id").parquet(f"{folder}/quarantine")
+    if stage == "dedupe":
+        content = content.drop("folder", "year", "month")
+    names = [prepared(content, stage, DATASETS[stage], PARTITIONS[stage])]
     status = F.when(F.col("read_error").isNull(), "done").otherwise("failed")
-    journal.append(journal.journal_events(acted, transaction_id, status, 1, F.current_timestamp(), F.col("read_error")), folder, "journal_entries")
-    if current is not None:
+    names.append(prepared(journal.journal_events(acted, transaction_id, status, 1, F.current_timestamp(), F.col("read_error")), stage, "journal_entries"))
+    if gone is not None:
+        names.append(prepared(gone.select(F.col("source_path").alias("full_path")), stage, "skipped"))
         message = error_message(f"Could not {stage}", F.col("source_path"), None, F.col("read_error"))
-        wrong = acted.filter("read_error is not null").select(tx, F.col("source_path").alias("full_path"), message.alias("message"))
-        wrong.write.mode("append").parquet(f"{folder}/errors")
+        names.append(prepared(acted.filter("read_error is not null").select(F.col("source_path").alias("full_path"), message.alias("message")), stage, "errors"))
+    commit.publish(folder, transaction_id, stage, names)
 
 
 def run_counters(spark: SparkSession, folder: str, transaction_id: str) -> DataFrame:

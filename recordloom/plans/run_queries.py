@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.filters import ScanFilter
 from recordloom.functions.fingerprints import sha256
-from recordloom.operators import dedupe, journal, reuse
+from recordloom.operators import commit, dedupe, journal, reuse
 from recordloom.operators.storage import materialize, new_path
 from recordloom.plans import registry as R
-from recordloom.plans.run import Cancelled, RunOptions, apply, read_issues, recover, run_counters, undo_last
+from recordloom.plans.run import Cancelled, RunOptions, apply, read_issues, read_records, recover, run_counters, undo_last
 from recordloom.sources.files import inventory_from_files, write_files
 from recordloom.streaming import intake
 
@@ -67,10 +68,10 @@ query("run_counters", _COPY + f"select count(*) filter (where action = 'copied'
     lambda s, d: run_counters(s, _run(s, d), "run1")
 )
 query("organized_dataset", _COPY + "select source_path, destination_path, size_bytes, folder, cast(year(last_write_utc) as int) as year, cast(month(last_write_utc) as int) as month from acted where action = 'copied' and status = 'done'")(
-    lambda s, d: s.read.parquet(f"{_run(s, d)}/organized").select("source_path", "destination_path", F.octet_length("content").cast("long").alias("size_bytes"), "folder", F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"))
+    lambda s, d: read_records(s, _run(s, d), "organized").select("source_path", "destination_path", F.octet_length("content").cast("long").alias("size_bytes"), "folder", F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"))
 )
 query("quarantine_dataset", _COPY + "select source_path, destination_path, size_bytes from acted where action <> 'copied' and status = 'done'")(
-    lambda s, d: s.read.parquet(f"{_run(s, d)}/quarantine").select("source_path", "destination_path", F.octet_length("content").cast("long").alias("size_bytes"))
+    lambda s, d: read_records(s, _run(s, d), "quarantine").select("source_path", "destination_path", F.octet_length("content").cast("long").alias("size_bytes"))
 )
 
 
@@ -105,6 +106,50 @@ from n, (values ('run1', 'running', 'created', 0, null), ('run1', 'running', 'de
  ('run2', 'running', 'created', 0, null), ('run2', 'running', 'dedupe', 0, null), ('run2', 'cancelled', 'cancelled', 1, 'stopped before organize')) t(transaction_id, lifecycle_status, checkpoint_stage, done, interruption_reason)""",
 )(_states)
 
+# ---- a run that is broken, repeated, or deletes ------------------------------------------
+
+
+def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose first attempts die, one while its drafts are written and one before they are committed, and that is then applied twice: how often each record and each event is there."""
+    folder, rows = new_path(spark, "repeated"), R.inventory(spark, sf_dir)
+    broken = rows.select("full_path", F.when(F.col("doc_id") % 7 == 3, F.raise_error(F.lit("lost"))).otherwise(F.lit("x")).cast("string").alias("name"))
+    try:
+        commit.prepare(broken, folder, "run1", "organize", "organized")
+    except PySparkException:
+        pass  # as meant: its drafts are gone
+    commit.prepare(rows.select(F.col("full_path").alias("source_path"), "content"), folder, "run1", "dedupe", "quarantine")
+    for _ in range(2):
+        apply(rows, _OPTIONS, folder, "run1", _current(rows))
+    there = [read_records(spark, folder, name).select("source_path", F.lit(name).alias("dataset")) for name in ("organized", "quarantine")]
+    events = journal.read_table(spark, folder, "journal_entries").select("source_path", F.concat(F.lit("journal "), "status").alias("dataset"))
+    return there[0].unionByName(there[1]).unionByName(events).groupBy("source_path", "dataset").agg(F.count("*").alias("times"))
+
+
+query("run_repeated", _COPY + """select source_path, case when action = 'copied' then 'organized' else 'quarantine' end as dataset, cast(1 as bigint) as times from acted where status = 'done'
+union all select source_path, 'journal pending', 1 from acted union all select source_path, concat('journal ', status), 1 from acted""")(_repeated)
+
+_DELETE = RunOptions(R.ROOT, R.TARGET, scope="dedupe_only", dedupe_mode="delete", filters=ScanFilter(exclude_hidden=False))
+
+
+def _deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that deletes, and what undoing it says: every deleted record's entry, whether it is live, and whether it is kept anywhere."""
+    folder, rows = _run(spark, sf_dir, _DELETE), R.inventory(spark, sf_dir)
+    entries, states = (journal.read_table(spark, folder, name) for name in ("journal_entries", "transactions"))
+    live = materialize(journal.live_set(rows, entries, states).select(F.col("full_path").alias("source_path"), F.lit(True).alias("live")), "live")
+    kept = read_records(spark, folder, "quarantine").groupBy("source_path").agg(F.count("*").alias("kept"))
+    undone = journal.undo_plan(entries).select("source_path", "undo_action", "error")
+    own = journal.current_entries(entries).select("source_path", "action", "destination_path", "status", "reversible")
+    return own.join(live, "source_path", "left").join(kept, "source_path", "left").join(undone, "source_path", "left").fillna({"live": False, "kept": 0})
+
+
+query(
+    "run_deleted",
+    R._MEM
+    + f"""select full_path as source_path, 'deleted_duplicate' as action, cast(null as varchar) as destination_path, case when {_DENIED} then 'failed' else 'done' end as status, false as reversible,
+ {_DENIED} as live, cast(0 as bigint) as kept, case when not ({_DENIED}) then 'cannot_restore' end as undo_action, case when not ({_DENIED}) then concat('Deleted record cannot be restored (', full_path, ').') end as error
+from members where group_rank > 1 and not ({_GONE})""",
+)(_deleted)
+
 # ---- undo and recovery of runs ------------------------------------------------------------
 
 _MOVE = RunOptions(R.ROOT, R.TARGET, organize_mode="move", filters=ScanFilter(exclude_hidden=False))

@@ -7,14 +7,15 @@ import zlib
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from recordloom.functions.filters import ScanFilter
 from recordloom.functions.fingerprints import hamming_distance, image_fingerprints, sha256
-from recordloom.operators import dedupe, journal, plan, report, reuse, similar
+from recordloom.operators import commit, dedupe, journal, plan, report, reuse, similar
 from recordloom.operators.components import connected_components
 from recordloom.operators.storage import new_path
-from recordloom.plans.run import Cancelled, RunOptions, apply, preview, read_issues, recover, undo, undo_last
+from recordloom.plans.run import Cancelled, RunOptions, apply, preview, read_issues, read_records, recover, undo, undo_last
 from recordloom.sources.files import file_digests, file_signatures, inventory_from_files
 from recordloom.sources.inventory import inventory_from_table, rejected_rows, scan_summary
 from recordloom.sources.synthetic import synthetic_inventory
@@ -255,9 +256,9 @@ def test_preview_apply_undo(spark):
     rows = table(spark, [("/s/a.txt", "dup"), ("/s/b.txt", "dup"), ("/s/c.jpg", "solo")])
     options = RunOptions("/s", "/t")
     assert apply(rows, options, folder, "tx1").first() == (2, 0, 1, 0, 0, 0)
-    organized = spark.read.parquet(f"{folder}/organized")
+    organized = read_records(spark, folder, "organized")
     assert {(r.folder, r.year, r.month, r.name) for r in organized.select("folder", F.col("year").cast("string").alias("year"), F.lpad(F.col("month").cast("string"), 2, "0").alias("month"), "name").collect()} == {("Documents", "2023", "11", "a.txt"), ("Images", "2023", "11", "c.jpg")}
-    assert spark.read.parquet(f"{folder}/quarantine").first().content == "dup"
+    assert read_records(spark, folder, "quarantine").first().content == "dup"
     entries, states = journal.read_table(spark, folder, "journal_entries"), journal.read_table(spark, folder, "transactions")
     assert journal.recoverable_transactions(states, entries).count() == 0
     assert journal.live_set(rows, entries, states).count() == 2
@@ -384,6 +385,58 @@ def test_a_stopped_run_is_recovered(spark):
     assert journal.recoverable_transactions(states, journal.read_table(spark, folder, "journal_entries")).count() == 0
 
 
+def test_a_broken_run_is_taken_up_and_a_done_one_left_alone(spark, monkeypatch):
+    folder = new_path(spark, "broken")
+    rows = table(spark, [("/s/a.txt", "dup"), ("/s/b.txt", "dup"), ("/s/c.jpg", "c"), ("/s/d e=f.txt", "d")])
+    options = RunOptions("/s", "/t")
+    placed = journal.placed_rows
+
+    def failing(plan, inventory, transaction_id):
+        out = placed(plan, inventory, transaction_id)
+        lost = F.when(F.col("name") == "c.jpg", F.raise_error(F.lit("executor lost"))).otherwise(F.col("content")).cast("string")
+        return out.withColumn("content", lost)
+
+    monkeypatch.setattr(journal, "placed_rows", failing)
+    with pytest.raises(PySparkException):
+        apply(rows, options, folder, "t")
+    monkeypatch.undo()
+    assert read_records(spark, folder, "organized").count() == 0 and read_records(spark, folder, "quarantine").count() == 1
+    states, entries = journal.read_table(spark, folder, "transactions"), journal.read_table(spark, folder, "journal_entries")
+    assert {r.status for r in journal.current_entries(entries).filter("action = 'copied'").collect()} == {"pending"}
+    assert [r.transaction_id for r in journal.recoverable_transactions(states, entries).collect()] == ["t"]
+    for _ in range(3):
+        assert apply(rows, options, folder, "t").first() == (3, 0, 1, 0, 0, 0)
+        assert sorted(r.name for r in read_records(spark, folder, "organized").collect()) == ["a.txt", "c.jpg", "d e=f.txt"]
+        assert journal.read_table(spark, folder, "journal_entries").count() == 8
+    assert commit.sweep(folder) == 0
+    undo(spark, folder, "t")
+    with pytest.raises(ValueError, match="was undone"):
+        apply(rows, options, folder, "t")
+
+
+def test_drafts_are_seen_when_they_are_committed(spark):
+    folder = new_path(spark, "drafts")
+    rows = spark.createDataFrame([(1, "a b/c", None), (2, "é", "x"), (3, "a b/c", "y")], "id int, place string, note string")
+    schema = "id int, note string, place string, transaction_id string"
+
+    def seen():
+        return sorted((r.id, r.place, r.transaction_id) for r in commit.read_published(spark, folder, "d", schema).collect())
+
+    commit.prepare(rows, folder, "t/1", "s", "d", ("place",))
+    assert seen() == []
+    with pytest.raises(ValueError, match="not prepared: e"):
+        commit.publish(folder, "t/1", "s", ["d", "e"])
+    commit.prepare(rows.filter("id < 3"), folder, "t/1", "s", "d", ("place",))  # takes the place of the first
+    assert commit.publish(folder, "t/1", "s", ["d"]) and seen() == [(1, "a b/c", "t/1"), (2, "é", "t/1")]
+    commit.prepare(rows, folder, "t/1", "s", "d", ("place",))
+    assert not commit.publish(folder, "t/1", "s", ["d"]) and len(seen()) == 2
+    commit.prepare(rows.filter("false"), folder, "t2", "s", "d", ("place",))
+    assert commit.publish(folder, "t2", "s", ["d"]) and len(seen()) == 2
+    commit.prepare(rows.filter("id = 3"), folder, "t/1", "s", "d", ("place",))
+    assert commit.publish(folder, "t/1", "s", ["d"], replace=True) and seen() == [(3, "a b/c", "t/1")]
+    assert commit.sweep(folder) == 0
+
+
 def test_a_repeated_batch_changes_nothing(spark, monkeypatch):
     from recordloom.streaming import intake
 
