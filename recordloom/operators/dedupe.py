@@ -5,7 +5,8 @@ row has, where they lie; content is not shuffled, and only keys and paths are gr
 listing decides on sizes, then slices of the rows left are read, then whole files of what is left
 after that. A group of any size is counted from partial sums; its members join back on tables that
 Spark can split by a hot key, and are ranked by a range sort, so no group has to fit one task.
-Only the optional verification of bytes shuffles content, of rows that share a digest.
+Only the optional verification of bytes shuffles content, of rows that share a digest: others are left
+where they lie by ``narrow``.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.fingerprints import quick_signature, sha256
+from recordloom.operators.narrow import BROADCAST_KEYS, narrowed
 from recordloom.operators.ordering import ranked
 from recordloom.operators.storage import materialize
 from recordloom.sources.files import file_digests, file_signatures
 
-#: Sizes that several records have, up to which their list is broadcast (8 bytes each); beyond it every record is hashed.
+#: Sizes that several records have, up to which their list is broadcast (8 bytes each); beyond it a Bloom filter narrows.
 BROADCAST_SIZES = 500_000
 
 
@@ -38,12 +40,15 @@ def size_collisions(inventory: DataFrame) -> DataFrame:
     return inventory.groupBy("size_bytes").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def colliding(inventory: DataFrame, limit: int = BROADCAST_SIZES) -> DataFrame:
+    """Rows whose size another row has (and beyond ``limit`` such sizes a few more), with no exchange of the rows."""
+    sizes = materialize(size_collisions(inventory).select("size_bytes"), "sizes")
+    return narrowed(inventory, sizes, ["size_bytes"], limit)
+
+
 def digests(inventory: DataFrame) -> DataFrame:
     """The rows whose size another row has, with ``quick_signature`` and ``sha256_hash`` in place of content, kept as a table."""
-    sizes = materialize(size_collisions(inventory).select("size_bytes"), "sizes")
-    if sizes.count() <= BROADCAST_SIZES:
-        inventory = inventory.join(F.broadcast(sizes), "size_bytes", "left_semi")
-    hashed = inventory.withColumn("quick_signature", quick_signature(F.col("content"))).withColumn("sha256_hash", sha256(F.col("content")))
+    hashed = colliding(inventory).withColumn("quick_signature", quick_signature(F.col("content"))).withColumn("sha256_hash", sha256(F.col("content")))
     return materialize(hashed.drop("content"), "digests")
 
 
@@ -63,26 +68,34 @@ def hashed_file_candidates(listed: DataFrame, root: str) -> DataFrame:
 
 def quick_collisions(inventory: DataFrame) -> DataFrame:
     """(size_bytes, n) for each partial signature that several records of a size share; the signature stays internal."""
-    rows = inventory.select("size_bytes", quick_signature(F.col("content")).alias("quick"))
+    rows = colliding(inventory).select("size_bytes", quick_signature(F.col("content")).alias("quick"))
     return rows.groupBy("size_bytes", "quick").agg(F.count("*").alias("n")).filter("n > 1").drop("quick")
 
 
 def sha_collisions(inventory: DataFrame) -> DataFrame:
-    rows = inventory.select("size_bytes", quick_signature(F.col("content")).alias("quick"), sha256(F.col("content")).alias("sha256_hash"))
+    """(size_bytes, sha256_hash, n) for each digest that several records share; only records whose size another has are hashed."""
+    rows = colliding(inventory).select("size_bytes", quick_signature(F.col("content")).alias("quick"), sha256(F.col("content")).alias("sha256_hash"))
     return rows.groupBy("size_bytes", "quick", "sha256_hash").agg(F.count("*").alias("n")).filter("n > 1").drop("quick")
 
 
+def sharing_content(inventory: DataFrame, shared: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """full_path, size_bytes, content, sha256_hash of the rows in ``shared`` (full_path, sha256_hash)."""
+    rows = inventory.select("full_path", "size_bytes", "content")
+    return narrowed(rows, shared, ["full_path"], limit).join(shared, "full_path")
+
+
 def byte_verified(inventory: DataFrame) -> DataFrame:
     """Rows with a byte-identical copy: full_path, size_bytes, sha256_hash, class_size.
 
     Every row that shares a digest is compared with one row of that digest. Content is a grouping key only for rows that
-    differ from it, which equal digests all but rule out.
+    differ from it, which equal digests all but rule out. Content of rows that share no digest is read where it lies, and
+    goes no further.
     """
     shared = materialize(hashed_candidates(inventory).select("full_path", "sha256_hash"), "same-digest")
-    rows = inventory.select("full_path", "size_bytes", "content").join(shared, "full_path")
-    least = shared.groupBy("sha256_hash").agg(F.min("full_path").alias("full_path"))
-    model = inventory.select("full_path", F.col("content").alias("model")).join(materialize(least, "models"), "full_path").drop("full_path")
-    compared = rows.join(materialize(model, "model-content"), "sha256_hash").withColumn("own", F.when(F.col("content") != F.col("model"), F.col("content")))
+    rows = sharing_content(inventory, shared)
+    least = materialize(shared.groupBy("sha256_hash").agg(F.min("full_path").alias("full_path")), "models")
+    model = sharing_content(inventory, least).select("sha256_hash", F.col("content").alias("model"))
+    compared = rows.join(model, "sha256_hash").withColumn("own", F.when(F.col("content") != F.col("model"), F.col("content")))
     compared = materialize(compared.select("full_path", "size_bytes", "sha256_hash", "own"), "compared")
     same = compared.filter("own is null").drop("own")
     sizes = materialize(same.groupBy("sha256_hash").agg(F.count("*").alias("class_size")).filter("class_size > 1"), "classes")

@@ -14,6 +14,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recordloom.operators.narrow import BROADCAST_KEYS, narrowed
+from recordloom.operators.storage import materialize
+
 SCHEMA = "full_path string, size_bytes long, mtime_us long, sha256 string, quick_signature string, last_used timestamp"
 _COLUMNS = [f.split()[0] for f in SCHEMA.split(", ")]
 KEY = ["full_path", "size_bytes", "mtime_us"]
@@ -81,11 +84,22 @@ def fingerprint_misses(inventory: DataFrame, store: DataFrame, refresh: bool = F
     return _keyed(inventory).join(known, KEY, "left_anti")
 
 
+def missing_digests(inventory: DataFrame, missing: DataFrame, compute: Callable[[Column], Column], limit: int = BROADCAST_KEYS) -> DataFrame:
+    """KEY and sha256 of the rows whose keys are in the written table ``missing`` (and of a few more beyond ``limit``): content is read and hashed where it lies."""
+    return narrowed(_keyed(inventory), missing, KEY, limit).select(*KEY, compute(F.col("content")).alias("sha256"))
+
+
 def with_fingerprints(inventory: DataFrame, store: DataFrame, compute: Callable[[Column], Column], refresh: bool = False) -> DataFrame:
-    """``sha256`` for every row: the stored one, or ``compute(content)`` for misses alone. Any column expression or pandas UDF will do."""
-    hits = fingerprint_hits(inventory, store, refresh).withColumn("reused", F.lit(True))
-    misses = fingerprint_misses(inventory, store, refresh).withColumn("sha256", compute(F.col("content"))).withColumn("reused", F.lit(False))
-    return hits.unionByName(misses)
+    """``sha256`` and ``reused`` for every row, in place of content: the stored digest, or ``compute(content)`` for misses alone. Any column expression or pandas UDF will do.
+
+    Which rows miss is decided on keys; content crosses no exchange.
+    """
+    plain = inventory.drop("content")
+    hits = fingerprint_hits(plain, store, refresh).withColumn("reused", F.lit(True))
+    missed = materialize(fingerprint_misses(plain, store, refresh), "misses")
+    # a row of the same path, size and time twice has one content; the first is as good as the other
+    computed = missing_digests(inventory, missed, compute).dropDuplicates(KEY)
+    return hits.unionByName(missed.join(computed, KEY).withColumn("reused", F.lit(False)))
 
 
 def latest_versions(rows: DataFrame) -> DataFrame:

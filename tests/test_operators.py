@@ -14,7 +14,8 @@ from recordloom.functions.filters import ScanFilter
 from recordloom.functions.fingerprints import hamming_distance, image_fingerprints, sha256
 from recordloom.operators import commit, dedupe, journal, plan, report, reuse, similar
 from recordloom.operators.components import connected_components
-from recordloom.operators.storage import new_path
+from recordloom.operators.narrow import narrowed
+from recordloom.operators.storage import materialize, new_path
 from recordloom.plans.run import Cancelled, RunOptions, apply, preview, read_issues, read_records, recover, undo, undo_last
 from recordloom.sources.files import file_digests, file_signatures, inventory_from_files
 from recordloom.sources.inventory import inventory_from_table, rejected_rows, scan_summary
@@ -459,6 +460,37 @@ def test_a_repeated_batch_changes_nothing(spark, monkeypatch):
         assert seen() == once
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_narrowing_moves_no_row(spark, limit):
+    """All wanted rows and few others, by plans without an exchange of rows, on either side of the broadcast limit."""
+    rows = spark.range(20_000).select((F.col("id") % 5000).alias("a"), F.concat(F.lit("k"), "id").alias("b"), F.lit("content").alias("content"))
+    rows = rows.unionByName(spark.createDataFrame([(None, "k1", "c"), (7, None, "c")], "a long, b string, content string"))
+    wanted = materialize(rows.filter("a % 50 = 3 and b is not null").select("a", "b").limit(300), "wanted")
+    kept = narrowed(rows, wanted, ["a", "b"], limit)
+    found, want = {(r.a, r.b) for r in kept.collect()}, {(r.a, r.b) for r in wanted.collect()}
+    assert want <= found and len(found) < len(want) + 20
+    assert "hashpartitioning" not in plan_of(kept).split("BroadcastExchange")[0] and "SortMergeJoin" not in plan_of(kept)
+    assert narrowed(rows, wanted.filter("false"), ["a", "b"], limit).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_content_stays_where_it_lies(spark, limit):
+    rows = materialize(table(spark, [(f"/s/{k}", "x" * (k % 40 + k % 3)) for k in range(120)]), "rows")
+    for frame in (
+        dedupe.colliding(rows, limit),
+        reuse.missing_digests(rows, materialize(rows.limit(50).select("full_path", "size_bytes", F.unix_micros("last_write_utc").alias("mtime_us")), "missing"), sha256, limit),
+        narrowed(rows, materialize(rows.limit(50).select("full_path"), "shared"), ["full_path"], limit),
+    ):
+        above = plan_of(frame).split("BroadcastExchange")[0]
+        assert "Exchange" not in above and frame.count() >= 50
+    one, other = (dedupe.sharing_content(rows, materialize(rows.select("full_path", sha256(F.col("content")).alias("sha256_hash")), "all"), n) for n in (0, 1000))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+
+
 def test_wide_vectors_are_refused(spark):
     from recordloom.functions.fingerprints import sign_bits
 
