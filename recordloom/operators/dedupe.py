@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from recordloom.functions.fingerprints import quick_signature, sha256
 from recordloom.operators.narrow import BROADCAST_KEYS, narrowed
 from recordloom.operators.ordering import ranked
+from recordloom.operators.reuse import known_versions, remember, with_fingerprints
 from recordloom.operators.storage import materialize
 from recordloom.sources.files import file_digests, file_signatures
 
@@ -52,9 +53,23 @@ def digests(inventory: DataFrame) -> DataFrame:
     return materialize(hashed.drop("content"), "digests")
 
 
-def hashed_candidates(inventory: DataFrame) -> DataFrame:
-    """Rows that share size, partial signature and digest with another row."""
-    return _sharing(digests(inventory), ["size_bytes", "quick_signature", "sha256_hash"])
+def reused_digests(inventory: DataFrame, store: str, refresh: bool = False) -> DataFrame:
+    """``digests`` with a store of earlier runs: content is read of rows alone whose version it does not hold. What was used or computed is remembered.
+
+    There is no partial signature to reuse, and none is needed beside a digest that is known.
+    """
+    spark = inventory.sparkSession
+    rows = colliding(inventory)
+    known = materialize(known_versions(spark, store, rows.drop("content")), "known")
+    found = materialize(with_fingerprints(rows, known, sha256, refresh).withColumn("quick_signature", F.lit("")).withColumnRenamed("sha256", "sha256_hash"), "digests")
+    remember(found.withColumnRenamed("sha256_hash", "sha256"), store, F.current_timestamp())
+    return found.drop("mtime_us")
+
+
+def hashed_candidates(inventory: DataFrame, store: str | None = None, refresh: bool = False) -> DataFrame:
+    """Rows that share size, partial signature and digest with another row; a ``store`` (a folder) keeps digests from run to run."""
+    hashed = digests(inventory) if store is None else reused_digests(inventory, store, refresh).drop("reused")
+    return _sharing(hashed, ["size_bytes", "quick_signature", "sha256_hash"])
 
 
 def hashed_file_candidates(listed: DataFrame, root: str) -> DataFrame:
@@ -114,9 +129,9 @@ def _members(candidates: DataFrame) -> DataFrame:
     return placed.select("sha256_hash", "size_bytes", "full_path", "last_write_utc", "group_size", F.col("group_rank").cast("int").alias("group_rank"))
 
 
-def duplicate_members(inventory: DataFrame) -> DataFrame:
+def duplicate_members(inventory: DataFrame, store: str | None = None, refresh: bool = False) -> DataFrame:
     """One row per member of a group: sha256_hash, size_bytes, full_path, last_write_utc, group_size, group_rank."""
-    return _members(hashed_candidates(inventory))
+    return _members(hashed_candidates(inventory, store, refresh))
 
 
 def duplicate_file_members(listed: DataFrame, root: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The store is a Parquet snapshot: full_path, size_bytes, mtime_us, sha256, quick_signature,
 last_used. A snapshot is written whole into a folder of its version, then a row names the version
-as complete, so a reader sees the old or the new one. A stream adds what each batch changes and
-makes a snapshot now and then.
+as complete, so a reader sees the old or the new one. Streams and repeated runs keep theirs in hash
+buckets instead (``levels``), of which each reads and writes only its own keys'.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recordloom.operators import levels
 from recordloom.operators.narrow import BROADCAST_KEYS, narrowed
 from recordloom.operators.storage import materialize
 
@@ -49,25 +50,6 @@ def write_fingerprints(rows: DataFrame, folder: str, version: int) -> None:
     spark.range(1).select(F.lit(version).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{folder}/complete")
 
 
-def write_changes(rows: DataFrame, folder: str, batch: int) -> None:
-    """What one batch used or computed; writing a batch again replaces it."""
-    rows.select(*_COLUMNS).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
-
-
-def read_changes(spark: SparkSession, folder: str, batch: int) -> DataFrame:
-    """The newest version of each path as the batches before ``batch`` left it: the last snapshot and the changes since."""
-    base = _version(spark, folder, batch)
-    known = read_fingerprints(spark, folder, batch)
-    try:
-        changes = spark.read.schema(f"{SCHEMA}, batch long").parquet(f"{folder}/changes")
-    except AnalysisException:
-        return known
-    since = changes.filter((F.col("batch") < batch) & (F.col("batch") > (-1 if base is None else base)))
-    newest = F.max_by(F.struct("size_bytes", "mtime_us", "sha256", "quick_signature", "last_used"), F.struct("batch", "mtime_us", "size_bytes"))
-    every_one = known.withColumn("batch", F.lit(-1).cast("long")).unionByName(since)
-    return every_one.groupBy("full_path").agg(newest.alias("v")).select("full_path", "v.*").select(*_COLUMNS)
-
-
 def _keyed(inventory: DataFrame) -> DataFrame:
     return inventory.withColumn("mtime_us", F.unix_micros("last_write_utc"))
 
@@ -130,3 +112,19 @@ def fingerprint_stats(inventory: DataFrame, store: DataFrame, limit: int = RETAI
     one = joined.withColumn("k", F.lit(1)).join(stale.withColumn("k", F.lit(1)), "k").join(paths.withColumn("k", F.lit(1)), "k")  # one row each
     kept = F.col("paths") if limit <= 0 else F.least("paths", F.lit(limit))
     return one.select("hits", "computes", "invalidations", (F.col("paths") - kept).alias("evictions"), kept.cast("long").alias("entries"))
+
+
+def known_versions(spark: SparkSession, folder: str, inventory: DataFrame) -> DataFrame:
+    """The stored versions of an inventory's paths, from a store in buckets: buckets of other paths are not read, and their rows are left where they lie."""
+    asked = materialize(inventory.select("full_path").distinct(), "asked")
+    held = levels.read_buckets(spark, folder, SCHEMA, levels.buckets_of(asked, "full_path"), levels.last_batch(folder) + 1)
+    return levels.newest(narrowed(held, asked, ["full_path"]), ["full_path"])
+
+
+def remember(computed: DataFrame, folder: str, now: Column) -> None:
+    """Add the versions that a run has used or computed to a store in buckets, and merge the buckets that need it."""
+    spark, batch = computed.sparkSession, levels.last_batch(folder) + 1
+    keyed = computed if "mtime_us" in computed.columns else _keyed(computed)
+    used = materialize(latest_versions(keyed.select(*KEY, "sha256", F.lit(None).cast("string").alias("quick_signature"), now.alias("last_used"))), "used")
+    levels.write_delta(used, folder, "full_path", batch)
+    levels.merge(spark, folder, SCHEMA, ["full_path"], levels.buckets_of(used, "full_path"), batch)

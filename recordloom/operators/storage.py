@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_noted: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this application.
@@ -23,7 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='recordloom-')}")
             held = spark.sparkContext.getCheckpointDir()
         base = held
-    return f"{base.rstrip('/')}/recordloom-{spark.sparkContext.applicationId}"
+    own = f"{base.rstrip('/')}/recordloom-{spark.sparkContext.applicationId}"
+    if own not in _noted:
+        _noted.add(own)
+        atexit.register(release, spark)
+    return own
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has written to the shared folder; results that still read them are void.
+
+    Call it when the results are written. It happens by itself when the driver's Python ends with the session alive.
+    """
+    context = spark.sparkContext
+    if context._jsc is None:  # stopped
+        return
+    for own in _noted:
+        if own.endswith(f"recordloom-{context.applicationId}"):
+            path = context._jvm.org.apache.hadoop.fs.Path(own)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -33,6 +33,9 @@ class RunOptions:
     filters: ScanFilter = field(default_factory=ScanFilter)
     protected: DataFrame | None = None
     zone: str = "UTC"
+    #: A folder of digests kept from run to run, and whether to compute them anew all the same.
+    store: str | None = None
+    refresh: bool = False
 
 
 @dataclass(frozen=True)
@@ -56,7 +59,7 @@ class RunResult:
 
 
 def preview(inventory: DataFrame, options: RunOptions) -> RunResult:
-    """What a run would do; nothing is written."""
+    """What a run would do; nothing is written but, where ``store`` names one, the store of digests, from which the next run takes them."""
     if options.scope not in SCOPES:
         raise ValueError(f"{options.scope!r} is none of {', '.join(SCOPES)}")
     grouping, deduping = SCOPES[options.scope]
@@ -64,7 +67,7 @@ def preview(inventory: DataFrame, options: RunOptions) -> RunResult:
     summary = scan_summary(scanned)
     members = removed = None
     if deduping:
-        members = duplicate_members(scanned)
+        members = duplicate_members(scanned, options.store, options.refresh)
         summary = summary.withColumn("k", F.lit(1)).join(dedupe_summary(members).withColumn("k", F.lit(1)), "k").drop("k")  # one row each
         removed = removals(members, options.protected).filter(F.lit(options.dedupe_mode != "off"))
     left = survivors(scanned, removed) if deduping and options.dedupe_mode != "off" else scanned

@@ -11,7 +11,7 @@ from recordloom.functions.fingerprints import sha256
 from recordloom.operators import commit, dedupe, journal, reuse
 from recordloom.operators.storage import materialize, new_path
 from recordloom.plans import registry as R
-from recordloom.plans.run import Cancelled, RunOptions, apply, read_issues, read_records, recover, run_counters, undo_last
+from recordloom.plans.run import Cancelled, RunOptions, apply, preview, read_issues, read_records, recover, run_counters, undo_last
 from recordloom.sources.files import inventory_from_files, write_files
 from recordloom.streaming import intake
 
@@ -248,6 +248,26 @@ k as (select x.batch, x.full_path, count(*) filter (where y.full_path <> x.full_
 select cast(w.batch as bigint) as batch, w.full_path, w.sha256, coalesce(k.others, 0) > 0 or w.r > 1 as is_duplicate, w.met < w.batch as reused from w left join k on w.batch = k.batch and w.full_path = k.full_path""",
 )(_batches)
 
+def _warm(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """A preview of the whole inventory with the digests of an earlier one of three quarters of it: what it plans, and where each digest came from."""
+    rows, store = R.inventory(spark, sf_dir), folder or new_path(spark, "warm")
+    dedupe.reused_digests(rows.filter("doc_id % 4 <> 3"), store)
+    older = F.when(F.col("doc_id") % 5 == 0, F.col("last_write_utc") + F.expr("interval 1 hour")).otherwise(F.col("last_write_utc"))
+    touched = rows.withColumn("last_write_utc", older)  # these have a new time, so their old digest is not theirs
+    sources = dedupe.reused_digests(touched, store).select("full_path", "reused")
+    again = preview(touched, RunOptions(R.ROOT, R.TARGET, filters=ScanFilter(exclude_hidden=False), store=store))
+    members = again.members.select("full_path", "sha256_hash", "group_size")
+    return members.join(sources, "full_path", "left")
+
+
+query(
+    "warm_preview",
+    R._INV
+    + """, t as (select doc_id, full_path, size_bytes, content from inv), shared as (select size_bytes from t where doc_id % 4 <> 3 group by 1 having count(*) > 1),
+m as (select *, sha256(content) as sha256_hash, count(*) over (partition by content) as group_size from t)
+select full_path, sha256_hash, group_size, doc_id % 4 <> 3 and doc_id % 5 <> 0 and size_bytes in (select size_bytes from shared) as reused from m where group_size > 1""",
+)(_warm)
+
 # ---- files ---------------------------------------------------------------------------------
 
 

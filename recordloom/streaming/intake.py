@@ -11,13 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 from recordloom.functions.columns import destination_folder
 from recordloom.functions.filters import ScanFilter
 from recordloom.functions.fingerprints import sha256
+from recordloom.operators import levels
 from recordloom.operators.dedupe import member_order
-from recordloom.operators.reuse import latest_versions, read_changes, with_fingerprints, write_changes, write_fingerprints
+from recordloom.operators.narrow import narrowed
+from recordloom.operators.reuse import SCHEMA, latest_versions, with_fingerprints
 from recordloom.operators.storage import materialize
 from recordloom.sources.inventory import scan
 
-#: Batches after which the store is written out whole.
-SNAPSHOT_EVERY = 64
+HOLDERS = "sha256 string, full_path string, alive boolean"
 SEEN = "full_path string, size_bytes long, last_write_utc timestamp, sha256 string, is_duplicate boolean, reused boolean, batch long"
 
 
@@ -32,26 +33,41 @@ def intake_batch(batch: DataFrame, batch_id: int, store: str, out: str, compute:
 
     Digests are computed only where the store has no value for the record's version. The first
     of equal records inside a batch (oldest, then by path) is new if no earlier batch had it.
-    A batch is judged against the batches before it alone, and both of its folders are replaced when
+    A batch is judged against the batches before it alone, and what it has written is replaced when
     it is written again, so a batch that is repeated, after a crash at any point or later, gives
     the same rows.
+
+    The store is two log-structured tables (``operators/levels``), of versions by path and of paths by
+    digest. A batch reads the buckets of its own paths and digests, keeps the rows of these alone, and
+    merges only buckets that it has written.
     """
-    spark = batch.sparkSession
-    known = materialize(read_changes(spark, store, batch_id), "known")
+    spark, paths, contents = batch.sparkSession, f"{store}/paths", f"{store}/contents"
+    asked = materialize(batch.select("full_path").distinct(), "asked")
+    path_buckets = levels.buckets_of(asked, "full_path")
+    known = narrowed(levels.read_buckets(spark, paths, SCHEMA, path_buckets, batch_id), asked, ["full_path"])
+    known = materialize(levels.newest(known, ["full_path"]), "known")
     rows = with_fingerprints(batch, known, compute).select("full_path", "size_bytes", "mtime_us", "last_write_utc", "sha256", "reused")
     rows = materialize(rows, "batch")
+    digests = materialize(rows.select("sha256").distinct(), "digests")
+    holders = narrowed(levels.read_buckets(spark, contents, HOLDERS, levels.buckets_of(digests, "sha256"), batch_id), digests, ["sha256"])
+    holders = materialize(levels.newest(holders, ["sha256", "full_path"]).filter("alive").select("sha256", "full_path"), "holders")
     first = materialize(rows.groupBy("sha256").agg(F.min_by("full_path", F.struct(*member_order())).alias("first_path")), "firsts")
-    earlier = materialize(known.groupBy("sha256").agg(F.count("*").alias("known")), "earlier")  # a path is known once
-    own = known.select("sha256", "full_path", F.lit(1).alias("own"))
+    earlier = materialize(holders.groupBy("sha256").agg(F.count("*").alias("known")), "earlier")  # a path is known once
+    own = holders.withColumn("own", F.lit(1))
     marked = rows.join(first, "sha256").join(earlier, "sha256", "left").join(own, ["sha256", "full_path"], "left")
     others = F.coalesce("known", F.lit(0)) - F.coalesce("own", F.lit(0))  # earlier records with this content at other paths
     duplicate = (others > 0) | (F.col("full_path") != F.col("first_path"))
     marked = marked.select("full_path", "size_bytes", "last_write_utc", "sha256", duplicate.alias("is_duplicate"), "reused")
     marked.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     used = rows.select("full_path", "size_bytes", "mtime_us", "sha256", F.lit(None).cast("string").alias("quick_signature"), F.current_timestamp().alias("last_used"))
-    write_changes(latest_versions(used), store, batch_id)
-    if batch_id % SNAPSHOT_EVERY == SNAPSHOT_EVERY - 1:
-        write_fingerprints(read_changes(spark, store, batch_id + 1), store, batch_id)
+    used = materialize(latest_versions(used), "used")
+    left = known.select("full_path", F.col("sha256").alias("old")).join(used.select("full_path", "sha256"), "full_path").filter("old <> sha256")
+    changed = used.select("sha256", "full_path", F.lit(True).alias("alive")).unionByName(left.select(F.col("old").alias("sha256"), "full_path", F.lit(False).alias("alive")))
+    changed = materialize(changed, "changed")
+    levels.write_delta(used, paths, "full_path", batch_id)
+    levels.write_delta(changed, contents, "sha256", batch_id)
+    levels.merge(spark, paths, SCHEMA, ["full_path"], path_buckets, batch_id)
+    levels.merge(spark, contents, HOLDERS, ["sha256", "full_path"], levels.buckets_of(changed, "sha256"), batch_id, F.col("alive"))
 
 
 def incremental_intake(stream: DataFrame, store: str, out: str, checkpoint: str) -> StreamingQuery:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.filters import ScanFilter
 from recordloom.functions.fingerprints import hamming_distance, image_fingerprints, sha256
-from recordloom.operators import commit, dedupe, journal, plan, report, reuse, similar
+from recordloom.operators import commit, dedupe, journal, levels, plan, report, reuse, similar
 from recordloom.operators.components import connected_components
 from recordloom.operators.narrow import narrowed
 from recordloom.operators.storage import materialize, new_path
@@ -441,7 +441,8 @@ def test_drafts_are_seen_when_they_are_committed(spark):
 def test_a_repeated_batch_changes_nothing(spark, monkeypatch):
     from recordloom.streaming import intake
 
-    monkeypatch.setattr(intake, "SNAPSHOT_EVERY", 2)
+    monkeypatch.setattr(levels, "MERGE_AFTER", 2)
+    monkeypatch.setattr(levels, "BUCKETS", 2)
     folder = new_path(spark, "repeated")
     batches = [[("/a", "x", 1), ("/b", "y", 0)], [("/c", "x", 0), ("/d", "z", 0)], [("/a", "x", 1), ("/e", "z", 5)]]
 
@@ -460,6 +461,56 @@ def test_a_repeated_batch_changes_nothing(spark, monkeypatch):
         assert seen() == once
 
 
+def test_only_a_batch_s_own_buckets_are_read_and_written(spark, monkeypatch):
+    """Other buckets' files stay as they are, and can even be unreadable."""
+    monkeypatch.setattr(levels, "MERGE_AFTER", 2)
+    folder = new_path(spark, "buckets")
+    local = folder.removeprefix("file:")
+    rows = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("v"))
+    levels.write_delta(rows, folder, "key", 0)
+    few = rows.filter("v in (5, 1700)").withColumn("v", -F.col("v"))
+    own = levels.buckets_of(few, "key")
+    others = [os.path.join(d, f) for d, _, files in os.walk(f"{local}/rows") for f in files if f.endswith(".parquet") and not any(f"bucket={b}/" in f"{d}/" for b in own)]
+    assert len(own) == 2 and len(others) > 200
+    for path in others:
+        with open(path, "wb") as broken:
+            broken.write(b"not a table")
+    for batch in (1, 2, 3, 2):
+        levels.write_delta(few.withColumn("v", F.col("v") - batch), folder, "key", batch)
+        merged = levels.merge(spark, folder, "key string, v long", ["key"], own, batch)
+        assert merged == (own if batch in (1, 3) else []) or batch == 2
+    seen = {before: {r.key: r.v for r in levels.newest(levels.read_buckets(spark, folder, "key string, v long", own, before), ["key"]).filter("key in ('k5', 'k1700')").collect()} for before in (0, 1, 2, 3, 4)}
+    assert seen == {0: {}, 1: {"k5": 5, "k1700": 1700}, 2: {"k5": -6, "k1700": -1701}, 3: {"k5": -7, "k1700": -1702}, 4: {"k5": -8, "k1700": -1703}}
+    whole = levels.read_buckets(spark, folder, "key string, v long", own, 4)
+    assert levels.newest(whole, ["key"]).count() == rows.filter(levels.bucket("key").isin(own)).count()
+    assert levels.vacuum(spark, folder, 4) > 0 and levels.newest(levels.read_buckets(spark, folder, "key string, v long", own, 4), ["key"]).count() == levels.newest(whole, ["key"]).count()
+    assert all(open(path, "rb").read() == b"not a table" for path in others) and levels.last_batch(folder) == 3
+
+
+def test_a_path_with_new_content_leaves_its_old_content_free(spark, monkeypatch):
+    from recordloom.streaming import intake
+
+    monkeypatch.setattr(levels, "MERGE_AFTER", 2)
+    folder = new_path(spark, "changed")
+    for i, rows in enumerate([[("/a", "x", 1)], [("/a", "y", 2)], [("/b", "x", 3)], [("/c", "y", 3), ("/a", "y", 2)], [("/d", "y", 4), ("/e", "x", 4)]]):
+        intake.intake_batch(table(spark, rows), i, f"{folder}/store", f"{folder}/out")
+    seen = {(r.batch, r.full_path): (r.is_duplicate, r.reused) for r in read_intake(spark, f"{folder}/out").collect()}
+    assert seen == {(0, "/a"): (False, False), (1, "/a"): (False, False), (2, "/b"): (False, False), (3, "/c"): (True, False), (3, "/a"): (False, True), (4, "/d"): (True, False), (4, "/e"): (True, False)}
+
+
+def test_released_tables_are_gone(spark, tmp_path):
+    from recordloom.operators import storage
+
+    kept = storage.shared_dir(spark)
+    storage._noted.add(f"{tmp_path}/recordloom-{spark.sparkContext.applicationId}")
+    spark.range(3).write.parquet(f"{tmp_path}/recordloom-{spark.sparkContext.applicationId}/x")
+    storage._noted.discard(kept)  # other tests still read theirs
+    storage.release(spark)
+    assert not any(tmp_path.iterdir())
+    storage._noted.clear()
+    storage._noted.add(kept)
+
+
 def plan_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
