@@ -14,7 +14,8 @@ on the token, over distinct sites, so a hot site counts once.
 
 Nulls: a null URL, or one without ``://``, has an empty host and path and no tokens: it is
 allowed, unless a rule without literals matches the empty string. Rows are judged one by one,
-so repeated rows and null ids come back as they are; other columns are ignored.
+so repeated rows and null ids come back as they are; other columns are ignored. A very long URL is
+judged whole. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ sets included).
 Nulls: a null text has no shingles. A document without shingles, or with a null doc_id, is its
 own class with no links. Rows that share a doc_id are one document: their texts' classes are
 joined, and each row counts as a link of the other if their sets are equal. Other columns are
-ignored. An empty table gives no rows.
+ignored. A very long text is compared by all its shingles, 8 bytes each, of which a task holds those of two
+blocks at once. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ left for each document. Two documents share (levels, name) exactly when their by
 Blocks are sorted by (hash, bytes): the hash decides unless two blocks share it, and such
 blocks (found by counting the distinct blocks of each hash) are ranked by their bytes. So only
 the step that finds distinct blocks shuffles text, pre-aggregated in each task, and names join
-on the 8-byte hash. Nothing relies on hashes being free of collisions.
+on the 8-byte hash. Names don't rely on hashes being free of collisions; rows that repeat a doc_id are told
+apart by their SHA-256.
 
 Nulls: a null text is empty; a null doc_id is an id like any other (it never beats another id).
 An empty text is one empty block, a very long one as many blocks as it has, each a row. Repeated
