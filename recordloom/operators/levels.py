@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS, SPLITS, MERGE_AFTER = 256, 4, 8
+BUCKETS, SPLITS, MERGE_AFTER = 64, 4, 8
 DELTA, MERGED = 0, 1
 
 

@@ -464,6 +464,7 @@ def test_a_repeated_batch_changes_nothing(spark, monkeypatch):
 def test_only_a_batch_s_own_buckets_are_read_and_written(spark, monkeypatch):
     """Other buckets' files stay as they are, and can even be unreadable."""
     monkeypatch.setattr(levels, "MERGE_AFTER", 2)
+    monkeypatch.setattr(levels, "BUCKETS", 256)
     folder = new_path(spark, "buckets")
     local = folder.removeprefix("file:")
     rows = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("v"))
