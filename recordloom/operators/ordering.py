@@ -32,3 +32,39 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str, siz
     groups = placed.groupBy(*keys).agg(F.min("__at").alias("__first"), F.count("*").alias(size or "__size"))
     out = placed.join(materialize(groups, "groups"), keys).withColumn(name, F.col("__at") - F.col("__first") + 1)
     return out.drop("__at", "__first", "__size")
+
+
+#: What a quantile sketch may be off by, as a share of all rows; a selection sorts about this share twice.
+SKETCH_ERROR = 1 / 2000
+
+
+def largest(rows: DataFrame, limit: int, value: Column, ties: list[Column]) -> DataFrame:
+    """The ``limit`` rows of largest ``value`` (a long; null is smallest), the first in order of ``ties`` among equals.
+
+    A quantile sketch brackets the last value to keep, an exact count says how many rows lie above the
+    bracket and in it, and only rows of the bracket are sorted, by a range sort. Should the bracket
+    miss, it is widened, at last to everything. No task holds the selection, whatever its size, and one
+    value may be that of any share of the rows.
+    """
+    if limit <= 0:
+        return rows.limit(0)
+    held = materialize(rows.withColumn("__value", F.coalesce(value.cast("long"), F.lit(-(1 << 63)))), "selection")
+    total = held.count()
+    if limit >= total:
+        return held.drop("__value")
+    margin = SKETCH_ERROR
+    while True:
+        at = 1 - limit / total
+        ends = [max(at - 2 * margin, 0.0), min(at + 2 * margin, 1.0)]
+        low, high = held.agg(F.percentile_approx("__value", ends, F.lit(round(1 / SKETCH_ERROR))).alias("ends")).first()["ends"]
+        if ends[0] == 0.0:
+            low = -(1 << 63)
+        if ends[1] == 1.0:
+            high = (1 << 63) - 1
+        over, inside = held.agg(F.count_if(F.col("__value") > high), F.count_if(F.col("__value").between(low, high))).first()
+        if over <= limit <= over + inside:
+            break
+        margin *= 8
+    above = held.filter(F.col("__value") > high)
+    within = numbered(held.filter(F.col("__value").between(low, high)), [F.desc("__value"), *ties], "__place")
+    return above.unionByName(within.filter(F.col("__place") <= limit - over).drop("__place")).drop("__value")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators import levels
 from recordloom.operators.narrow import BROADCAST_KEYS, narrowed
+from recordloom.operators.ordering import largest
 from recordloom.operators.storage import materialize
 
 SCHEMA = "full_path string, size_bytes long, mtime_us long, sha256 string, quick_signature string, last_used timestamp"
@@ -91,8 +92,8 @@ def latest_versions(rows: DataFrame) -> DataFrame:
 
 
 def retain(rows: DataFrame, limit: int = RETAINED) -> DataFrame:
-    """The ``limit`` most recently used fingerprints; 0 or less keeps all."""
-    return rows if limit <= 0 else rows.orderBy(F.desc("last_used"), "full_path").limit(limit)
+    """The ``limit`` most recently used fingerprints, by path among equals; 0 or less keeps all."""
+    return rows if limit <= 0 else largest(rows, limit, F.unix_micros("last_used"), [F.col("full_path")])
 
 
 def fingerprint_upsert(store: DataFrame, computed: DataFrame, now: Column, limit: int = RETAINED) -> DataFrame:

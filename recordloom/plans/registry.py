@@ -373,6 +373,15 @@ query("latest_versions", _INV + "select full_path, epoch_us(last_write_utc) as m
 )
 query("retention", _INV + "select full_path from inv where doc_id % 3 <> 0 order by doc_id desc, full_path limit 100")(lambda s, d: reuse.retain(prior_snapshot(s, d), 100).select("full_path"))
 
+
+def _retained_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last used half of a snapshot whose rows share few times of use."""
+    rows = prior_snapshot(spark, sf_dir).withColumn("last_used", F.expr("timestamp_seconds(mtime_us div 1000000 % 5)"))
+    return reuse.retain(rows, rows.count() // 2).select("full_path")
+
+
+query("retention_half", _INV + ", p as (select full_path, (epoch_us(last_write_utc) // 1000000 - case when doc_id % 5 = 0 then 1 else 0 end) % 5 as used from inv where doc_id % 3 <> 0) select full_path from (select full_path, row_number() over (order by used desc, full_path) as r from p) where r <= (select count(*) // 2 from p)")(_retained_half)
+
 # ---- journal, undo, recovery -------------------------------------------------------------
 
 _KIND = "case doc_id % 4 when 0 then 'copied' when 1 then 'moved' when 2 then 'quarantined_duplicate' else 'deleted_duplicate' end"
