@@ -7,13 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.filters import ScanFilter
-from recordloom.functions.fingerprints import sha256
+from recordloom.functions.fingerprints import hex16, image_fingerprints, sha256
+from recordloom.functions.pictures import gray_bitmap
 from recordloom.operators import commit, dedupe, journal, reuse
 from recordloom.operators.storage import materialize, new_path
 from recordloom.plans import registry as R
 from recordloom.plans.run import Cancelled, RunOptions, apply, preview, read_issues, read_records, recover, run_counters, undo_last
-from recordloom.sources.files import inventory_from_files, write_files
-from recordloom.streaming import intake
+from recordloom.sources.files import inventory_from_files, snapshot_of_files, write_files
+from recordloom.streaming import intake, stateful
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -248,6 +249,21 @@ k as (select x.batch, x.full_path, count(*) filter (where y.full_path <> x.full_
 select cast(w.batch as bigint) as batch, w.full_path, w.sha256, coalesce(k.others, 0) > 0 or w.r > 1 as is_duplicate, w.met < w.batch as reused from w left join k on w.batch = k.batch and w.full_path = k.full_path""",
 )(_batches)
 
+
+def _stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches as a stream of files through one stateful operator that is started anew for each."""
+    folder, rows = new_path(spark, "stateful"), R.inventory(spark, sf_dir).drop("doc_id")
+    ids = R.inventory(spark, sf_dir).select("full_path", "doc_id")
+    for some in ("doc_id % 3 = 0", "doc_id % 3 = 1", "doc_id % 3 = 2 or doc_id % 12 = 0"):
+        rows.join(ids.filter(some), "full_path", "left_semi").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        stateful.stateful_intake(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return stateful.read_marked(spark, f"{folder}/out").select("batch", "full_path", "sha256", "is_duplicate")
+
+
+query("intake_stateful", f"select batch, full_path, sha256, is_duplicate from ({SQL['intake_batches']})")(_stateful)
+
+
 def _warm(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """A preview of the whole inventory with the digests of an earlier one of three quarters of it: what it plans, and where each digest came from."""
     rows, store = R.inventory(spark, sf_dir), folder or new_path(spark, "warm")
@@ -294,3 +310,44 @@ def _file_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("files_inventory", R._INV + f"select full_path, extension, size_bytes, category from inv where {R._UNRESERVED}")(_file_inventory)
 query("files_duplicates", R._INV + f"select * from (select sha256(content) as sha256_hash, size_bytes, full_path, count(*) over (partition by sha256(content), size_bytes) as group_size from inv where {R._UNRESERVED}) where group_size > 1")(_file_members)
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as files in a lopsided tree, one source of them twelve folders deeper than the others, listed by rounds of few folders."""
+    folder = new_path(spark, "tree")
+    uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    deep = F.concat(F.lit("/down" * 12), "full_path")
+    rows = R.inventory(spark, sf_dir).withColumn("full_path", F.when(F.col("full_path").startswith("/lake/src0/"), deep).otherwise(F.col("full_path")))
+    if not write_files(rows, uri).filter("write_error is not null").isEmpty():
+        raise OSError(f"some files could not be written below {uri}")
+    listed = snapshot_of_files(spark, uri, (".state",), entered=20)
+    return listed.filter("error is null").select(F.regexp_extract("full_path", "((/down)*/lake/.*)$", 1).alias("full_path"), "extension", "size_bytes", "category")
+
+
+query("files_snapshot", R._INV + f"select concat(case when starts_with(full_path, '/lake/src0/') then repeat('/down', 12) else '' end, full_path) as full_path, extension, size_bytes, category from inv where {R._UNRESERVED}")(_snapshot)
+
+# ---- pictures ------------------------------------------------------------------------------
+
+_PIXEL = "cast(least(255, greatest(0, floor((cast(embedding[{at} % {n} + {first}] as double) + 1) * 127.5))) as int)"
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as the file of a gray picture of 9 by 8 pixels, read by Spark's image source and fingerprinted."""
+    folder = new_path(spark, "pictures")
+    uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").repartition(spark.sparkContext.defaultParallelism)
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.floor((F.get("embedding", i % F.size("embedding")).cast("double") + 1) * 127.5))
+    pixels = F.transform(pixels, lambda v: F.least(F.lit(255), F.greatest(F.lit(0), v)).cast("int"))
+    rows = vectors.select(F.concat(F.lit("/v"), F.col("vec_id").cast("string"), F.lit(".bmp")).alias("full_path"), gray_bitmap(pixels, 9, 8).alias("content"))
+    if not write_files(rows, uri).filter("write_error is not null").isEmpty():
+        raise OSError(f"some pictures could not be written below {uri}")
+    found = image_fingerprints(spark.read.format("image").load(uri))
+    return found.select(F.regexp_extract("full_path", r"/v(\d+)\.bmp$", 1).cast("long").alias("vec_id"), hex16(F.col("h")).alias("fp"))
+
+
+query(
+    "picture_fingerprints",
+    f"""with cells as (select vec_id, b // 8 * 9 + b % 8 as p, b, embedding, len(embedding) as n from embeddings, range(64) t(b)),
+ lit as (select vec_id, b, {_PIXEL.format(at="p", n="n", first=1)} as here, {_PIXEL.format(at="(p + 1)", n="n", first=1)} as beside from cells)
+select vec_id, lower(lpad(to_hex(bit_or(case when here > beside then 1::UBIGINT << b::UBIGINT else 0::UBIGINT end)), 16, '0')) as fp from lit group by 1""",
+)(_pictures)

@@ -17,7 +17,7 @@ from recordloom.operators.components import connected_components
 from recordloom.operators.narrow import narrowed
 from recordloom.operators.storage import materialize, new_path
 from recordloom.plans.run import Cancelled, RunOptions, apply, preview, read_issues, read_records, recover, undo, undo_last
-from recordloom.sources.files import file_digests, file_signatures, inventory_from_files
+from recordloom.sources.files import file_digests, file_signatures, inventory_from_files, snapshot_of_files
 from recordloom.sources.inventory import inventory_from_table, rejected_rows, scan_summary
 from recordloom.sources.synthetic import synthetic_inventory
 from recordloom.streaming.intake import incremental_intake, read_intake
@@ -550,3 +550,91 @@ def test_wide_vectors_are_refused(spark):
     assert frame.select(sign_bits(F.col("v"))).first()[0] == 5
     with pytest.raises(Exception, match="more than 64"):
         spark.createDataFrame([([1.0] * 65,)], "v array<float>").select(sign_bits(F.col("v"))).collect()
+
+
+@pytest.mark.parametrize("limit", [0, 1, 299, 300, 500, 999, 1000, 5000])
+def test_selection_is_that_of_a_sort(spark, limit):
+    from recordloom.operators.ordering import largest
+
+    # a third of all rows has one value, some have none, and paths decide between equals
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 == 0, F.lit(500)).when(F.col("id") % 7 != 0, F.col("id") * 7919 % 1000).alias("v"), F.lpad(F.col("id").cast("string"), 4, "0").alias("path"))
+    want = sorted(rows.collect(), key=lambda r: (r.v is None, -(r.v or 0), r.path))[:limit]
+    assert sorted(r.path for r in largest(rows, limit, F.col("v"), [F.col("path")]).collect()) == sorted(r.path for r in want)
+
+
+def test_selection_sorts_the_bracket_alone(spark):
+    from recordloom.operators import ordering
+
+    rows = spark.range(40_000).select(F.col("id").alias("v"))
+    chosen = ordering.largest(rows, 20_000, F.col("v"), [])
+    assert chosen.agg(F.min("v"), F.count("*")).first() == (20_000, 20_000)
+    # what was sorted is the written table named "ordered"; the plan reads it beside the rows above the bracket
+    files = [f for f in chosen.inputFiles() if "/ordered-" in f]
+    assert 0 < spark.read.parquet(*files).count() < 400
+
+
+@pytest.mark.parametrize("entered", [1, 3, 1000])
+def test_rounds_list_what_one_task_lists(spark, tmp_path, entered):
+    deep = tmp_path.joinpath(*(f"level{i}" for i in range(15)))
+    wide = [tmp_path / "wide" / f"w{i}" for i in range(30)]
+    for folder in (deep, *wide, tmp_path / "wide" / ".recordloom", tmp_path / "empty"):
+        folder.mkdir(parents=True)
+        if folder.name != "empty":
+            (folder / "own.txt").write_text(folder.name)
+    os.symlink(tmp_path, tmp_path / "wide" / "loop")
+    root = f"file://{tmp_path}"
+    want = sorted(map(tuple, inventory_from_files(spark, root).collect()))
+    assert len(want) == 31
+    assert sorted(map(tuple, snapshot_of_files(spark, root, entered=entered).collect())) == want
+    missing = snapshot_of_files(spark, f"{root}/missing").collect()
+    assert len(missing) == 1 and missing[0].error
+    assert snapshot_of_files(spark, f"{root}/empty").count() == 0
+
+
+def test_stateful_intake_over_restarts(spark):
+    from recordloom.streaming.stateful import read_marked, stateful_intake
+
+    folder = new_path(spark, "stateful")
+    schema = "full_path string, size_bytes long, last_write_utc timestamp, content string"
+    batches = [
+        [("/a", 1, 5, "x"), ("/b", 1, 3, "x"), ("/c", 1, 3, "y"), ("/n", None, None, None)],
+        [("/b", 1, 3, "x"), ("/c", 1, 3, "y"), ("/d", 1, 1, "y"), ("/n2", None, 1, None), ("/e", 0, None, "")],
+        # many copies, one of them older than the rest and one of them there already
+        [("/e", 0, 9, "")] + [(f"/m{i:05d}", 1, 9 if i != 700 else 2, "z") for i in range(2000)],
+        [("/m00700", 1, 2, "z"), ("/e", 0, None, "")],
+    ]
+    for rows in batches:
+        typed = [(p, s, None if t is None else datetime.fromtimestamp(t, tz=timezone.utc), c) for p, s, t, c in rows]
+        spark.createDataFrame(typed, schema).repartition(3).write.mode("append").parquet(f"{folder}/in")
+        stateful_intake(spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    found = read_marked(spark, f"{folder}/out").collect()
+    assert len(found) == sum(map(len, batches))
+    copies = {(r.batch, r.full_path): r.is_duplicate for r in found}
+    assert {k: v for k, v in copies.items() if k[0] < 2} == {(0, "/a"): True, (0, "/b"): False, (0, "/c"): False, (0, "/n"): False, (1, "/b"): True, (1, "/c"): True, (1, "/d"): True, (1, "/n2"): False, (1, "/e"): False}
+    assert sorted(p for (b, p), v in copies.items() if b == 2 and not v) == ["/e", "/m00700"]
+    assert copies[3, "/m00700"] and not copies[3, "/e"]
+
+
+@pytest.mark.parametrize(("ttl_ms", "copy"), [(3_600_000, True), (1, False)])
+def test_stateful_intake_forgets(spark, ttl_ms, copy):
+    from recordloom.streaming.stateful import read_marked, stateful_intake
+
+    folder = new_path(spark, "forget")
+    schema = "full_path string, size_bytes long, last_write_utc timestamp, content string"
+    for path in ("/a", "/b"):
+        spark.createDataFrame([(path, 1, None, "x")], schema).write.mode("append").parquet(f"{folder}/in")
+        stateful_intake(spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint", ttl_ms).awaitTermination()
+    assert {r.full_path: r.is_duplicate for r in read_marked(spark, f"{folder}/out").collect()} == {"/a": False, "/b": copy}
+
+
+@pytest.mark.parametrize(("width", "height"), [(9, 8), (4, 3), (1, 1)])
+def test_bitmaps_are_read_back(spark, tmp_path, width, height):
+    from recordloom.functions.pictures import gray_bitmap
+
+    pixels = [(37 * i + 11) % 256 for i in range(width * height)]
+    frame = spark.createDataFrame([(pixels,), (pixels[:-1],), ([256] * len(pixels),)], "p array<int>")
+    made = [r[0] for r in frame.select(gray_bitmap(F.col("p"), width, height)).collect()]
+    assert made[1:] == [None, None]
+    (tmp_path / "one.bmp").write_bytes(made[0])
+    read = spark.read.format("image").load(str(tmp_path)).select("image.*").first()
+    assert (read.width, read.height) == (width, height) and list(read.data[::3]) == pixels
