@@ -14,7 +14,7 @@ from recordloom.operators.storage import materialize, new_path
 from recordloom.plans import registry as R
 from recordloom.plans.run import Cancelled, RunOptions, apply, preview, read_issues, read_records, recover, run_counters, undo_last
 from recordloom.sources.files import inventory_from_files, snapshot_of_files, write_files
-from recordloom.streaming import intake, stateful
+from recordloom.streaming import arrivals, intake, stateful
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -326,6 +326,30 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("files_snapshot", R._INV + f"select concat(case when starts_with(full_path, '/lake/src0/') then repeat('/down', 12) else '' end, full_path) as full_path, extension, size_bytes, category from inv where {R._UNRESERVED}")(_snapshot)
 
+
+def _arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written in two rounds, the second of which also changes some of the first, and streamed after each: what each batch read."""
+    folder, rows = new_path(spark, "arrived"), R.inventory(spark, sf_dir)
+    uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    changed = F.when(F.col("doc_id") % 12 == 0, F.concat(F.lit("changed "), F.coalesce("content", F.lit("")))).otherwise(F.col("content"))
+    for own in (rows.filter("doc_id % 3 = 0"), rows.filter("doc_id % 3 <> 0 or doc_id % 12 = 0").withColumn("content", changed)):
+        if not write_files(own, f"{uri}/tree").filter("write_error is not null").isEmpty():
+            raise OSError(f"some files could not be written below {uri}")
+        for _ in range(2):  # the second listing finds nothing new
+            arrivals.note_arrivals(spark, f"{uri}/tree", f"{folder}/arrivals", (".state",))
+            arrivals.digest_arrivals(spark, f"{uri}/tree", f"{folder}/arrivals", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    found = arrivals.read_digests(spark, f"{folder}/out").filter("read_error is null")
+    return found.select("batch", F.regexp_extract("full_path", "/tree(/lake/.*)$", 1).alias("full_path"), "size_bytes", "sha256_hash")
+
+
+query(
+    "files_arrived",
+    R._INV
+    + f"""select batch, full_path, cast(strlen(body) as bigint) as size_bytes, sha256(body) as sha256_hash from (
+ select cast(0 as bigint) as batch, full_path, content as body from inv where doc_id % 3 = 0 and {R._UNRESERVED}
+ union all select 1, full_path, case when doc_id % 12 = 0 then concat('changed ', content) else content end from inv where (doc_id % 3 <> 0 or doc_id % 12 = 0) and {R._UNRESERVED})""",
+)(_arrived)
+
 # ---- pictures ------------------------------------------------------------------------------
 
 _PIXEL = "cast(least(255, greatest(0, floor((cast(embedding[{at} % {n} + {first}] as double) + 1) * 127.5))) as int)"

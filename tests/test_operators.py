@@ -638,3 +638,30 @@ def test_bitmaps_are_read_back(spark, tmp_path, width, height):
     (tmp_path / "one.bmp").write_bytes(made[0])
     read = spark.read.format("image").load(str(tmp_path)).select("image.*").first()
     assert (read.width, read.height) == (width, height) and list(read.data[::3]) == pixels
+
+
+def test_files_arrive_once(spark, tmp_path):
+    from recordloom.streaming.arrivals import current_digests, digest_arrivals, note_arrivals, read_digests
+
+    tree, state = tmp_path / "tree", new_path(spark, "arrivals")
+    tree.mkdir()
+    root = f"file://{tree}"
+
+    def take() -> int:
+        n = note_arrivals(spark, root, f"{state}/arrivals")
+        if os.path.isdir(f"{state}/arrivals".removeprefix("file:")):
+            digest_arrivals(spark, root, f"{state}/arrivals", f"{state}/out", f"{state}/checkpoint").awaitTermination()
+        return n
+
+    assert take() == 0  # an empty folder
+    (tree / "a").write_text("one")
+    (tree / "b").write_text("")
+    assert take() == 2 and take() == 0
+    (tree / "a").write_text("other")
+    (tree / "c").write_text("one")
+    assert note_arrivals(spark, root, f"{state}/arrivals") == 2
+    (tree / "c").unlink()  # gone before it is read
+    assert take() == 0
+    seen = [(r.batch, r.full_path.rsplit("/", 1)[1], r.size_bytes, r.sha256_hash is None, r.read_error is None) for r in read_digests(spark, f"{state}/out").collect()]
+    assert sorted(seen) == [(0, "a", 3, False, True), (0, "b", 0, False, True), (1, "a", 5, False, True), (1, "c", 3, True, False)]
+    assert sorted((r.full_path.rsplit("/", 1)[1], r.size_bytes) for r in current_digests(spark, f"{state}/out").collect()) == [("a", 5), ("b", 0), ("c", 3)]
