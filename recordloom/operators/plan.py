@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.columns import destination_folder, file_name, format_size, numbered_name, parent, relative_path
+from recordloom.functions.columns import destination_folder, file_name, format_size, parent, relative_path
 from recordloom.operators.dedupe import member_order
+from recordloom.operators.names import free_names
 from recordloom.operators.ordering import numbered
 from recordloom.operators.storage import materialize
 
 DEDUPE_MODES = ("off", "quarantine", "delete")
 ORGANIZE_MODES = {"copy": "copied", "move": "moved"}
 SCOPES = {"group_and_dedupe": (True, True), "group_only": (True, False), "dedupe_only": (False, True)}
-#: Rows of the sorted plan in which equal names are ranked by one task.
-RUN = 1 << 20
 PLAN = "seq long, action string, source_path string, destination_path string, reversible boolean"
 
 
@@ -60,104 +55,6 @@ def still_there(planned: DataFrame, current: DataFrame, path: str = "source_path
     return planned.join(there, path, "left_semi"), planned.join(there, path, "left_anti")
 
 
-_FAMILY = r"( \(\d+\))+(?=(\.[^.]*)?$)"
-
-
-class _Names:
-    """The names of one family in one folder, given out one after another; its size does not grow with repeated names."""
-
-    _NUMBERED = re.compile(r"(?s)^(.+) \(([1-9][0-9]*)\)(\.[^.]+)?$")
-
-    def __init__(self) -> None:
-        self.own: set[str] = set()  # names taken as they are
-        self.last: dict[str, int] = defaultdict(int)  # the last number given for a name
-        self.reserved: dict[str, set[int]] = defaultdict(set)  # numbers of a name that others are called by
-
-    def _parts(self, name: str) -> tuple[str, int] | None:
-        found = self._NUMBERED.match(name)
-        return (found[1] + (found[3] or ""), int(found[2])) if found else None
-
-    def claim(self, name: str) -> bool:
-        """Take a name as it is, unless it is taken."""
-        parts = self._parts(name)
-        if name in self.own or (parts and parts[1] <= self.last[parts[0]]):
-            return False
-        self.own.add(name)
-        if parts:
-            self.reserved[parts[0]].add(parts[1])
-        return True
-
-    def give(self, name: str) -> int:
-        """The number for a record that wants ``name``, 0 for the name itself."""
-        if self.claim(name):
-            return 0
-        number = self.last[name] + 1
-        while number in self.reserved[name]:
-            number += 1
-        self.last[name] = number
-        return number
-
-
-def _in_turn(folder: str, name: str):
-    """A function over batches sorted by folder, family and position, whose position 0 is a name that exists already."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, names = None, _Names()
-        for batch in batches:
-            numbers = []
-            for own, family, position, want in zip(batch[folder], batch["family"], batch["position"], batch[name], strict=True):
-                if (own, family) != key:
-                    key, names = (own, family), _Names()
-                if position == 0:
-                    names.claim(want)
-                numbers.append(names.give(want) if position else 0)
-            yield batch[batch["position"] > 0].assign(number=[n for n, p in zip(numbers, batch["position"], strict=True) if p])[["full_path", "number"]]
-
-    return run
-
-
-def _free_names(rows: DataFrame, folder: str, name: str, order: list[Column], existing: DataFrame | None) -> DataFrame:
-    """Add ``seq`` and ``destination_path``: names free of collisions inside each folder, as if placed one after another in ``order``.
-
-    The first of equal names keeps it where it is free, the others take the next numbers. Ranks come
-    from the one range sort that numbers the rows: equal names are counted by runs of RUN rows of it,
-    and only rows of one run are ranked in one task. Where a number may meet a name that another
-    record wants, or that the target has under a number, the folder's family of names (the stem
-    without numbers) is numbered in turn by one pass over its sorted rows, which keeps a few counters
-    and no list of what it has seen.
-    """
-    family = F.regexp_replace(F.col(name), _FAMILY, "")
-    placed = numbered(rows, order).withColumn("__run", F.floor(F.col("seq") / RUN))
-    runs = placed.groupBy(folder, name, "__run").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy(folder, name).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = materialize(runs.select(folder, name, "__run", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")), "name-runs")
-    within = F.row_number().over(Window.partitionBy(folder, name, "__run").orderBy("seq")) - 1
-    ranked = placed.withColumn("number", within).join(runs, [folder, name, "__run"]).withColumn("number", F.col("number") + F.col("__before"))
-    ranked = ranked.withColumn("family", family).drop("__run", "__before")
-    wanted = runs.select(folder, name, family.alias("family")).distinct()
-    mixed = wanted.groupBy(folder, "family").agg(F.count("*").alias("names")).filter("names > 1").select(folder, "family")
-    if existing is not None:
-        there = existing.select(parent(F.col("full_path")).alias(folder), file_name(F.col("full_path")).alias(name)).withColumn("family", family).distinct()
-        # a family of which the target has but the one plain name starts at number 1
-        numbers = there.filter(F.col(name) != F.col("family")).select(folder, "family")
-        mixed = mixed.unionByName(numbers).distinct()
-        taken = there.filter(F.col(name) == F.col("family")).select(folder, name, F.lit(1).alias("__taken"))
-        ranked = ranked.join(materialize(taken, "taken-names"), [folder, name], "left").withColumn("number", F.col("number") + F.coalesce("__taken", F.lit(0))).drop("__taken")
-    mixed = materialize(mixed, "mixed-names")
-    place = F.concat_ws("/", folder, numbered_name(F.col(name), F.col("number")))
-    if mixed.isEmpty():
-        return ranked.withColumn("destination_path", place).drop("family", "number")
-    plain = ranked.join(mixed, [folder, "family"], "left_anti")
-    clashing = ranked.join(mixed, [folder, "family"], "left_semi").drop("number")
-    queue = clashing.select(folder, "family", F.col("seq").alias("position"), name, "full_path")
-    if existing is not None:
-        queue = queue.unionByName(there.select(folder, "family", F.lit(0).cast("long").alias("position"), name, F.lit(None).cast("string").alias("full_path")))
-    queue = queue.repartition(folder, "family").sortWithinPartitions(folder, "family", "position")
-    given = queue.mapInPandas(_in_turn(folder, name), "full_path string, number long")
-    every = plain.unionByName(clashing.join(materialize(given, "given-names"), "full_path"))
-    return every.withColumn("destination_path", place).drop("family", "number")
-
-
 def dedupe_plan(members: DataFrame, mode: str, source_root: str, quarantine_root: str = "/quarantine", protected: DataFrame | None = None) -> DataFrame:
     """Removals of a mode as plan rows, in the order of groups and members."""
     _one_of(mode, DEDUPE_MODES)
@@ -171,7 +68,7 @@ def dedupe_plan(members: DataFrame, mode: str, source_root: str, quarantine_root
     else:
         moved = F.concat_ws("/", F.lit(quarantine_root), relative_path(F.col("full_path"), source_root))
         rows = removed.withColumn("__folder", parent(moved)).withColumn("__name", file_name(moved))
-        planned = _free_names(rows, "__folder", "__name", order, None)
+        planned = free_names(rows, "__folder", "__name", order, None)
     planned = numbered(planned, order) if mode == "delete" else planned
     action = "deleted_duplicate" if mode == "delete" else "quarantined_duplicate"
     return planned.select("seq", F.lit(action).alias("action"), F.col("full_path").alias("source_path"), "destination_path", F.lit(mode != "delete").alias("reversible"))
@@ -182,7 +79,7 @@ def organize_plan(inventory: DataFrame, mode: str, target: str, zone: str = "UTC
     action = ORGANIZE_MODES[_one_of(mode, ORGANIZE_MODES)]
     order = [F.col("category"), *member_order()]
     rows = inventory.select("full_path", "category", "last_write_utc", destination_folder(target, F.col("category"), F.col("last_write_utc"), zone).alias("__folder"), file_name(F.col("full_path")).alias("__name"))
-    planned = _free_names(rows, "__folder", "__name", order, existing)
+    planned = free_names(rows, "__folder", "__name", order, existing)
     return planned.select("seq", F.lit(action).alias("action"), F.col("full_path").alias("source_path"), "destination_path", F.lit(True).alias("reversible"))
 
 

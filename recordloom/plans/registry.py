@@ -17,6 +17,7 @@ from recordloom.functions.filters import SIMILARITY_EXTENSIONS, ScanFilter
 from recordloom.functions.fingerprints import hex16, sha256, sign_bits, simhash
 from recordloom.functions.fingerprints import bands as band_array
 from recordloom.operators import dedupe, journal, plan, report, reuse, similar
+from recordloom.operators.names import free_names
 from recordloom.operators.ordering import numbered
 from recordloom.operators.storage import materialize, new_path
 from recordloom.plans.run import RunOptions, preview
@@ -244,6 +245,25 @@ num as (select s.*, row_number() over (partition by s.place, s.name order by cat
   from slot s left join taken t on s.place = t.place and s.name = t.name)
 select full_path as source_path, concat(place, '/', {_NUM}) as destination_path from num""",
 )(lambda s, d: plan.organize_plan(inventory(s, d).drop("content"), "copy", TARGET, existing=_existing(s, d)).select("source_path", "destination_path"))
+
+
+def _numbered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that want the same few names, many of which end in numbers, in twenty folders of which some names are taken: one after another, every record gets a name."""
+    rows = inventory(spark, sf_dir).select("doc_id", F.expr("concat('/t/', doc_id % 20)").alias("place"), F.expr(_WANTED).alias("name"))
+    there = rows.filter("doc_id % 13 = 0").select(F.concat_ws("/", "place", "name").alias("full_path")).distinct()
+    return free_names(rows, "place", "name", [F.col("doc_id")], there).select("doc_id", "destination_path")
+
+
+_WANTED = "concat('x', cast(floor(doc_id / 20) as int) % 3, case cast(floor(doc_id / 7) as int) % 4 when 0 then '' when 1 then ' (1)' when 2 then concat(' (', doc_id % 9 + 1, ')') else ' (1) (2)' end, '.txt')"
+_FREE = "list_filter(range(0, len(s.taken) + 1), lambda k: not list_contains(s.taken, case when k > 0 then concat(w.stem, ' (', k, ').txt') else w.name end))[1]"
+query(
+    "numbered_names",
+    f"""with recursive w as (select *, left(name, len(name) - 4) as stem, row_number() over (partition by place order by doc_id) as r from (select doc_id, concat('/t/', doc_id % 20) as place, {_WANTED} as name from documents)),
+f as (select w.place, list(distinct name) filter (where doc_id % 13 = 0) as taken from w group by 1),
+s as (select place, cast(0 as bigint) as r, coalesce(taken, []) as taken, cast(null as bigint) as doc_id, cast(null as varchar) as got from f
+ union all select place, r, list_append(taken, got), doc_id, got from (select w.place, w.r, s.taken, w.doc_id, case when {_FREE} > 0 then concat(w.stem, ' (', {_FREE}, ').txt') else w.name end as got from s join w on w.place = s.place and w.r = s.r + 1))
+select doc_id, concat(place, '/', got) as destination_path from s where r > 0""",
+)(_numbered_names)
 query("action_summary", _KEPT + "select cast(0 as bigint) as files_copied, cast(0 as bigint) as files_moved, count(*) as duplicates_quarantined, cast(0 as bigint) as duplicates_deleted from kept where not keep")(
     lambda s, d: plan.action_summary(plan.dedupe_plan(members(s, d), "quarantine", ROOT, protected=protected(s, d)))
 )
