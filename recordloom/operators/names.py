@@ -25,7 +25,7 @@ from recordloom.functions.columns import file_name, numbered_name, parent, stem,
 from recordloom.operators.ordering import numbered, ranked
 from recordloom.operators.storage import materialize
 
-#: Rows of the sorted plan in which equal names are ranked by one task, and claims that one task weighs.
+#: Rows of the sorted plan in which equal names are ranked by one task, and numbers of a name whose claims one task weighs.
 RUN, CHUNK = 1 << 20, 1 << 14
 _LONGS = T.ArrayType(T.LongType())
 _NUMBER = r" \(([1-9][0-9]{0,17})\)\z"
@@ -97,8 +97,8 @@ def _settled(asked: DataFrame, claims: DataFrame, keys: list[str], chunk: int) -
     events = ranked(events, keys, [F.col("__time"), F.col("__number")], "__position").filter("__number is not null")
     met = ranked(events, keys, [F.col("__position")], "__place")
     reached = F.greatest(F.col("__position") - F.col("__place") + F.col("__taken") - 1, F.lit(0))
-    weighed = ranked(met.withColumn("__limit", F.col("__number") - reached), keys, [F.col("__number")], "__nth")
-    weighed = weighed.withColumn("__chunk", F.floor((F.col("__nth") - 1) / chunk))
+    weighed = met.withColumn("__limit", F.col("__number") - reached)
+    weighed = weighed.withColumn("__chunk", F.expr(f"__number div {chunk}"))  # numbers differ, so a chunk has at most this many claims
     held = weighed.groupBy(*keys, "__chunk").agg(F.array_sort(F.collect_list(F.struct("__number", "__limit", "__child"))).alias("__held"))
     held = materialize(held, "claims-by-chunk")
     limits = F.transform("__held", lambda c: c["__limit"])
