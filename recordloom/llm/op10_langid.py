@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.textops import utf8_slices
+from recordloom.operators.ordering import percentile
 from recordloom.operators.storage import materialize
 
 PROFILE = 300
@@ -63,9 +64,13 @@ def learnable(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string")) % 3 != 1) & doc_id.isNotNull()
 
 
+def _learned(docs: DataFrame) -> DataFrame:
+    return docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+
+
 def _sampled(docs: DataFrame, sample: int) -> DataFrame:
     """lang and text of about ``sample`` documents of each language; the languages' sizes are joined, whatever their number."""
-    docs = docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    docs = _learned(docs)
     shares = docs.groupBy("lang").agg((1_000_003 * F.least(F.lit(1.0), sample / F.count("*"))).alias("share"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
     return docs.join(materialize(shares, "shares"), "lang").filter(place < F.col("share")).select("lang", "text")
@@ -157,16 +162,16 @@ def identify(docs: DataFrame, found: dict[str, np.ndarray]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, lang_pred string, score double")
 
 
-def farthest(docs: DataFrame, found: dict[str, np.ndarray], sample: int = SAMPLE) -> float:
-    """The distance beyond which a text is in none of the languages: NEAR_SHARE of a bounded sample of learned documents are nearer, by 1 / MARGIN; NEVER_FAR at least."""
+def farthest(docs: DataFrame, found: dict[str, np.ndarray]) -> float:
+    """The distance beyond which a text is in none of the languages: NEAR_SHARE of all documents that may be learned from are nearer, by 1 / MARGIN; NEVER_FAR at least."""
     langs, known, places = _table(found)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_judge(batch["text"], langs, known, places)[2])], ["apart"])
 
-    apart = _sampled(docs, sample).select("text").mapInArrow(measure, "apart double")
-    limit = apart.agg(F.percentile("apart", F.lit(NEAR_SHARE))).first()[0]
+    apart = materialize(_learned(docs).select("text").mapInArrow(measure, "apart double"), "apart")
+    limit = percentile(apart, "apart", NEAR_SHARE)
     return float(PROFILE) if limit is None else min(max(MARGIN * limit, NEVER_FAR), float(PROFILE))
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from recordloom.operators.storage import materialize
 
+#: Parts into which a range of values is cut, and values of it that reach the driver at most.
+RANGES, HELD = 1024, 10_000
+
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "seq") -> DataFrame:
     """Add ``name``: 1, 2, ... in order. A range sort spreads any key over tasks; one count a partition reaches the driver."""
@@ -68,3 +71,35 @@ def largest(rows: DataFrame, limit: int, value: Column, ties: list[Column]) -> D
     above = held.filter(F.col("__value") > high)
     within = numbered(held.filter(F.col("__value").between(low, high)), [F.desc("__value"), *ties], "__place")
     return above.unionByName(within.filter(F.col("__place") <= limit - over).drop("__place")).drop("__value")
+
+
+def percentile(rows: DataFrame, name: str, share: float, held: int = HELD) -> float | None:
+    """The exact percentile of a column of written ``rows``, as Spark's ``percentile`` gives it, but no task holds all values.
+
+    The range in which the wanted place lies is cut into RANGES equal parts, which are counted, until at most ``held`` values are in it.
+    """
+    values = rows.select(F.col(name).cast("double").alias("v")).filter("v is not null")
+    inside, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not inside:
+        return None
+    at = share * (inside - 1)
+    k, below = int(at), 0
+    while inside > held and low < high and (step := (high - low) / RANGES) > 0:
+        part = F.least(F.floor((F.col("v") - low) / step), F.lit(RANGES - 1))
+        parts = values.filter(F.col("v").between(low, high)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        for r in sorted(parts, key=lambda r: r["part"]):
+            if below + r["n"] > k:
+                inside, low, high = r["n"], r["low"], r["high"]
+                break
+            below += r["n"]
+    # equal values are one row here
+    found = values.filter(F.col("v").between(low, high)).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()
+    own = None
+    for r in found:
+        below += r["n"]
+        if own is None and below > k:
+            own = r["v"]
+        if below > k + 1:
+            return own if own == r["v"] else (k + 1 - at) * own + (at - k) * r["v"]
+    after = values.filter(F.col("v") > high).agg(F.min("v")).first()[0]
+    return own if after is None else (k + 1 - at) * own + (at - k) * after
