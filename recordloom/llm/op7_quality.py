@@ -1,9 +1,8 @@
 """Quality rules: base rules, and a log-likelihood ratio between trusted and raw n-grams.
 
 Word unigrams and bigrams are hashed into BUCKETS features. Two smoothed multinomials are
-counted over them: one over every document of the corpus, one over the trusted ones (labelled
-quality 1, at most TRUSTED_ROWS of them, taken in the order of a hash of their ids, so that
-their ids can be broadcast). A document's score is the mean of log p_trusted - log p_raw over
+counted over them: one over every document of the corpus, one over all trusted ones (labelled
+quality 1). A document's score is the mean of log p_trusted - log p_raw over
 its n-grams. It is kept if the score reaches a threshold that all but TRUSTED_LOSS of the
 trusted documents that pass the base rules reach, less SLACK / sqrt(number of n-grams), the
 spread that a short document's mean has. The same corpus gives the same decisions.
@@ -23,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.textops import BLANKS, byte_set, mix, ngram_hashes, span_hashes, utf8_slices, word_spans
+from recordloom.operators.narrow import narrowed
+from recordloom.operators.ordering import percentile
 from recordloom.operators.storage import materialize
 
 BUCKETS = 1 << 16
-TRUSTED_ROWS = 20_000
 TRUSTED_LOSS = 0.001
 SLACK = 1.0
 
@@ -88,32 +88,33 @@ def features(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (grams >> np.uint64(48)).astype(np.int64) % BUCKETS, np.concatenate([rows, owners])
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_ROWS) -> DataFrame:
-    """At most ``limit`` ids labelled quality 1, in the order of a hash of the id."""
-    ids = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All ids labelled quality 1."""
+    return materialize(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct(), "trusted")
 
 
-def feature_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each bucket over all rows and over those with ``trusted``; BUCKETS sums at most reach the driver."""
+def trusted_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of the ids; beyond what may be broadcast, only rows that a filter of fixed size lets through are shuffled."""
+    return narrowed(docs, ids, ["doc_id"]).join(ids, "doc_id", "left_semi")
+
+
+def feature_counts(docs: DataFrame) -> np.ndarray:
+    """Counts of each bucket over all rows; BUCKETS sums at most reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+        sums = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            trusted = batch["trusted"].to_numpy(zero_copy_only=False)
-            for row, end, data, offsets in utf8_slices(batch["text"]):
+            for _, _, data, offsets in utf8_slices(batch["text"]):
                 starts, ends, rows = word_spans(data, offsets, BLANKS)
-                buckets, owners = features(span_hashes(data, starts, ends), rows)
-                raw += np.bincount(buckets, minlength=BUCKETS)
-                good += np.bincount(buckets[trusted[row:end][owners]], minlength=BUCKETS)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], ["bucket", "raw", "good"])
+                sums += np.bincount(features(span_hashes(data, starts, ends), rows)[0], minlength=BUCKETS)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["bucket", "n"])
 
-    sums = docs.select("text", "trusted").mapInArrow(count, "bucket long, raw long, good long")
-    rows = sums.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
-    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[rows["bucket"]], good[rows["bucket"]] = rows["raw"], rows["good"]
-    return raw, good
+    sums = docs.select("text").mapInArrow(count, "bucket long, n long")
+    rows = sums.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(BUCKETS)
+    out[rows["bucket"]] = rows["n"]
+    return out
 
 
 def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -135,43 +136,37 @@ def _stats(texts: pa.Array, ratios: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate(p) for p in parts]
 
 
-def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    ids = trusted_ids(labels).withColumn("trusted", F.lit(True))
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
-    return marked.withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-
-
-def _scored(marked: DataFrame, ratios: np.ndarray) -> DataFrame:
+def _scored(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            arrays = [batch["doc_id"].cast(pa.int64()), *map(pa.array, _stats(batch["text"], ratios)), batch["trusted"]]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "score", "trusted"])
+            arrays = [batch["doc_id"].cast(pa.int64()), *map(pa.array, _stats(batch["text"], ratios))]
+            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in STATS.split(", ")])
 
-    scored = marked.mapInArrow(score, f"{STATS}, trusted boolean")
+    scored = docs.select("doc_id", "text").mapInArrow(score, STATS)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     fair = F.col("score") + SLACK / F.sqrt(F.greatest("n_grams", F.lit(1)))
     return scored.withColumn("base_failed", failed).withColumn("fair", fair)
 
 
-def _least(scored: DataFrame) -> float:
-    """The score that all but TRUSTED_LOSS of the trusted documents reach, exactly: they are TRUSTED_ROWS ids. Any score will do without them."""
-    found = scored.filter("trusted and not base_failed").select(F.percentile("fair", F.lit(TRUSTED_LOSS))).first()[0]
+def _least(trusted: DataFrame) -> float:
+    """The score that all but TRUSTED_LOSS of the trusted documents reach, exactly. Any score will do without them."""
+    found = percentile(materialize(trusted.filter("not base_failed").select("fair"), "fair"), "fair", TRUSTED_LOSS)
     return -1e300 if found is None else found
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, n_grams, score, base_failed and kept for each row of ``docs``."""
-    marked = _marked(docs, labels)
-    scored = materialize(_scored(marked, log_ratios(*feature_counts(marked))), "quality")
-    kept = ~F.col("base_failed") & (F.col("fair") >= F.lit(_least(scored)))
-    return scored.withColumn("kept", kept).drop("trusted", "fair")
+    ids = trusted_ids(labels)
+    scored = materialize(_scored(docs, log_ratios(feature_counts(docs), feature_counts(trusted_rows(docs, ids)))), "quality")
+    kept = ~F.col("base_failed") & (F.col("fair") >= F.lit(_least(scored.join(ids, "doc_id", "left_semi"))))
+    return scored.withColumn("kept", kept).drop("fair")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with all their columns, without a shuffle of texts."""
-    marked = _marked(docs, labels)
-    ratios = log_ratios(*feature_counts(marked))
-    least = _least(_scored(marked.filter("trusted"), ratios))
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns; of texts, those of trusted rows alone may be shuffled."""
+    trusted = trusted_rows(docs.select("doc_id", "text"), trusted_ids(labels))
+    ratios = log_ratios(feature_counts(docs), feature_counts(trusted))
+    least = _least(_scored(trusted, ratios))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
