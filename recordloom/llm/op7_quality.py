@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.textops import BLANKS, byte_set, mix, ngram_hashes, span_hashes, utf8_slices, word_spans
-from recordloom.operators.narrow import narrowed
+from recordloom.operators.narrow import BROADCAST_KEYS, narrowed
 from recordloom.operators.ordering import percentile
 from recordloom.operators.storage import materialize
 
@@ -93,9 +93,19 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return materialize(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct(), "trusted")
 
 
-def trusted_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one of the ids; beyond what may be broadcast, only rows that a filter of fixed size lets through are shuffled."""
-    return narrowed(docs, ids, ["doc_id"]).join(ids, "doc_id", "left_semi")
+def trusted_rows(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """The rows of ``docs`` with one of the ids; beyond what may be broadcast, rows that a filter of fixed size lets through are shuffled."""
+    rows = narrowed(docs, ids, ["doc_id"], limit)
+    return rows if ids.limit(limit + 1).count() <= limit else rows.join(ids, "doc_id", "left_semi")
+
+
+def trusted_counts(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_KEYS) -> np.ndarray:
+    """``feature_counts`` of the rows with one of the ids, without a shuffle of their texts: what the filter lets through, less the few rows that it should not have."""
+    rows = narrowed(docs, ids, ["doc_id"], limit)
+    if ids.limit(limit + 1).count() <= limit:
+        return feature_counts(rows)
+    strangers = materialize(rows.select("doc_id").distinct().join(ids, "doc_id", "left_anti"), "strangers")
+    return feature_counts(rows) - feature_counts(trusted_rows(docs, strangers))
 
 
 def feature_counts(docs: DataFrame) -> np.ndarray:
@@ -157,16 +167,17 @@ def _least(trusted: DataFrame) -> float:
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, n_grams, score, base_failed and kept for each row of ``docs``."""
     ids = trusted_ids(labels)
-    scored = materialize(_scored(docs, log_ratios(feature_counts(docs), feature_counts(trusted_rows(docs, ids)))), "quality")
+    scored = materialize(_scored(docs, log_ratios(feature_counts(docs), trusted_counts(docs, ids))), "quality")
     kept = ~F.col("base_failed") & (F.col("fair") >= F.lit(_least(scored.join(ids, "doc_id", "left_semi"))))
     return scored.withColumn("kept", kept).drop("fair")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with all their columns; of texts, those of trusted rows alone may be shuffled."""
-    trusted = trusted_rows(docs.select("doc_id", "text"), trusted_ids(labels))
-    ratios = log_ratios(feature_counts(docs), feature_counts(trusted))
-    least = _least(_scored(trusted, ratios))
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns, without a shuffle of texts."""
+    ids = trusted_ids(labels)
+    ratios = log_ratios(feature_counts(docs), trusted_counts(docs, ids))
+    scored = materialize(_scored(narrowed(docs, ids, ["doc_id"]), ratios), "trusted-scores")
+    least = _least(scored.join(ids, "doc_id", "left_semi"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

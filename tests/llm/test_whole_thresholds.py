@@ -28,6 +28,18 @@ def test_all_trusted_documents_count(spark):
     assert ids.count() == 20_050  # more than were once taken
     docs = spark.range(20_049, 20_060).selectExpr("id as doc_id", "'some text' as text").unionAll(spark.sql("select cast(null as long), 'x'"))
     assert [r.doc_id for r in op7.trusted_rows(docs, ids).collect()] == [20_049]
+    want = op7.feature_counts(docs.filter("doc_id = 20049"))
+    for limit in (100, 100_000):  # by the filter, less what it should not let through, and by broadcast
+        assert [r.doc_id for r in op7.trusted_rows(docs, ids, limit).collect()] == [20_049]
+        assert (op7.trusted_counts(docs, ids, limit) == want).all() and want.sum() == 3
+
+
+def test_what_a_crowded_filter_lets_through_is_taken_away(spark, monkeypatch):
+    monkeypatch.setattr(op7, "narrowed", lambda rows, wanted, keys, limit=op7.BROADCAST_KEYS: rows)  # a filter that lets all through
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('word', id, ' text') as text")
+    ids = spark.range(10).selectExpr("id * 3 as doc_id")
+    monkeypatch.setattr(op7, "trusted_rows", lambda rows, wanted: rows.join(wanted, "doc_id", "left_semi"))
+    assert (op7.trusted_counts(docs, ids, 5) == op7.feature_counts(docs.filter("doc_id % 3 = 0 and doc_id < 30"))).all()
 
 
 def test_farthest_is_of_all_learned_documents(spark):
