@@ -75,11 +75,13 @@ def missing_digests(inventory: DataFrame, missing: DataFrame, compute: Callable[
 def with_fingerprints(inventory: DataFrame, store: DataFrame, compute: Callable[[Column], Column], refresh: bool = False) -> DataFrame:
     """``sha256`` and ``reused`` for every row, in place of content: the stored digest, or ``compute(content)`` for misses alone. Any column expression or pandas UDF will do.
 
-    Which rows miss is decided on keys; content crosses no exchange.
+    Which rows miss is decided on keys, in one join of rows without content; content crosses no exchange, and is read once for
+    the rows' sizes and once for the digests that miss.
     """
-    plain = inventory.drop("content")
-    hits = fingerprint_hits(plain, store, refresh).withColumn("reused", F.lit(True))
-    missed = materialize(fingerprint_misses(plain, store, refresh), "misses")
+    known = store.filter(F.col("sha256").isNotNull() & F.lit(not refresh)).select(*KEY, "sha256")
+    looked = materialize(_keyed(inventory.drop("content")).join(known, KEY, "left"), "looked")
+    hits = looked.filter("sha256 is not null").withColumn("reused", F.lit(True))
+    missed = looked.filter("sha256 is null").drop("sha256")
     # a row of the same path, size and time twice has one content; the first is as good as the other
     computed = missing_digests(inventory, missed, compute).dropDuplicates(KEY)
     return hits.unionByName(missed.join(computed, KEY).withColumn("reused", F.lit(False)))

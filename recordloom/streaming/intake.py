@@ -48,13 +48,14 @@ def intake_batch(batch: DataFrame, batch_id: int, store: str, out: str, compute:
     known = materialize(levels.newest(known, ["full_path"]), "known")
     rows = with_fingerprints(batch, known, compute).select("full_path", "size_bytes", "mtime_us", "last_write_utc", "sha256", "reused")
     rows = materialize(rows, "batch")
-    digests = materialize(rows.select("sha256").distinct(), "digests")
+    first = materialize(rows.groupBy("sha256").agg(F.min_by("full_path", F.struct(*member_order())).alias("first_path")), "firsts")
+    digests = first.select("sha256")
     holders = narrowed(levels.read_buckets(spark, contents, HOLDERS, levels.buckets_of(digests, "sha256"), batch_id), digests, ["sha256"])
     holders = materialize(levels.newest(holders, ["sha256", "full_path"]).filter("alive").select("sha256", "full_path"), "holders")
-    first = materialize(rows.groupBy("sha256").agg(F.min_by("full_path", F.struct(*member_order())).alias("first_path")), "firsts")
-    earlier = materialize(holders.groupBy("sha256").agg(F.count("*").alias("known")), "earlier")  # a path is known once
+    earlier = holders.groupBy("sha256").agg(F.count("*").alias("known"))  # a path is known once
+    told = materialize(first.join(earlier, "sha256", "left"), "told")
     own = holders.withColumn("own", F.lit(1))
-    marked = rows.join(first, "sha256").join(earlier, "sha256", "left").join(own, ["sha256", "full_path"], "left")
+    marked = rows.join(told, "sha256").join(own, ["sha256", "full_path"], "left")
     others = F.coalesce("known", F.lit(0)) - F.coalesce("own", F.lit(0))  # earlier records with this content at other paths
     duplicate = (others > 0) | (F.col("full_path") != F.col("first_path"))
     marked = marked.select("full_path", "size_bytes", "last_write_utc", "sha256", duplicate.alias("is_duplicate"), "reused")
